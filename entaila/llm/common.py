@@ -61,6 +61,20 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Call
     return src.mapInArrow(run, ", ".join(x for x in (head, schema) if x))
 
 
+def filter_texts(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
+    """The rows of `df`, with all columns, whose whole text kernel(texts) accepts; null texts are empty."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel = make()
+        for batch in batches:
+            text = batch.column(place)
+            yield batch.filter(pa.array([ok for _, texts in slices(text, text) for ok in kernel(texts)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
