@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
 
+from .plans import corpus
+from .plans.registry import ORACLES, QUERIES
 
-def flagship(spark, sf_dir):
-    return QUERIES["topk_associates"](spark, sf_dir)
+__all__ = ["ORACLES", "QUERIES", "flagship"]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best partners of every word, by positive pointwise mutual information."""
+    return corpus.topk_associates(spark, sf_dir)
