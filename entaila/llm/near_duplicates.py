@@ -126,7 +126,6 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     (shingle sets) with a similarity of `threshold` or more; n_copies: other
     rows with the same shingle set.
     """
-    spark = df.sparkSession
     kind = dict(df.dtypes)[id_col]
     sk = stored(sketches(df, id_col, text_col, n, threshold))
     real = sk.filter("n_shingles > 0")
@@ -142,7 +141,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     member = group.join(sizes, "root").select(
         F.col("node").alias("mid"), "root", F.expr(f"(size + {BLOCK - 1}) div {BLOCK}").cast("int").alias("blocks"),
     ).withColumn("block", F.pmod(F.xxhash64("mid"), "blocks").cast("int"))
-    texts = df.select(F.col(id_col).alias("tid"), F.col(text_col).alias("txt")).join(member, F.col("tid") == F.col("mid"))
+    # members grow with the corpus: the same kind of join at every size
+    texts = df.select(F.col(id_col).alias("tid"), F.col(text_col).alias("txt")).join(member.hint("merge"), F.col("tid") == F.col("mid"))
 
     def make():
         return lambda ids, ts: {"id": ids, "shingles": [s.tobytes() for s in shingle_sets(ts, n)]}
