@@ -223,7 +223,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     blobs = map_texts(df.filter(F.length(text_col) > 0), id_col, text_col, pack, "id long, blob binary")
     name, keep = f"repeats_{uuid.uuid4().hex}", first.filter(F.col("n_bytes") >= LENGTH).select(F.col("first").alias("id")).distinct()
-    searched = blobs.join(keep, "id").repartition(parts, "id")
+    searched = blobs.join(keep.hint("merge"), "id").repartition(parts, "id")
     searched.write.option("path", shared_dir(spark)).option("compression", "zstd").bucketBy(parts, "id").saveAsTable(name)
     texts = spark.table(name)
 
@@ -265,7 +265,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     packed = texts.mapInArrow(minimisers, "part long, docs binary, counts binary, vals binary")
     replies = packed.groupBy("part").applyInPandas(shared, "id long, vals binary").groupBy("id").agg(F.collect_list("vals").alias("vals"))
-    found = texts.join(replies, "id")
+    found = texts.join(replies.hint("merge"), "id")
 
     def strings(batches):
         import pyarrow as pa
@@ -341,9 +341,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 rows.append((int((end - begin).sum()), len(begin), b"".join([*kept, raw[at:]])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["id", "n_removed", "n_spans", "kept"])
 
-    changed = stored(texts.join(hits, "id").mapInArrow(cut_out, "id long, n_removed long, n_spans long, kept binary"))
+    changed = stored(texts.join(hits.hint("merge"), "id").mapInArrow(cut_out, "id long, n_removed long, n_spans long, kept binary"))
     spark.sql(f"DROP TABLE {name}")  # the files stay in the shared folder
-    base = seen.join(first.select("sha", "first"), "sha").join(changed, "id", "left")
+    base = seen.join(first.select("sha", "first").hint("merge"), "sha").join(changed.hint("merge"), "id", "left")
     copy = (F.col("id") != F.col("first")) & (F.col("n_bytes") >= LENGTH)
     return base.select(
         F.col("id").alias(id_col), "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
