@@ -192,6 +192,23 @@ def merge(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
     return doc[head], begin[head], far[np.append(head[1:], len(doc)) - 1]
 
 
+def dealt_by(doc: np.ndarray, parts: int, *cols: np.ndarray) -> tuple:
+    """(part, packed ids, packed columns): rows packed by a hash of their document, so that few rows are shuffled."""
+    part = (mix(doc.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    o = np.argsort(part, kind="stable")
+    part = part[o]
+    cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    return part[cut], *([v.tobytes() for v in np.split(c[o], cut[1:])] if len(cut) else [] for c in (doc, *cols))
+
+
+def each(doc: np.ndarray, *cols: np.ndarray) -> tuple:
+    """(ids, packed columns) by document."""
+    o = np.argsort(doc, kind="stable")
+    doc = doc[o]
+    cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+    return doc[cut], *([v.tobytes() for v in np.split(c[o], cut[1:])] if len(cut) else [] for c in cols)
+
+
 # -- stages ------------------------------------------------------------------
 def _texts(blobs) -> list[bytes]:
     import zstandard
@@ -258,13 +275,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         same[1:] = s[1:] == s[:-1]
         same[:-1] |= same[1:]
         doc, value = doc[o[same]], s[same]
-        o = np.argsort(doc, kind="stable")
-        doc, value = doc[o], value[o]
-        cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-        return pd.DataFrame({"id": doc[cut], "vals": [x.tobytes() for x in np.split(value, cut[1:])] if len(cut) else []})
+        part, ids, vals = dealt_by(doc, parts, value)
+        return pd.DataFrame({"part": part, "ids": ids, "vals": vals})
+
+    def by_text(pdf: pd.DataFrame) -> pd.DataFrame:
+        doc, value = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["ids"]]), np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["vals"]])
+        ids, vals = each(doc, value)
+        return pd.DataFrame({"id": ids, "vals": vals})
 
     packed = texts.mapInArrow(minimisers, "part long, docs binary, counts binary, vals binary")
-    replies = packed.groupBy("part").applyInPandas(shared, "id long, vals binary").groupBy("id").agg(F.collect_list("vals").alias("vals"))
+    replies = packed.groupBy("part").applyInPandas(shared, "part long, ids binary, vals binary").groupBy("part").applyInPandas(by_text, "id long, vals binary")
     found = texts.join(replies.hint("merge"), "id")
 
     def strings(batches):
@@ -277,7 +297,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             wanted = b.column(2).to_pylist()
             for a, some in split_texts(raw):
                 doc, begin, windows, value = runs(some)
-                ask = [np.frombuffer(b"".join(wanted[a + k]), np.uint64) for k in range(len(some))]
+                ask = [np.frombuffer(wanted[a + k], np.uint64) for k in range(len(some))]
                 ok = np.isin(value, np.unique(np.concatenate(ask)))
                 doc, begin, windows, value = doc[ok], begin[ok], windows[ok], value[ok]
                 part = (value >> np.uint64(32)).astype(np.int64) % parts
@@ -319,12 +339,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 lot(order[a:stop])
                 a = stop
         hd, hb, he = merge(*(np.concatenate([g[c] for g in got]) for c in range(3))) if got else (doc, begin, begin)
-        cut = np.flatnonzero(np.append(True, hd[1:] != hd[:-1])) if len(hd) else np.zeros(0, np.int64)
-        parts_of = lambda x: [v.astype(np.int64).tobytes() for v in np.split(x, cut[1:])] if len(cut) else []
-        return pd.DataFrame({"id": hd[cut], "begins": parts_of(hb), "ends": parts_of(he)})
+        part, ids, begins, ends = dealt_by(hd, parts, hb, he)
+        return pd.DataFrame({"part": part, "ids": ids, "begins": begins, "ends": ends})
+
+    def spans_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        doc, begin, end = merge(*(np.concatenate([np.frombuffer(x, np.int64) for x in pdf[c]]) for c in ("ids", "begins", "ends")))
+        ids, begins, ends = each(doc, begin, end)
+        return pd.DataFrame({"id": ids, "begins": begins, "ends": ends})
 
     dealt = found.mapInArrow(strings, "part long, docs binary, begins binary, windows binary, vals binary, text binary")
-    hits = dealt.groupBy("part").applyInPandas(spans, "id long, begins binary, ends binary").groupBy("id").agg(F.collect_list("begins").alias("begins"), F.collect_list("ends").alias("ends"))
+    hits = dealt.groupBy("part").applyInPandas(spans, "part long, ids binary, begins binary, ends binary")
+    hits = hits.groupBy("part").applyInPandas(spans_of, "id long, begins binary, ends binary")
 
     def cut_out(batches):
         import pyarrow as pa
@@ -332,8 +357,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             rows = []
             for raw, bs, es in zip(_texts(b.column(1).to_pylist()), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                begin, end = np.frombuffer(b"".join(bs), np.int64), np.frombuffer(b"".join(es), np.int64)
-                _, begin, end = merge(np.zeros(len(begin), np.int64), begin, end)
+                begin, end = np.frombuffer(bs, np.int64), np.frombuffer(es, np.int64)
                 kept, at = [], 0
                 for x, y in zip(begin.tolist(), end.tolist(), strict=True):
                     kept.append(raw[at:x])
