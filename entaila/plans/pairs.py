@@ -223,6 +223,26 @@ def svd_embedding(spark, d):
     return models.svd(s, nodes, 8)[0]
 
 
+@query()
+def ball_embedding(spark, d):
+    """Vectors in the Poincare ball of all nodes of the hierarchy."""
+    from ..operators import training
+
+    return training.ball_embeddings(edges(spark, d).select(F.col("child").alias("src"), F.col("parent").alias("dst")), dim=8, epochs=3)
+
+
+@query()
+def logic_history(spark, d):
+    """The satisfaction by epoch of a predicate trained on the term pairs."""
+    from ..operators import training
+
+    kv = _place_vectors(spark, d)
+    v = lambda s, c: kv.select(F.col("key").alias(s), F.col("vec").alias(c))
+    p = term_pairs(spark, d).join(v("hypo", "x_vec"), "hypo").join(v("hyper", "y_vec"), "hyper")
+    _, history = training.train_predicate(p, kv, 64, epochs=8)
+    return spark.createDataFrame(history)
+
+
 # -- fuzzy logic -----------------------------------------------------------------------------
 def _h(spark, d):
     """Truth of a closed-form relation between the mean embeddings of all labels."""
