@@ -186,8 +186,12 @@ def predict(df: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
     return map_texts(df, id_col, text_col, make, f"`{id_col}` {dict(df.dtypes)[id_col]}, lang_pred string, score double, bits_per_byte double", keep)
 
 
-def accepted(df: DataFrame, trees: Trees, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of `df` whose text has a language with a score of `least` or more."""
+def accepted(df: DataFrame, trees: Trees, text_col: str = "text", most_bits: float = 7.0) -> DataFrame:
+    """The rows of `df` whose text is in a learnt language.
+
+    Texts without a letter go, and those that the best language needs
+    `most_bits` a byte or more for: that is near the 8 of a uniform code.
+    """
     shared = df.sparkSession.sparkContext.broadcast(trees)
 
     def make():
@@ -196,8 +200,9 @@ def accepted(df: DataFrame, trees: Trees, text_col: str = "text", least: float =
         letter, t = regex.compile(r"\p{L}").search, shared.value
 
         def kernel(texts):
-            bits = t.bits([x.encode() for x in texts]) if t.langs else np.zeros((len(texts), 0))
-            return [bool(len(b)) and letter(x) is not None and 1 / np.exp2(np.maximum(b.min() - b, -1000)).sum() >= least for x, b in zip(texts, bits, strict=True)]
+            raw = [x.encode() for x in texts]
+            bits = t.bits(raw) if t.langs else np.zeros((len(raw), 0))
+            return [bool(len(b)) and letter(x) is not None and b.min() < most_bits * len(r) for x, r, b in zip(texts, raw, bits, strict=True)]
 
         return kernel
 
