@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut
+
 EPS = 1e-12
 # Words without content of their own, and leftovers of addresses.
 STOPWORDS = ["the", "of", "and", "a", "an", "to", "in", "that", "it", "is", "was", "for", "on", "are", "as", "with", "he", "she", "at", "by", "this", "from", "or", "be"]
@@ -17,17 +19,23 @@ JUNK = ["s", "t", "http", "https", "www"]
 
 
 def window_counts(chunks: DataFrame, vocab: DataFrame, first: int = 5, last: int = 19) -> DataFrame:
-    """(w1, w2, x), symmetric.
+    """(w1, w2, x), symmetric; chunks are (doc_id, start, tokens).
 
-    Each place looks ahead only, by a slice of its chunk, so no range join is
-    needed; pairs are counted map-side before the shuffle, the second word's
-    vocabulary test comes after it, and the mirror image is added to the counts.
+    The vocabulary meets the words once, before any pair is made: a chunk becomes
+    its known words' numbers with their places.  Each place then looks ahead by a
+    slice, so no range join is needed; pairs of numbers are counted map-side
+    before the shuffle, and words and the mirror image come after it.
     """
-    words = vocab.select("word")
-    ahead = chunks.select("tokens", F.posexplode("tokens").alias("p", "w1")).select("w1", F.slice("tokens", F.col("p") + first + 1, last - first + 1).alias("ctx"))
-    ahead = ahead.filter(F.size("ctx") > 0).join(words, F.col("w1") == F.col("word"), "left_semi")
-    fwd = ahead.select("w1", F.explode("ctx").alias("w2")).groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).join(words, F.col("w2") == F.col("word"), "left_semi")
-    return mirrored(fwd)
+    known = cut(vocab.select("word").withColumn("id", F.monotonically_increasing_id()))
+    at = chunks.select("doc_id", "start", F.posexplode("tokens").alias("p", "word")).join(known, "word")
+    rows = at.groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("p", "id"))).alias("e"))
+    each = rows.select("e", F.posexplode("e").alias("k", "a"))
+    ahead = F.filter(F.slice("e", F.col("k") + 2, last), lambda x: x["p"].between(F.col("a.p") + first, F.col("a.p") + last))
+    pairs = each.select(F.col("a.id").alias("i"), F.explode(ahead).alias("j")).select(F.col("i").alias("a"), F.col("j.id").alias("b"))
+    fwd = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    both = fwd.unionByName(fwd.select(F.col("b").alias("a"), F.col("a").alias("b"), "c")).groupBy("a", "b").agg((F.sum("c") * 2).alias("x"))
+    name = lambda c, w: known.select(F.col("id").alias(c), F.col("word").alias(w))
+    return both.join(name("a", "w1"), "a").join(name("b", "w2"), "b").select("w1", "w2", "x")
 
 
 def mirrored(fwd: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded, without_markup
+from ..functions.storage import cut
 from ..operators import cooc, text
 from ..sources.tables import corpus, table
 from . import sql
@@ -18,8 +19,8 @@ def _chunks(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def _counts(spark: SparkSession, d: str, name: str = "conversations", least: int = 5) -> tuple[DataFrame, DataFrame]:
     chunks = _chunks(spark, d, name)
-    vocab = text.vocabulary(chunks, least)
-    return cooc.window_counts(chunks, vocab), vocab
+    vocab = cut(text.vocabulary(chunks, least))
+    return cut(cooc.window_counts(chunks, vocab)), vocab  # both are read several times
 
 
 def _sql_in(words: list[str]) -> str:
@@ -59,7 +60,8 @@ def stopword_filter(spark, d):
 
 @query(f"WITH {sql.cooc('documents', 10)} SELECT w1, w2, x FROM x")
 def cooc_window(spark, d):
-    return _counts(spark, d, "documents", 10)[0]
+    chunks = _chunks(spark, d, "documents")
+    return cooc.window_counts(chunks, text.vocabulary(chunks, 10))
 
 
 @query(f"WITH {sql.cooc()} SELECT w1, w2, x FROM x")
