@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Bpe
-from .common import map_texts
+from .common import map_texts, stored
 
 BLOCK = 1024
 
@@ -83,4 +83,4 @@ def quantiles(sums: DataFrame, qs: list[float]) -> DataFrame:
 
 
 def token_length_histogram(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None, ranks_path: str | None = None) -> DataFrame:
-    return suffix_sums(histogram(lengths(df, id_col, text_col, group_col, ranks_path)))
+    return suffix_sums(stored(histogram(lengths(df, id_col, text_col, group_col, ranks_path))))
