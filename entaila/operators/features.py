@@ -71,6 +71,22 @@ def bounded_label(path_len: str = "path_len", most: int = 3):
     return F.when(F.coalesce(F.col(path_len), F.lit(1_000_000_000)) <= most, 1).otherwise(0)
 
 
+def build_all(pairs: DataFrame, path: DataFrame, picked: DataFrame, probs: DataFrame, x: DataFrame, vocab: DataFrame, n_bins: int = 333) -> dict[str, DataFrame]:
+    """The four matrices of resolved pairs (pair_id, hypo_syn, hyper_syn), as rows (pair_id, col, v).
+
+    picked: (pair_id, w1, w2); probs: (pair_id, freq, joint, cond); vocab with idx.
+    Columns of the hypo half follow those of the hyper half.
+    """
+    flat = lambda f: f.select("pair_id", (F.col("bin") + F.when(F.col("half") == "hypo", n_bins).otherwise(0)).cast("long").alias("col"), "v")
+    iv = interval_features(pairs, path, n_bins=n_bins)
+    cols = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("col"), F.col(c).cast("double").alias("v")) for k, c in enumerate(("freq", "joint", "cond"))]))
+    return {
+        "interval": flat(iv), "interval_prob": flat(weighted(iv, probs)),
+        "cooc": probs.select("pair_id", cols.alias("x")).select("pair_id", "x.col", "x.v").filter("v is not null and v <> 0"),
+        "rawfreq": raw_rows(picked, x, vocab).withColumn("v", F.col("v").cast("double")),
+    }
+
+
 def diagnostics(pairs: DataFrame, path: DataFrame, sp: DataFrame) -> DataFrame:
     """For every resolved pair: path and its number of nodes, similarity, lowest common ancestor, common
     ancestors (count and first ten), interval through the hypernym, overlap of canonical intervals."""

@@ -147,6 +147,15 @@ def synset_weights(spark, d):
     return hierarchy.token_weights(nodes, counts)
 
 
+@query("""WITH t AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS word FROM part), v AS (SELECT word, count(*) AS cnt FROM t GROUP BY word), w AS (SELECT word, CASE WHEN length(word) > 4 THEN cnt END AS cnt, cnt * 2 AS r FROM v)
+SELECT 'part.' || p_partkey AS node, max(coalesce(cnt, r)) AS w_max, CAST(sum(coalesce(cnt, r)) AS BIGINT) AS w_sum FROM t JOIN w USING (word) GROUP BY p_partkey""")
+def backend_weights(spark, d):
+    """Counts of long words; others take their row sum, here twice the count."""
+    nodes = table(spark, d, "part").select(F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("node"), F.translate(F.lower("p_name"), " ", "_").alias("lemma"))
+    counts = nodes.select(F.explode(F.split("lemma", "_")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
+    return hierarchy.token_weights(nodes, counts.filter("length(word) > 4"), counts.select(F.col("word").alias("w"), (F.col("cnt") * 2).alias("r")))
+
+
 # -- graph ------------------------------------------------------------------------
 def _graph(spark, d):
     return edges(spark, d).select(F.col("child").alias("src"), F.col("parent").alias("dst"))

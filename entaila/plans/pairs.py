@@ -136,6 +136,22 @@ def diagnostics(spark, d):
     return out.withColumns({"wup": rounded("wup", 9), "via_lo": rounded("via_lo"), "via_hi": rounded("via_hi"), "overlap": rounded("overlap")})
 
 
+@query()
+def feature_bundle(spark, d):
+    """Rows and sum of every matrix, for parts and types whose words are those of benchmark items."""
+    x, vocab = _counts(spark, d)
+    from ..operators import cooc
+
+    picked = resolve.pick_pair(_word_pairs(spark, d), x, vocab)
+    probs = cooc.pair_probabilities(picked.select("pair_id", "w1", "w2"), x, vocab).select("pair_id", "freq", "joint", "cond")
+    ms = features.build_all(_part_types(spark, d), _paths(spark, d), picked, probs, x, text.numbered(vocab, "word"))
+    out = None
+    for name, m in ms.items():
+        r = m.agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("v")).alias("total")).select(F.lit(name).alias("matrix"), "n", "total")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 # -- evaluation ------------------------------------------------------------------------
 def _scores(spark, d):
     """Labelled documents with two scores of length; the prediction is a rule on the first."""
@@ -211,6 +227,20 @@ def model_grid(spark, d):
     return models.grid(train, test, {"vectors": "features"})
 
 
+@query()
+def grid_comparison(spark, d):
+    """The grid without and with one more column."""
+    train, test = _split(spark, d)
+    more = lambda df: features.with_scalar(df, "pair_id")
+    return models.compare_grids(models.grid(train, test, {"vectors": "features"}, mlp=False), models.grid(more(train), more(test), {"vectors+katz": "features"}, mlp=False))
+
+
+@query()
+def ols_formula(spark, d):
+    """Extended price by quantity, return flag and their interaction."""
+    return models.ols(table(spark, d, "lineitem"), "l_extendedprice ~ l_quantity + l_returnflag + l_quantity:l_returnflag")
+
+
 @query()
 def svd_embedding(spark, d):
     """US of the normalised PPMI of the Katz series of the whole hierarchy."""

@@ -247,3 +247,12 @@ def poincare_distance(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 0.5).alias("u"))
     nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("u").alias("v"))
     return e.join(nxt, "vec_id").select("vec_id", rounded(ball_distance(F.col("u"), F.col("v"))).alias("distance"))
+
+
+@query()
+def pseudo_vectors(spark, d):
+    """A vector for every part name: its own, or one that follows from the name."""
+    kv = keyed(spark, d)
+    names = table(spark, d, "part").select(F.translate(F.lower("p_name"), " ", "_").alias("key")).distinct()
+    j = names.join(kv, "key", "left")
+    return _total(j.select("key", F.col("vec").isNotNull().alias("hit"), F.coalesce("vec", resolve.pseudo_vector(F.col("key"), 64)).alias("vec")), "key", "hit")

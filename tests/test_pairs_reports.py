@@ -119,3 +119,26 @@ def test_stream_counts(spark, tmp_path):
     now = counts.latest(spark.read.parquet(str(tmp_path / "out")), "word")
     assert {r.word: r.cnt for r in now.collect()} == {"aa": 20, "bb": 20, "cc": 20}
     assert os.path.isdir(tmp_path / "out")
+
+
+def test_least_squares_and_grids(spark):
+    rows = [(float(k), "ab"[k % 2], 2.0 + 3.0 * k + (5.0 if k % 2 == 0 else 0.0) + (0.001 if k % 3 else -0.002)) for k in range(40)]
+    got = {r.term: r.coef for r in models.ols(spark.createDataFrame(rows, "x double, g string, y double"), "y ~ x + g").collect()}
+    assert math.isclose(got["x"], 3.0, abs_tol=0.01) and math.isclose(abs(got[next(t for t in got if t.startswith("g_"))]), 5.0, abs_tol=0.05) and "intercept" in got
+    a = spark.createDataFrame([("cw", "mlp", 0.5)], "matrix string, clf string, f1_macro double")
+    b = spark.createDataFrame([("cw+katz", "mlp", 0.75), ("zz+katz", "mlp", 0.1)], "matrix string, clf string, f1_macro double")
+    assert [tuple(r) for r in models.compare_grids(a, b).collect()] == [("cw", "mlp", 0.5, 0.75, 0.25)]
+
+
+def test_finding_and_writing(spark, tmp_path):
+    (tmp_path / "r" / "deep").mkdir(parents=True)
+    for name in ("r/b.model", "r/deep/a.model", "r/c.txt"):
+        (tmp_path / name).write_text("x")
+    assert [r.path.rsplit("/", 1)[1] for r in files.find_files(spark, str(tmp_path / "r")).collect()] == ["b.model", "a.model"]
+    files.write_table(spark.createDataFrame([(1, "x")], "a int, b string"), str(tmp_path / "t"))
+    assert spark.read.csv(str(tmp_path / "t"), header=True).columns == ["a", "b"]
+    assert files.dump_name("enwik8") == "enwik8"
+    with pytest.raises(ValueError):
+        files.dump_name("other")
+    v = spark.range(2).select(resolve.pseudo_vector(F.lit("k"), 4).alias("v")).collect()
+    assert v[0].v == v[1].v and len(v[0].v) == 4 and len(set(v[0].v)) == 4
