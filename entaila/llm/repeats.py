@@ -40,6 +40,8 @@ from .shingles import mix, prefix_sums, spans_hash
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1  # 20-byte substrings of a window
+#: Text whose minimisers meet in one group, on average, at most.
+PART_BYTES = 32 << 20
 LOT = 4096  # strings ordered together, unless one minimiser has more
 
 
@@ -220,7 +222,7 @@ def _texts(blobs) -> list[bytes]:
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) of every document; kept: the bytes that stay, null where all do."""
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def digest():
         def kernel(ids, texts):
@@ -230,6 +232,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return kernel
 
     seen = stored(map_texts(df, id_col, text_col, digest, "id long, n_bytes long, sha binary").dropDuplicates(["id", "sha"]))
+    # a group of minimisers is held in memory: there are more groups for more text
+    parts = max(buckets, -(-int(seen.agg(F.sum("n_bytes")).first()[0] or 0) // PART_BYTES))
     first = stored(seen.groupBy("sha").agg(F.min("id").alias("first"), F.max("n_bytes").alias("n_bytes")))
 
     def pack():
@@ -240,8 +244,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     blobs = map_texts(df.filter(F.length(text_col) > 0), id_col, text_col, pack, "id long, blob binary")
     name, keep = f"repeats_{uuid.uuid4().hex}", first.filter(F.col("n_bytes") >= LENGTH).select(F.col("first").alias("id")).distinct()
-    searched = blobs.join(keep.hint("merge"), "id").repartition(parts, "id")
-    searched.write.option("path", shared_dir(spark)).option("compression", "zstd").bucketBy(parts, "id").saveAsTable(name)
+    searched = blobs.join(keep.hint("merge"), "id").repartition(buckets, "id")
+    searched.write.option("path", shared_dir(spark)).option("compression", "zstd").bucketBy(buckets, "id").saveAsTable(name)
     texts = spark.table(name)
 
     def minimisers(batches):
