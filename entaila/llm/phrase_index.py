@@ -16,7 +16,8 @@ Documents in a segment lie `GAP` places apart, so no phrase crosses documents.
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,8 +28,8 @@ from .common import map_texts, ragged, stored, table
 WINDOW = 10
 #: Free places between documents; also the longest phrase and distance.
 GAP = 64
-#: Windows sent to the tasks at once; more are searched in further passes.
-PASS_WINDOWS = 200_000
+#: Items whose terms and windows are broadcast at once; more are searched block by block.
+BLOCK_ITEMS = 20_000
 
 _TO = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -140,22 +141,14 @@ def intersect(terms: np.ndarray, counts: np.ndarray, pos: np.ndarray, plan: dict
 
 
 def search(index: DataFrame, plan: dict, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_words, n_hit, item_ids) of every document."""
+    """(id, n_words, spans, item_ids) of every document; spans: (begin, end) of runs of hit words."""
     import pyarrow as pa
 
     from .common import arrow_schema
 
-    ddl = f"`{id_col}` {dict(index.dtypes)['docs'][6:-1]}, n_words long, n_hit long, item_ids array<string>"
+    ddl = f"`{id_col}` {dict(index.dtypes)['docs'][6:-1]}, n_words long, spans array<struct<begin: long, end: long>>, item_ids array<string>"
     schema = arrow_schema(ddl)
-    n = len(plan["terms"])
-    passes = []
-    cut_own = np.cumsum(plan["own_n"]) - plan["own_n"] if n else np.zeros(0, np.int64)
-    for a in range(0, max(n, 1), PASS_WINDOWS):
-        b = min(n, a + PASS_WINDOWS)
-        lo = int(cut_own[a]) if a < n else 0
-        hi = int(cut_own[b - 1] + plan["own_n"][b - 1]) if b else 0
-        passes.append(index.sparkSession.sparkContext.broadcast({k: v[a:b] for k, v in plan.items() if k in ("terms", "offs", "len", "own_n")} | {"own": plan["own"][lo:hi]}))
-    names = index.sparkSession.sparkContext.broadcast(plan["items"])
+    p_shared = index.sparkSession.sparkContext.broadcast(plan)
 
     def run(batches):
         for batch in batches:
@@ -164,22 +157,25 @@ def search(index: DataFrame, plan: dict, id_col: str = "doc_id") -> DataFrame:
                 terms, counts = np.array(row["terms"], np.int64), np.array(row["counts"], np.int64)
                 pos = _unpack(row["positions"], counts)
                 size = int(base[-1] + n_words[-1] + GAP) if len(base) else 0
-                cover = np.zeros(size + 1, np.int64)
-                pairs = []
-                for p in (x.value for x in passes):
-                    win, begin = intersect(terms, counts, pos, p)
-                    np.add.at(cover, begin, 1)
-                    np.add.at(cover, begin + p["len"][win], -1)
-                    doc = np.searchsorted(base, begin, "right") - 1
-                    first = np.cumsum(p["own_n"]) - p["own_n"]
-                    owner = p["own"][ragged(first[win], p["own_n"][win])]
-                    pairs.append(np.unique(np.repeat(doc, p["own_n"][win]) * len(names.value) + owner))
-                hit = np.concatenate([[0], np.cumsum(np.cumsum(cover[:-1]) > 0)])
-                n_hit = hit[base + n_words] - hit[base]
+                p = p_shared.value
+                names = p["items"]
+                win, begin = intersect(terms, counts, pos, p)
+                step = np.zeros(size + 1, np.int64)
+                np.add.at(step, begin, 1)
+                np.add.at(step, begin + p["len"][win], -1)
+                hit = np.concatenate([[0], (np.cumsum(step) > 0).astype(np.int8), [0]])
+                edge = np.diff(hit)
+                lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # places lie apart between documents
+                spans: list[list] = [[] for _ in row["docs"]]
+                for k, x, y in zip((np.searchsorted(base, lo, "right") - 1).tolist(), lo.tolist(), hi.tolist(), strict=True):
+                    spans[k].append({"begin": x - int(base[k]), "end": y - int(base[k])})
+                doc = np.searchsorted(base, begin, "right") - 1
+                first = np.cumsum(p["own_n"]) - p["own_n"]
+                owner = p["own"][ragged(first[win], p["own_n"][win])]
                 items: list[list[str]] = [[] for _ in row["docs"]]
-                for x in np.unique(np.concatenate(pairs)).tolist() if names.value else []:
-                    items[x // len(names.value)].append(names.value[x % len(names.value)])
-                cols = [row["docs"], n_words, n_hit, [sorted(x) for x in items]]
+                for x in np.unique(np.repeat(doc, p["own_n"][win]) * max(len(names), 1) + owner).tolist():
+                    items[x // len(names)].append(names[x % len(names)])
+                cols = [row["docs"], n_words, spans, [sorted(set(x)) for x in items]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], names=schema.names)
 
     return index.mapInArrow(run, ddl)
@@ -211,19 +207,37 @@ def near(index: DataFrame, first: int, second: int, distance: int, id_col: str =
     return index.mapInArrow(run, ddl)
 
 
-def read_items(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Phrases:
-    """The benchmark's phrases; a benchmark is a curated list, and its windows go out in passes of `PASS_WINDOWS`."""
+def item_blocks(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[Phrases]:
+    """The benchmark's phrases in blocks of at most `BLOCK_ITEMS` items."""
     rows = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator()
-    return Phrases([(r["i"], words(r["t"])) for r in rows])
+    made = False
+    while block := [(r["i"], words(r["t"])) for r in islice(rows, BLOCK_ITEMS)]:
+        made = True
+        yield Phrases(block)
+    if not made:
+        yield Phrases([])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_hit, item_ids) of every document against all items."""
-    phrases = read_items(items, item_col, item_text_col)
-    index = build_index(docs, phrases.vocabulary, id_col, text_col)
-    counts = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n"))
-    frequency = {r["terms"]: r["n"] for r in counts.toLocalIterator()}  # of the benchmark's own terms only
-    return search(index, phrases.plan(frequency), id_col)
+    """(id, n_words, n_hit, item_ids) of every document against all items.
+
+    What is broadcast belongs to one block of items; a larger benchmark is
+    searched block by block and the spans are united by document.
+    """
+    found = []
+    for phrases in item_blocks(items, item_col, item_text_col):
+        index = build_index(docs, phrases.vocabulary, id_col, text_col)
+        counts = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n"))
+        frequency = {r["terms"]: r["n"] for r in counts.toLocalIterator()}  # of the block's own terms
+        found.append(search(index, phrases.plan(frequency), id_col))
+    hits = found[0]
+    if len(found) > 1:
+        for more in found[1:]:
+            hits = hits.unionByName(more)
+        hits = hits.groupBy(id_col).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("far"))
+    fold = lambda s, x: F.struct((s["n"] + F.greatest(x["end"] - F.greatest(s["far"], x["begin"]), F.lit(0))).alias("n"), F.greatest(s["far"], x["end"]).alias("far"))
+    return hits.select(id_col, "n_words", F.aggregate("spans", start, fold)["n"].alias("n_hit"), "item_ids")
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:

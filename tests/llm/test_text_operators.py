@@ -114,13 +114,16 @@ def brute_hits(text, items):
     return len(w), len(cover), sorted(found)
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rng = np.random.default_rng(3)
     word = lambda n: " ".join(rng.choice(list("abcdef"), n))
     items = [(1, word(30)), (2, "Short É-item"), (3, None), (4, ""), (10, word(12)), (2, "Short É-item"), (11, "zz")]
     texts = [word(400), items[0][1].upper() + " x", "q " + items[4][1], "short é item ZZ zz", None, "", "!!!", items[0][1][:18], "a " * 20000 + items[4][1]]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: (r.n_words, r.n_hit, sorted(set(r.item_ids))) for r in phrase_index.decontaminate(docs(spark, texts), bench).collect()}
+    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in phrase_index.decontaminate(docs(spark, texts), bench).collect()}
+    assert got == {k: brute_hits(t, items) for k, t in enumerate(texts)}
+    monkeypatch.setattr(phrase_index, "BLOCK_ITEMS", 3)  # spans of several blocks are united
+    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in phrase_index.decontaminate(docs(spark, texts), bench).collect()}
     assert got == {k: brute_hits(t, items) for k, t in enumerate(texts)}
     none = phrase_index.report(docs(spark, texts), bench.limit(0)).collect()
     assert len(none) == len(texts) and all(r.n_hit == 0 and r.items_sha256 == sha("") for r in none)
