@@ -151,3 +151,15 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         d = stage(spark, d, str(tmp_path))
         assert d.columns == names
+
+
+def test_pipeline_stages_on_nulls_extra_columns_and_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    d = docs(spark, [None, "", "one two three", "one two three", None])
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, d, str(tmp_path))
+        if name not in ("language", "tokens"):
+            kept = {r.doc_id for r in got.collect()}
+            assert kept == ({0, 1, 2, 4} if name == "near_copies" else {0, 1, 2, 3, 4}) and got.columns == d.columns
+        assert stage(spark, d.limit(0), str(tmp_path)).count() == 0
+    assert {r.doc_id for r in corpus_pipeline.language(spark, d, "").collect()} == {2, 3}
