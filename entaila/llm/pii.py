@@ -9,7 +9,9 @@ format are walked past (cycle walking).  The map is a bijection for a key, so
 equal values stay linked across documents and different ones stay apart.
 
 Null texts stay null; texts without candidates are returned as they are.  Where
-candidates overlap, the one that begins first stays, then the longer one.
+candidates overlap, the one that begins first stays, then the longer one.  A match
+that fails its validator, because another number stands next to the value, is tried
+again from and to every border of a group of digits inside it.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .common import BATCH_ROWS, arrow_schema
 DEFAULT_KEY = b"pseudonym-key"
 ROUNDS = 10
 _LOWER, _UPPER, _DIGIT, _HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
+_HEX_UPPER, _AF_LOWER, _AF_UPPER = "0123456789ABCDEF", "abcdef", "ABCDEF"
+_MARK = {"": "", _DIGIT: "9", _LOWER: "a", _UPPER: "A", _HEX: "x", _HEX_UPPER: "X", _AF_LOWER: "f", _AF_UPPER: "F"}
 
 
 class Feistel:
@@ -54,13 +58,13 @@ class Feistel:
                 a = (a + sign * self._f(r, tweak, b, m1)) % m1
         return a * m2 + b
 
-    def symbols(self, text: str, tweak: bytes, ok: Callable[[str], bool] | None = None, back: bool = False, hexadecimal: bool = False) -> str:
+    def symbols(self, text: str, tweak: bytes, ok: Callable[[str], bool] | None = None, back: bool = False, alphabets: tuple[str, ...] = (_DIGIT, _LOWER, _UPPER)) -> str:
         """Permute the letters and digits of a string, each within its own alphabet.
 
         `ok` says which strings are valid; the permutation walks on to the next
         valid one, which is a bijection of the valid strings.
         """
-        sets = [_HEX if hexadecimal and c in _HEX else next((s for s in (_DIGIT, _LOWER, _UPPER) if c in s), "") for c in text]
+        sets = [next((s for s in alphabets if c in s), "") for c in text]
         live = [k for k, s in enumerate(sets) if s]
         if not live:
             return text
@@ -70,7 +74,7 @@ class Feistel:
             m1 *= len(sets[k])
         for k in live[half:]:
             m2 *= len(sets[k])
-        shape = tweak + b"|" + "".join(c if not s else "x" if s is _HEX else "9" if s is _DIGIT else "a" if s is _LOWER else "A" for c, s in zip(text, sets, strict=True)).encode()
+        shape = tweak + b"|" + "".join(_MARK[s] or c for c, s in zip(text, sets, strict=True)).encode()
         x = 0
         for k in live:
             x = x * len(sets[k]) + sets[k].index(text[k])
@@ -120,7 +124,9 @@ _DATE_FORMS = (
     (re.compile(r"(\d{4})/(\d\d)/(\d\d)\Z"), "{y:04d}/{m:02d}/{d:02d}", (0, 1, 2)),
     (re.compile(r"(\d\d)\.(\d\d)\.(\d{4})\Z"), "{d:02d}.{m:02d}.{y:04d}", (2, 1, 0)),
     (re.compile(r"(\d\d)/(\d\d)/(\d{4})\Z"), "{m:02d}/{d:02d}/{y:04d}", (2, 0, 1)),
+    (re.compile(r"(\d\d)/(\d\d)/(\d{4})\Z"), "{d:02d}/{m:02d}/{y:04d}", (2, 1, 0)),  # where the one above gives no date
 )
+_DAY_FIRST = _DATE_FORMS[-1][1]
 _DAY0, _DAYS = dt.date(1900, 1, 1), (dt.date(2100, 1, 1) - dt.date(1900, 1, 1)).days
 
 
@@ -130,7 +136,7 @@ def parse_date(text: str) -> tuple[dt.date, str] | None:
             try:
                 day = dt.date(int(got[y + 1]), int(got[m + 1]), int(got[d + 1]))
             except ValueError:
-                return None
+                continue
             return (day, shape) if 0 <= (day - _DAY0).days < _DAYS else None
     return None
 
@@ -138,20 +144,117 @@ def parse_date(text: str) -> tuple[dt.date, str] | None:
 # -- detectors, in order of preference ------------------------------------------
 _EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*\Z")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
+_DATE = r"\d{4}-\d\d-\d\d(?=[Tt]\d\d)|(?:\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?![\w/-]|\.\d)"
+_CARD = r"\d(?:[ -]?\d){12,18}(?!\w)"
+_PHONE = r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|00\d{2}(?:[ ./-]?\d{2,4}){2,5})(?!\w)"
 _NUMBER = re.compile(
     r"(?<![\w.+])(?:"
-    r"(?P<date>\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?![\w/-]|\.\d)"
+    rf"(?P<date>{_DATE})"
     r"|(?P<ssn>\d{3}-\d\d-\d{4})(?![\w-])"
     r"|(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?!\w|\.\d)"
-    r"|(?P<card>\d(?:[ -]?\d){12,18})(?!\w|[-]\d)"
-    r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|00\d{2}(?:[ ./-]?\d{2,4}){2,5})(?!\w)"
+    rf"|(?P<card>{_CARD})"
+    rf"|(?P<phone>{_PHONE})"
     r")"
 )
+_CARD_AT, _PHONE_AT = re.compile(_CARD), re.compile(_PHONE)
+_FIXED = re.compile(rf"(?<![\w.+])(?:(?P<date>{_DATE})|(?P<ssn>\d{{3}}-\d\d-\d{{4}})(?![\w-])|(?P<ip>\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}})(?!\w|\.\d)|(?P<phone>\d{{3}}-\d{{3}}-\d{{4}})(?!\w|-\d))")
+_RUN, _GROUP, _LAST = re.compile(r"\d(?:[ -]?\d)*"), re.compile(r"\d+"), re.compile(r"[^\dA-Z]*[\dA-Z]+\Z")
+_CARD_FORMS = {(4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4)}
+_VALID: dict[str, Callable[[str], bool]] = {"date": lambda v: parse_date(v) is not None, "ssn": is_ssn, "ip": is_ip, "card": is_card, "phone": is_phone}
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-_SECRET = re.compile(r"(?<![0-9A-Za-z])[0-9a-f]{32,128}(?![0-9A-Za-z])")
+_SECRET = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])")
 _PREFIXED = re.compile(r"(?<!\w)(?P<head>AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|xox[abprs]-|sk-|sk_live_|pk_live_|AIza)(?P<body>[A-Za-z0-9_-]{12,})")
 
 
+def cards(text: str, begin: int, end: int) -> list[tuple[int, int]]:
+    """(begin, end) of the card numbers in a run of digit groups, apart from each other, in order.
+
+    Every row of whole groups with 13 to 19 digits is tried: those grouped as on
+    cards first, then the one that begins first, then the longer one.  Dates, addresses,
+    dashed phone and social security numbers in the run are no part of a card.
+    """
+    fixed = [m.span() for m in _FIXED.finditer(text, begin, min(end + 20, len(text))) if _VALID[m.lastgroup](m[0])]
+    groups = [m.span() for m in _GROUP.finditer(text, begin, end)]
+    inside, k = [], 0
+    for a, b in groups:
+        while k < len(fixed) and fixed[k][1] <= a:
+            k += 1
+        inside.append(k < len(fixed) and fixed[k][0] < b)
+    found = []
+    for i, (a, _) in enumerate(groups):
+        if a and (text[a - 1] in ".+_" or text[a - 1].isalnum()):
+            continue
+        form, n = (), 0
+        for j in range(i, len(groups)):
+            size = groups[j][1] - groups[j][0]
+            form, n = (*form, size), n + size
+            if n > 19 or inside[j]:
+                break
+            b = groups[j][1]
+            if n >= 13 and not (b < len(text) and (text[b] == "_" or text[b].isalnum())) and is_card(text[a:b]):
+                found.append((len(form) > 1 and form not in _CARD_FORMS, a, -b))
+    out, used = [], bytearray(end - begin)
+    for _, a, b in sorted(found):
+        if not any(used[a - begin : -b - begin]):
+            used[a - begin : -b - begin] = b"\1" * (-b - a)
+            out.append((a, -b))
+    return sorted(out)
+
+
+def shorter(pattern: re.Pattern, ok: Callable[[str], bool], text: str, at: int, end: int) -> int:
+    """The end of the longest valid match at a place, whole groups before `end`; 0 if there is none."""
+    while m := pattern.match(text, at, end):
+        if ok(m[0]):
+            return m.end()
+        end = at + _LAST.search(m[0]).start()
+    return 0
+
+
+def numbers(text: str) -> Iterator[tuple[int, int, str]]:
+    at = known = 0
+    held: list[tuple[int, int]] = []  # cards of the runs up to `known`, the next one last
+    while m := _NUMBER.search(text, at):
+        a, b = m.span()
+        kind = m.lastgroup
+        if kind in ("date", "ssn", "ip") and _VALID[kind](m[0]):
+            yield a, b, kind
+            at = b
+            continue
+        if b > known:
+            new = []
+            for run in _RUN.finditer(text, max(a, known)):
+                if run.start() >= b:
+                    break
+                known = run.end()
+                new += cards(text, run.start(), known)
+            held = [*new[::-1], *held]
+        while held and held[-1][0] < a:
+            held.pop()
+        if held and held[-1][0] == a:
+            at = held.pop()[1]
+            yield a, at, "card"
+            continue
+        end = held[-1][0] if held else len(text)
+        near = next((d.start() for d in _FIXED.finditer(text, a + 1, min(end, b + 20)) if d.lastgroup in ("date", "ip") and _VALID[d.lastgroup](d[0])), end)
+        to = 0
+        for stop in (near, end):  # a date or address after the number is no part of it
+            if not to and text.startswith("00", a):
+                to = shorter(_CARD_AT, is_phone, text, a, stop)
+            to = to or shorter(_PHONE_AT, is_phone, text, a, stop)
+        if to:
+            yield a, to, "phone"
+        at = to or _GROUP.search(text, a).end()
+
+
+def ibans(text: str) -> Iterator[tuple[int, int, str]]:
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = shorter(_IBAN, is_iban, text, m.start(), m.end())
+        if at:
+            yield m.start(), at, "iban"
+        at = at or m.start() + 4
+
+
 def candidates(text: str) -> Iterator[tuple[int, int, str]]:
     at = text.find("@")
     while at > 0:
@@ -163,15 +266,8 @@ def candidates(text: str) -> Iterator[tuple[int, int, str]]:
         if left < at and _EMAIL.match(text[left:at]) and (dom := _DOMAIN.match(text, at + 1)):
             yield left, dom.end(), "email"
         at = text.find("@", at + 1)
-    for m in _NUMBER.finditer(text):
-        kind, v = m.lastgroup, m[0]
-        if {"date": lambda v: parse_date(v) is not None, "ssn": is_ssn, "ip": is_ip, "card": is_card, "phone": is_phone}[kind](v):
-            yield m.start(), m.end(), kind
-        elif kind == "card" and v.startswith("00") and is_phone(v):
-            yield m.start(), m.end(), "phone"
-    for m in _IBAN.finditer(text):
-        if is_iban(m[0]):
-            yield m.start(), m.end(), "iban"
+    yield from numbers(text)
+    yield from ibans(text)
     for m in _SECRET.finditer(text):
         yield m.start(), m.end(), "secret"
     for m in _PREFIXED.finditer(text):
@@ -247,12 +343,18 @@ class Pseudonyms:
         while True:
             x = self.f(x, m, 270, b"date", back)
             if x < _DAYS:
-                break
-        day = _DAY0 + dt.timedelta(days=x)
+                day = _DAY0 + dt.timedelta(days=x)
+                if shape != _DAY_FIRST or day.day > 12:  # others would be read with the month first
+                    break
         return shape.format(y=day.year, m=day.month, d=day.day)
 
     def _secret(self, v, back):
-        return self.f.symbols(v, b"secret", None, back, hexadecimal=True)
+        lower, upper = any(c in _AF_LOWER for c in v), any(c in _AF_UPPER for c in v)
+        if lower and upper:
+            return self.f.symbols(v, b"secret", None, back, (_DIGIT, _AF_LOWER, _AF_UPPER))
+        if upper:  # one letter at least, so that the alphabet is known again
+            return self.f.symbols(v, b"secret", lambda s: not s.isdigit(), back, (_HEX_UPPER,))
+        return self.f.symbols(v, b"secret", None, back, (_HEX,))
 
     def _token(self, v, back):
         return self.f.symbols(v, b"token", None, back)

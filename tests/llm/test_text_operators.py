@@ -249,6 +249,45 @@ def test_pseudonyms_keep_format_link_and_invert(spark):
     assert out[0]._text == "x" and pii.report(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_personal_data_next_to_numbers():
+    found = lambda t: [(t[a:b], k) for a, b, k in pii.spans(t)]
+    for form in ("4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111", "3782 822463 10005"):
+        for t in ("{} 12/26", "{} 123.", "item 12 {}", "{} 7", "1 2 3 4 5 6 {} 7 8 9 10", "{}-99", "No. 12-{}-34", "2 {} 12th", "x {0}, {0} 12 {0}"):
+            want = [(form, "card")] * max(1, t.count("{0}"))
+            assert found(t.format(form)) == want, t.format(form)
+    iban, phone = "ES91 2100 0418 4502 0005 1332", "555-123-4567"
+    for t, want in {
+        "id 12345 123-45-6789": [("123-45-6789", "ssn")],
+        "12 34 56 2021-02-28 77": [("2021-02-28", "date")],
+        f"room 1234 {phone} 99 11 22": [(phone, "phone")],
+        "+34 612 345 678 4111 1111 1111 1111 12": [("+34 612 345 678", "phone"), ("4111 1111 1111 1111", "card")],
+        "0034 612 345 678 2021-02-28": [("0034 612 345 678", "phone"), ("2021-02-28", "date")],
+        "+1 (826) 555-4081 190.137.223.204": [("+1 (826) 555-4081", "phone"), ("190.137.223.204", "ip")],
+        "+49 30.12.34.56": [("+49 30.12.34.56", "phone")],
+        f"{iban} 2024": [(iban, "iban")],
+        f"{iban} BIC": [(iban, "iban")],
+        f"AB12 {iban}": [(iban, "iban")],
+        "2021-02-28T10:30:00Z": [("2021-02-28", "date")],
+        "25/12/1990 12/25/1990 31/04/1990": [("25/12/1990", "date"), ("12/25/1990", "date")],
+        "2021-02-30 2021-02-28": [("2021-02-28", "date")],
+    }.items():
+        assert found(t) == want, t
+    for n in (20_000, 40_000):  # long tables of numbers stay linear
+        pii.spans("12 345 6 " * n)
+
+
+def test_pseudonyms_of_day_first_dates_and_upper_case_secrets_invert():
+    p, low = pii.Pseudonyms(b"k1"), PII["secret"]
+    for d in range(13, 29):
+        v = f"{d}/0{d % 9 + 1}/1990"
+        new = p("date", v)
+        assert new != v and int(new[:2]) > 12 and p("date", new, True) == v and pii.spans(new)[0][2] == "date"
+    for v in (low.upper(), "A" + "0" * 31, low[:20] + low[20:].upper()):
+        assert [k for _, _, k in pii.spans(f"key {v}.")] == ["secret"]
+        new = p("secret", v)
+        assert new != v and p("secret", new, True) == v and pii.spans(new)[0][2] == "secret" and [c.islower() for c in new if c.isalpha()].count(True) * v.isupper() == 0
+
+
 def test_feistel_is_a_permutation():
     f = pii.Feistel(b"k")
     for m1, m2 in ((10, 10), (7, 13), (1, 10)):
