@@ -142,3 +142,14 @@ def test_finding_and_writing(spark, tmp_path):
         files.dump_name("other")
     v = spark.range(2).select(resolve.pseudo_vector(F.lit("k"), 4).alias("v")).collect()
     assert v[0].v == v[1].v and len(v[0].v) == 4 and len(set(v[0].v)) == 4
+
+
+def test_byte_prefix_takes_every_page(spark, tmp_path):
+    import hashlib
+
+    from entaila import catalogue
+
+    pages = ["a" * 400, "é" * 200, "a" + "é" * 200, "ab" + "語" * 150, "abc" + "😀" * 99, "short é", "", None]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r["head"] for r in catalogue.QUERIES["byte_prefix_whole"](spark, str(tmp_path)).collect()}
+    assert got == {k: None if t is None else hashlib.md5(t.encode()[:300].decode(errors="ignore").encode()).hexdigest() for k, t in enumerate(pages)}
