@@ -258,7 +258,7 @@ def ball_embedding(spark, d):
     """Vectors in the Poincare ball of all nodes of the hierarchy."""
     from ..operators import training
 
-    return training.ball_embeddings(edges(spark, d).select(F.col("child").alias("src"), F.col("parent").alias("dst")), dim=8, epochs=3)
+    return training.ball_embeddings(edges(spark, d).select(F.col("child").alias("src"), F.col("parent").alias("dst")), dim=50, epochs=50, burn_in=10)
 
 
 @query()
