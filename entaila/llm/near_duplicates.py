@@ -1,11 +1,12 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by MinHash bands of fixed depth with exact verification.
 
 1.  Every text's set of word shingles is hashed; texts with equal sets are one
     class of copies and are represented by their least id.
-2.  A representative's MinHash values form `TREES` strings of up to `DEPTH`
-    values.  In each tree, strings that share a prefix meet in a sort on the
-    prefix.  The prefix is shortened from the full depth until a pair at the
-    threshold meets in some tree with the target recall (`matched_depth`).
+2.  A representative's MinHash values form `TREES` bands, each hashed to one
+    key; representatives with an equal key meet.  The number of values in a band
+    is the most, up to `DEPTH`, at which a pair at the threshold meets in some
+    band with the target recall (`matched_depth`).  It is the same for all
+    texts: no prefix trie is built, as in an LSH forest it would be.
 3.  Representatives that meet are joined to the least one of their bucket (a
     link a member, never all pairs); the components of these links are the
     candidate groups.
