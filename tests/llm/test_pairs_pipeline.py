@@ -29,15 +29,13 @@ def brute_classes(texts, t=0.8):
         w = phrase_index.words(x)
         s = frozenset(tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4))) if w else frozenset([k])
         sets.setdefault(s, []).append(k)
-    keys, links = list(sets), Counter()
-    root = {k: sets[k][0] for k in keys}
-    for _ in keys:
+    keys = list(sets)
+    near = {a: [b for b in keys if a != b and len(a & b) >= t * len(a | b) - 1e-9] for a in keys}
+    root, links = {k: sets[k][0] for k in keys}, {a: len(bs) for a, bs in near.items()}
+    while any(root[b] > root[a] for a in keys for b in near[a]):
         for a in keys:
-            for b in keys:
-                if len(a & b) >= t * len(a | b) - 1e-9 and root[b] < root[a]:
-                    root[a] = root[b]
-    for a in keys:
-        links[a] = sum(a != b and len(a & b) >= t * len(a | b) - 1e-9 for b in keys)
+            for b in near[a]:
+                root[b] = min(root[a], root[b])
     return {d: (root[k], links[k], len(ds) - 1) for k, ds in sets.items() for d in ds}
 
 
@@ -55,27 +53,66 @@ def near_texts():
     return [*out, None, "", "!!", "one two", "One, two", "one two three four five", out[0].upper()]
 
 
+def classes_of(frame):
+    return {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in near_duplicates.classes(frame).collect()}
+
+
 def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     texts = near_texts()
     want = brute_classes(texts)
-    for block in (256, 3):  # 3: groups are cut into pairs of blocks
-        monkeypatch.setattr(near_duplicates, "BLOCK", block)
-        got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in near_duplicates.classes(docs(spark, texts)).collect()}
-        assert got == want
+    assert classes_of(docs(spark, texts)) == want
+    monkeypatch.setattr(near_duplicates, "SMALL", 2)  # larger nodes by matrix products
+    monkeypatch.setattr(near_duplicates, "BLOCK", 300)  # nodes are cut into pairs of blocks
+    assert classes_of(docs(spark, texts)) == want
+    monkeypatch.setattr(near_duplicates, "TAIL", 0)  # the shortest prefix alone
+    assert classes_of(docs(spark, texts)) == want
     assert near_duplicates.classes(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c = ("w%d " % k + "x y z u v w one two three four five six seven eight nine ten eleven twelve" for k in range(3))
+    rows = [(1, a), (1, a), (1, b), (2, c), (None, a), (None, None), (3, "other words stand here alone"), (3, "other words stand here alone")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.class_id or 0, r.n_links, r.n_copies) for r in near_duplicates.classes(frame).collect())
+    assert got == [(0, 0, 0, 0), (0, 1, 2, 2), (1, 1, 2, 0), (1, 1, 2, 2), (1, 1, 2, 2), (2, 1, 2, 0), (3, 3, 0, 1), (3, 3, 0, 1)]
+
+
+def edited(r, base, edits):
+    w = list(base)
+    for k in r.sample(range(len(w)), edits):
+        w[k] = f"e{r.randrange(10**9)}"
+    return " ".join(w)
+
+
+def test_prefixes_are_shortened_until_the_recall_is_met(spark, monkeypatch):
+    depths, inner = [], near_duplicates._round
+    monkeypatch.setattr(near_duplicates, "_round", lambda *a: depths.append(a[3]) or inner(*a))
+    r = random.Random(2)
+    bases = [[f"b{k}w{r.randrange(10**6)}" for _ in range(200)] for k in range(60)]
+    classes_of(docs(spark, [edited(r, b, e) for b in bases for e in (0, 1)]))
+    assert depths == [8]  # copies of one edit meet at full depth
+    depths.clear()
+    texts = [edited(r, b, e) for b in bases for e in (0, 3, 5, 7)]
+    got = classes_of(docs(spark, texts))
+    assert depths[0] == 8 and 4 <= depths[-1] < 8 and len(depths) <= 3
+    want = brute_classes(texts)
+    assert sum(x[1] for x in got.values()) >= 0.999 * sum(x[1] for x in want.values()) > 100
+    assert {k for k in want if want[k][0] != k} == {k for k in got if got[k][0] != k}
+
+
 def test_forest_depth_and_recall():
-    assert near_duplicates.matched_depth(0.8) == 4 and near_duplicates.matched_depth(0.2) == 1
+    shortest = near_duplicates.shortest_prefix(0.8)
+    assert shortest == 4 and near_duplicates.shortest_prefix(0.2) == 1
+    assert near_duplicates.measured({100: 5}, 8) == 1 and abs(near_duplicates.measured({80: 10}, 8) - near_duplicates.meets(0.8, 8)) < 1e-9 and near_duplicates.measured({80: 10, 99: 10}, 8, 4) > 0.9995
     rng = np.random.default_rng(0)
-    met = 0
-    for _ in range(200):
+    met = np.zeros(5)
+    for _ in range(400):
         base = rng.integers(0, 2**63, 180).astype(np.uint64)
-        a, b = np.unique(base[:170]), np.unique(np.concatenate([base[20:170], base[170:180]]))
-        used = near_duplicates.matched_depth(0.8)
-        s = near_duplicates.signatures([a, b], near_duplicates.TREES, near_duplicates.DEPTH, used)
-        met += bool((s[0] == s[1]).any())
-    assert met >= 196  # similarity 150 / 180 = 0.83
+        prefix, tail = near_duplicates.strings([np.unique(base[:170]), np.unique(base[10:])], shortest)
+        for k in range(5):
+            met[k] += bool(((prefix[0] == prefix[1]) & (tail[0] >> np.uint64(16 * k) == tail[1] >> np.uint64(16 * k) if k < 4 else prefix[0] == prefix[1])).any())
+    for k, share in enumerate(met / 400):  # similarity 160 / 180
+        assert abs(share - near_duplicates.meets(160 / 180, 8 - k)) < 0.02
 
 
 def test_shingles():
