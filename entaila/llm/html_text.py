@@ -9,7 +9,14 @@ likelihood of labelled pages, which `labelled_pages` makes from templates with
 a fixed seed: their blocks' labels are known by construction.
 
 Null, empty and text-free pages have no text.  Scripts, styles, comments and
-markup are never text; unclosed and misnested tags are accepted.
+markup are never text; unclosed and misnested tags are accepted.  Every row is
+returned, repeated ones too; an empty table gives none.  Columns named in `keep`
+are passed on, others, of any names, are not read.  Ties between labels go to
+`other`.
+
+Reading a page takes time in proportion to its length, whatever its markup: what
+was looked for in vain is not looked for again, and a block's ancestors count up
+to the `NEAR` nearest, with up to `NAMES` words of an attribute each.
 """
 
 from __future__ import annotations
@@ -17,7 +24,9 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,11 +40,17 @@ RAW_TAGS = ("script", "style", "textarea", "noscript", "template", "svg", "ifram
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCK_TAGS - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "option"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(?P<bare>[A-Za-z][A-Za-z0-9:-]*)[^>]*>|<[!?/][^>]*>", re.S)
+_OPEN = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+_TAG_END = re.compile(r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>")
+_QUOTE = re.compile(r"[\"'>]")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW_TAGS}
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 HASH = 1 << 13
+#: Ancestors of a block, and words of an attribute, that give features.
+NEAR, NAMES = 64, 16
+#: Characters in which the end of a tag is looked for at once.
+SHORT = 256
 
 
 @dataclass
@@ -45,21 +60,109 @@ class Block:
     linked: int  # characters inside links
 
 
+class TagEnds:
+    """Finds the `>` that ends a tag, outside of quotes, in steps that are few in sum.
+
+    A quoted value may hold `>`; a tag with an unclosed quote ends at its first `>`.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.signs: list[tuple[int, str]] | None = None
+
+    def __call__(self, at: int) -> tuple[int, bool]:
+        """(place of `>` or -1, whether the quotes before it are closed) for a tag read up to `at`."""
+        if m := _TAG_END.match(self.page, at, at + SHORT):
+            return m.end() - 1, True
+        plain = self.page.find(">", at)
+        if plain < 0:
+            return -1, False
+        if self.page.find('"', at, plain) < 0 and self.page.find("'", at, plain) < 0:
+            return plain, True
+        if self.signs is None:
+            self.signs = [(m.start(), m[0]) for m in _QUOTE.finditer(self.page)]
+            self.places = [p for p, _ in self.signs]
+            self.same, seen = [-1] * len(self.signs), {}
+            for k in range(len(self.signs) - 1, -1, -1):
+                self.same[k] = seen.get(self.signs[k][1], -1)  # the next sign of the same kind
+                seen[self.signs[k][1]] = k
+            self.dead = bytearray(len(self.signs) + 1)  # signs from which no end was found
+        k, tried = bisect_left(self.places, at), []
+        while k < len(self.signs) and not self.dead[k]:
+            place, sign = self.signs[k]
+            if sign == ">":
+                return place, True
+            tried.append(k)
+            if self.same[k] < 0:
+                break
+            k = self.same[k] + 1
+        for k in tried:
+            self.dead[k] = 1
+        return plain, False
+
+
+class OpenTags:
+    """The open elements, with counts and places, so that no search passes over elements that stay."""
+
+    def __init__(self):
+        self.tags: list[tuple[str, tuple[str, ...]]] = []
+        self.count: dict[str, int] = {}
+        self.blocks: list[int] = []  # places of block elements
+        self.lists: list[int] = []  # places of lists and their items
+
+    def push(self, tag: str, marks: tuple[str, ...]) -> None:
+        if tag in BLOCK_TAGS:
+            self.blocks.append(len(self.tags))
+        if tag in ("li", "ul", "ol"):
+            self.lists.append(len(self.tags))
+        self.tags.append((tag, marks))
+        self.count[tag] = self.count.get(tag, 0) + 1
+
+    def close_to(self, place: int) -> None:
+        for tag, _ in self.tags[place:]:
+            self.count[tag] -= 1
+        del self.tags[place:]
+        for places in (self.blocks, self.lists):
+            while places and places[-1] >= place:
+                places.pop()
+
+    def close(self, tag: str) -> None:
+        if self.count.get(tag):
+            k = len(self.tags) - 1
+            while self.tags[k][0] != tag:
+                k -= 1
+            self.close_to(k)
+
+    def last(self, places: list[int], tag: str) -> None:
+        """Closes the last of these elements if it is a `tag`."""
+        if places and self.tags[places[-1]][0] == tag:
+            self.close_to(places[-1])
+
+    def marks(self) -> tuple[str, ...]:
+        return tuple(m for _, ms in self.tags[-NEAR:] for m in ms)
+
+
+def _marks(tag: str, attrs: str) -> tuple[str, ...]:
+    marks = [tag] if tag in BLOCK_TAGS or tag == "a" else []
+    for a in _ATTR.finditer(attrs):
+        names = islice(_WORD.finditer((a[2] or a[3] or a[4] or "").lower()), NAMES)
+        marks += [w[0] if a[1].lower() == "role" else f".{w[0]}" for w in names]
+    return tuple(marks)
+
+
 def blocks(page: str) -> list[Block]:
     """The page's leaf blocks, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack, tag_end, endless = OpenTags(), TagEnds(page), set()
     text: list[str] = []
-    linked = links = 0
-    at = 0
+    linked = at = 0
 
     def flush():
         nonlocal linked
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                marks = tuple(m for _, ms in stack for m in ms)
-                out.append(Block(whole, marks, linked))
+                out.append(Block(whole, stack.marks(), linked))
             text.clear()
             linked = 0
 
@@ -67,34 +170,53 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         if piece:
             text.append(piece)
-            if links:
+            if stack.count.get("a"):
                 linked += len(piece)
 
     size = len(page)
     while at < size:
-        m = _TOKEN.search(page, at)
-        if not m:
+        begin = page.find("<", at)
+        if begin < 0:
             say(page[at:])
             break
-        say(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or m["bare"] or "").lower()
-        attrs = m["attrs"] or ""
-        if not tag:
+        say(page[at:begin])
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = end + 3 if end >= 0 else size
             continue
-        if m["close"]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
+        m = _OPEN.match(page, begin)
+        if not m:
+            end = page.find(">", begin) if page[begin + 1 : begin + 2] in ("!", "?", "/") and ">" not in endless else -1
+            if end >= 0:
+                at = end + 1
+            else:
+                if page[begin + 1 : begin + 2] in ("!", "?", "/"):
+                    endless.add(">")
+                say("<")
+                at = begin + 1
+            continue
+        end, closed = (-1, False) if ">" in endless else tag_end(m.end())
+        if end < 0:  # no tag ends from here on
+            endless.add(">")
+            say("<")
+            at = begin + 1
+            continue
+        at = end + 1
+        tag, attrs = m[2].lower(), page[m.end() : end] if closed else ""
+        if m[1]:
             if tag in BLOCK_TAGS:
                 flush()
-            if k >= 0:
-                links = max(0, links - sum(1 for t, _ in stack[k:] if t == "a"))
-                del stack[k:]
+            stack.close(tag)
             continue
         if tag in _RAW_END:
-            end = _RAW_END[tag].search(page, at)
+            over = None if tag in endless else _RAW_END[tag].search(page, at)
             if tag in BLOCK_TAGS:
                 flush()
-            at = end.end() if end else (size if tag in ("script", "style", "textarea") else at)
+            if over:
+                at = over.end()
+            else:
+                endless.add(tag)
+                at = size if tag in ("script", "style", "textarea") else at
             continue
         if tag in ("br", "wbr"):
             say(" " if tag == "br" else "")
@@ -102,22 +224,11 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCK_TAGS:
             flush()
             if tag in CLOSES_P:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCK_TAGS), -1)
-                if k >= 0 and stack[k][0] == "p":
-                    links = max(0, links - sum(1 for t, _ in stack[k:] if t == "a"))
-                    del stack[k:]
+                stack.last(stack.blocks, "p")
             if tag == "li":
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in ("li", "ul", "ol")), -1)
-                if k >= 0 and stack[k][0] == "li":
-                    del stack[k:]
-        if tag in VOID_TAGS:
-            continue
-        marks = [tag] if tag in BLOCK_TAGS or tag == "a" else []
-        for a in _ATTR.finditer(attrs):
-            marks += [f"{w}" if a[1].lower() == "role" else f".{w}" for w in _WORD.findall((a[2] or a[3] or a[4] or "").lower())]
-        if tag == "a":
-            links += 1
-        stack.append((tag, tuple(marks)))
+                stack.last(stack.lists, "li")
+        if tag not in VOID_TAGS:
+            stack.push(tag, _marks(tag, attrs))
     flush()
     return out
 

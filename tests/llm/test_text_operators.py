@@ -1,4 +1,5 @@
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -329,3 +330,82 @@ def test_viterbi_equals_enumeration():
     s = crf.scores(feats)
     best = max(product((0, 1), repeat=7), key=lambda y: sum(s[k, y[k]] for k in range(7)) + sum(crf.edge[a, b] for a, b in zip(y, y[1:])))
     assert crf.decode(feats) == list(best)
+
+
+def test_reading_a_page_takes_time_in_proportion_to_its_length():
+    n = 150_000
+    pages = ["<b>" * n + "</i>" * n, "<a " * n, "<button>x" * n, "<div>x" * n, "<b>" * n + "<hr>" * n, '<a ">" ' * n, "<!x" * n, "<" * n, "<p><b>" * n, '<div class="' + "ab " * n + '">' + "<p>x</p>" * n, "&amp" * n, "<ul><li>x" * n]
+    for page in pages:  # the sum of squares of these lengths would take hours
+        began = time.time()
+        html_text.block_features(html_text.blocks(page))
+        assert time.time() - began < 60, page[:20]
+    assert [b.text for b in html_text.blocks("<p>a<button>x</button>z<i title='>'>y</i><b title=\"1>2'\">w</b><i title='>u")] == ["azywu"]
+
+
+def test_tag_ends():
+    end = html_text.TagEnds("<a b='>'>x<a \">y<a>" + " " * 400 + "<a '" + "-" * 400 + ">'>z")
+    assert end(2) == (8, True) and end(12) == (14, False)
+
+
+def test_hand_labelled_pages_of_other_styles():
+    from hand_pages import PAGES
+
+    crf, right, total = html_text.train(), 0, 0
+    for page, main in PAGES:
+        bs = html_text.blocks(page)
+        assert set(main) <= {b.text for b in bs}
+        got = crf.decode(html_text.block_features(bs))
+        right, total = right + sum(y == (b.text in main) for b, y in zip(bs, got, strict=True)), total + len(bs)
+    assert right / total >= 0.95
+
+
+def brute_main_text(page, crf):
+    """The same text by the library's parser, features by name and all labellings."""
+    from html.parser import HTMLParser
+    from itertools import product
+
+    found, stack, text = [], [], []
+
+    class Reader(HTMLParser):
+        def block(self):
+            whole = " ".join("".join(t for t, _ in text).split())
+            if whole:
+                found.append(html_text.Block(whole, tuple(m for _, ms in stack for m in ms), sum(len(t) for t, a in text if a)))
+            text.clear()
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html_text.BLOCK_TAGS:
+                self.block()
+            marks = [tag] if tag in html_text.BLOCK_TAGS or tag == "a" else []
+            for k, v in attrs:
+                if k in ("class", "id", "role"):
+                    marks += [w if k == "role" else f".{w}" for w in "".join(c if "a" <= c <= "z" else " " for c in (v or "").lower()).split()]
+            stack.append((tag, marks))
+
+        def handle_endtag(self, tag):
+            if tag in html_text.BLOCK_TAGS:
+                self.block()
+            while stack.pop()[0] != tag:
+                pass
+
+        def handle_data(self, data):
+            if not any(t in ("script", "style", "head") for t, _ in stack):
+                text.append((data, any(t == "a" for t, _ in stack)))
+
+    r = Reader()
+    r.feed(page), r.close(), r.block()
+    if not found:
+        return ""
+    score = [sum((crf.node[s] for s in f), np.zeros(2)) for f in html_text.block_features(found)]
+    best = max(product((0, 1), repeat=len(found)), key=lambda y: sum(score[k][v] for k, v in enumerate(y)) + sum(crf.edge[a, b] for a, b in zip(y, y[1:])))
+    return "\n".join(b.text for b, v in zip(found, best, strict=True) if v)
+
+
+def test_extraction_equals_brute_force(spark):
+    crf = html_text.train()
+    part = lambda k: f"<div class='menu'><a href='/{k}'>Link {k}</a> and more</div><article id=\"main text\"><h1>Title {k} &amp; more</h1><p>First  sentence of <b>the</b> page. It has\nwords, and caf&eacute;.</p><ul><li>One item</li><li>Two &lt;items&gt;</li></ul></article><aside role='complementary'><p>Also read {k} here</p></aside><script>var x = '<p>no</p>';</script><footer>&copy; {k} Inc.</footer>"
+    pages = [part(k) for k in range(4)] + [f"<html><head><title>t</title></head><body>{part(9)}</body></html>", "plain text alone.", "<p></p>", "", None, part(1)]
+    rows = [(k, "u", h, "x") for k, h in enumerate(pages)] + [(0, "u", pages[0], "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted((r.page_id, r.text, r.n_chars) for r in html_text.report(df).collect())
+    assert got == sorted((k, t := brute_main_text(h or "", crf), len(t)) for k, _, h, _ in rows) and "café" in got[0][1] and "<items>" in got[0][1]
