@@ -4,25 +4,38 @@ A byte goes if a string of `LENGTH` bytes that covers it also starts in a
 document with a smaller id.  The work is cut so that every equal string meets:
 
 1.  Of equal texts only the one with the least id is searched; a later one goes
-    whole if it has `LENGTH` bytes.  The texts searched are written, compressed,
-    as a table bucketed by id, so later joins on the id don't move them again.
+    whole if it has `LENGTH` bytes.  The texts searched are dealt to chunks by a
+    hash of the id and written, compressed, as a table bucketed by chunk, so no
+    later step moves them again.
 2.  Every window of LENGTH bytes has a minimiser, the least hash of its 20-byte
-    substrings: equal windows have equal minimisers.  Those met in one document
-    only are set aside, exactly, by an aggregate over packed hashes.
-3.  Runs of windows with one minimiser are strings of 50 to 80 bytes.  They are
-    dealt by the minimiser, equal strings are kept once with their least id, and
-    a multi-document suffix order is built column by column (Bauer, Cox and
+    substrings: equal windows have equal minimisers.  A chunk sends each of its
+    minimisers once; those met in one document only are set aside, exactly.
+3.  Runs of windows with one minimiser are strings of 50 to 80 bytes.  A chunk
+    sends each distinct string once, with the least id that has it; occurrences
+    stay where their text is.  So what a string in a third of all documents
+    costs is a row a chunk, not a row a document.
+4.  Strings are dealt by the minimiser, equal ones are kept once, and a
+    multi-document suffix order is built column by column (Bauer, Cox and
     Rosone 2013; Cox et al. 2016): in each round one symbol of every string is
     inserted, which updates the collection's Burrows-Wheeler transform and the
     common prefixes.  Suffixes between which every common prefix has LENGTH
     bytes start with the same window; the least id of such a class decides.
     Strings are ordered in lots of whole minimisers, one lot after the other, in
     the memory of a task; the shuffle's spill files take the place of the
-    method's external files.
-4.  The covered spans of each document are merged and the rest is digested.
-
-Null and empty texts have no bytes and lose none.  Rows that repeat an id count
-as one document; a string repeated inside one document alone stays.
+    method's external files.  A minimiser that is alone with one string has
+    nothing to be ordered against.  One with more than `HOT` different strings
+    (a common phrase in many contexts) is split: each of its windows is a string
+    of its own, dealt by its whole hash.
+5.  A chunk gets back, for each string, the least id of each of its windows where
+    that is not the chunk's own, merges the covered spans of its documents and
+    cuts them out.
+
+Strings are told apart by two 64-bit hashes, of the minimiser and of the whole.
+Null and empty texts have no bytes and lose none.  Rows that repeat an id and a
+text are one row; those that repeat an id with another text are one document in
+several rows.  Rows with a null id are one document, after all others.  A string
+repeated inside one document alone stays.  An empty table gives none; other
+columns, of any names, are not read.
 """
 
 from __future__ import annotations
@@ -36,24 +49,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, ragged, shared_dir, stored
-from .shingles import mix, prefix_sums, spans_hash
+from .shingles import prefix_sums, spans_hash
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1  # 20-byte substrings of a window
-#: Text whose minimisers meet in one group, on average, at most.
-PART_BYTES = 32 << 20
+#: Text whose minimisers meet in one group, and text of a chunk, on average, at most.
+PART_BYTES, CHUNK_BYTES = 32 << 20, 16 << 20
 LOT = 4096  # strings ordered together, unless one minimiser has more
+#: Different strings of a minimiser, summed over the chunks, beyond which it is split into windows.
+HOT = 1 << 15
+#: Text hashed at once; longer texts are cut with an overlap.
+PIECE = 1 << 20
 
 
 # -- windows -----------------------------------------------------------------
-def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, begin, windows, minimiser) of runs of at most SPAN windows."""
+def runs(texts: list[bytes], hot: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(text, begin, windows, key, name) of runs of at most SPAN windows with one minimiser.
+
+    key: the minimiser; name: a hash of the run's string.  Of minimisers in `hot`
+    each window is a run, and the key is its name.
+    """
     size = np.array([len(t) for t in texts], np.int64)
     base = np.cumsum(size) - size
-    empty = np.zeros(0, np.int64)
+    empty, none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     n = int(size.sum())
     if n < LENGTH:
-        return empty, empty, empty, empty.astype(np.uint64)
+        return empty, empty, empty, none, none
     sums = prefix_sums(np.frombuffer(b"".join(texts), np.uint8))
     at = np.arange(n - GRAM + 1)
     least = spans_hash(sums, at, at + GRAM)
@@ -73,19 +94,30 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     pieces = -(-length // SPAN)
     first = np.repeat(head, pieces) + SPAN * ragged(np.zeros(len(pieces), np.int64), pieces)
     windows = np.minimum(SPAN, np.repeat(head + length, pieces) - first)
-    return doc[first], begin[first] - base[doc[first]], windows, value[first]
-
-
-def split_texts(texts: list[bytes], limit: int = 1 << 20):
-    """Lists of texts of about `limit` bytes; (index of the first, texts)."""
-    a, size = 0, 0
+    key = value[first]
+    if hot is not None and len(hot) and (split := np.isin(key, hot)).any():
+        times = np.where(split, windows, 1)
+        first, windows, key, split = ragged(first, times), np.repeat(np.where(split, 1, windows), times), np.repeat(key, times), np.repeat(split, times)
+        name = spans_hash(sums, begin[first], begin[first] + windows + LENGTH - 1)
+        key = np.where(split, name, key)
+    else:
+        name = spans_hash(sums, begin[first], begin[first] + windows + LENGTH - 1)
+    return doc[first], begin[first] - base[doc[first]], windows, key, name
+
+
+def pieces_of(texts: list[bytes]):
+    """(text numbers, offsets, pieces) of about PIECE bytes; a longer text is cut so that each window is in one piece."""
+    who, off, some, size = [], [], [], 0
     for k, t in enumerate(texts):
-        if size and size + len(t) > limit:
-            yield a, texts[a:k]
-            a, size = k, 0
-        size += len(t)
-    if a < len(texts):
-        yield a, texts[a:]
+        for a in range(0, max(len(t) - LENGTH + 1, 1), PIECE):
+            piece = t[a : a + PIECE + LENGTH - 1]
+            if size and size + len(piece) > PIECE:
+                yield np.array(who), np.array(off), some
+                who, off, some, size = [], [], [], 0
+            who.append(k), off.append(a), some.append(piece)
+            size += len(piece)
+    if some:
+        yield np.array(who), np.array(off), some
 
 
 # -- suffix order --------------------------------------------------------------
@@ -159,23 +191,16 @@ def window_classes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
     return who[keep], total[who[keep]] - size[keep], group[keep]
 
 
-def covered(strings: list[bytes], least: np.ndarray, own: np.ndarray, doc: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows (doc, begin) that also start in a document with a smaller id.
-
-    strings are distinct, with the least id of each; own, doc, begin are their occurrences.
-    """
+def window_ids(strings: list[bytes], least: np.ndarray) -> np.ndarray:
+    """The least id of each window of distinct strings, string after string; least: the least id of each string."""
     who, off, group = window_classes(strings)
     _, group = np.unique(group, return_inverse=True)
     first = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
     np.minimum.at(first, group, least[who])
     count = np.array([len(s) - LENGTH + 1 for s in strings], np.int64)
-    base = np.cumsum(count) - count
-    win = np.empty(int(count.sum()), np.int64)
-    win[base[who] + off] = first[group]
-    n = count[own]
-    at = ragged(base[own], n)
-    hit = win[at] < np.repeat(doc, n)
-    return np.repeat(doc, n)[hit], (np.repeat(begin, n) + ragged(np.zeros(len(n), np.int64), n))[hit]
+    out = np.empty(int(count.sum()), np.int64)
+    out[(np.cumsum(count) - count)[who] + off] = first[group]
+    return out
 
 
 def merge(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,21 +219,36 @@ def merge(doc: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
     return doc[head], begin[head], far[np.append(head[1:], len(doc)) - 1]
 
 
-def dealt_by(doc: np.ndarray, parts: int, *cols: np.ndarray) -> tuple:
-    """(part, packed ids, packed columns): rows packed by a hash of their document, so that few rows are shuffled."""
-    part = (mix(doc.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-    o = np.argsort(part, kind="stable")
-    part = part[o]
-    cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
-    return part[cut], *([v.tobytes() for v in np.split(c[o], cut[1:])] if len(cut) else [] for c in (doc, *cols))
+def packed(by: np.ndarray, *cols: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
+    """(values of `by`, columns): the rows of each value packed and compressed."""
+    import zstandard
 
+    z = zstandard.ZstdCompressor(level=1)
+    o = np.argsort(by, kind="stable")
+    by = by[o]
+    cut = np.flatnonzero(np.append(True, by[1:] != by[:-1])) if len(by) else np.zeros(0, np.int64)
+    return by[cut], [[z.compress(v.tobytes()) for v in np.split(c[o], cut[1:])] if len(cut) else [] for c in cols]
 
-def each(doc: np.ndarray, *cols: np.ndarray) -> tuple:
-    """(ids, packed columns) by document."""
-    o = np.argsort(doc, kind="stable")
-    doc = doc[o]
-    cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-    return doc[cut], *([v.tobytes() for v in np.split(c[o], cut[1:])] if len(cut) else [] for c in cols)
+
+def unpacked(blobs, kind) -> np.ndarray:
+    import zstandard
+
+    d = zstandard.ZstdDecompressor()
+    return np.concatenate([np.frombuffer(d.decompress(b), kind) for b in blobs]) if len(blobs) else np.zeros(0, kind)
+
+
+def same(*cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, heads): rows sorted by the columns, and the first of each equal rows in that order."""
+    o = np.lexsort(cols[::-1])
+    new = np.zeros(len(o), bool)
+    new[:1] = True
+    for c in cols:
+        new[1:] |= c[o][1:] != c[o][:-1]
+    return o, np.flatnonzero(new)
+
+
+def sums_of(value: np.ndarray, head: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(value, head) if len(head) else value[:0]
 
 
 # -- stages ------------------------------------------------------------------
@@ -223,6 +263,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, n_bytes, n_removed, n_spans, kept) of every document; kept: the bytes that stay, null where all do."""
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    last = np.iinfo(np.int64).max
+    df = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(last))).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def digest():
         def kernel(ids, texts):
@@ -231,9 +273,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return kernel
 
-    seen = stored(map_texts(df, id_col, text_col, digest, "id long, n_bytes long, sha binary").dropDuplicates(["id", "sha"]))
-    # a group of minimisers is held in memory: there are more groups for more text
-    parts = max(buckets, -(-int(seen.agg(F.sum("n_bytes")).first()[0] or 0) // PART_BYTES))
+    seen = stored(map_texts(df, "id", "text", digest, "id long, n_bytes long, sha binary").dropDuplicates(["id", "sha"]))
+    # groups and chunks are held in memory: there are more of them for more text
+    total = int(seen.agg(F.sum("n_bytes")).first()[0] or 0)
+    parts, chunks = max(buckets, -(-total // PART_BYTES)), max(4 * buckets, -(-total // CHUNK_BYTES))
     first = stored(seen.groupBy("sha").agg(F.min("id").alias("first"), F.max("n_bytes").alias("n_bytes")))
 
     def pack():
@@ -242,139 +285,184 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         c = zstandard.ZstdCompressor(level=3)
         return lambda ids, texts: {"id": ids, "blob": [c.compress(t.encode()) for t in texts]}
 
-    blobs = map_texts(df.filter(F.length(text_col) > 0), id_col, text_col, pack, "id long, blob binary")
+    blobs = map_texts(df.filter(F.length("text") > 0), "id", "text", pack, "id long, blob binary")
     name, keep = f"repeats_{uuid.uuid4().hex}", first.filter(F.col("n_bytes") >= LENGTH).select(F.col("first").alias("id")).distinct()
-    searched = blobs.join(keep.hint("merge"), "id").repartition(buckets, "id")
-    searched.write.option("path", shared_dir(spark)).option("compression", "zstd").bucketBy(buckets, "id").saveAsTable(name)
+    searched = blobs.join(keep.hint("merge"), "id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks))).repartition(buckets, "chunk")
+    searched.write.option("path", shared_dir(spark)).option("compression", "zstd").bucketBy(buckets, "chunk").saveAsTable(name)
     texts = spark.table(name)
 
-    def minimisers(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            ids, raw = b.column(0).to_numpy(), _texts(b.column(1).to_pylist())
-            for a, some in split_texts(raw):
-                doc, _, _, value = runs(some)
-                part = (value >> np.uint64(32)).astype(np.int64) % parts
-                o = np.lexsort((value, doc, part))
-                doc, value, part = doc[o], value[o], part[o]
-                new = np.ones(len(doc), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1]) | (part[1:] != part[:-1])
-                doc, value, part = doc[new], value[new], part[new]
-                cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
-                rows = list(zip(cut.tolist(), np.append(cut[1:], len(part)).tolist(), strict=True))
-                docs, counts = zip(*[np.unique(doc[x:y], return_counts=True) for x, y in rows], strict=True) if rows else ((), ())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(part[cut], pa.int64()), pa.array([ids[a + d].astype(np.int64).tobytes() for d in docs], pa.binary()),
-                    pa.array([c.astype(np.int32).tobytes() for c in counts], pa.binary()),
-                    pa.array([value[x:y].tobytes() for x, y in rows], pa.binary()),
-                ], names=["part", "docs", "counts", "vals"])
+    def minimisers(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Each minimiser of a chunk once: 0 if one document has it, or the number of its strings."""
+        ids, got = pdf["id"].to_numpy(), []
+        for who, _, some in pieces_of(_texts(pdf["blob"])):
+            doc, _, _, key, string = runs(some)
+            got.append((key, string, ids[who[doc]]))
+        key, string, doc = (np.concatenate([g[c] for g in got]) for c in range(3))
+        o, head = same(key, string)
+        n_strings = sums_of(np.ones(len(head), np.int64), np.flatnonzero(np.append(True, key[o][head][1:] != key[o][head][:-1])))
+        o, head = same(key)
+        lo, hi = np.minimum.reduceat(doc[o], head), np.maximum.reduceat(doc[o], head)
+        key, n = key[o][head], np.where(lo == hi, 0, np.minimum(n_strings, 65535)).astype(np.uint16)
+        part, (keys, counts) = packed((key >> np.uint64(32)).astype(np.int64) % parts, key, n)
+        return pd.DataFrame({"part": part, "chunk": pdf["chunk"].iloc[0], "keys": keys, "counts": counts})
 
     def shared(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc = np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in pdf["docs"]]), np.concatenate([np.frombuffer(x, np.int32) for x in pdf["counts"]]))
-        value = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["vals"]])
-        o = np.argsort(value, kind="stable")
-        s = value[o]
-        same = np.zeros(len(s), bool)
-        same[1:] = s[1:] == s[:-1]
-        same[:-1] |= same[1:]
-        doc, value = doc[o[same]], s[same]
-        part, ids, vals = dealt_by(doc, parts, value)
-        return pd.DataFrame({"part": part, "ids": ids, "vals": vals})
-
-    def by_text(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, value = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["ids"]]), np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["vals"]])
-        ids, vals = each(doc, value)
-        return pd.DataFrame({"id": ids, "vals": vals})
-
-    packed = texts.mapInArrow(minimisers, "part long, docs binary, counts binary, vals binary")
-    replies = packed.groupBy("part").applyInPandas(shared, "part long, ids binary, vals binary").groupBy("part").applyInPandas(by_text, "id long, vals binary")
-    found = texts.join(replies.hint("merge"), "id")
-
-    def strings(batches):
-        import pyarrow as pa
+        """The minimisers that two documents have, for each chunk that has them; hot: those with many strings."""
+        per = [unpacked([x], np.uint64) for x in pdf["keys"]]
+        key, n = np.concatenate(per), unpacked(pdf["counts"], np.uint16).astype(np.int64)
+        chunk = np.repeat(pdf["chunk"].to_numpy(), [len(x) for x in per])
+        o, head = same(key)
+        times = np.diff(np.append(head, len(key)))
+        strings = sums_of(np.maximum(n, 1)[o], head)
+        ok = (times > 1) | (strings > 1) | (np.maximum.reduceat(n[o], head) > 0)
+        pick = o[np.repeat(ok, times)]
+        hot = np.repeat(strings > HOT, times)[np.repeat(ok, times)]
+        to, (keys, hots) = packed(chunk[pick], key[pick], hot)
+        return pd.DataFrame({"chunk": to, "keys": keys, "hots": hots})
+
+    def strings_of(texts_pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        """Each distinct string of a chunk that has a shared minimiser, with its least id."""
+        empty = pd.DataFrame({c: [] for c in ("part", "chunk", "keys", "names", "least", "sizes", "text")})
+        if not len(texts_pdf) or not len(replies):
+            return empty
+        ids, wanted, hots = texts_pdf["id"].to_numpy(), unpacked(replies["keys"], np.uint64), unpacked(replies["hots"], bool)
+        hot, wanted = wanted[hots], np.sort(wanted[~hots])
+        got, raw = [], []
+        for who, _, some in pieces_of(_texts(texts_pdf["blob"])):
+            doc, begin, windows, key, string = runs(some, hot)
+            at = np.minimum(np.searchsorted(wanted, key), max(len(wanted) - 1, 0))
+            ok = (wanted[at] == key if len(wanted) else np.zeros(len(key), bool)) | (key == string)
+            doc, begin, windows, key, string = doc[ok], begin[ok], windows[ok], key[ok], string[ok]
+            o, head = same(key, string, ids[who[doc]])
+            head = head[np.append(True, (key[o][head][1:] != key[o][head][:-1]) | (string[o][head][1:] != string[o][head][:-1]))] if len(head) else head
+            k = o[head]
+            got.append((key[k], string[k], ids[who[doc[k]]], windows[k] + LENGTH - 1))
+            raw += [some[d][b : b + w] for d, b, w in zip(doc[k].tolist(), begin[k].tolist(), got[-1][3].tolist(), strict=True)]
+        key, string, least, size = (np.concatenate([g[c] for g in got]) for c in range(4))
+        if not len(key):
+            return empty
+        o, head = same(key, string)
+        least, k = np.minimum.reduceat(least[o], head), o[head]
+        key, string, size, raw = key[k], string[k], size[k].astype(np.uint8), np.array([raw[x] for x in k.tolist()], object)
+        # windows of a split minimiser are dealt by all bits of their hash
+        part = (np.where(key == string, string >> np.uint64(20), key >> np.uint64(32)) & np.uint64(0x7FFFFFFF)).astype(np.int64) % parts
+        to, (keys, names, leasts, sizes) = packed(part, key, string, least, size)
+        o = np.argsort(part, kind="stable")
+        cut = np.flatnonzero(np.append(False, part[o][1:] != part[o][:-1]))
         import zstandard
 
         z = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            ids, raw = b.column(0).to_numpy(), _texts(b.column(1).to_pylist())
-            wanted = b.column(2).to_pylist()
-            for a, some in split_texts(raw):
-                doc, begin, windows, value = runs(some)
-                ask = [np.frombuffer(wanted[a + k], np.uint64) for k in range(len(some))]
-                ok = np.isin(value, np.unique(np.concatenate(ask)))
-                doc, begin, windows, value = doc[ok], begin[ok], windows[ok], value[ok]
-                part = (value >> np.uint64(32)).astype(np.int64) % parts
-                o = np.lexsort((value, part))
-                doc, begin, windows, value, part = doc[o], begin[o], windows[o], value[o], part[o]
-                cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
-                cols: list[list] = [[], [], [], [], []]
-                for x, y in zip(cut.tolist(), np.append(cut[1:], len(part)).tolist(), strict=True):
-                    ds, bs, ws = doc[x:y].tolist(), begin[x:y].tolist(), windows[x:y].tolist()
-                    text = b"".join([some[d][p : p + w + LENGTH - 1] for d, p, w in zip(ds, bs, ws, strict=True)])
-                    for c, v in zip(cols, (ids[a + doc[x:y]].astype(np.int64).tobytes(), begin[x:y].astype(np.int32).tobytes(), windows[x:y].astype(np.uint8).tobytes(), value[x:y].tobytes(), text), strict=True):
-                        c.append(z.compress(v))
-                yield pa.RecordBatch.from_arrays([pa.array(part[cut], pa.int64()), *[pa.array(c, pa.binary()) for c in cols]], names=["part", "docs", "begins", "windows", "vals", "text"])
-
-    def spans(pdf: pd.DataFrame) -> pd.DataFrame:
+        text = [z.compress(b"".join(x)) for x in np.split(raw[o], cut)]
+        return pd.DataFrame({"part": to, "chunk": texts_pdf["chunk"].iloc[0], "keys": keys, "names": names, "least": leasts, "sizes": sizes, "text": text})
+
+    def first_ids(pdf: pd.DataFrame) -> pd.DataFrame:
+        """For the strings of each chunk the least ids of their windows, as runs, where these are not the chunk's own."""
         import zstandard
 
         d = zstandard.ZstdDecompressor()
-        doc, begin, windows, value = (np.concatenate([np.frombuffer(d.decompress(x), t) for x in pdf[c]]).astype(t2) for c, t, t2 in (("docs", np.int64, np.int64), ("begins", np.int32, np.int64), ("windows", np.uint8, np.int64), ("vals", np.uint64, np.uint64)))
+        per = [unpacked([x], np.uint64) for x in pdf["keys"]]
+        key, string = np.concatenate(per), unpacked(pdf["names"], np.uint64)
+        own, size = unpacked(pdf["least"], np.int64), unpacked(pdf["sizes"], np.uint8).astype(np.int64)
+        chunk = np.repeat(pdf["chunk"].to_numpy(), [len(x) for x in per])
         text = b"".join([d.decompress(x) for x in pdf["text"]])
-        size = windows + LENGTH - 1
         end = np.cumsum(size)
-        order = np.argsort(value, kind="stable")
-        starts = np.flatnonzero(np.append(True, value[order][1:] != value[order][:-1])) if len(order) else np.zeros(0, np.int64)
-        got: list[tuple] = []
-
-        def lot(rows: np.ndarray) -> None:
-            code: dict[bytes, int] = {}
-            own = np.array([code.setdefault(text[e - s : e], len(code)) for e, s in zip(end[rows].tolist(), size[rows].tolist(), strict=True)], np.int64)
-            least = np.full(len(code), np.iinfo(np.int64).max)
-            np.minimum.at(least, own, doc[rows])
-            hd, hb = covered(list(code), least, own, doc[rows], begin[rows])
-            got.append(merge(hd, hb, hb + LENGTH))
-
-        a = 0
-        for k in range(1, len(starts) + 1):
-            stop = int(starts[k]) if k < len(starts) else len(order)
-            if stop - a >= LOT or k == len(starts):
-                lot(order[a:stop])
-                a = stop
-        hd, hb, he = merge(*(np.concatenate([g[c] for g in got]) for c in range(3))) if got else (doc, begin, begin)
-        part, ids, begins, ends = dealt_by(hd, parts, hb, he)
-        return pd.DataFrame({"part": part, "ids": ids, "begins": begins, "ends": ends})
-
-    def spans_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, begin, end = merge(*(np.concatenate([np.frombuffer(x, np.int64) for x in pdf[c]]) for c in ("ids", "begins", "ends")))
-        ids, begins, ends = each(doc, begin, end)
-        return pd.DataFrame({"id": ids, "begins": begins, "ends": ends})
-
-    dealt = found.mapInArrow(strings, "part long, docs binary, begins binary, windows binary, vals binary, text binary")
-    hits = dealt.groupBy("part").applyInPandas(spans, "part long, ids binary, begins binary, ends binary")
-    hits = hits.groupBy("part").applyInPandas(spans_of, "id long, begins binary, ends binary")
-
-    def cut_out(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            rows = []
-            for raw, bs, es in zip(_texts(b.column(1).to_pylist()), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                begin, end = np.frombuffer(bs, np.int64), np.frombuffer(es, np.int64)
-                kept, at = [], 0
-                for x, y in zip(begin.tolist(), end.tolist(), strict=True):
-                    kept.append(raw[at:x])
-                    at = y
-                rows.append((int((end - begin).sum()), len(begin), b"".join([*kept, raw[at:]])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["id", "n_removed", "n_spans", "kept"])
-
-    changed = stored(texts.join(hits.hint("merge"), "id").mapInArrow(cut_out, "id long, n_removed long, n_spans long, kept binary"))
+        o, head = same(key, string)
+        pick, least = o[head], np.minimum.reduceat(own[o], head)
+        which = np.empty(len(key), np.int64)  # the distinct string of each row
+        which[o] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(o))))
+        count = size[pick] - LENGTH + 1
+        base = np.cumsum(count) - count
+        ids = np.repeat(least, count)
+        start = np.flatnonzero(np.append(True, key[pick][1:] != key[pick][:-1]))
+        stop = np.append(start[1:], len(pick))
+        lot: list[int] = []
+        for a, b, alone in zip(start.tolist(), stop.tolist(), (stop - start == 1).tolist(), strict=True):
+            if not alone:
+                lot += range(a, b)
+            if lot and (len(lot) >= LOT or b == len(pick)):
+                rows = np.array(lot)
+                x = window_ids([text[e - s : e] for e, s in zip(end[pick[rows]].tolist(), size[pick[rows]].tolist(), strict=True)], least[rows])
+                ids[ragged(base[rows], count[rows])] = x
+                lot = []
+        if lot:
+            rows = np.array(lot)
+            ids[ragged(base[rows], count[rows])] = window_ids([text[e - s : e] for e, s in zip(end[pick[rows]].tolist(), size[pick[rows]].tolist(), strict=True)], least[rows])
+        new = np.ones(len(ids), bool)
+        new[1:] = ids[1:] != ids[:-1]
+        new[base] = True
+        at = np.flatnonzero(new)
+        n_runs = np.add.reduceat(new.astype(np.int64), base)
+        first_run = np.cumsum(n_runs) - n_runs
+        length, run_id = np.diff(np.append(at, len(ids))), ids[at]
+        tell = (n_runs[which] > 1) | (run_id[first_run[which]] != own)
+        rows = np.flatnonzero(tell)
+        o = rows[np.argsort(chunk[rows], kind="stable")]
+        if not len(o):
+            return pd.DataFrame({c: [] for c in ("chunk", "keys", "names", "counts", "lengths", "ids")})
+        to, (keys, names, counts) = packed(chunk[o], key[o], string[o], n_runs[which[o]].astype(np.uint8))
+        flat = ragged(first_run[which[o]], n_runs[which[o]])
+        _, (lengths, run_ids) = packed(np.repeat(chunk[o], n_runs[which[o]]), length[flat].astype(np.uint8), run_id[flat])
+        return pd.DataFrame({"chunk": to, "keys": keys, "names": names, "counts": counts, "lengths": lengths, "ids": run_ids})
+
+    def cut_out(texts_pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        """The documents of a chunk that lose bytes."""
+        out: dict[str, list] = {c: [] for c in ("id", "sha", "n_removed", "n_spans", "kept")}
+        if not len(texts_pdf) or not len(replies):
+            return pd.DataFrame(out)
+        ids, raw = texts_pdf["id"].to_numpy(), _texts(texts_pdf["blob"])
+        told = replies[replies["counts"].notna()]
+        hot = replies[replies["hots"].notna()]
+        hot = unpacked(hot["keys"], np.uint64)[unpacked(hot["hots"], bool)]
+        got = []
+        for who, off, some in pieces_of(raw):
+            doc, begin, windows, key, string = runs(some, hot)
+            got.append((who[doc], begin + off[doc], windows, key, string))
+        doc, begin, windows, key, string = (np.concatenate([g[c] for g in got]) for c in range(5))
+        r_key, r_name, r_n = unpacked(told["keys"], np.uint64), unpacked(told["names"], np.uint64), unpacked(told["counts"], np.uint8).astype(np.int64)
+        r_len, r_id = unpacked(told["lengths"], np.uint8).astype(np.int64), unpacked(told["ids"], np.int64)
+        # a string without a reply has the chunk's own least id; rows of replies stand before those of the text
+        o, head = same(np.concatenate([r_key, key]), np.concatenate([r_name, string]))
+        n_told, at = len(r_key), np.repeat(np.arange(len(head)), np.diff(np.append(head, len(o))))
+        which = np.empty(len(o), np.int64)
+        which[o] = at
+        reply = np.full(len(head), -1, np.int64)
+        reply[which[:n_told]] = np.arange(n_told)
+        which = which[n_told:]
+        least = np.full(len(head), last)
+        np.minimum.at(least, which, ids[doc])
+        r_first, r_off = np.cumsum(r_n) - r_n, np.cumsum(r_len) - r_len
+        r_off = r_off - np.repeat(r_off[r_first], r_n) if len(r_n) else r_off
+        alone = np.flatnonzero((reply[which] < 0) & (least[which] < ids[doc]))
+        asked = np.flatnonzero(reply[which] >= 0)
+        n = r_n[reply[which[asked]]]
+        flat, unit = ragged(r_first[reply[which[asked]]], n), np.repeat(asked, n)
+        ok = r_id[flat] < ids[doc[unit]]
+        flat, unit = flat[ok], unit[ok]
+        lo = np.concatenate([begin[alone], begin[unit] + r_off[flat]])
+        hi = np.concatenate([begin[alone] + windows[alone], begin[unit] + r_off[flat] + r_len[flat]]) + LENGTH - 1
+        d, lo, hi = merge(np.concatenate([doc[alone], doc[unit]]), lo, hi)
+        cut = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.zeros(0, np.int64)
+        for k, begins, ends in zip(d[cut].tolist(), np.split(lo, cut[1:]), np.split(hi, cut[1:]), strict=False):
+            at, kept = 0, []
+            for x, y in zip(begins.tolist(), ends.tolist(), strict=True):
+                kept.append(raw[k][at:x])
+                at = y
+            row = (int(ids[k]), hashlib.sha256(raw[k]).digest(), int((ends - begins).sum()), len(begins), b"".join([*kept, raw[k][at:]]))
+            for c, v in zip(out.values(), row, strict=True):
+                c.append(v)
+        return pd.DataFrame(out).drop_duplicates(["id", "sha"])
+
+    sent = texts.groupBy("chunk").applyInPandas(minimisers, "part long, chunk long, keys binary, counts binary")
+    replies = stored(sent.groupBy("part").applyInPandas(shared, "chunk long, keys binary, hots binary"))
+    dealt = texts.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(strings_of, "part long, chunk long, keys binary, names binary, least binary, sizes binary, text binary")
+    told = dealt.groupBy("part").applyInPandas(first_ids, "chunk long, keys binary, names binary, counts binary, lengths binary, ids binary")
+    told = told.unionByName(replies.select("chunk", "keys", "hots"), allowMissingColumns=True)
+    changed = stored(texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(cut_out, "id long, sha binary, n_removed long, n_spans long, kept binary"))
     spark.sql(f"DROP TABLE {name}")  # the files stay in the shared folder
-    base = seen.join(first.select("sha", "first").hint("merge"), "sha").join(changed.hint("merge"), "id", "left")
+    base = seen.join(first.select("sha", "first").hint("merge"), "sha").join(changed.hint("merge"), ["id", "sha"], "left")
     copy = (F.col("id") != F.col("first")) & (F.col("n_bytes") >= LENGTH)
     return base.select(
-        F.col("id").alias(id_col), "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.when(F.col("id") != F.lit(int(last)), F.col("id")).alias(id_col), "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copy, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept"), "sha",
     )

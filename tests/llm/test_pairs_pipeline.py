@@ -137,20 +137,44 @@ def brute_repeats(texts):
     return out
 
 
-def test_repeats_equal_brute_force(spark):
+def test_repeats_equal_brute_force(spark, monkeypatch):
     r = random.Random(8)
     rnd = lambda n, s="abcdefghij klmné": "".join(r.choice(s) for _ in range(n))
     shared = [rnd(n) for n in (49, 50, 51, 80, 200, 700)]
+    phrase = rnd(30)  # a minimiser met in many contexts
     texts = [None, "", "short", "short"]
     for _ in range(30):
         texts.append(rnd(r.randrange(5, 60)) + r.choice(shared) + rnd(r.randrange(60)) + r.choice(shared)[r.randrange(20) :] + rnd(9))
     texts += [texts[7], "a" * 400, "b" + "a" * 300, "ab" * 200, "ba" * 150, shared[4] * 3, "é" * 60, "é" * 70, "z" * 49, "z" * 49]
-    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.report(docs(spark, texts)).collect()}
-    assert got == brute_repeats(texts)
+    texts += [rnd(40) + phrase + r.choice(("same tail of many letters in a row here", rnd(40))) for _ in range(20)] + [rnd(700) + shared[4]]
+    want = brute_repeats(texts)
+    rows = lambda: {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.report(docs(spark, texts)).collect()}
+    assert rows() == want
+    for name, value in (("HOT", 2), ("PIECE", 120), ("LOT", 3)):  # split minimisers, long texts, small lots
+        monkeypatch.setattr(repeats, name, value)
+    assert rows() == want
     assert repeats.report(docs(spark, texts).limit(0)).count() == 0
     assert repeats.report(docs(spark, [None, ""])).count() == 2
 
 
+def test_a_string_in_all_documents_is_sent_once_a_chunk(spark, monkeypatch):
+    sent, inner = [], repeats.window_ids
+    monkeypatch.setattr(repeats, "window_ids", lambda strings, least: sent.append(len(strings)) or inner(strings, least))
+    passage = "this passage of many words stands in every document of the table and costs one row a chunk"
+    texts = [f"{k} {passage}" for k in range(300)]
+    got = {x.doc_id: x.n_removed for x in repeats.report(docs(spark, texts)).collect()}
+    want = brute_repeats(texts)
+    assert got == {k: x[1] for k, x in want.items()} and sum(v > 0 for v in got.values()) == 299
+
+
+def test_repeats_with_repeated_and_null_ids(spark):
+    a, b, c = (f"{w} alone stands here at the front " + "and the rest of it is shared by all three of these texts" for w in ("first", "second", "other"))
+    frame = spark.createDataFrame([(1, a), (1, a), (1, b), (2, c), (None, a), (None, None)], "doc_id long, text string")
+    got = {(x.doc_id, x.n_bytes): x.n_removed for x in repeats.report(frame).collect()}
+    shared = len(" alone stands here at the front and the rest of it is shared by all three of these texts")
+    assert got == {(1, len(a)): 0, (1, len(b)): 0, (2, len(c)): shared, (None, len(a)): len(a), (None, 0): 0}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_column_order_is_the_suffix_order(seed):
     r = random.Random(seed)
