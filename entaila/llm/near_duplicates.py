@@ -41,7 +41,8 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, ragged, stored
 from .graph import components
-from .shingles import mix, shingle_sets
+from .hashing import mix
+from .shingles import shingle_sets
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, TAIL, RECALL = 16, 4, 0.9995

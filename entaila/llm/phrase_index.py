@@ -1,35 +1,42 @@
 """Benchmark decontamination on a distributed positional inverted index.
 
-`build_index` cuts the corpus into segments and stores, for every segment, the
-lexicon and the sorted positions of each term; segments are rows of a table in
-the shared folder, so building and searching move no postings between tasks.
-Only terms of the vocabulary, here those of the test phrases, are kept.  `search`
-takes, for every phrase, its terms from the rarest (by the counts of the whole
-corpus) to the commonest and intersects their position lists, each shifted by
-the term's offset; `near` counts places of two terms within a distance.
+`build_index` reads the corpus once, cuts it into segments and stores, for every
+segment, the lexicon and the sorted positions of each of its terms; segments are
+rows of a table in the shared folder, so building and searching move no postings
+between tasks.  A term is a 64-bit hash of its word.  `search` takes, for every
+phrase, its terms from the rarest (by the counts of the whole corpus) to the
+commonest and intersects their position lists, each shifted by the term's offset;
+`near` counts places of two words within a distance.
+
+The phrases are searched in blocks of at most about `BLOCK_WORDS` words, which
+bounds what is broadcast, all on the one index; a longer item is cut with an
+overlap, so that each of its windows is in one block.
 
 Words: A-Z lower-cased, runs of digits, letters and bytes over 0x7F.  Null and
 empty texts have no words and no hits; items without words match nothing, and an
-item_id of null is reported as the string `null`.  Repeated items count each.
-Documents in a segment lie `GAP` places apart, so no phrase crosses documents.
+item_id of null is reported as the string `null`.  Items that repeat an id are
+reported once.  Every document row is returned, repeated ones too; spans and
+items of rows that repeat an id stay with their own text.  Empty tables give no
+rows or no hits; other columns, of any names, are not read.  Documents in a
+segment lie `GAP` places apart, so no phrase crosses documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, ragged, stored, table
+from .common import arrow_schema, map_texts, ragged, stored, table
+from .hashing import prefix_sums, spans_hash
 
 WINDOW = 10
 #: Free places between documents; also the longest phrase and distance.
 GAP = 64
-#: Items whose terms and windows are broadcast at once; more are searched block by block.
-BLOCK_ITEMS = 20_000
+#: Words of items whose windows are broadcast at once; more are searched block by block.
+BLOCK_WORDS = 200_000
 
 _TO = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -38,30 +45,38 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TO).split()
 
 
-def build_index(df: DataFrame, vocabulary: list[bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Segments (docs, n_words, base, terms, counts, positions) of the corpus.
+def term(word: bytes) -> int:
+    """The term of a word (lower case)."""
+    sums = prefix_sums(np.frombuffer(word, np.uint8))
+    return int(spans_hash(sums, np.array([0]), np.array([len(word)])).view(np.int64)[0])
 
-    A term is its place in `vocabulary`; words outside it only take up places.
-    """
-    known = df.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(vocabulary)})
 
-    def make():
-        get = known.value.get
+def terms_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, words of each text): the words of all texts in order."""
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b" ".join(raw).translate(_TO) + b" ", np.uint8)
+    letter = np.concatenate([[False], data != 32])
+    edge = np.flatnonzero(letter[1:] != letter[:-1])
+    begin, end = edge[::2], edge[1::2]
+    stop = np.cumsum([len(r) + 1 for r in raw])
+    n = np.diff(np.searchsorted(begin, stop), prepend=0)
+    return spans_hash(prefix_sums(data), begin, end).view(np.int64), n
+
+
+def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Segments (docs, n_words, base, terms, counts, positions) of the corpus; terms are in order."""
 
+    def make():
         def kernel(ids, texts):
-            lists = [words(t) for t in texts]
-            n = np.array([len(x) for x in lists], np.int64)
+            term, n = terms_of(texts)
             base = np.cumsum(n + GAP) - (n + GAP)
-            term = np.fromiter((get(w, -1) for x in lists for w in x), np.int32, int(n.sum()))
-            pos = ragged(base, n)
-            keep = np.flatnonzero(term >= 0)
-            order = keep[np.argsort(term[keep], kind="stable")]
-            terms, counts = np.unique(term[order], return_counts=True)
-            return {"docs": [ids], "n_words": [n.tolist()], "base": [base.tolist()], "terms": [terms.tolist()], "counts": [counts.tolist()], "positions": [_pack(pos[order], counts)]}
+            order = np.argsort(term, kind="stable")
+            terms, counts = np.unique(term, return_counts=True)
+            return {"docs": [ids], "n_words": [n.tolist()], "base": [base.tolist()], "terms": [terms.tolist()], "counts": [counts.tolist()], "positions": [_pack(ragged(base, n)[order], counts)]}
 
         return kernel
 
-    return stored(map_texts(df, id_col, text_col, make, f"docs array<{dict(df.dtypes)[id_col]}>, n_words array<int>, base array<long>, terms array<int>, counts array<int>, positions binary"))
+    return stored(map_texts(df, id_col, text_col, make, f"docs array<{dict(df.dtypes)[id_col]}>, n_words array<int>, base array<long>, terms array<long>, counts array<int>, positions binary"))
 
 
 def _pack(pos: np.ndarray, counts: np.ndarray) -> bytes:
@@ -81,12 +96,11 @@ def _unpack(raw: bytes, counts: np.ndarray) -> np.ndarray:
 
 
 class Phrases:
-    """The distinct windows of the items, each with its terms from rare to common."""
+    """The distinct windows of the items, each with the items that have it."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], width: int = WINDOW):
         self.item_ids = [i for i, _ in items]
-        self.vocabulary = sorted({w for _, ws in items for w in ws})
-        code = {w: k for k, w in enumerate(self.vocabulary)}
+        code = {w: term(w) for _, ws in items for w in ws}
         owners: dict[tuple[int, ...], set[int]] = {}
         for k, (_, ws) in enumerate(items):
             ids = [code[w] for w in ws]
@@ -94,77 +108,96 @@ class Phrases:
                 owners.setdefault(tuple(ids[a : a + width]), set()).add(k)
         self.windows = list(owners)
         self.owner_lists = [sorted(owners[w]) for w in self.windows]
+        self.terms = np.unique(np.array(list(code.values()), np.int64))
 
     def plan(self, frequency: dict[int, int]) -> dict:
         """Arrays for the tasks: terms and offsets of each window from the rarest, and owners."""
-        width = max((len(w) for w in self.windows), default=0)
-        n = len(self.windows)
-        terms, offs = np.full((n, width), -1, np.int32), np.zeros((n, width), np.int32)
-        for k, w in enumerate(self.windows):
-            order = sorted(range(len(w)), key=lambda o: (frequency.get(w[o], 0), o))
-            terms[k, : len(w)], offs[k, : len(w)] = [w[o] for o in order], order
-        absent = np.array([frequency.get(int(t), 0) == 0 for t in terms[:, 0]], bool) if n else np.zeros(0, bool)
-        live = np.flatnonzero(~absent)
-        owners = [self.owner_lists[k] for k in live.tolist()]
+        live = [k for k, w in enumerate(self.windows) if all(t in frequency for t in w)]
+        width = max((len(self.windows[k]) for k in live), default=0)
+        terms, offs = np.zeros((len(live), width), np.int64), np.full((len(live), width), -1, np.int64)
+        for row, k in enumerate(live):
+            w = self.windows[k]
+            order = sorted(range(len(w)), key=lambda o: (frequency[w[o]], o))
+            terms[row, : len(w)], offs[row, : len(w)] = [w[o] for o in order], order
+        owners = [self.owner_lists[k] for k in live]
         return {
-            "terms": terms[live], "offs": offs[live], "len": np.array([len(self.windows[k]) for k in live.tolist()], np.int64),
+            "terms": terms, "offs": offs, "len": np.array([len(self.windows[k]) for k in live], np.int64),
             "own_n": np.array([len(o) for o in owners], np.int64), "own": np.array([x for o in owners for x in o], np.int64), "items": self.item_ids,
         }
 
 
-def _key(term: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    return (term.astype(np.int64) << 40) + pos
-
-
 def intersect(terms: np.ndarray, counts: np.ndarray, pos: np.ndarray, plan: dict) -> tuple[np.ndarray, np.ndarray]:
     """(window, start) of every occurrence in one segment.
 
-    The postings of each window's rarest term give the candidate starts; every
-    further term keeps those whose shifted position is in its own list.
+    Windows with a term that the segment lacks are left out at once.  The postings
+    of each window's rarest term give the candidate starts; every further term
+    keeps those whose shifted position is in its own list.
     """
-    postings = _key(np.repeat(terms, counts), pos)
-    starts = np.cumsum(counts) - counts
     if not len(terms) or not len(plan["terms"]):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rare = plan["terms"][:, 0]
-    at = np.minimum(np.searchsorted(terms, rare), len(terms) - 1)
-    n = np.where(terms[at] == rare, counts[at], 0)
-    win = np.repeat(np.arange(len(rare)), n)
-    begin = pos[ragged(starts[at], n)] - plan["offs"][win, 0]
+    local = np.minimum(np.searchsorted(terms, plan["terms"]), len(terms) - 1)  # the term's place in the segment
+    here = np.flatnonzero(((terms[local] == plan["terms"]) | (plan["offs"] < 0)).all(1))
+    starts = np.cumsum(counts) - counts
+    postings = (np.repeat(np.arange(len(terms)), counts) << 40) + pos
+    rare = local[here, 0]
+    n = counts[rare]
+    win = np.repeat(here, n)
+    begin = pos[ragged(starts[rare], n)] - plan["offs"][win, 0]
     for r in range(1, plan["terms"].shape[1]):
-        t = plan["terms"][win, r]
-        want = _key(t, begin + plan["offs"][win, r])
+        off = plan["offs"][win, r]
+        want = (local[win, r] << 40) + begin + off
         at = np.minimum(np.searchsorted(postings, want), len(postings) - 1)
-        ok = (postings[at] == want) | (t < 0)
+        ok = (postings[at] == want) | (off < 0)
         win, begin = win[ok], begin[ok]
     return win, begin
 
 
+def frequencies(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
+    """Counts in the whole corpus of the given terms that it has."""
+    shared = index.sparkSession.sparkContext.broadcast(terms)
+    schema = arrow_schema("term long, n long")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                known, counts = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in range(2))
+                ok = np.isin(known, shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array(known[ok], pa.int64()), pa.array(counts[ok], pa.int64())], schema=schema)
+
+    got = index.select("terms", "counts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return {r["term"]: r["n"] for r in got.toLocalIterator()}  # of the block's own terms
+
+
+def _segment(row) -> tuple[np.ndarray, ...]:
+    """(base, terms, counts, positions) of a segment's row."""
+    base, terms, counts = (np.array(row[c], np.int64) for c in ("base", "terms", "counts"))
+    return base, terms, counts, _unpack(row["positions"], counts)
+
+
 def search(index: DataFrame, plan: dict, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_words, spans, item_ids) of every document; spans: (begin, end) of runs of hit words."""
-    import pyarrow as pa
+    """(id, segment, row, n_words, spans, item_ids) of every document.
 
-    from .common import arrow_schema
+    spans: (begin, end) of runs of hit words; segment and row tell rows with equal ids apart.
+    """
+    import pyarrow as pa
 
-    ddl = f"`{id_col}` {dict(index.dtypes)['docs'][6:-1]}, n_words long, spans array<struct<begin: long, end: long>>, item_ids array<string>"
+    ddl = f"`{id_col}` {dict(index.dtypes)['docs'][6:-1]}, segment long, row long, n_words long, spans array<struct<begin: long, end: long>>, item_ids array<string>"
     schema = arrow_schema(ddl)
     p_shared = index.sparkSession.sparkContext.broadcast(plan)
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                n_words, base = np.array(row["n_words"], np.int64), np.array(row["base"], np.int64)
-                terms, counts = np.array(row["terms"], np.int64), np.array(row["counts"], np.int64)
-                pos = _unpack(row["positions"], counts)
-                size = int(base[-1] + n_words[-1] + GAP) if len(base) else 0
-                p = p_shared.value
-                names = p["items"]
+                p, n_words = p_shared.value, np.array(row["n_words"], np.int64)
+                base, terms, counts, pos = _segment(row)
                 win, begin = intersect(terms, counts, pos, p)
+                size = int(base[-1] + n_words[-1] + GAP) if len(base) else 0
                 step = np.zeros(size + 1, np.int64)
                 np.add.at(step, begin, 1)
                 np.add.at(step, begin + p["len"][win], -1)
-                hit = np.concatenate([[0], (np.cumsum(step) > 0).astype(np.int8), [0]])
-                edge = np.diff(hit)
+                edge = np.diff(np.concatenate([[0], (np.cumsum(step) > 0).astype(np.int8), [0]]))
                 lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # places lie apart between documents
                 spans: list[list] = [[] for _ in row["docs"]]
                 for k, x, y in zip((np.searchsorted(base, lo, "right") - 1).tolist(), lo.tolist(), hi.tolist(), strict=True):
@@ -173,34 +206,40 @@ def search(index: DataFrame, plan: dict, id_col: str = "doc_id") -> DataFrame:
                 first = np.cumsum(p["own_n"]) - p["own_n"]
                 owner = p["own"][ragged(first[win], p["own_n"][win])]
                 items: list[list[str]] = [[] for _ in row["docs"]]
-                for x in np.unique(np.repeat(doc, p["own_n"][win]) * max(len(names), 1) + owner).tolist():
-                    items[x // len(names)].append(names[x % len(names)])
-                cols = [row["docs"], n_words, spans, [sorted(set(x)) for x in items]]
+                for x in np.unique(np.repeat(doc, p["own_n"][win]) * max(len(p["items"]), 1) + owner).tolist():
+                    items[x // len(p["items"])].append(p["items"][x % len(p["items"])])
+                n = len(row["docs"])
+                cols = [row["docs"], [row["segment"]] * n, list(range(n)), n_words, spans, [sorted(set(x)) for x in items]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], names=schema.names)
 
-    return index.mapInArrow(run, ddl)
+    return index.withColumn("segment", F.xxhash64("docs", "n_words", "positions")).mapInArrow(run, ddl)
 
 
-def near(index: DataFrame, first: int, second: int, distance: int, id_col: str = "doc_id") -> DataFrame:
-    """(id, pairs): pairs of places of two terms at most `distance` words apart, in any order."""
+def near(index: DataFrame, first: str, second: str, distance: int, id_col: str = "doc_id") -> DataFrame:
+    """(id, pairs): pairs of places of two words at most `distance` words apart, in any order."""
     import pyarrow as pa
 
-    from .common import arrow_schema
-
     if not 0 < distance <= GAP:
         raise ValueError(f"distance must be 1 to {GAP}")
+    two = [words(w) for w in (first, second)]
+    if any(len(w) != 1 for w in two):
+        raise ValueError("first and second must be one word each")
+    ends_of = [term(w[0]) for w in two]
     ddl = f"`{id_col}` {dict(index.dtypes)['docs'][6:-1]}, pairs long"
     schema = arrow_schema(ddl)
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                counts = np.array(row["counts"], np.int64)
-                pos, ends, terms = _unpack(row["positions"], counts), np.cumsum(counts), row["terms"]
-                lists = [pos[ends[k] - counts[k] : ends[k]] if (k := terms.index(t) if t in terms else -1) >= 0 else pos[:0] for t in (first, second)]
+                base, terms, counts, pos = _segment(row)
+                starts = np.cumsum(counts) - counts
+                lists = []
+                for t in ends_of:
+                    k = int(np.searchsorted(terms, t))
+                    lists.append(pos[starts[k] : starts[k] + counts[k]] if k < len(terms) and terms[k] == t else pos[:0])
                 a, b = lists
-                n = np.searchsorted(b, a + distance, "right") - np.searchsorted(b, a - distance, "left") - (1 if first == second else 0)
-                doc = np.searchsorted(np.array(row["base"]), a, "right") - 1
+                n = np.searchsorted(b, a + distance, "right") - np.searchsorted(b, a - distance, "left") - (1 if ends_of[0] == ends_of[1] else 0)
+                doc = np.searchsorted(base, a, "right") - 1
                 total = np.bincount(doc, n, minlength=len(row["docs"])).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(row["docs"], schema[0].type), pa.array(total, schema[1].type)], names=schema.names)
 
@@ -208,33 +247,35 @@ def near(index: DataFrame, first: int, second: int, distance: int, id_col: str =
 
 
 def item_blocks(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[Phrases]:
-    """The benchmark's phrases in blocks of at most `BLOCK_ITEMS` items."""
+    """The benchmark's phrases in blocks of at most about `BLOCK_WORDS` words."""
     rows = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator()
-    made = False
-    while block := [(r["i"], words(r["t"])) for r in islice(rows, BLOCK_ITEMS)]:
-        made = True
+    block, size, made = [], 0, False
+    for r in rows:
+        ws = words(r["t"])
+        for a in range(0, max(1, len(ws) - WINDOW + 1), BLOCK_WORDS):
+            piece = ws[a : a + BLOCK_WORDS + WINDOW - 1]
+            if block and size + len(piece) > BLOCK_WORDS:
+                yield Phrases(block)
+                block, size, made = [], 0, True
+            block.append((r["i"], piece))
+            size += len(piece)
+    if block or not made:
         yield Phrases(block)
-    if not made:
-        yield Phrases([])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, n_words, n_hit, item_ids) of every document against all items.
 
-    What is broadcast belongs to one block of items; a larger benchmark is
-    searched block by block and the spans are united by document.
+    One index serves all blocks of items; of several blocks the spans and items
+    are united by document.
     """
-    found = []
-    for phrases in item_blocks(items, item_col, item_text_col):
-        index = build_index(docs, phrases.vocabulary, id_col, text_col)
-        counts = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("n"))
-        frequency = {r["terms"]: r["n"] for r in counts.toLocalIterator()}  # of the block's own terms
-        found.append(search(index, phrases.plan(frequency), id_col))
+    index = build_index(docs, id_col, text_col)
+    found = [search(index, p.plan(frequencies(index, p.terms)), id_col) for p in item_blocks(items, item_col, item_text_col)]
     hits = found[0]
     if len(found) > 1:
         for more in found[1:]:
             hits = hits.unionByName(more)
-        hits = hits.groupBy(id_col).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+        hits = hits.groupBy(id_col, "segment", "row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("far"))
     fold = lambda s, x: F.struct((s["n"] + F.greatest(x["end"] - F.greatest(s["far"], x["begin"]), F.lit(0))).alias("n"), F.greatest(s["far"], x["end"]).alias("far"))
     return hits.select(id_col, "n_words", F.aggregate("spans", start, fold)["n"].alias("n_hit"), "item_ids")
@@ -249,6 +290,24 @@ def query(spark, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Words and distance of the query `proximity`.
+NEAR_WORDS, NEAR_WITHIN = ("the", "that"), 5
+
+
+def proximity(spark, sf_dir: str) -> DataFrame:
+    """Pairs of places of the two words at most `NEAR_WITHIN` apart, for every document."""
+    return near(build_index(table(spark, sf_dir, "documents")), *NEAR_WORDS, NEAR_WITHIN)
+
+
+#: DuckDB SQL for the rows of `proximity`.
+PROXIMITY_ORACLE = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS p FROM d),
+n AS (SELECT a.doc_id, count(*) AS pairs FROM p a JOIN p b ON a.doc_id = b.doc_id AND abs(a.p - b.p) <= {NEAR_WITHIN} WHERE a.w = '{NEAR_WORDS[0]}' AND b.w = '{NEAR_WORDS[1]}' GROUP BY 1)
+SELECT doc_id, coalesce(pairs, 0)::BIGINT AS pairs FROM d LEFT JOIN n USING (doc_id)
+"""
+
+
 #: DuckDB SQL for the rows of `query`.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x) AS w FROM documents),

@@ -48,8 +48,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proximity matches on the index of op 5."""
+    return phrase_index.proximity(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_quality, op3_media, op4_language, op5_decontamination, op6_html, op7_bpe, op8_near_duplicates, op9_repeats, op10_pii)
+    for f in (op1_token_counts, op2_quality, op3_media, op4_language, op5_decontamination, op6_html, op7_bpe, op8_near_duplicates, op9_repeats, op10_pii, proximity)
 }
-ORACLES = {"op5_decontamination": phrase_index.ORACLE}
+ORACLES = {"op5_decontamination": phrase_index.ORACLE, "proximity": phrase_index.PROXIMITY_ORACLE}

@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, ragged, shared_dir, stored
-from .shingles import prefix_sums, spans_hash
+from .hashing import prefix_sums, spans_hash
 
 LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1  # 20-byte substrings of a window

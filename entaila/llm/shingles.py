@@ -1,52 +1,16 @@
-"""Hashes of substrings and word shingles by prefix sums, without loops over bytes."""
+"""Word shingles as hashes."""
 
 from __future__ import annotations
 
 import numpy as np
 
+from .hashing import prefix_sums, spans_hash
 from .phrase_index import words
 
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: Bytes hashed at once; longer word lists are cut with an overlap.
 BLOCK = 1 << 20
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**k and BASE**-k modulo 2**64 for k < n."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for name, base in (("up", BASE), ("down", _INVERSE)):
-            x = np.full(size, base)
-            x[0] = 1
-            _powers[name] = np.multiply.accumulate(x)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * up[:-1], out=out[1:])
-    return out
-
-
-def spans_hash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of data[begin:end] that depends on these bytes alone."""
-    _, down = powers(len(sums))
-    return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
-
-
 def shingle_sets(texts: list[str], n: int = 5) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's shingles of n words.
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from entaila.llm import bpe, html_text, langid, media, phrase_index, pii, quality, token_counts
+from entaila.llm import bpe, html_text, langid, media, phrase_index, pii, quality, queries, token_counts
 
 ODD = [None, "", " ", "a", "Hello  world\n\n'tis 3.5%", "é漢字🙂" * 50, "<|endoftext|>", "x" * 3000, " " * 500 + "y", "a \tb\r\n c  ", "\x00\x01 z"]
 
@@ -123,19 +123,52 @@ def test_decontamination(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in phrase_index.decontaminate(docs(spark, texts), bench).collect()}
     assert got == {k: brute_hits(t, items) for k, t in enumerate(texts)}
-    monkeypatch.setattr(phrase_index, "BLOCK_ITEMS", 3)  # spans of several blocks are united
-    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in phrase_index.decontaminate(docs(spark, texts), bench).collect()}
-    assert got == {k: brute_hits(t, items) for k, t in enumerate(texts)}
+    built, inner = [], phrase_index.build_index
+    monkeypatch.setattr(phrase_index, "build_index", lambda *a: built.append(1) or inner(*a))
+    monkeypatch.setattr(phrase_index, "BLOCK_WORDS", 15)  # spans of several blocks are united, a long item is cut
+    blocks = list(phrase_index.item_blocks(bench))
+    assert len(blocks) > 3 and max(len(b.windows) for b in blocks) <= 16
+    twice = docs(spark, texts).union(docs(spark, [texts[1], texts[5]]))  # rows that repeat an id
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in phrase_index.decontaminate(twice, bench).collect())
+    assert got == sorted([(k, *brute_hits(t, items)) for k, t in enumerate(texts)] + [(0, *brute_hits(texts[1], items)), (1, *brute_hits(texts[5], items))])
+    assert len(built) == 1  # one index for all blocks
     none = phrase_index.report(docs(spark, texts), bench.limit(0)).collect()
     assert len(none) == len(texts) and all(r.n_hit == 0 and r.items_sha256 == sha("") for r in none)
     assert phrase_index.report(docs(spark, texts).limit(0), bench).count() == 0
 
 
 def test_proximity(spark):
-    index = phrase_index.build_index(docs(spark, ["a x b", "a x x b a", None]), [b"a", b"b"])
-    assert {r.doc_id: r.pairs for r in phrase_index.near(index, 0, 1, 2).collect()} == {0: 1, 1: 1, 2: 0}
-    with pytest.raises(ValueError):
-        phrase_index.near(index, 0, 1, 1000)
+    index = phrase_index.build_index(docs(spark, ["a x b", "a x x b a", None, "A É a É"]))
+    assert {r.doc_id: r.pairs for r in phrase_index.near(index, "A", "b", 2).collect()} == {0: 1, 1: 1, 2: 0, 3: 0}
+    assert {r.doc_id: r.pairs for r in phrase_index.near(index, "a", "É", 1).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
+    for wrong in (("a", "b", 1000), ("a b", "c", 2), ("a", "!", 2)):
+        with pytest.raises(ValueError):
+            phrase_index.near(index, *wrong)
+
+
+def test_terms_are_the_words(spark):
+    texts = ["A-b c,d É9", "", "!!", "zz  zz\n", "a\x00b \x7f x"]
+    term, n = phrase_index.terms_of(texts)
+    assert term.tolist() == [phrase_index.term(w) for t in texts for w in phrase_index.words(t)] and n.tolist() == [len(phrase_index.words(t)) for t in texts]
+    assert len(phrase_index.terms_of([])[0]) == 0
+
+
+def test_phrase_queries_equal_sql(spark):
+    import os
+
+    import duckdb
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
+    for name in ("op5_decontamination", "proximity"):
+        df = queries.QUERIES[name](spark, d)
+        res = con.execute(queries.ORACLES[name])
+        at = [[x[0] for x in res.description].index(c) for c in df.columns]
+        assert sorted(map(tuple, df.collect())) == sorted(tuple(r[k] for k in at) for r in res.fetchall())
 
 
 # -- language --------------------------------------------------------------------------
