@@ -5,33 +5,48 @@ counts of the next byte.  A byte's code length is taken from the longest known
 context: -log2(count / (total + distinct)); a byte not seen there first pays
 the escape -log2(distinct / (total + distinct)) and goes on in the next shorter
 context, down to a uniform code of 256 values.  As the statistics are frozen,
-the code length of every (context, byte) is worked out once; a text's exact
-code length for each language is then a sum of look-ups, and the shortest wins.
+the code length of every byte seen in a context is worked out once for all
+languages, other bytes pay the context's escapes and are looked up in the next
+shorter one; a text's exact code length for each language is then a sum of
+look-ups, and the shortest wins.
 
-The trees are learnt from a sample of whole labelled texts, at most about
-`docs_per_lang` of each language, drawn by a hash of the id; a stated sample is
-the bound of what the driver gathers.  Contexts seen fewer than `MIN_CONTEXT`
-times in it are left out.
+The trees are learnt in one pass from a sample of whole labelled texts, drawn by
+a hash of the id: at most about `docs_per_lang` texts and `bytes_per_lang` bytes
+of each language and `SAMPLE_BYTES` in all; this bounds what the driver gathers.
+Contexts seen fewer than `MIN_CONTEXT` times in it are left out, and more often
+seen ones too while the tables would be over `TABLE_BYTES`; this bounds what is
+broadcast, for any number of languages.
+
+`accepted` rejects texts in none of the learnt languages.  What they may cost is
+learnt from labelled texts that the trees have not seen (`bound`).
 
 Null texts and texts without a letter are `und` with score 0; so is every text
 if nothing is labelled.  Ties go to the language first in order.  The score is
 the winner's share of the probability that the languages give to the text.
+Every row is returned, repeated ones too (they count each in the sample); an
+empty table gives none; other columns, of any names, are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc, filter_texts, map_texts
+from .common import arrow_schema, crc, filter_texts, map_texts, slices
 
 ORDER = 3
 MIN_CONTEXT = 4
 DOCS_PER_LANG = 1500
+BYTES_PER_LANG, SAMPLE_BYTES, TABLE_BYTES = 16 << 20, 64 << 20, 256 << 20
 UNKNOWN = "und"
+#: Bits that tell nothing about the language: a key or a number of 16 random bytes.
+FREE_BITS = 128
+#: Share of unseen labelled texts below the bound, and the room above it.
+COVERED, ROOM = 0.999, 1.1
 
 
 @dataclass
@@ -41,11 +56,38 @@ class Trees:
     langs: list[str]
     classes: np.ndarray  # byte -> class; 0: never seen
     child: list[np.ndarray]
-    cost: np.ndarray  # (node * class, language): bits
+    parent: np.ndarray  # node -> the next shorter context
+    cell: np.ndarray  # node * class -> row of `bits_of`, -1: not seen there in any language
+    bits_of: np.ndarray  # (row, language): bits
+    escape: np.ndarray  # (node, language): bits
 
     @property
     def width(self) -> int:
-        return self.child[0].shape[1] if self.child else 1
+        return int(self.classes.max()) + 1
+
+    @property
+    def n_bytes(self) -> int:
+        return sum(x.nbytes for x in (*self.child, self.parent, self.cell, self.bits_of, self.escape))
+
+    def costs(self, node: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """(place, language): bits of a byte class after a context."""
+        at = self.cell[node * self.width + c]
+        if not len(self.bits_of):
+            return np.full((len(node), len(self.langs)), 8, np.float32)
+        out = self.bits_of[at]  # wrong where at < 0
+        left = np.flatnonzero(at < 0)
+        out[left] = 0
+        node, c = node[left], c[left]
+        while len(left):
+            out[left] += self.escape[node]
+            out[left[node == 0]] += 8
+            go = node > 0
+            left, node, c = left[go], self.parent[node[go]], c[go]
+            at = self.cell[node * self.width + c]
+            out[left[at >= 0]] += self.bits_of[at[at >= 0]]
+            go = at < 0
+            left, node, c = left[go], node[go], c[go]
+        return out
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """(text, language): exact code lengths."""
@@ -56,7 +98,7 @@ class Trees:
         node = np.zeros(len(c) - ORDER, np.int32)
         for d, table in enumerate(self.child):
             node = table.ravel()[node * self.width + c[ORDER - 1 - d : len(c) - 1 - d]]
-        vals = self.cost[node * self.width + c[ORDER:]]
+        vals = self.costs(node, c[ORDER:])
         size = np.array([len(t) for t in texts], np.int64)
         full = np.flatnonzero(size)
         if not len(full):
@@ -81,8 +123,15 @@ def ngrams(texts: list[bytes]) -> np.ndarray:
     return np.concatenate(codes) if codes else np.zeros(0, np.int64)
 
 
-def grow(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Trees:
-    """Trees from (ngram codes, counts) by language."""
+def grow(counts: dict[str, tuple[np.ndarray, np.ndarray]], table_bytes: int = TABLE_BYTES) -> Trees:
+    """Trees from (ngram codes, counts) by language, within `table_bytes`."""
+    least = MIN_CONTEXT
+    while (trees := _grow(counts, least)).n_bytes > table_bytes and len(trees.parent) > 1:
+        least *= 2
+    return trees
+
+
+def _grow(counts: dict[str, tuple[np.ndarray, np.ndarray]], least: int) -> Trees:
     langs = sorted(counts)
     seen = np.zeros(256, bool)
     for codes, _ in counts.values():
@@ -92,41 +141,46 @@ def grow(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Trees:
     A, L = int(seen.sum()) + 1, len(langs)
     # contexts of each depth, the nearest byte first: those that any language has often enough
     child, depth_nodes, total_nodes = [], [(np.zeros(1, np.int64), np.zeros(1, np.int64))], 1
+    parent = [np.zeros(1, np.int32)]
     for d in range(ORDER):
         keys = []
         for codes, n in counts.values():
             ctx, inv = np.unique(_context(codes, d + 1), return_inverse=True)
-            keys.append(ctx[np.bincount(inv, n) >= MIN_CONTEXT])
+            keys.append(ctx[np.bincount(inv, n) >= least])
         keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
         parents, pids = depth_nodes[-1]
-        at = np.searchsorted(parents, keys >> 8)
-        at = np.minimum(at, len(parents) - 1)
-        keys, at = keys[parents[at] == keys >> 8], at[parents[at] == keys >> 8]
+        at = np.minimum(np.searchsorted(parents, keys >> 8), max(len(parents) - 1, 0))
+        ok = parents[at] == keys >> 8 if len(parents) else np.zeros(len(keys), bool)
+        keys, at = keys[ok], at[ok]
         ids = np.arange(total_nodes, total_nodes + len(keys))
         table = np.repeat(np.arange(total_nodes, dtype=np.int32)[:, None], A, 1)
         table[pids[at], classes[keys & 255]] = ids
         child.append(table)
+        parent.append(pids[at].astype(np.int32))
         depth_nodes.append((keys, ids))
         total_nodes += len(keys)
-    cost = np.full((total_nodes, A, L), 8.0)
+    trees = Trees(langs, classes, child, np.concatenate(parent), np.full(total_nodes * A, -1, np.int32), np.zeros((0, L), np.float32), np.zeros((total_nodes, L), np.float32))
     for d, (keys, ids) in enumerate(depth_nodes):
-        if d:  # first what the next shorter context says
-            up = np.searchsorted(depth_nodes[d - 1][0], keys >> 8)
-            cost[ids] = cost[depth_nodes[d - 1][1][up]]
-        for k, lang in enumerate(langs):
+        met = []  # of each language: places (node, class) seen, their counts
+        for lang in langs:
             codes, n = counts[lang]
             ctx = _context(codes, d)
             at = np.minimum(np.searchsorted(keys, ctx), max(len(keys) - 1, 0))
             ok = keys[at] == ctx if len(keys) else np.zeros(len(ctx), bool)
-            grid = np.zeros((len(keys), A))
-            np.add.at(grid, (at[ok], classes[codes[ok] & 255]), n[ok])
-            total, distinct = grid.sum(1), (grid > 0).sum(1)
-            has = total > 0
-            base = cost[ids[has], :, k] - np.log2(distinct[has] / (total[has] + distinct[has]))[:, None]
-            with np.errstate(divide="ignore"):
-                own = -np.log2(grid[has] / (total[has] + distinct[has])[:, None])
-            cost[ids[has], :, k] = np.where(grid[has] > 0, own, base)
-    return Trees(langs, classes, child, cost.reshape(total_nodes * A, L).astype(np.float32))
+            place, inv = np.unique(ids[at[ok]] * A + classes[codes[ok] & 255] if len(keys) else at[ok], return_inverse=True)
+            met.append((place, np.bincount(inv, n[ok], len(place))))
+        places = np.unique(np.concatenate([p for p, _ in met])) if met else np.zeros(0, np.int64)
+        node, c = places // A, (places % A).astype(np.int32)
+        rows = trees.costs(trees.parent[node], c).astype(np.float64) if d else np.full((len(places), L), 8.0)
+        for k, (place, n) in enumerate(met):
+            total, distinct = np.bincount(place // A, n, total_nodes), np.bincount(place // A, minlength=total_nodes)
+            has = np.flatnonzero(total > 0)
+            trees.escape[has, k] = -np.log2(distinct[has] / (total[has] + distinct[has]))
+            rows[:, k] += trees.escape[node, k]
+            rows[np.searchsorted(places, place), k] = -np.log2(n / (total + distinct)[place // A])
+        trees.cell[places] = len(trees.bits_of) + np.arange(len(places))
+        trees.bits_of = np.concatenate([trees.bits_of, rows.astype(np.float32)])
+    return trees
 
 
 def _context(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -137,26 +191,64 @@ def _context(codes: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> Trees:
+def _sample(rows: DataFrame, docs_per_lang: int, bytes_per_lang: int) -> DataFrame:
+    """(id, txt, lg): at most about so many texts and bytes of each language, drawn by a hash of the id."""
+    size = rows.groupBy("lg").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("txt")).alias("b"))
+    langs = F.count(F.lit(1)).over(Window.partitionBy())  # a row a language
+    size = size.withColumn("room", F.least(F.lit(bytes_per_lang), F.lit(SAMPLE_BYTES) / langs))
+    share = F.xxhash64("id").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(1 << 30)
+    kept = rows.join(F.broadcast(size), "lg").filter((share * F.col("n") < docs_per_lang) & (share * F.col("b") < F.col("room")))
+    return kept.select("id", "txt", "lg")
+
+
+def _labelled(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("txt"), F.col(lang_col).cast("string").alias("lg"))
+    return rows.filter("lg is not null and txt is not null")
+
+
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG, bytes_per_lang: int = BYTES_PER_LANG) -> Trees:
     """Trees learnt from the labelled rows of `df`."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("txt"), F.col(lang_col).cast("string").alias("lg")).filter("lg is not null and txt is not null")
-    size = rows.groupBy("lg").count()
-    share = F.xxhash64(F.col("id")).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(1 << 30)
-    rows = rows.join(F.broadcast(size), "lg").filter(share * F.col("count") < docs_per_lang)  # a row a language
+    import pyarrow as pa
+
+    sample = _sample(_labelled(df, id_col, text_col, lang_col), docs_per_lang, bytes_per_lang).select("lg", "txt")
+    schema = arrow_schema("lg string, code long, n long")
+
+    def run(batches):
+        for batch in batches:
+            for langs, texts in slices(batch.column(0), batch.column(1)):
+                for lang in sorted(set(langs)):
+                    code, n = np.unique(ngrams([t.encode() for t, g in zip(texts, langs, strict=True) if g == lang]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n.astype(np.int64))], schema=schema)
+
+    got = sample.mapInArrow(run, "lg string, code long, n long").groupBy("lg", "code").agg(F.sum("n").alias("n")).orderBy("lg", "code").toPandas()  # bounded by the sample
+    return grow({lang: (g["code"].to_numpy(np.int64), g["n"].to_numpy(np.float64)) for lang, g in got.groupby("lg")})
+
+
+def rate(bits: float, n: int) -> float:
+    """Bits a byte beyond the free ones."""
+    return max(bits - FREE_BITS, 0.0) / max(n, 1)
+
+
+def bound(df: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> float:
+    """The rate up to which a text is in a learnt language, from labelled rows that the trees have not seen.
+
+    All but a share of 1 - COVERED of a sample of them, drawn as for the trees,
+    lie below it, with some room; without such rows the rate of a uniform code.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(trees)
+    sample = _sample(_labelled(df, id_col, text_col, lang_col), docs_per_lang, BYTES_PER_LANG)
 
     def make():
         def kernel(ids, texts):
-            code, n = np.unique(ngrams([t.encode() for t in texts]), return_counts=True)
-            return {"code": code, "n": n}
+            raw = [x.encode() for x in texts]
+            return {"rate": [rate(float(b.min()), len(r)) for b, r in zip(shared.value.bits(raw), raw, strict=True)]}
 
         return kernel
 
-    by_lang = {}
-    for lang in sorted(r["lg"] for r in size.toLocalIterator()):
-        part = map_texts(rows.filter(F.col("lg") == lang), "id", "txt", make, "code long, n long")
-        got = part.groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toPandas()
-        by_lang[lang] = got["code"].to_numpy(np.int64), got["n"].to_numpy(np.float64)
-    return grow(by_lang)
+    if not trees.langs:
+        return 8.0
+    top = map_texts(sample, "id", "txt", make, "rate double").agg(F.percentile("rate", F.lit(COVERED)).alias("p")).first()["p"]
+    return 8.0 if top is None else min(top * ROOM, 8.0)
 
 
 def predict(df: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -186,15 +278,15 @@ def predict(df: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str =
     return map_texts(df, id_col, text_col, make, f"`{id_col}` {dict(df.dtypes)[id_col]}, lang_pred string, score double, bits_per_byte double", keep)
 
 
-def accepted(df: DataFrame, trees: Trees, text_col: str = "text", most_bits: float = 7.0) -> DataFrame:
+def accepted(df: DataFrame, trees: Trees, most: float, text_col: str = "text") -> DataFrame:
     """The rows of `df` whose text is in a learnt language.
 
-    Texts without a letter go, and those that the best language needs
-    `most_bits` a byte or more for: that is near the 8 of a uniform code.
+    Texts without a letter go, and those whose best language needs a rate over
+    `most` (see `bound`).
     """
     shared = df.sparkSession.sparkContext.broadcast(trees)
 
-    def make():
+    def make() -> Callable[[list[str]], list[bool]]:
         import regex
 
         letter, t = regex.compile(r"\p{L}").search, shared.value
@@ -202,13 +294,19 @@ def accepted(df: DataFrame, trees: Trees, text_col: str = "text", most_bits: flo
         def kernel(texts):
             raw = [x.encode() for x in texts]
             bits = t.bits(raw) if t.langs else np.zeros((len(raw), 0))
-            return [bool(len(b)) and letter(x) is not None and b.min() < most_bits * len(r) for x, r, b in zip(texts, raw, bits, strict=True)]
+            return [bool(len(b)) and letter(x) is not None and rate(float(b.min()), len(r)) <= most for x, r, b in zip(texts, raw, bits, strict=True)]
 
         return kernel
 
     return filter_texts(df, text_col, make)
 
 
+def in_learnt_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of `docs` in a language learnt from those not held out, within the bound learnt from the others."""
+    trees = train(docs.filter(~held_out(id_col)), id_col, text_col, lang_col)
+    return accepted(docs, trees, bound(docs.filter(held_out(id_col)), trees, id_col, text_col, lang_col), text_col)
+
+
 def held_out(id_col: str = "doc_id"):
     return F.coalesce(crc(id_col) % 4 == 2, F.lit(False))
 

@@ -178,7 +178,8 @@ EN, DE = "the cat and the dog are with them on this ", "der hund und die katze s
 def test_language(spark):
     rows = [(k, (EN if k % 2 else DE) * (1 + k % 5), "en" if k % 2 else "de") for k in range(60)]
     rows += [(100, None, "en"), (101, "123 !?", "de"), (102, "", None), (103, "und die katze", None), (104, EN * 4000, None), (104, EN * 4000, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as id", "'x' as score", "'y' as lg", "'z' as txt", "2 as n")
+    assert sorted(r.doc_id for r in langid.identify(df).collect()) == sorted(r[0] for r in rows)
     got = {r.doc_id: r for r in langid.identify(df).collect()}
     assert all(got[k].lang_pred == ("en" if k % 2 else "de") for k in range(60))
     assert [got[k].lang_pred for k in (100, 101, 102, 103, 104)] == ["und", "und", "und", "de", "en"]
@@ -234,6 +235,48 @@ def test_code_lengths_follow_the_definition():
         assert np.allclose(got[k], [brute("x", t), brute("y", t)], atol=1e-3)
 
 
+def test_tables_stay_within_their_bound():
+    rng = np.random.default_rng(4)
+    langs = {f"l{k:02d}": np.unique(langid.ngrams([bytes(rng.choice(rng.integers(97, 123, 8), 3000).astype(np.uint8))]), return_counts=True) for k in range(40)}
+    counts = {k: (c, n.astype(float)) for k, (c, n) in langs.items()}
+    whole, small = langid.grow(counts), langid.grow(counts, 200_000)
+    assert small.n_bytes <= 200_000 < whole.n_bytes and len(small.parent) < len(whole.parent)
+    assert langid.grow({}).langs == [] and langid.grow({"x": (np.zeros(0, np.int64), np.zeros(0))}).bits([b"ab"]).tolist() == [[16.0]]
+
+
+def invented(rng, letters, n_words=12):
+    """A language: a few words of its letters."""
+    return ["".join(rng.choice(list(letters), int(k))) for k in rng.integers(2, 7, n_words)]
+
+
+def test_texts_in_an_unlearnt_language_go(spark):
+    rng = np.random.default_rng(9)
+    langs = {"aa": invented(rng, "abcdehilmnorst"), "bb": invented(rng, "aeioukpstrnvz"), "zz": invented(rng, "wqxyjgfuvcmd")}
+    text = lambda lang, n: " ".join(rng.choice(langs[lang], n))
+    rows = [(k, text(("aa", "bb")[k % 2], int(rng.integers(20, 200))), ("aa", "bb")[k % 2]) for k in range(300)]
+    foreign = [(1000 + k, text("zz", 80), None) for k in range(50)]
+    odd = [(2000, None, "aa"), (2001, "", None), (2002, "12 34", "bb"), (2003, "no. 4821 " + text("aa", 60), None), (2004, text("aa", 1), None), (5, rows[5][1], None)]
+    df = spark.createDataFrame(rows + foreign + odd, "doc_id long, text string, lang string").selectExpr("*", "1 as id", "'x' as rate")
+    kept = sorted(r.doc_id for r in langid.in_learnt_languages(df).collect())
+    assert kept == sorted([*range(300), 5, 2003, 2004])  # all 50 planted texts go, all clean ones stay
+    assert langid.in_learnt_languages(df).columns == df.columns and langid.in_learnt_languages(df.limit(0)).count() == 0
+    assert langid.in_learnt_languages(df.withColumn("lang", F.lit(None).cast("string"))).count() == 0
+
+
+def test_a_language_left_out_of_the_documents_goes(spark):
+    import os
+
+    d = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(d):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(d)
+    learnt = docs.filter("lang != 'es'")
+    trees = langid.train(learnt.filter(~langid.held_out()))
+    most = langid.bound(learnt.filter(langid.held_out()), trees)
+    share = lambda rows: langid.accepted(rows, trees, most).count() / rows.count()
+    assert share(docs.filter("lang = 'es'")) < 0.05 and share(learnt) > 0.99
+
+
 # -- quality -----------------------------------------------------------------------------
 def test_quality(spark):
     rng = np.random.default_rng(1)
