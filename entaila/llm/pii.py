@@ -8,10 +8,20 @@ their case and place, check digits are worked out anew, and values outside the
 format are walked past (cycle walking).  The map is a bijection for a key, so
 equal values stay linked across documents and different ones stay apart.
 
-Null texts stay null; texts without candidates are returned as they are.  Where
-candidates overlap, the one that begins first stays, then the longer one.  A match
-that fails its validator, because another number stands next to the value, is tried
-again from and to every border of a group of digits inside it.
+The format of a number is no part of the permutation: a phone number or a date
+gets the same pseudonym however it is written.  Values of more than `BLOCK`
+letters and digits are permuted block by block, each block under the one before.
+
+The key is the caller's secret and has no default.  `report` and the pipeline take
+it from the session's setting `KEY_SETTING`; where that is unset they use a
+published key, which is good for tests only.
+
+Null texts stay null; texts without candidates are returned as they are, and every
+row is returned, repeated ones too.  Where candidates overlap, the one that begins
+first stays, then the longer one.  A match that fails its validator, because another
+number stands next to the value, is tried again from and to every border of a group
+of digits inside it.  An empty table gives none; other columns are passed on, and the
+name for a further column must be new.
 """
 
 from __future__ import annotations
@@ -22,14 +32,16 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BATCH_ROWS, arrow_schema
 
-#: Stand-in for a secret; give your own.
-DEFAULT_KEY = b"pseudonym-key"
+#: The session's setting with the key, and the key of the tests.
+KEY_SETTING, TEST_KEY = "spark.entaila.pseudonym.key", b"pseudonym-key"
 ROUNDS = 10
+#: Letters and digits permuted at once.
+BLOCK = 64
 _LOWER, _UPPER, _DIGIT, _HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 _HEX_UPPER, _AF_LOWER, _AF_UPPER = "0123456789ABCDEF", "abcdef", "ABCDEF"
 _MARK = {"": "", _DIGIT: "9", _LOWER: "a", _UPPER: "A", _HEX: "x", _HEX_UPPER: "X", _AF_LOWER: "f", _AF_UPPER: "F"}
@@ -68,26 +80,35 @@ class Feistel:
         live = [k for k, s in enumerate(sets) if s]
         if not live:
             return text
-        half = len(live) // 2
-        m1 = m2 = 1
-        for k in live[:half]:
-            m1 *= len(sets[k])
-        for k in live[half:]:
-            m2 *= len(sets[k])
-        shape = tweak + b"|" + "".join(_MARK[s] or c for c, s in zip(text, sets, strict=True)).encode()
-        x = 0
-        for k in live:
-            x = x * len(sets[k]) + sets[k].index(text[k])
+        shape = tweak + b"|" + hashlib.blake2b("".join(_MARK[s] or c for c, s in zip(text, sets, strict=True)).encode(), digest_size=16).digest()
+        blocks = [live[k : k + BLOCK] for k in range(0, len(live), BLOCK)]
+        chars = list(text)
         while True:
-            x = self(x, m1, m2, shape, back)
-            chars, y = list(text), x
-            for k in reversed(live):
-                y, d = divmod(y, len(sets[k]))
-                chars[k] = sets[k][d]
+            under = b""  # the pseudonym of the block before
+            for n, block in enumerate(blocks):
+                half, before = len(block) // 2, "".join(chars[k] for k in block).encode()
+                m1 = m2 = 1
+                for k in block[:half]:
+                    m1 *= len(sets[k])
+                for k in block[half:]:
+                    m2 *= len(sets[k])
+                x = 0
+                for k in block:
+                    x = x * len(sets[k]) + sets[k].index(chars[k])
+                y = self(x, m1, m2, b"%b|%d|%b" % (shape, n, under), back)
+                for k in reversed(block):
+                    y, d = divmod(y, len(sets[k]))
+                    chars[k] = sets[k][d]
+                under = before if back else "".join(chars[k] for k in block).encode()
             out = "".join(chars)
             if ok is None or ok(out):
                 return out
 
+    def digits(self, text: str, tweak: bytes, ok: Callable[[str], bool] | None = None, back: bool = False) -> str:
+        """Permute the digits of a string, whatever stands between them."""
+        new = iter(self.symbols("".join(c for c in text if c in _DIGIT), tweak, ok, back))
+        return "".join(next(new) if c in _DIGIT else c for c in text)
+
 
 # -- validators ---------------------------------------------------------------
 def luhn_digit(body: str) -> str:
@@ -126,7 +147,6 @@ _DATE_FORMS = (
     (re.compile(r"(\d\d)/(\d\d)/(\d{4})\Z"), "{m:02d}/{d:02d}/{y:04d}", (2, 0, 1)),
     (re.compile(r"(\d\d)/(\d\d)/(\d{4})\Z"), "{d:02d}/{m:02d}/{y:04d}", (2, 1, 0)),  # where the one above gives no date
 )
-_DAY_FIRST = _DATE_FORMS[-1][1]
 _DAY0, _DAYS = dt.date(1900, 1, 1), (dt.date(2100, 1, 1) - dt.date(1900, 1, 1)).days
 
 
@@ -162,7 +182,7 @@ _RUN, _GROUP, _LAST = re.compile(r"\d(?:[ -]?\d)*"), re.compile(r"\d+"), re.comp
 _CARD_FORMS = {(4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4)}
 _VALID: dict[str, Callable[[str], bool]] = {"date": lambda v: parse_date(v) is not None, "ssn": is_ssn, "ip": is_ip, "card": is_card, "phone": is_phone}
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-_SECRET = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])")
+_SECRET = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])")
 _PREFIXED = re.compile(r"(?<!\w)(?P<head>AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|xox[abprs]-|sk-|sk_live_|pk_live_|AIza)(?P<body>[A-Za-z0-9_-]{12,})")
 
 
@@ -284,7 +304,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
 
 
 class Pseudonyms:
-    def __init__(self, key: bytes = DEFAULT_KEY):
+    def __init__(self, key: bytes):
         self.f = Feistel(key)
         self.cache: dict[tuple[str, str], str] = {}
 
@@ -305,12 +325,11 @@ class Pseudonyms:
     def _phone(self, v, back):
         head = re.match(r"\+\d{1,3}(?=[ .(-])|00\d\d|", v)[0]
         rest = v[len(head) :]
-        first = next((k for k, c in enumerate(rest) if c.isdigit()), 0)
-        area = rest[first] >= "2"  # subscriber numbers that don't begin with 0 or 1 keep this
-        return head + self.f.symbols(rest, b"phone", (lambda s: (s[first] >= "2") == area), back)
+        area = next(c for c in rest if c.isdigit()) >= "2"  # subscriber numbers that don't begin with 0 or 1 keep this
+        return head + self.f.digits(rest, b"phone", lambda s: (s[0] >= "2") == area, back)
 
     def _ssn(self, v, back):
-        return self.f.symbols(v, b"ssn", is_ssn, back)
+        return self.f.digits(v, b"ssn", lambda s: is_ssn(f"{s[:3]}-{s[3:5]}-{s[5:]}"), back)
 
     def _card(self, v, back):
         places = [k for k, c in enumerate(v) if c.isdigit()]
@@ -343,10 +362,10 @@ class Pseudonyms:
         while True:
             x = self.f(x, m, 270, b"date", back)
             if x < _DAYS:
-                day = _DAY0 + dt.timedelta(days=x)
-                if shape != _DAY_FIRST or day.day > 12:  # others would be read with the month first
+                new = _DAY0 + dt.timedelta(days=x)
+                if (new.day > 12) == (day.day > 12):  # others would be read with the month first in some formats
                     break
-        return shape.format(y=day.year, m=day.month, d=day.day)
+        return shape.format(y=new.year, m=new.month, d=new.day)
 
     def _secret(self, v, back):
         lower, upper = any(c in _AF_LOWER for c in v), any(c in _AF_UPPER for c in v)
@@ -370,11 +389,19 @@ class Pseudonyms:
         return "".join([*out, text[at:]]), [k for _, _, k in found]
 
 
-def pseudonymise(df: DataFrame, text_col: str = "text", key: bytes = DEFAULT_KEY, kinds_col: str | None = None) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    return spark.conf.get(KEY_SETTING, TEST_KEY.decode()).encode()
+
+
+def pseudonymise(df: DataFrame, key: bytes, text_col: str = "text", kinds_col: str | None = None) -> DataFrame:
     """`df` with the personal data of its text column replaced; other columns stay.
 
     With `kinds_col`, an array of the kinds found, in order, is added under this name.
     """
+    if not key:
+        raise ValueError("a key is needed")
+    if kinds_col in df.columns:
+        raise ValueError(f"there is a column {kinds_col} already")
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     names, types = df.columns, dict(df.dtypes)
     place = names.index(text_col)
@@ -396,5 +423,5 @@ def pseudonymise(df: DataFrame, text_col: str = "text", key: bytes = DEFAULT_KEY
 
 def report(docs: DataFrame) -> DataFrame:
     """Every document with its text pseudonymised, and what was found."""
-    got = pseudonymise(docs.select("doc_id", "text"), kinds_col="kinds")
+    got = pseudonymise(docs.select("doc_id", "text"), session_key(docs.sparkSession), kinds_col="kinds")
     return got.select("doc_id", "text", F.size("kinds").cast("long").alias("n_found"), F.concat_ws(",", F.array_sort(F.array_distinct("kinds"))).alias("kinds"))

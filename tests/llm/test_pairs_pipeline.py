@@ -206,7 +206,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
 
     b = bpe.Bpe()
     for k, x in got.items():
-        assert x.n_tokens == len(b.encode_batch([pii.Pseudonyms().text(texts[k])[0]])[0])
+        assert x.n_tokens == len(b.encode_batch([pii.Pseudonyms(pii.TEST_KEY).text(texts[k])[0]])[0])
     names = spark.read.parquet(str(tmp_path / "documents.parquet")).columns
     d = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for _, stage in corpus_pipeline.STAGES[:-1]:

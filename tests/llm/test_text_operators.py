@@ -321,7 +321,7 @@ def test_pseudonyms_keep_format_link_and_invert(spark):
     for clean in ("4390698575873171", "300.1.1.1", "2021-02-30", "000-12-3456", "1.5 and 3.14", "a@b", "@x.com", "version 1.2.3", "in 2021", "12345678"):
         assert pii.spans(clean) == [], clean
     texts = [f"mail {PII['email']} call {PII['phone']}", PII["email"], None, "", "nothing", "x " * 100000 + PII["ip"]]
-    out = {r.doc_id: r for r in pii.pseudonymise(docs(spark, texts), kinds_col="kinds").collect()}
+    out = {r.doc_id: r for r in pii.pseudonymise(docs(spark, texts), b"k1", kinds_col="kinds").collect()}
     assert out[0].kinds == ["email", "phone"] and out[1].text in out[0].text and out[2].text is None and out[3].text == "" and out[4].text == "nothing" and out[5].kinds == ["ip"]
     assert out[0]._text == "x" and pii.report(docs(spark, texts).limit(0)).count() == 0
 
@@ -365,6 +365,88 @@ def test_pseudonyms_of_day_first_dates_and_upper_case_secrets_invert():
         assert new != v and p("secret", new, True) == v and pii.spans(new)[0][2] == "secret" and [c.islower() for c in new if c.isalpha()].count(True) * v.isupper() == 0
 
 
+def test_one_value_in_two_formats_gets_one_pseudonym():
+    p = pii.Pseudonyms(b"k1")
+    digits = lambda s: "".join(c for c in s if c.isdigit())
+    for kind, forms in {"phone": ("(743) 555-3824", "743-555-3824", "743.555.3824", "+1 743 555 3824", "+1 (743) 555-3824"), "card": ("4390 6985 7587 3170", "4390698575873170", "4390-6985-7587-3170")}.items():
+        assert len({digits(p(kind, v))[-10:] for v in forms}) == 1 and all(pii.spans(p(kind, v)) == [(0, len(v), kind)] and p(kind, p(kind, v), True) == v for v in forms)
+    days = [("2001-03-25", "2001/03/25", "25.03.2001", "03/25/2001", "25/03/2001"), ("2001-03-05", "05.03.2001", "03/05/2001")]
+    for forms in days:
+        assert len({pii.parse_date(p("date", v))[0] for v in forms}) == 1 and all(p("date", p("date", v), True) == v for v in forms)
+
+
+def test_long_secrets_are_found_whole_and_invert():
+    p, r = pii.Pseudonyms(b"k1"), np.random.default_rng(3)
+    for n in (32, 64, 65, 128, 129, 160, 100_000):
+        for letters in ("0123456789abcdef", "0123456789ABCDEF", "0123456789abcdefABCDEF"):
+            v = "a0" * 2 + "".join(r.choice(list(letters), n - 4)) if letters[10] == "a" else "A0" * 2 + "".join(r.choice(list(letters), n - 4))
+            assert pii.spans(f"key {v}.") == [(4, 4 + n, "secret")]
+            new = p("secret", v)
+            assert new != v and len(new) == n and p("secret", new, True) == v and pii.spans(new) == [(0, n, "secret")]
+            other = p("secret", v[:-1] + ("1" if v[-1] != "1" else "2"))
+            assert other != new
+
+
+def brute_spans(text):
+    """Personal data by trying every substring: the first, then the longest, that is a whole value with free borders."""
+    import re
+
+    forms = {
+        "email": r"[a-z0-9.]+@[a-z0-9]+\.[a-z]+", "ssn": r"\d{3}-\d\d-\d{4}", "ip": r"\d{1,3}(\.\d{1,3}){3}", "date": r"\d{4}-\d\d-\d\d",
+        "card": r"\d{4}( \d{4}){3}", "phone": r"\(\d{3}\) \d{3}-\d{4}", "secret": r"[0-9a-f]{32,}",
+    }
+    valid = {"ssn": pii.is_ssn, "ip": pii.is_ip, "card": pii.is_card, "date": lambda v: pii.parse_date(v) is not None}
+    out, a = [], 0
+    word = lambda c: c.isalnum()
+    while a < len(text):
+        for b in range(len(text), a, -1):
+            v = text[a:b]
+            free = not (a and (word(text[a - 1]) or text[a - 1] in ".@") and word(v[0])) and not (b < len(text) and word(text[b]) and word(v[-1]))
+            kind = next((k for k, f in forms.items() if free and re.fullmatch(f, v) and valid.get(k, lambda _: True)(v)), None)
+            if kind:
+                out.append((a, b, kind))
+                a = b - 1
+                break
+        a += 1
+    return out
+
+
+def test_pseudonyms_equal_brute_force(spark):
+    r = np.random.default_rng(6)
+    pick = lambda *xs: xs[int(r.integers(len(xs)))]
+    d = lambda n: "".join(r.choice(list("0123456789"), n))
+
+    def value():
+        body = "4" + d(14)
+        card = body + pii.luhn_digit(body)
+        return pick(
+            f"user{d(2)}@mail{d(1)}.example", f"{d(3)}-{d(2)}-{d(4)}", f"{d(2)}.{d(3)}.{d(1)}.{d(2)}", f"{1900 + int(d(2))}-{d(2)}-{d(2)}",
+            " ".join(card[k : k + 4] for k in range(0, 16, 4)), " ".join(f"{r.integers(1000, 9999)}" for _ in range(4)), f"({2 + int(d(1)) % 8}{d(2)}) {d(3)}-{d(4)}", "".join(r.choice(list("0123456789abcdef"), pick(31, 32, 160))), "plain", d(5),
+        )
+
+    texts = [", and ".join(pick("some words", "we met") + " " + value() for _ in range(4)) + pick(".", "", "!") for _ in range(60)] + [None, "", "x"]
+    p = pii.Pseudonyms(pii.TEST_KEY)
+    for row in pii.report(docs(spark, texts).union(docs(spark, texts[:3]))).collect():
+        text, out, at, found = texts[row.doc_id], [], 0, []
+        for a, b, kind in brute_spans(text or ""):
+            out += [text[at:a], p(kind, text[a:b])]
+            at, found = b, [*found, kind]
+        want = None if text is None else "".join([*out, text[at:]])
+        assert (row.text, row.n_found, row.kinds) == (want, len(found), ",".join(sorted(set(found))))
+
+
+def test_a_key_is_needed_and_names_must_be_new(spark):
+    df = docs(spark, [PII["email"]])
+    for wrong in ({"key": b""}, {"key": b"k", "kinds_col": "lang"}):
+        with pytest.raises(ValueError):
+            pii.pseudonymise(df, **wrong)
+    spark.conf.set(pii.KEY_SETTING, "another")
+    try:
+        assert pii.report(df).first().text == pii.Pseudonyms(b"another")("email", PII["email"])
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_feistel_is_a_permutation():
     f = pii.Feistel(b"k")
     for m1, m2 in ((10, 10), (7, 13), (1, 10)):
