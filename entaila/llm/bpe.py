@@ -8,7 +8,9 @@ Pieces over `LONG_PIECE` bytes, for which a round a merge would be quadratic,
 are merged by a heap with the same order of merges.
 
 Results do not depend on batches: the piece cache only saves work.  Null and
-empty texts have no tokens; special-token strings are ordinary text.
+empty texts have no tokens; special-token strings are ordinary text.  Every row is
+returned, repeated ones too; an empty table gives none; other columns, of any names,
+are not read.
 """
 
 from __future__ import annotations

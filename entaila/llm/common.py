@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -87,9 +88,14 @@ def arrow_schema(ddl: str) -> pa.Schema:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors see, below spark.checkpoint.dir."""
+    """A new folder that the driver and all executors see, below spark.checkpoint.dir.
+
+    Only a session on this machine alone may leave that unset: it gets a folder of its own.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"

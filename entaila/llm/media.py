@@ -9,7 +9,8 @@ media embedded in other bytes.
 
 A null or empty text is 64 zero bytes.  Equal texts give equal files.  Bytes in
 which no candidate passes its validator have the type `unknown` and no carved
-parts.
+parts.  Every row is returned, repeated ones too; an empty table gives none; other
+columns, of any names, are not read.
 """
 
 from __future__ import annotations

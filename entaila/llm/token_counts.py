@@ -6,7 +6,9 @@ give, for every context limit, the documents that fit, the tokens of longer
 documents and the total after truncation.  The suffix sums run in two levels,
 blocks of `BLOCK` lengths and the lengths inside a block, so that no window
 spans all lengths.  A length is exact for any text; null and empty texts have
-length 0.  A null group is a group of its own.
+length 0.  A null group is a group of its own.  Repeated rows count each; documents
+of equal length share a row.  An empty table gives no rows; other columns, of any
+names, are not read.
 """
 
 from __future__ import annotations

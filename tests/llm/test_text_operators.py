@@ -66,6 +66,14 @@ def test_token_histogram(spark):
     assert token_counts.token_length_histogram(nulls, group_col="lang").first().docs == 2
 
 
+def test_long_texts_and_repeated_rows_of_the_encoder(spark):
+    enc = tiktoken_encoding()
+    texts = ["word and \n\n other 12 " * 250_000, "a" * 40_000, "x", "x"]  # the first is over one slice
+    for r in bpe.digests(docs(spark, texts).union(docs(spark, texts[:2]))).collect():
+        want = enc.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(want), sha(",".join(map(str, want))), sha(texts[r.doc_id]))
+
+
 # -- media ---------------------------------------------------------------------
 def test_media_round_trip(spark):
     df = docs(spark, ODD + ["RIFF BM P5\n1 1\n255\n GIF89a .snd"] * 2)
@@ -78,6 +86,11 @@ def test_media_round_trip(spark):
     assert a[1:] == b[1:]
 
 
+def test_media_of_an_empty_table(spark):
+    df = docs(spark, ["a"]).limit(0)
+    assert media.round_trip(df).count() == media.store(df).count() == media.sniff(media.store(df), "doc_id", "media", "declared").count() == 0
+
+
 def test_sniffing_corrects_and_carves():
     s = media.Sniffer()
     data = media.payload("some samples " * 30)
@@ -293,6 +306,30 @@ def test_quality(spark):
     assert quality.classify(df.limit(0), lab).count() == 0
 
 
+def test_quality_equals_brute_force(spark):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(rng.choice(["Stone", "river.", "went", "the", "of", "$$$", "BUY", "12"], int(rng.integers(1, 80)))) for _ in range(150)] + [None, "", "x" * 5000]
+    rows = [(k, t, k % 2, 0.5, "z") for k, t in enumerate(texts)] + [(0, texts[0], 1, 0.5, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, y int, score double, lid string")  # names that the operator uses
+    lab = [(k, int(len(texts[k] or "") % 3 == 0)) for k in range(0, 150, 2)]
+    got = sorted((r.doc_id, r.score, r.predicted, r.held_out) for r in quality.classify(df, spark.createDataFrame(lab, "doc_id long, quality int")).collect())
+    held = lambda k: zlib.crc32(str(k).encode()) % 3 == 1
+    learnt = sorted((k, y) for k, y in lab if not held(k)) + ([(0, dict(lab)[0])] if not held(0) else [])
+    learnt.sort()
+    m = quality.fit(np.array([quality.features(texts[k]) for k, _ in learnt]), np.array([y for _, y in learnt], float))
+
+    def brute(text):
+        x, z = quality.features(text or ""), m.bias
+        for j, v in enumerate(x):
+            z += m.tables[j][sum(e <= v for e in m.edges[j])]
+        for (a, b), grid in zip(m.pairs, m.pair_tables, strict=True):
+            z += grid[sum(e <= x[a] for e in m.pair_edges[a]), sum(e <= x[b] for e in m.pair_edges[b])]
+        return 1 / (1 + np.exp(-z))
+
+    want = sorted((k, brute(t), int(brute(t) >= 0.5), held(k)) for k, t, *_ in rows)
+    assert [(k, p, h) for k, _, p, h in got] == [(k, p, h) for k, _, p, h in want] and np.allclose([r[1] for r in got], [r[1] for r in want])
+
+
 def test_gam_is_additive_and_finds_a_pair():
     rng = np.random.default_rng(2)
     x = rng.random((3000, 3))
