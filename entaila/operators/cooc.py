@@ -11,31 +11,69 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import cut
+from .text import numbered
 
 EPS = 1e-12
+#: Words that are broadcast, at most.
+BROADCAST_WORDS = 500_000
 # Words without content of their own, and leftovers of addresses.
 STOPWORDS = ["the", "of", "and", "a", "an", "to", "in", "that", "it", "is", "was", "for", "on", "are", "as", "with", "he", "she", "at", "by", "this", "from", "or", "be"]
 JUNK = ["s", "t", "http", "https", "www"]
 
 
-def window_counts(chunks: DataFrame, vocab: DataFrame, first: int = 5, last: int = 19) -> DataFrame:
-    """(w1, w2, x), symmetric; chunks are (doc_id, start, tokens).
+def numbered_words(vocab: DataFrame) -> DataFrame:
+    """`vocab` with dense numbers idx in the order of the words."""
+    return cut(numbered(vocab, "word"))
+
+
+def encoded(df: DataFrame, known: DataFrame) -> DataFrame:
+    """`df` with the words in `tokens` as numbers, null for those not in `known` (word, cnt, idx).
 
-    The vocabulary meets the words once, before any pair is made: a chunk becomes
-    its known words' numbers with their places.  Each place then looks ahead by a
-    slice, so no range join is needed; pairs of numbers are counted map-side
-    before the shuffle, and words and the mirror image come after it.
+    A vocabulary of up to `BROADCAST_WORDS` words is broadcast.  Of a larger one
+    only words with a share of 1 / BROADCAST_WORDS of all places or more are, of
+    which there can be no more than that; the rest, none of them frequent, is
+    joined by a shuffle.
     """
-    known = cut(vocab.select("word").withColumn("id", F.monotonically_increasing_id()))
-    at = chunks.select("doc_id", "start", F.posexplode("tokens").alias("p", "word")).join(known, "word")
-    rows = at.groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("p", "id"))).alias("e"))
-    each = rows.select("e", F.posexplode("e").alias("k", "a"))
-    ahead = F.filter(F.slice("e", F.col("k") + 2, last), lambda x: x["p"].between(F.col("a.p") + first, F.col("a.p") + last))
-    pairs = each.select(F.col("a.id").alias("i"), F.explode(ahead).alias("j")).select(F.col("i").alias("a"), F.col("j.id").alias("b"))
-    fwd = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    both = fwd.unionByName(fwd.select(F.col("b").alias("a"), F.col("a").alias("b"), "c")).groupBy("a", "b").agg((F.sum("c") * 2).alias("x"))
-    name = lambda c, w: known.select(F.col("id").alias(c), F.col("word").alias(w))
-    return both.join(name("a", "w1"), "a").join(name("b", "w2"), "b").select("w1", "w2", "x")
+    keys = [c for c in df.columns if c != "tokens"]
+    at = df.select(*keys, F.posexplode("tokens").alias("_p", "word"))
+    words = known.select("word", "idx")
+    if known.count() <= BROADCAST_WORDS:
+        at = at.join(F.broadcast(words), "word", "left")
+    else:
+        places = known.agg(F.sum("cnt")).first()[0]
+        often = F.broadcast(known.filter(F.col("cnt") * BROADCAST_WORDS >= places).select("word", "idx"))
+        at = at.join(often, "word").unionByName(at.join(often, "word", "left_anti").join(words.hint("merge"), "word", "left"))
+    rows = at.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_p", "idx"))).alias("_e"))
+    return rows.select(*keys, F.transform("_e", lambda x: x["idx"]).alias("tokens"))
+
+
+def number_counts(chunks: DataFrame, first: int = 5, last: int = 19) -> DataFrame:
+    """(i, j, x), symmetric; the tokens of the chunks are numbers below 2^31 or null.
+
+    Each place looks ahead by a slice, so no range join is needed.  A pair is one
+    number, the lesser first, counted map-side before the one shuffle; the mirror
+    image is made from the counts.
+    """
+    ahead = F.slice("tokens", F.col("p") + first + 1, last - first + 1)
+    pairs = chunks.select("tokens", F.posexplode("tokens").alias("p", "a")).filter("a is not null").select("a", F.explode(ahead).alias("b")).filter("b is not null")
+    key = F.shiftleft(F.least("a", "b"), 32).bitwiseOR(F.greatest("a", "b"))
+    c = pairs.select(key.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    c = c.select(F.shiftright("key", 32).alias("a"), F.col("key").bitwiseAND(F.lit((1 << 32) - 1)).alias("b"), "c")
+    entry = lambda i, j, n: F.struct(F.col(i).alias("i"), F.col(j).alias("j"), (F.col("c") * n).alias("x"))
+    both = F.when(F.col("a") == F.col("b"), F.array(entry("a", "b", 4))).otherwise(F.array(entry("a", "b", 2), entry("b", "a", 2)))
+    return c.select(F.explode(both).alias("e")).select("e.*")
+
+
+def named(x: DataFrame, known: DataFrame, i: str = "i", j: str = "j") -> DataFrame:
+    """`x` with the words w1 and w2 in place of their numbers."""
+    name = lambda c, w: known.select(F.col("idx").alias(c), F.col("word").alias(w))
+    return x.join(name(i, "w1"), i).join(name(j, "w2"), j).select("w1", "w2", *[c for c in x.columns if c not in (i, j)])
+
+
+def window_counts(chunks: DataFrame, vocab: DataFrame, first: int = 5, last: int = 19) -> DataFrame:
+    """(w1, w2, x), symmetric; chunks are (doc_id, start, tokens)."""
+    known = numbered_words(vocab)
+    return named(number_counts(encoded(chunks, known), first, last), known)
 
 
 def mirrored(fwd: DataFrame) -> DataFrame:
@@ -68,41 +106,48 @@ def total(x: DataFrame, v: str = "x") -> DataFrame:
     return x.agg(F.coalesce(F.sum(v), F.lit(0)).alias("t"))
 
 
-def pmi(x: DataFrame, i: str = "w1", j: str = "w2", v: str = "x") -> DataFrame:
-    """`x` with its row sum r, column sum c, total t and pointwise mutual information (natural log)."""
+def pmi(x: DataFrame, i: str = "w1", j: str = "w2", v: str = "x", symmetric: bool = False) -> DataFrame:
+    """`x` with its row sum r, column sum c, total t and pointwise mutual information (natural log).
+
+    The sums of a symmetric matrix are taken once.
+    """
     rows = x.groupBy(i).agg(F.sum(v).alias("r"))
-    cols = x.groupBy(j).agg(F.sum(v).alias("c"))
-    t = total(x, v)
+    cols = rows.select(F.col(i).alias(j), F.col("r").alias("c")) if symmetric else x.groupBy(j).agg(F.sum(v).alias("c"))
+    t = total(rows, "r")
     out = x.join(rows, i).join(cols, j).crossJoin(F.broadcast(t))  # t is one row
     value = F.ln((F.col(v) * F.col("t").cast("double") + EPS) / (F.col("r").cast("double") * F.col("c") + EPS))
     return out.withColumn("pmi", value)
 
 
-def ppmi(x: DataFrame, shift: float = 1.0, i: str = "w1", j: str = "w2", v: str = "x") -> DataFrame:
+def ppmi(x: DataFrame, shift: float = 1.0, i: str = "w1", j: str = "w2", v: str = "x", symmetric: bool = False) -> DataFrame:
     """Shifted positive PMI; entries that become 0 stay."""
     if shift <= 0:
         raise ValueError("shift must be > 0")
-    return pmi(x, i, j, v).select(i, j, F.greatest(F.col("pmi") - F.ln(F.lit(float(shift))), F.lit(0.0)).alias("ppmi"))
+    return pmi(x, i, j, v, symmetric).select(i, j, F.greatest(F.col("pmi") - F.ln(F.lit(float(shift))), F.lit(0.0)).alias("ppmi"))
 
 
-def positive(x: DataFrame, shift: float | None = None, i: str = "i", j: str = "j", v: str = "v") -> DataFrame:
+def positive(x: DataFrame, shift: float | None = None, i: str = "i", j: str = "j", v: str = "v", symmetric: bool = False) -> DataFrame:
     """Positive PMI of any sparse matrix without its zeros, then shifted if shift > 0."""
-    out = pmi(x, i, j, v).filter("t > 0 and pmi > 0").select(i, j, F.col("pmi").alias(v))
+    out = pmi(x, i, j, v, symmetric).filter("t > 0 and pmi > 0").select(i, j, F.col("pmi").alias(v))
     if shift and shift > 0:
         out = out.withColumn(v, F.col(v) - F.ln(F.lit(float(shift)))).filter(F.col(v) > 0)
     return out
 
 
-def associates(values: DataFrame, counts: DataFrame, k: int = 10, least_len: int = 2, stopwords: list[str] = STOPWORDS, v: str = "ppmi") -> DataFrame:
+def associates(values: DataFrame, counts: DataFrame, k: int = 10, least_len: int = 2, stopwords: list[str] = STOPWORDS, v: str = "ppmi", numbers: tuple[str, str] | None = None) -> DataFrame:
     """(w1, rank, w2, value, freq): the k best partners of every word.
 
     max(50 k, 200) partners by value go in; then the word itself, short words,
-    junk and stop words are left out.  Ties are in order of the partner.
+    junk and stop words are left out.  Ties are in order of the partner.  With
+    `numbers`, the names of columns of word numbers (in the order of the words,
+    idx in `counts`), words come in after the first cut.
     """
-    best = Window.partitionBy("w1").orderBy(F.desc(v), "w2")
-    top = values.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= max(k * 50, 200)).filter(F.col(v) > 0)
+    a, b = numbers or ("w1", "w2")
+    top = values.withColumn("n", F.row_number().over(Window.partitionBy(a).orderBy(F.desc(v), b))).filter(F.col("n") <= max(k * 50, 200)).drop("n").filter(F.col(v) > 0)
+    if numbers:
+        top = named(top, counts, a, b)
     top = top.filter((F.col("w1") != F.col("w2")) & (F.length("w2") >= least_len) & ~F.col("w2").isin(JUNK + stopwords))
-    top = top.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    top = top.withColumn("rank", F.row_number().over(Window.partitionBy("w1").orderBy(F.desc(v), "w2"))).filter(F.col("rank") <= k)
     return top.join(counts.select(F.col("word").alias("w2"), F.col("cnt").alias("freq")), "w2", "left").select("w1", F.col("rank").cast("long").alias("rank"), "w2", F.col(v).alias("value"), F.coalesce("freq", F.lit(0)).alias("freq"))
 
 

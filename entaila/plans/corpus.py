@@ -17,10 +17,16 @@ def _chunks(spark: SparkSession, d: str, name: str) -> DataFrame:
     return text.chunked(text.tokenised(corpus(spark, d, name)))
 
 
+def _number_counts(spark: SparkSession, d: str, name: str = "conversations", least: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Counts of word numbers, and the words; a text's words are numbered once, before it is cut into chunks."""
+    tokens = text.tokenised(corpus(spark, d, name))
+    known = cooc.numbered_words(text.vocabulary(text.chunked(tokens), least))
+    return cut(cooc.number_counts(text.chunked(cooc.encoded(tokens, known)))), known  # both are read several times
+
+
 def _counts(spark: SparkSession, d: str, name: str = "conversations", least: int = 5) -> tuple[DataFrame, DataFrame]:
-    chunks = _chunks(spark, d, name)
-    vocab = cut(text.vocabulary(chunks, least))
-    return cut(cooc.window_counts(chunks, vocab)), vocab  # both are read several times
+    x, known = _number_counts(spark, d, name, least)
+    return cooc.named(x, known), known.select("word", "cnt")
 
 
 def _sql_in(words: list[str]) -> str:
@@ -60,8 +66,7 @@ def stopword_filter(spark, d):
 
 @query(f"WITH {sql.cooc('documents', 10)} SELECT w1, w2, x FROM x")
 def cooc_window(spark, d):
-    chunks = _chunks(spark, d, "documents")
-    return cooc.window_counts(chunks, text.vocabulary(chunks, 10))
+    return _counts(spark, d, "documents", 10)[0]
 
 
 @query(f"WITH {sql.cooc()} SELECT w1, w2, x FROM x")
@@ -90,20 +95,20 @@ _JOIN = "x JOIN rs a ON a.w = w1 JOIN rs b ON b.w = w2, tot"
 
 @query(f"WITH {sql.cooc()} SELECT w1, w2, round(greatest({_PMI}, 0), 6) + 0.0 AS ppmi FROM {_JOIN}")
 def ppmi(spark, d):
-    x, _ = _counts(spark, d)
-    return cooc.ppmi(x).withColumn("ppmi", rounded("ppmi"))
+    x, known = _number_counts(spark, d)
+    return cooc.named(cooc.ppmi(x, i="i", j="j", symmetric=True), known).withColumn("ppmi", rounded("ppmi"))
 
 
 @query(f"WITH {sql.cooc()} SELECT w1, w2, round({_PMI}, 6) AS x FROM {_JOIN} WHERE {_PMI} > 0")
 def ppmi_positive(spark, d):
-    x, _ = _counts(spark, d)
-    return cooc.positive(x, None, "w1", "w2", "x").withColumn("x", rounded("x"))
+    x, known = _number_counts(spark, d)
+    return cooc.named(cooc.positive(x, None, "i", "j", "x", True), known).withColumn("x", rounded("x"))
 
 
 @query(f"WITH {sql.cooc()} SELECT w1, w2, round(greatest({_PMI} - ln(5), 0), 6) + 0.0 AS ppmi FROM {_JOIN}")
 def shifted_ppmi(spark, d):
-    x, _ = _counts(spark, d)
-    return cooc.ppmi(x, 5.0).withColumn("ppmi", rounded("ppmi"))
+    x, known = _number_counts(spark, d)
+    return cooc.named(cooc.ppmi(x, 5.0, "i", "j", symmetric=True), known).withColumn("ppmi", rounded("ppmi"))
 
 
 @query(f"""WITH {sql.cooc('documents', 10)}, p AS (SELECT w1, w2, round(greatest({_PMI}, 0), 6) AS v FROM {_JOIN}),
@@ -112,8 +117,8 @@ f AS (SELECT *, row_number() OVER (PARTITION BY w1 ORDER BY v DESC, w2) AS rank
 SELECT w1, rank, w2, v AS value, cnt AS freq FROM f JOIN voc ON voc.w = w2 WHERE rank <= 10""")
 def topk_associates(spark, d):
     """The ten best partners of every word of the corpus by PPMI."""
-    x, vocab = _counts(spark, d, "documents", 10)
-    return cooc.associates(cooc.ppmi(x).withColumn("ppmi", rounded("ppmi")), vocab)
+    x, known = _number_counts(spark, d, "documents", 10)
+    return cooc.associates(cooc.ppmi(x, i="i", j="j", symmetric=True).withColumn("ppmi", rounded("ppmi")), known, numbers=("i", "j"))
 
 
 _PAIRS = """q AS (SELECT DISTINCT w1, w2 FROM (SELECT ws, unnest(range(1, len(ws))) AS i, list_extract(ws, i::INT) AS w1, list_extract(ws, i::INT + 1) AS w2 FROM (SELECT list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: w <> '') AS ws FROM benchmark) WHERE len(ws) > 1))"""
