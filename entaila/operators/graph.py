@@ -19,15 +19,17 @@ def adjacency(pairs: DataFrame, src: str = "hypo", dst: str = "hyper", label: st
     return p.select(F.trim(src).alias("src"), F.trim(dst).alias("dst")).filter("src <> '' and dst <> ''").distinct()
 
 
-def closure(edges: DataFrame, max_depth: int = 50) -> DataFrame:
+def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(src, dst, d): what is reached by one step or more, at its least distance.
 
-    Only pairs not met before go into the next round, so cycles end.
+    Only pairs not met before go into the next round, so cycles end.  With
+    `max_depth` only what is within so many steps.
     """
     step = edges.select(F.col("src").alias("s"), F.col("dst").alias("t"))
     front = cut(edges.select("src", "dst", F.lit(1).alias("d")).distinct())
-    seen = front
-    for k in range(2, max_depth + 1):
+    seen, k = front, 1
+    while max_depth is None or k < max_depth:
+        k += 1
         more = front.join(step, F.col("dst") == F.col("s")).select("src", F.col("t").alias("dst"), F.lit(k).alias("d")).distinct()
         front = cut(more.join(seen, ["src", "dst"], "left_anti"))
         if front.isEmpty():
@@ -56,12 +58,16 @@ def train_labels(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return out.withColumn("union", F.greatest("direct", "rowpath", "colpath"))
 
 
-def shortest_paths(starts: DataFrame, edges: DataFrame, max_depth: int = 50) -> DataFrame:
-    """(start, node, path): the shortest upward path to every node reached, first by name; start itself in front."""
+def shortest_paths(starts: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(start, node, path): the shortest upward path to every node reached, first by name; start itself in front.
+
+    With `max_depth` only nodes within so many steps.
+    """
     step = edges.select(F.col("src").alias("s"), F.col("dst").alias("t"))
     level = cut(starts.select(F.col("start"), F.col("start").alias("node"), F.array("start").alias("path")).distinct())
-    seen = level
-    for _ in range(max_depth):
+    seen, k = level, 0
+    while max_depth is None or k < max_depth:
+        k += 1
         more = level.join(step, F.col("node") == F.col("s")).select("start", F.col("t").alias("node"), F.concat("path", F.array("t")).alias("path"))
         more = more.groupBy("start", "node").agg(F.min("path").alias("path"))
         level = cut(more.join(seen, ["start", "node"], "left_anti"))

@@ -53,10 +53,12 @@ def child_places(edges: DataFrame, weights: DataFrame | None = None) -> DataFram
     return e.select("parent", "child", idx.alias("idx"), n.alias("n"), (F.coalesce(upto, F.lit(0.0)) / total).alias("before"), (F.col("f") / total).alias("share"))
 
 
-def paths(edges: DataFrame, weights: DataFrame | None = None, root: str = ROOT, max_depth: int = 50) -> DataFrame:
+def paths(edges: DataFrame, weights: DataFrame | None = None, root: str = ROOT, max_depth: int | None = None) -> DataFrame:
     """(node, path, depth, lo, hi, steps): one row for each path from the root.
 
     steps holds idx (from 1), n and share of every step that divides an interval.
+    A path ends before a node that it has already; with `max_depth` it has at most
+    so many steps.
     """
     spark = edges.sparkSession
     places = child_places(edges, weights)
@@ -65,9 +67,9 @@ def paths(edges: DataFrame, weights: DataFrame | None = None, root: str = ROOT,
     level = spark.range(1).select(F.lit(root).alias("node"), F.array(F.lit(root)).alias("path"), F.lit(0).cast("long").alias("depth"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"), F.array().cast(f"array<{kind}>").alias("steps"))
     found = [level]
     moved = F.col("n").isNotNull()
-    for _ in range(max_depth):
+    while max_depth is None or len(found) <= max_depth:
         width = F.col("hi") - F.col("lo")
-        nxt = level.join(step, F.col("node") == F.col("parent")).select(
+        nxt = level.join(step, F.col("node") == F.col("parent")).filter(~F.array_contains("path", F.col("child"))).select(
             F.col("child").alias("node"), F.concat("path", F.array("child")).alias("path"), (F.col("depth") + 1).alias("depth"),
             F.when(moved, F.col("lo") + F.col("before") * width).otherwise(F.col("lo")).alias("lo"),
             F.when(moved, F.col("lo") + (F.col("before") + F.col("share")) * width).otherwise(F.col("hi")).alias("hi"),

@@ -84,10 +84,43 @@ def test_files(spark, tmp_path):
     assert {r.key: r.vec for r in files.read_vectors(spark, str(tmp_path / "v.txt")).collect()} == {"a": [1.0, 2.0, 3.0], "b": [0.5, 0.0, -1.0]}
     (tmp_path / "c.txt").write_bytes("aé".encode() * 2)
     assert files.read_corpus(spark, str(tmp_path / "c.txt"), 5).first().text == "aéa"
+    for k, raw in enumerate((b"a\xef\xbf\xbdb\xff", "x\ufffdé漢🙂".encode(), b"\xf0\x9fA\xe2\x82\xe2\x82\xac\xc0\x80\xed\xa0\x80z", "🙂".encode()[:3])):
+        (tmp_path / f"raw{k}.bin").write_bytes(raw)
+        assert files.read_corpus(spark, str(tmp_path / f"raw{k}.bin")).first().text == raw.decode(errors="ignore")
+    (tmp_path / "named.csv").write_text("label,hypo,hyper,source\n1,dog,animal,x\n0, cat ,stone,y\n")
+    assert {(r.hypo, r.hyper, r.label, r.source) for r in files.read_pairs(spark, str(tmp_path / "named.csv")).collect()} == {("dog", "animal", 1, "x"), ("cat", "stone", 0, "y")}
+    (tmp_path / "half.csv").write_text("hypo,other\na,b\n")
+    with pytest.raises(ValueError):
+        files.read_pairs(spark, str(tmp_path / "half.csv"))
+    (tmp_path / "one.txt").write_text("a 1.0\nb 2.5\n")
+    assert {r.key: r.vec for r in files.read_vectors(spark, str(tmp_path / "one.txt")).collect()} == {"a": [1.0], "b": [2.5]}
+    kv = spark.createDataFrame([("x y", [1.0, -2.0]), ("z", [0.5, 0.25])], "key string, vec array<double>")
+    files.write_vectors(kv, str(tmp_path / "kv"))
+    assert {r.key: r.vec for r in files.read_vectors(spark, str(tmp_path / "kv" / "vectors")).collect()} == {"x_y": [1.0, -2.0], "z": [0.5, 0.25]}
+    assert spark.read.text(str(tmp_path / "kv" / "header")).first().value == "2 2" and spark.read.json(str(tmp_path / "kv" / "vocab")).count() == 2
     x = spark.createDataFrame([("a", "b", 1)], "w1 string, w2 string, x long")
     files.write_counts(str(tmp_path / "cc"), x, spark.createDataFrame([("a", 1)], "word string, cnt long"), window="5-19")
     _, vocab, meta = files.read_counts(spark, str(tmp_path / "cc"))
-    assert vocab.count() == 1 and meta == {"min_count": "5", "window": "5-19"}
+    assert vocab.count() == 1 and meta == {"min_count": "5", "window": "5-19", "total": "1"}
+    x.write.parquet(str(tmp_path / "bare" / "cooc"))
+    with pytest.raises(ValueError):
+        files.read_counts(spark, str(tmp_path / "bare"))
+    assert {(r.word, r.cnt) for r in files.read_word_counts(spark, str(tmp_path / "cc")).collect()} == {("a", 1)}
+    spark.createDataFrame([("a", 0), ("b", 1)], "word string, idx long").write.parquet(str(tmp_path / "wc" / "vocab"))
+    assert files.read_word_counts(spark, str(tmp_path / "wc")) is None
+    with pytest.raises(ValueError):
+        files.read_word_counts(spark, str(tmp_path / "wc"), strict=True)
+    spark.createDataFrame([(0, 7), (1, 9)], "idx long, cnt long").write.parquet(str(tmp_path / "wc" / "counts"))
+    assert {(r.word, r.cnt) for r in files.read_word_counts(spark, str(tmp_path / "wc"), strict=True).collect()} == {("a", 7), ("b", 9)}
+    files.write_codewords(spark.createDataFrame([("n", [1, 2])], "node string, steps array<int>"), str(tmp_path / "cw"), "entity", "log", precision=6)
+    cw, settings = files.read_codewords(spark, str(tmp_path / "cw"))
+    assert cw.first().steps == [1, 2] and settings == {"root": "entity", "weights": "log", "base_interval": False, "precision": 6}
+    (tmp_path / "m.csv").write_text("i,j,v\na,b,0.5\n")
+    (tmp_path / "m.txt").write_text("a 0 2.5\nb 1 0\n")
+    assert [tuple(r) for r in files.read_matrix(spark, str(tmp_path / "m.csv")).collect()] == [("a", "b", 0.5)]
+    assert sorted(tuple(r) for r in files.read_matrix(spark, str(tmp_path / "m.txt")).collect()) == [("a", "1", 2.5), ("b", "0", 1.0)]
+    with pytest.raises(ValueError):
+        files.read_matrix(spark, str(tmp_path / "m.npy"))
     lab = spark.createDataFrame([(1, "test", "direct", 1), (1, "train", "union", 0)], "pair_id long, split string, target string, y int")
     files.write_bundle(str(tmp_path / "b"), {"m": x}, lab)
     assert files.targets(spark, str(tmp_path / "b")) == ["direct"] and files.read_matrix(spark, str(tmp_path / "b"), "m").count() == 1
