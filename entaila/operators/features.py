@@ -62,6 +62,15 @@ def joined_vectors(pairs: DataFrame, kv: DataFrame, a: str = "hypo", b: str = "h
     return j.select(*pairs.columns, hit.alias("hit"), F.when(hit, F.concat(f"_{a}", f"_{b}")).alias("features"))
 
 
+def endpoints(pairs: DataFrame, kv: DataFrame, dim: int, a: str = "hypo", b: str = "hyper") -> DataFrame:
+    """`pairs` with hit (both sides have a vector) and features: both sides' arrays in one, zeros for a missing one."""
+    v = lambda side: kv.select(F.col("key").alias(side), F.col("vec").alias(f"_{side}"))
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    j = pairs.join(v(a), a, "left").join(v(b), b, "left")
+    hit = F.col(f"_{a}").isNotNull() & F.col(f"_{b}").isNotNull()
+    return j.select(*pairs.columns, hit.alias("hit"), F.concat(F.coalesce(f"_{a}", zeros), F.coalesce(f"_{b}", zeros)).alias("features"))
+
+
 def with_scalar(features: DataFrame, col: str) -> DataFrame:
     return features.withColumn("features", F.concat("features", F.array(F.coalesce(F.col(col), F.lit(0)).cast("double"))))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import f_and, f_implies, f_not, pmean_error as pmean, rounded
+from ..functions.storage import cut
 from ..operators import evaluate, features, graph, hierarchy, logic, models, resolve, text
 from ..sources.tables import edges, table, term_pairs
 from . import sql
@@ -102,11 +103,17 @@ def pair_coverage(spark, d):
     return _closure_pairs(spark, d).agg(F.count(F.lit(1)).alias("pairs"), rounded(F.avg(F.col("hit").cast("int"))).alias("coverage"), rounded(F.avg("y")).alias("pos_rate"))
 
 
-@query(f"{_VP} SELECT pair_id, CAST(len(xa) + len(xb) + 1 AS BIGINT) AS width, label::DOUBLE AS last FROM vp WHERE xa IS NOT NULL AND xb IS NOT NULL")
+def _katz(spark, d):
+    """Truncated Katz sums of the hierarchy's edges."""
+    return graph.katz(graph.matrix(edges(spark, d).select(F.col("child").alias("src"), F.col("parent").alias("dst"))))
+
+
+@query(f"""{_VP}, kz AS (SELECT node, a, sum(pow(0.01, d)) AS s FROM (SELECT node, path, unnest(path) AS a, depth + 1 - unnest(range(1, len(path) + 1)) AS d FROM path) WHERE d BETWEEN 1 AND 5 GROUP BY 1, 2)
+SELECT pair_id, CAST(len(xa) + len(xb) + 1 AS BIGINT) AS width, round(coalesce(s, 0), 9) AS last FROM vp LEFT JOIN kz ON kz.node = hypo AND kz.a = hyper WHERE xa IS NOT NULL AND xb IS NOT NULL""")
 def append_scalar(spark, d):
-    """Pair features with the label as one more column."""
-    f = features.with_scalar(_closure_pairs(spark, d).filter("hit"), "label")
-    return f.select("pair_id", F.size("features").cast("long").alias("width"), F.element_at("features", -1).alias("last"))
+    """Pair features with the pair's Katz score as one more column."""
+    f = features.with_scalar(graph.pair_scores(_closure_pairs(spark, d).filter("hit"), _katz(spark, d)), "score")
+    return f.select("pair_id", F.size("features").cast("long").alias("width"), rounded(F.element_at("features", -1), 9).alias("last"))
 
 
 @query(f"""WITH RECURSIVE {sql.paths()}, {sql.CANON}, {sql.TERM_PAIRS} SELECT pair_id, x.node IS NOT NULL AND y.node IS NOT NULL AS hit, CAST(len(x.steps) AS BIGINT) AS hypo_steps, CAST(len(y.steps) AS BIGINT) AS hyper_steps FROM tp LEFT JOIN canon x ON x.node = hypo LEFT JOIN canon y ON y.node = hyper""")
@@ -210,9 +217,13 @@ def leaderboard(spark, d):
 
 
 # -- learners (rows only) ------------------------------------------------------------------
+def _parts(df):
+    """Three quarters of the pairs and the rest."""
+    return df.filter(F.pmod(F.xxhash64("pair_id"), F.lit(4)) > 0), df.filter(F.pmod(F.xxhash64("pair_id"), F.lit(4)) == 0)
+
+
 def _split(spark, d):
-    f = _closure_pairs(spark, d).filter("hit").select("pair_id", "label", "features")
-    return f.filter(F.pmod(F.xxhash64("pair_id"), F.lit(4)) > 0), f.filter(F.pmod(F.xxhash64("pair_id"), F.lit(4)) == 0)
+    return _parts(_closure_pairs(spark, d).filter("hit").select("pair_id", "hypo", "hyper", "label", "y", "features"))
 
 
 @query()
@@ -223,18 +234,34 @@ def logreg(spark, d):
 
 @query()
 def model_grid(spark, d):
-    train, test = _split(spark, d)
-    return models.grid(train, test, {"vectors": "features"})
+    """Two learners on the vectors and on their first halves, for the pairs' label and for the bounded one."""
+    half = lambda df: df.withColumn("short", F.concat(F.slice("features", 1, 32), F.slice("features", 65, 32)))
+    train, test = map(half, _split(spark, d))
+    return models.grid(train, test, {"vectors": "features", "short": "short"}, ["label", "y"])
 
 
 @query()
 def grid_comparison(spark, d):
-    """The grid without and with one more column."""
+    """The grid without and with the pair's Katz score as one more column."""
+    katz = _katz(spark, d)
     train, test = _split(spark, d)
-    more = lambda df: features.with_scalar(df, "pair_id")
+    more = lambda df: features.with_scalar(graph.pair_scores(df, katz), "score")
     return models.compare_grids(models.grid(train, test, {"vectors": "features"}, mlp=False), models.grid(more(train), more(test), {"vectors+katz": "features"}, mlp=False))
 
 
+@query()
+def model_sweep(spark, d):
+    """Vectors of two sizes and a model without any: learners on each, on the Katz score and on the codewords."""
+    pairs = graph.pair_scores(_closure_pairs(spark, d).drop("hit", "features"), _katz(spark, d)).withColumn("katz", F.array("score"))
+    flat = hierarchy.padded(hierarchy.canonical(_paths(spark, d))).select(F.col("node").alias("key"), F.col("flat").alias("vec"))
+    width = flat.agg(F.max(F.size("vec"))).first()[0]
+    pairs = features.endpoints(pairs, flat, width).drop("hit").withColumnRenamed("features", "codeword")
+    kv = _place_vectors(spark, d)
+    sized = lambda n: kv.select("key", F.slice("vec", 1, n).alias("vec"))
+    found = {"places_16": lambda: sized(16), "places_64": lambda: sized(64), "none": lambda: kv.limit(0)}
+    return models.sweep(found, *_parts(pairs), {"katz": "katz", "codeword": "codeword"}, "y")
+
+
 @query()
 def ols_formula(spark, d):
     """Extended price by quantity, return flag and their interaction."""
@@ -274,29 +301,44 @@ def logic_history(spark, d):
 
 
 # -- fuzzy logic -----------------------------------------------------------------------------
+def _score(u, v):
+    """A closed-form relation of two vectors, which is not symmetric."""
+    return 1 / (1 + F.exp(-4 * F.aggregate(F.zip_with(u, F.transform(v, lambda x, i: x * (1 + i / 64.0)), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)))
+
+
+def _entities(spark, d):
+    """(key, vec): every embedding by its number."""
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+
+
 def _h(spark, d):
-    """Truth of a closed-form relation between the mean embeddings of all labels."""
-    kv = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("key"), F.posexplode(F.transform("embedding", lambda x: x.cast("double"))).alias("i", "v"))
-    mean = kv.groupBy("key", "i").agg(F.avg("v").alias("v")).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("vec"))
-    score = lambda u, v: 1 / (1 + F.exp(-4 * F.aggregate(F.zip_with(u, F.transform(v, lambda x, i: x * (1 + i / 64.0)), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)))
-    return logic.truth(mean, score)
+    """Truth over all ordered pairs of embeddings."""
+    return cut(logic.truth(_entities(spark, d), _score))
+
 
+def _h_stated(spark, d):
+    """Truth over the stated entities of the axioms on three and four variables: as many as there are nations and regions."""
+    return cut(logic.truth(logic.first_entities(_entities(spark, d), 30), _score))
 
-_H = """WITH e AS (SELECT label::BIGINT AS key, i, avg(v) AS v FROM (SELECT label, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1, 2),
+
+_H = """WITH e AS (SELECT vec_id AS key, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS i FROM embeddings),
 h AS (SELECT a.key AS x, b.key AS y, 1 / (1 + exp(-4 * sum(a.v * b.v * (1 + b.i / 64.0)))) AS h FROM e a JOIN e b ON a.i = b.i GROUP BY 1, 2),
-tr AS (SELECT 1 - sqrt(avg(pow(a.h * b.h - a.h * b.h * c.h, 2))) AS sat FROM h a JOIN h b ON a.y = b.x JOIN h c ON c.x = a.x AND c.y = b.y),
+st AS (SELECT key FROM (SELECT DISTINCT key FROM e) ORDER BY md5(key::VARCHAR), key LIMIT 30),
+hs AS (SELECT * FROM h WHERE x IN (SELECT key FROM st) AND y IN (SELECT key FROM st)),
+tr AS (SELECT 1 - sqrt(avg(pow(a.h * b.h - a.h * b.h * c.h, 2))) AS sat FROM hs a JOIN hs b ON a.y = b.x JOIN hs c ON c.x = a.x AND c.y = b.y),
 ir AS (SELECT 1 - sqrt(avg(pow(h, 2))) AS sat FROM h WHERE x = y),
 sy AS (SELECT 1 - sqrt(avg(pow(1 - (1 - a.h + a.h * (1 - b.h)), 2))) AS sat FROM h a JOIN h b ON a.x = b.y AND a.y = b.x),
-wy AS (SELECT a.x, c.y, 1 - sqrt(avg(pow(1 - a.h * b.h * c.h, 2))) AS s FROM h a JOIN h b ON a.y = b.x JOIN h c ON b.y = c.x GROUP BY 1, 2),
-cl AS (SELECT 1 - sqrt(avg(pow(1 - (1 - h + h * s), 2))) AS sat FROM h JOIN wy USING (x, y)),
-lp AS (SELECT x, y, CASE WHEN y = (x + 1) % 10 THEN 1 ELSE 0 END AS label FROM h WHERE y = (x + 1) % 10 OR y = (x + 9) % 10),
-da AS (SELECT label, 1 - sqrt(avg(pow(1 - CASE WHEN label = 1 THEN h ELSE 1 - h END, 2))) AS sat FROM lp JOIN h USING (x, y) GROUP BY 1)"""
+wy AS (SELECT a.x, c.y, 1 - sqrt(avg(pow(1 - a.h * b.h * c.h, 2))) AS s FROM hs a JOIN hs b ON a.y = b.x JOIN hs c ON b.y = c.x GROUP BY 1, 2),
+cl AS (SELECT 1 - sqrt(avg(pow(1 - (1 - h + h * s), 2))) AS sat FROM hs JOIN wy USING (x, y)),
+lp AS (SELECT x, y, CASE WHEN y = x + 1 THEN 1 ELSE 0 END AS label, CASE WHEN x % 4 = 0 THEN 'test' ELSE 'train' END AS split FROM h WHERE y = x + 1 OR y = x - 1),
+da AS (SELECT split, label, 1 - sqrt(avg(pow(1 - CASE WHEN label = 1 THEN h ELSE 1 - h END, 2))) AS sat FROM lp JOIN h USING (x, y) GROUP BY 1, 2)"""
 
 
-def _label_pairs(h):
-    """Every label with the next (true) and the one before (false)."""
-    p = h.filter("y = (x + 1) % 10 or y = (x + 9) % 10")
-    return p.select("x", "y", F.when(F.col("y") == (F.col("x") + 1) % 10, 1).otherwise(0).alias("label"))
+def _label_pairs(spark, d):
+    """(x, y, label, split): every embedding with the next (true) and the one before (false); every fourth is for testing."""
+    n = table(spark, d, "embeddings").select(F.col("vec_id").alias("x"))
+    p = n.select("x", (F.col("x") + 1).alias("y"), F.lit(1).alias("label")).unionByName(n.select("x", (F.col("x") - 1).alias("y"), F.lit(0).alias("label")))
+    return p.join(n.select(F.col("x").alias("y")), "y").withColumn("split", F.when(F.col("x") % 4 == 0, "test").otherwise("train"))
 
 
 @query(f"{_H} SELECT x, y, round(h, 6) AS h FROM h")
@@ -320,34 +362,36 @@ def pmean_error(spark, d):
 
 @query(f"{_H} SELECT round(sat, 6) AS sat FROM tr")
 def transitivity_sat(spark, d):
-    return _six(logic.transitivity(_h(spark, d)))
+    return _six(logic.transitivity(_h_stated(spark, d)))
 
 
 @query(f"{_H} SELECT round(sy.sat, 6) AS asymmetry, round(ir.sat, 6) AS irreflexivity FROM sy, ir")
 def asymmetry_sat(spark, d):
     h = _h(spark, d)
-    return _six(logic.asymmetry(h).withColumnRenamed("sat", "asymmetry").crossJoin(logic.irreflexivity(h).withColumnRenamed("sat", "irreflexivity")))
+    own = logic.irreflexivity(logic.own_truth(_entities(spark, d), _score))
+    return _six(logic.asymmetry(h).withColumnRenamed("sat", "asymmetry").crossJoin(F.broadcast(own.withColumnRenamed("sat", "irreflexivity"))))  # one row each
 
 
 @query(f"{_H} SELECT round(sat, 6) AS sat FROM cl")
 def closure_sat(spark, d):
-    return _six(logic.closure(_h(spark, d)))
+    return _six(logic.closure(_h_stated(spark, d)))
 
 
-@query(f"{_H} SELECT label, round(sat, 6) AS sat FROM da")
+@query(f"{_H} SELECT split, label, round(sat, 6) AS sat FROM da")
 def data_axioms(spark, d):
-    h = _h(spark, d)
-    return _six(logic.data_axioms(_label_pairs(h), h))
+    return _six(logic.data_axioms(_label_pairs(spark, d), logic.pair_truth(_label_pairs(spark, d), _entities(spark, d), _score), ["split"]))
 
 
-@query(f"""{_H}, al AS (SELECT 'transitivity' AS axiom, sat FROM tr UNION ALL SELECT 'irreflexivity', sat FROM ir UNION ALL SELECT 'asymmetry', sat FROM sy UNION ALL SELECT 'closure', sat FROM cl UNION ALL SELECT CASE WHEN label = 1 THEN 'positive' ELSE 'negative' END, sat FROM da)
-SELECT axiom, round(sat, 6) AS sat FROM al UNION ALL SELECT 'overall', round(1 - sqrt(avg(pow(1 - sat, 2))), 6) FROM al""")
+@query(f"""{_H}, al AS (SELECT split, axiom, sat FROM (SELECT 'transitivity' AS axiom, sat FROM tr UNION ALL SELECT 'irreflexivity', sat FROM ir UNION ALL SELECT 'asymmetry', sat FROM sy UNION ALL SELECT 'closure', sat FROM cl), (SELECT DISTINCT split FROM lp) UNION ALL SELECT split, CASE WHEN label = 1 THEN 'positive' ELSE 'negative' END, sat FROM da)
+SELECT split, axiom, round(sat, 6) AS sat FROM al UNION ALL SELECT split, 'overall', round(1 - sqrt(avg(pow(1 - sat, 2))), 6) FROM al GROUP BY split""")
 def axiom_breakdown(spark, d):
-    h = _h(spark, d)
-    return _six(logic.breakdown(_label_pairs(h), h))
+    """Every axiom's satisfaction by split, and overall."""
+    return _six(logic.breakdown(_label_pairs(spark, d), _h(spark, d), _h_stated(spark, d), ["split"]))
 
 
-@query(f"{_H} SELECT 0::BIGINT AS epoch, 'train' AS split, label, x, y, round(CASE WHEN label = 1 THEN h ELSE 1 - h END, 6) AS sat FROM lp JOIN h USING (x, y)")
+@query(f"{_H} SELECT 0::BIGINT AS epoch, split, label, x, y, round(CASE WHEN label = 1 THEN h ELSE 1 - h END, 6) AS sat FROM lp JOIN h USING (x, y)")
 def pair_snapshots(spark, d):
-    h = _h(spark, d)
-    return _six(logic.snapshots(_label_pairs(h), h, 0, "train"))
+    p = _label_pairs(spark, d)
+    h = logic.pair_truth(p, _entities(spark, d), _score)
+    shots = [logic.snapshots(p.filter(F.col("split") == name).drop("split"), h, 0, name) for name in ("train", "test")]
+    return _six(shots[0].unionByName(shots[1]))

@@ -137,8 +137,62 @@ def test_learners(spark):
     got = models.logistic(df, df, standardise=True)
     assert got.filter("y_pred = label").count() == 60
     assert models.perceptron(df, df, 6000) is None
-    g = models.grid(df, df, {"f": "features"})
-    assert g.count() == 2 and {r.clf for r in g.collect()} == {"logreg", "mlp"}
+    assert models.elu_network(df, df, 6000) is None
+    twice = models.elu_network(df, df, 2, epochs=3000).collect()
+    assert sum(r.y_pred == r.label for r in twice) >= 58
+    both = df.withColumn("other", 1 - df["label"])
+    g = models.grid(both, both, {"f": "features"}, ["label", "other"]).collect()
+    assert [(r.target, r.clf) for r in g] == [("label", "logreg"), ("label", "mlp"), ("other", "logreg"), ("other", "mlp")] and g[0].acc == 1.0
+
+
+def test_network_gradients():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    net = models.EluNetwork(3, seed=1)
+    x, y = rng.normal(size=(8, 3)), rng.integers(0, 2, 8).astype(float)
+    loss = lambda: -np.mean(y * np.log(net.forward(x)[-1]) + (1 - y) * np.log(1 - net.forward(x)[-1]))
+    before = [p.copy() for layer in net.layers for p in layer]
+    want = []
+    for p in (p for layer in net.layers for p in layer):
+        g = np.zeros_like(p)
+        for k in np.ndindex(*p.shape):
+            p[k] += 1e-6
+            up = loss()
+            p[k] -= 2e-6
+            g[k] = (up - loss()) / 2e-6
+            p[k] += 1e-6
+        want.append(g)
+    net.fit(x, y, epochs=1, batch=8, rate=1e-3)  # Adam's first step is the rate, against the gradient's sign
+    for p, b, g in zip((p for layer in net.layers for p in layer), before, want, strict=True):
+        big = np.abs(g) > 1e-4
+        assert np.allclose((p - b)[big], -1e-3 * np.sign(g)[big], rtol=1e-2)
+
+
+def test_sweep_keeps_the_errors(spark):
+    pairs = spark.createDataFrame([(k, f"n{k}", "up" if k % 2 else "down", k % 2, [float(k % 2)]) for k in range(24)], "pair_id long, hypo string, hyper string, label int, extra array<double>")
+    kv = spark.createDataFrame([(f"n{k}", [1.0, 0.0]) for k in range(20)] + [("up", [0.0, 1.0]), ("down", [0.0, -1.0])], "key string, vec array<double>")
+
+    def broken():
+        raise RuntimeError("no such file")
+
+    rows = models.sweep({"good": lambda: kv, "empty": lambda: kv.limit(0), "bad": broken}, pairs.filter("pair_id % 3 > 0"), pairs.filter("pair_id % 3 = 0"), {"extra": "extra"}, mlp=False).collect()
+    good = [r for r in rows if r.run_tag == "good"]
+    assert {(r["matrix"], r["clf"]) for r in good} == {(m, c) for m in ("vectors", "extra") for c in ("logreg", "mlp")}
+    assert all(r.vector_dim == 2 and r.kv_size == 22 and r.seconds > 0 and 0.8 < r.coverage_train < 0.9 for r in good) and [r.acc for r in good if r["clf"] == "logreg"] == [1.0, 1.0]
+    assert {r.run_tag: r.error for r in rows if r.error} == {"empty": "the model has no vectors", "bad": "no such file"}
+
+
+def test_axioms_of_stated_entities(spark):
+    e = spark.createDataFrame([(k, [float(k)]) for k in range(9)], "key long, vec array<double>")
+    score = lambda u, v: (u[0] < v[0]).cast("double")
+    few = logic.first_entities(e, 4)
+    assert few.count() == 4 and sorted(few.collect()) == sorted(logic.first_entities(e.repartition(5), 4).collect())
+    pairs = spark.createDataFrame([(1, 2, 1, "a"), (3, 2, 0, "b"), (1, 99, 1, "b")], "x long, y long, label int, split string")
+    assert {(r.x, r.y): r.h for r in logic.pair_truth(pairs, e, score).collect()} == {(1, 2): 1.0, (3, 2): 0.0}
+    assert logic.irreflexivity(logic.own_truth(e, score)).first().sat == 1.0
+    rows = logic.breakdown(pairs, logic.truth(e, score), logic.truth(few, score), ["split"]).collect()
+    assert {(r.split, r.axiom) for r in rows} == {(s, a) for s in "ab" for a in ("transitivity", "irreflexivity", "asymmetry", "closure", "overall")} | {("a", "positive"), ("b", "negative")}
 
 
 def test_stream_counts(spark, tmp_path):
