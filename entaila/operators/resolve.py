@@ -218,5 +218,14 @@ def first_synsets(*tables: DataFrame) -> DataFrame:
 
 
 def pseudo_vector(key: Column, dim: int, scale: float = 0.1) -> Column:
-    """A vector that follows from the key alone, for keys without one."""
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.pmod(F.xxhash64(key, i), F.lit(2_000_001)) - 1_000_000) / F.lit(1_000_000.0) * scale)
+    """A vector that follows from the key alone, for keys without one: 28 bits of the md5 of key|place each."""
+    place = lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", key, i.cast("string"))), 1, 7), 16, 10).cast("double")
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (place(i) / F.lit(float(1 << 27)) - 1) * scale)
+
+
+def entity_vectors(keys: DataFrame, kv: DataFrame, dim: int, scale: float = 0.1) -> DataFrame:
+    """(key, vec) of every key: its own vector, or the pseudo-vector of the key; vectors of another size are an error."""
+    odd = kv.filter(F.size("vec") != dim).select("key").first()
+    if odd is not None:
+        raise ValueError(f"the vector of {odd['key']!r} does not have {dim} dimensions")
+    return keys.select("key").distinct().join(kv.select("key", "vec"), "key", "left").select("key", F.coalesce("vec", pseudo_vector(F.col("key"), dim, scale)).alias("vec"))

@@ -290,14 +290,13 @@ def ball_embedding(spark, d):
 
 @query()
 def logic_history(spark, d):
-    """The satisfaction by epoch of a predicate trained on the term pairs."""
+    """Satisfaction by epoch of predicates and entities trained on the term pairs, for vectors of two sizes, without and with the Katz score."""
     from ..operators import training
 
     kv = _place_vectors(spark, d)
-    v = lambda s, c: kv.select(F.col("key").alias(s), F.col("vec").alias(c))
-    p = term_pairs(spark, d).join(v("hypo", "x_vec"), "hypo").join(v("hyper", "y_vec"), "hyper")
-    _, history = training.train_predicate(p, kv, 64, epochs=8)
-    return spark.createDataFrame(history)
+    p = graph.pair_scores(term_pairs(spark, d), _katz(spark, d)).withColumn("split", F.when(F.pmod("pair_id", F.lit(4)) == 0, "test").otherwise("train"))
+    keys = p.select(F.col("hypo").alias("key")).union(p.select("hyper"))
+    return training.logic_runs({"places_16": kv.select("key", F.slice("vec", 1, 16).alias("vec")), "places_64": kv}, p, keys, epochs=6)
 
 
 # -- fuzzy logic -----------------------------------------------------------------------------

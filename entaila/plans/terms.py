@@ -170,9 +170,9 @@ def token_average(spark, d):
     return _total(resolve.token_average(_phrases(spark, d), keyed(spark, d)), "phrase")
 
 
-@query("SELECT 'part.' || p_partkey AS node, array_to_string(['part.' || p_partkey, replace(lower(p_name), ' ', '_'), lower(p_name), split_part(lower(p_name), ' ', 1), split_part(lower(p_name), ' ', 2)], '|') AS keys FROM part WHERE split_part(p_name, ' ', 1) <> split_part(p_name, ' ', 2)")
+@query("SELECT node, array_to_string(list_filter(k, lambda x, i: list_position(k, x) = i), '|') AS keys FROM (SELECT 'part.' || p_partkey AS node, list_concat(['part.' || p_partkey, replace(lower(p_name), ' ', '_'), lower(p_name)], string_split(lower(p_name), ' ')) AS k FROM part)")
 def synset_keys(spark, d):
-    p = _lemmas(spark, d).withColumnRenamed("synset", "node").filter("element_at(split(lemma, '_'), 1) <> element_at(split(lemma, '_'), 2)")
+    p = _lemmas(spark, d).withColumnRenamed("synset", "node")
     return p.select("node", F.array_join(resolve.node_keys(), "|").alias("keys"))
 
 
@@ -249,10 +249,14 @@ def poincare_distance(spark, d):
     return e.join(nxt, "vec_id").select("vec_id", rounded(ball_distance(F.col("u"), F.col("v"))).alias("distance"))
 
 
-@query()
+@query(f"""WITH {_KV}, nm2 AS (SELECT DISTINCT replace(lower(p_name), ' ', '_') AS key FROM part),
+pv AS (SELECT key, unnest(range(64)) AS i FROM nm2 WHERE key NOT IN (SELECT key FROM kv)),
+pq AS (SELECT key, i, (('0x' || left(md5(key || '|' || i), 7))::BIGINT / 134217728.0::DOUBLE - 1) * 0.1 AS v FROM pv),
+al AS (SELECT key, true AS hit, i, v FROM nm2 JOIN kd USING (key) UNION ALL SELECT key, false, i, v FROM pq)
+SELECT key, hit, {_CHECK} FROM al GROUP BY 1, 2""")
 def pseudo_vectors(spark, d):
     """A vector for every part name: its own, or one that follows from the name."""
     kv = keyed(spark, d)
     names = table(spark, d, "part").select(F.translate(F.lower("p_name"), " ", "_").alias("key")).distinct()
-    j = names.join(kv, "key", "left")
-    return _total(j.select("key", F.col("vec").isNotNull().alias("hit"), F.coalesce("vec", resolve.pseudo_vector(F.col("key"), 64)).alias("vec")), "key", "hit")
+    got = resolve.entity_vectors(names, kv.join(names, "key", "left_semi"), 64)
+    return _total(got.join(kv.select("key", F.lit(True).alias("h")), "key", "left").select("key", F.coalesce("h", F.lit(False)).alias("hit"), "vec"), "key", "hit")
