@@ -49,10 +49,11 @@ def interval_width(lo: Column, hi: Column) -> Column:
 
 
 def interval_overlap(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
-    """2 |a and b| / (|a| + |b|); 0 if they don't overlap or are empty."""
+    """2 |a and b| / (|a| + |b|); 0 if they don't overlap or are empty, null if a bound is null."""
     inter = F.least(hi1, hi2) - F.greatest(lo1, lo2)
     both = interval_width(lo1, hi1) + interval_width(lo2, hi2)
-    return F.when((inter <= 0) | (both <= 0), 0.0).otherwise(2 * inter / both)
+    known = lo1.isNotNull() & hi1.isNotNull() & lo2.isNotNull() & hi2.isNotNull()  # least and greatest pass over nulls
+    return F.when(known, F.when((inter <= 0) | (both <= 0), 0.0).otherwise(2 * inter / both))
 
 
 def ball_distance(u: Column, v: Column) -> Column:

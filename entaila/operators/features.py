@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import interval_overlap, interval_width
+from ..functions.storage import cut
 from . import hierarchy, vectorize
 
 
@@ -96,17 +98,36 @@ def build_all(pairs: DataFrame, path: DataFrame, picked: DataFrame, probs: DataF
     }
 
 
-def diagnostics(pairs: DataFrame, path: DataFrame, sp: DataFrame) -> DataFrame:
-    """For every resolved pair: path and its number of nodes, similarity, lowest common ancestor, common
-    ancestors (count and first ten), interval through the hypernym, overlap of canonical intervals."""
-    p = pairs.select("pair_id", F.col("hypo_syn").alias("a"), F.col("hyper_syn").alias("b"))
-    canon = hierarchy.canonical(path)
-    wup = hierarchy.wu_palmer(p, path)
+def diagnostics(pairs: DataFrame, path: DataFrame, sp: DataFrame, data_sp: DataFrame | None = None) -> DataFrame:
+    """What the hierarchy and a data graph say of every pair (pair_id, hypo_syn, hyper_syn); nulls if a side is null.
+
+    ds_path and ds_len, wn_path and wn_len: the shortest way up in the data graph
+    and in the hierarchy and its number of nodes; wup and lca; the common
+    ancestors' number and first ten; the interval through the hypernym, its width
+    and its overlap with the hypernym's canonical one; the first step of both ways
+    and the overlap of the intervals through these.  sp, data_sp: (start, node, path).
+    """
+    p = pairs.filter("hypo_syn is not null and hyper_syn is not null").select("pair_id", F.col("hypo_syn").alias("a"), F.col("hyper_syn").alias("b"))
     anc = hierarchy.ancestors(path).filter("d > 0").groupBy("node").agg(F.collect_set("a").alias("up"))
     up = lambda s: anc.select(F.col("node").alias(s), F.col("up").alias(f"up_{s}"))
-    route = sp.select(F.col("start").alias("a"), F.col("node").alias("b"), F.col("path").alias("route"))
-    via = hierarchy.through(path, p.select(F.col("a").alias("node"), F.col("b").alias("anc")).distinct()).select(F.col("node").alias("a"), F.col("anc").alias("b"), F.col("lo").alias("via_lo"), F.col("hi").alias("via_hi"))
-    over = hierarchy.overlaps(p, canon.select("node", "lo", "hi")).select("pair_id", "overlap")
-    j = wup.join(up("a"), "a", "left").join(up("b"), "b", "left").join(route, ["a", "b"], "left").join(via, ["a", "b"], "left").join(over, "pair_id", "left")
-    common = F.array_sort(F.array_intersect(F.coalesce("up_a", F.array().cast("array<string>")), F.coalesce("up_b", F.array().cast("array<string>"))))
-    return j.select("pair_id", "a", "b", F.array_join("route", ">").alias("route"), F.when(F.col("route").isNotNull(), F.size("route").cast("long")).alias("route_nodes"), "wup", "lca", F.size(common).cast("long").alias("n_common"), F.array_join(F.slice(common, 1, 10), ",").alias("common"), "via_lo", "via_hi", "overlap")
+    route = lambda t, c: t.select(F.col("start").alias("a"), F.col("node").alias("b"), F.col("path").alias(c))
+    none = F.lit(None).cast("array<string>")
+    j = hierarchy.wu_palmer(p, path).join(up("a"), "a", "left").join(up("b"), "b", "left").join(route(sp, "wn"), ["a", "b"], "left")
+    j = j.withColumn("ds", none) if data_sp is None else j.join(route(data_sp, "ds"), ["a", "b"], "left")
+    j = j.withColumn("ds_parent", F.get("ds", F.lit(1))).withColumn("wn_parent", F.get("wn", F.lit(1)))
+    asked = j.select("a", F.explode(F.array_distinct(F.filter(F.array("b", "ds_parent", "wn_parent"), lambda x: x.isNotNull()))).alias("anc")).distinct()
+    via = cut(hierarchy.through(path, asked.select(F.col("a").alias("node"), "anc")).select(F.col("node").alias("a"), "anc", "lo", "hi"))
+    at = lambda c, n: via.select("a", F.col("anc").alias(c), F.col("lo").alias(f"{n}_lo"), F.col("hi").alias(f"{n}_hi"))
+    j = j.join(at("b", "through"), ["a", "b"], "left").join(at("ds_parent", "ds"), ["a", "ds_parent"], "left").join(at("wn_parent", "wn"), ["a", "wn_parent"], "left")
+    j = j.join(hierarchy.canonical(path).select(F.col("node").alias("b"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi")), "b", "left")
+    over = lambda x, y: F.coalesce(interval_overlap(*(F.col(f"{n}_{e}") for n in (x, y) for e in ("lo", "hi"))), F.lit(0.0))
+    sets = [F.coalesce(c, F.array().cast("array<string>")) for c in ("up_a", "up_b")]
+    common = F.array_sort(F.array_intersect(*sets))
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c).cast("long"))
+    out = j.select(
+        "pair_id", F.col("a").alias("hypo"), F.col("b").alias("hyper"), F.array_join("ds", ">").alias("ds_path"), F.array_join("wn", ">").alias("wn_path"), size("ds").alias("ds_len"), size("wn").alias("wn_len"),
+        "wup", "lca", F.size(common).cast("long").alias("common_anc_count"), F.array_join(F.slice(common, 1, 10), ",").alias("common_anc_sample"), "through_lo", "through_hi",
+        F.coalesce(interval_width(F.col("through_lo"), F.col("through_hi")), F.lit(0.0)).alias("interval_through_width"), over("through", "b").alias("overlap_through_vs_hypercanon"),
+        "ds_parent", "wn_parent", F.when(F.col("ds_parent").isNotNull() & F.col("wn_parent").isNotNull(), over("ds", "wn")).otherwise(0.0).alias("parent_interval_overlap"),
+    )
+    return pairs.select("pair_id").join(out, "pair_id", "left")

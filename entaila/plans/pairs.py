@@ -125,22 +125,41 @@ def codeword_pairs(spark, d):
     return j.join(n("hypo"), "hypo", "left").join(n("hyper"), "hyper", "left").select("pair_id", "hit", "hypo_steps", "hyper_steps")
 
 
-_DG = f"""WITH RECURSIVE {sql.paths()}, {sql.CANON}, {sql.ANCESTORS}, pt AS (SELECT p_partkey AS pair_id, 'part.' || p_partkey AS a, 'type.' || p_type AS b, 'brand.' || p_brand AS c FROM part)"""
-
-
-@query(f"""{_DG} SELECT pair_id, pt.a, pt.b, pt.a || '>' || pt.b AS route, 2::BIGINT AS route_nodes, round(2.0 / 3, 9) AS wup, pt.b AS lca, 1::BIGINT AS n_common, 'entity' AS common,
- round(v.lo, 6) AS via_lo, round(v.hi, 6) AS via_hi, round(CASE WHEN least(x.hi, y.hi) <= greatest(x.lo, y.lo) THEN 0 ELSE 2 * (least(x.hi, y.hi) - greatest(x.lo, y.lo)) / (x.hi - x.lo + y.hi - y.lo) END, 6) + 0.0 AS overlap
-FROM pt JOIN path v ON v.node = pt.a AND list_contains(v.path, pt.b) JOIN canon x ON x.node = pt.a JOIN canon y ON y.node = pt.b""")
+def _overlap_sql(x, y):
+    return f"coalesce(CASE WHEN least({x}.hi, {y}.hi) <= greatest({x}.lo, {y}.lo) THEN 0 ELSE 2 * (least({x}.hi, {y}.hi) - greatest({x}.lo, {y}.lo)) / ({x}.hi - {x}.lo + {y}.hi - {y}.lo) END, 0)"
+
+
+@query(f"""WITH RECURSIVE {sql.paths()}, {sql.CANON}, {sql.ANCESTORS}, up AS (SELECT child AS start, child AS node, [child] AS p FROM (SELECT DISTINCT child FROM edge WHERE child LIKE 'part.%') UNION ALL SELECT start, parent, list_append(p, parent) FROM up JOIN edge ON child = node),
+sp AS (SELECT start, node, p FROM (SELECT *, row_number() OVER (PARTITION BY start, node ORDER BY len(p), p) AS r FROM up) WHERE r = 1),
+pt AS (SELECT p_partkey * 4 + c AS pair_id, 'part.' || p_partkey AS a, CASE c WHEN 0 THEN 'type.' || p_type WHEN 1 THEN 'entity' WHEN 2 THEN (SELECT 'brand.' || max(n.p_brand) FROM part n WHERE n.p_partkey = part.p_partkey + 1) END AS b, p_partkey % 2 = 0 AS even, 'type.' || p_type AS ty FROM part, range(4) AS r(c)),
+ok AS (SELECT *, CASE WHEN even AND b = ty THEN a || '>' || b WHEN even AND b = 'entity' THEN a || '>' || ty || '>entity' END AS ds_path, CASE WHEN even AND (b = ty OR b = 'entity') THEN ty END AS ds_parent FROM pt WHERE b IS NOT NULL),
+dep AS (SELECT node, max(depth) AS dep FROM path GROUP BY node),
+lca AS (SELECT pair_id, arg_min(x.a, (-dep, x.a)) AS lca, max(dep) AS dl FROM ok JOIN anc x ON x.node = ok.a JOIN anc y ON y.node = ok.b AND y.a = x.a JOIN dep ON dep.node = x.a GROUP BY pair_id),
+cm AS (SELECT pair_id, count(*) AS n, list(x.a ORDER BY x.a) AS l FROM ok JOIN anc x ON x.node = ok.a AND x.d > 0 JOIN anc y ON y.node = ok.b AND y.a = x.a AND y.d > 0 GROUP BY pair_id),
+th AS (SELECT node, ac, lo, hi FROM (SELECT *, row_number() OVER (PARTITION BY node, ac ORDER BY pos DESC, depth, array_to_string(path, '/')) AS r FROM (SELECT node, path, depth, lo, hi, unnest(path) AS ac, unnest(range(len(path))) AS pos FROM path WHERE node LIKE 'part.%')) WHERE r = 1)
+SELECT pt.pair_id, ok.a AS hypo, ok.b AS hyper, ds_path, array_to_string(p, '>') AS wn_path, CAST(len(string_split(ds_path, '>')) AS BIGINT) AS ds_len, CAST(len(p) AS BIGINT) AS wn_len,
+ CASE WHEN ok.a IS NOT NULL THEN round(CASE WHEN lca IS NULL OR da.dep + db.dep = 0 THEN 0 ELSE 2.0 * dl / (da.dep + db.dep) END, 9) END AS wup, lca,
+ CASE WHEN ok.a IS NOT NULL THEN coalesce(cm.n, 0)::BIGINT END AS common_anc_count, CASE WHEN ok.a IS NOT NULL THEN coalesce(array_to_string(list_slice(cm.l, 1, 10), ','), '') END AS common_anc_sample, round(t.lo, 6) AS through_lo, round(t.hi, 6) AS through_hi,
+ CASE WHEN ok.a IS NOT NULL THEN round(coalesce(t.hi - t.lo, 0), 6) END AS interval_through_width, CASE WHEN ok.a IS NOT NULL THEN round({_overlap_sql('t', 'c')}, 6) + 0.0 END AS overlap_through_vs_hypercanon, ds_parent, p[2] AS wn_parent,
+ CASE WHEN ok.a IS NOT NULL THEN CASE WHEN ds_parent IS NULL OR p[2] IS NULL THEN 0 ELSE round({_overlap_sql('u', 'v')}, 6) + 0.0 END END AS parent_interval_overlap
+FROM pt LEFT JOIN ok USING (pair_id) LEFT JOIN sp ON sp.start = ok.a AND sp.node = ok.b LEFT JOIN lca USING (pair_id) LEFT JOIN cm USING (pair_id) LEFT JOIN dep da ON da.node = ok.a LEFT JOIN dep db ON db.node = ok.b
+ LEFT JOIN th t ON t.node = ok.a AND t.ac = ok.b LEFT JOIN canon c ON c.node = ok.b LEFT JOIN th u ON u.node = ok.a AND u.ac = ds_parent LEFT JOIN th v ON v.node = ok.a AND v.ac = p[2]""")
 def diagnostics(spark, d):
-    """Everything the hierarchy says about every part and its type."""
+    """Everything that the hierarchy and a data graph (half of the parts with their types) say about every part and its
+    type, the root, the next part's brand, and no hypernym at all."""
     e = edges(spark, d)
     path = _paths(spark, d)
     for c in ("lo", "hi"):
         path = path.withColumn(c, F.round(c, 12))
-    g = e.select(F.col("child").alias("src"), F.col("parent").alias("dst"))
-    sp = graph.shortest_paths(_part_types(spark, d).select(F.col("hypo_syn").alias("start")), g)
-    out = features.diagnostics(_part_types(spark, d), path, sp)
-    return out.withColumns({"wup": rounded("wup", 9), "via_lo": rounded("via_lo"), "via_hi": rounded("via_hi"), "overlap": rounded("overlap")})
+    part = table(spark, d, "part").select("p_partkey", "p_type", "p_brand")
+    nxt = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.concat(F.lit("brand."), "p_brand").alias("nb"))
+    kind = F.array(F.concat(F.lit("type."), "p_type"), F.lit("entity"), F.col("nb"), F.lit(None).cast("string"))
+    pairs = part.join(nxt, "p_partkey", "left").select("p_partkey", F.posexplode(kind).alias("c", "hyper_syn")).select((F.col("p_partkey") * 4 + F.col("c")).alias("pair_id"), F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("hypo_syn"), "hyper_syn")
+    starts = pairs.select(F.col("hypo_syn").alias("start")).distinct()
+    up = e.select(F.col("child").alias("src"), F.col("parent").alias("dst"))
+    data = up.filter("dst like 'type.%' and try_cast(substring(src, 6) as long) % 2 = 0").unionByName(up.filter("src like 'type.%'"))
+    out = features.diagnostics(pairs, path, graph.shortest_paths(starts, up), graph.shortest_paths(starts, data))
+    return out.withColumns({c: rounded(c, 9 if c == "wup" else 6) for c, t in out.dtypes if t == "double"})
 
 
 @query()

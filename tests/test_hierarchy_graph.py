@@ -107,3 +107,19 @@ def test_shortest_paths(spark):
     e = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d")], "src string, dst string")
     got = {r.node: r.path for r in graph.shortest_paths(spark.createDataFrame([("a",)], "start string"), e).collect()}
     assert got == {"a": ["a"], "b": ["a", "b"], "c": ["a", "c"], "d": ["a", "b", "d"]}
+
+
+def test_overlap_with_a_missing_interval_is_null(spark):
+    from entaila.functions.columns import interval_overlap
+
+    df = spark.createDataFrame([(0.0, 1.0, None, None), (0.0, 1.0, 0.5, 1.0)], "a double, b double, c double, d double")
+    assert [r[0] for r in df.select(interval_overlap(*map(F.col, "abcd"))).collect()] == [None, 2 * 0.5 / 1.5]
+
+
+def test_closures_without_and_with_a_bound(spark):
+    chain = spark.createDataFrame([(f"n{k:03d}", f"n{k + 1:03d}") for k in range(12)], "src string, dst string")
+    assert graph.closure(chain).filter("src = 'n000'").count() == 12 and graph.closure(chain, 5).filter("src = 'n000'").count() == 5
+    start = spark.createDataFrame([("n000",)], "start string")
+    assert graph.shortest_paths(start, chain).count() == 13 and graph.shortest_paths(start, chain, 5).count() == 6
+    loop = spark.createDataFrame([("a", "entity", "hyper"), ("b", "a", "hyper"), ("a", "b", "hyper")], "child string, parent string, kind string")
+    assert {tuple(r.path) for r in hierarchy.paths(loop).collect()} == {("entity",), ("entity", "a"), ("entity", "a", "b")}
