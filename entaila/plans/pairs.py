@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.columns import f_and, f_implies, f_not, pmean_error as pmean, rounded
@@ -324,6 +325,11 @@ def _score(u, v):
     return 1 / (1 + F.exp(-4 * F.aggregate(F.zip_with(u, F.transform(v, lambda x, i: x * (1 + i / 64.0)), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)))
 
 
+def _score_blocks(u, v):
+    """The same relation of all rows of two arrays."""
+    return 1 / (1 + np.exp(-4 * u @ (v * (1 + np.arange(v.shape[1]) / 64.0)).T))
+
+
 def _entities(spark, d):
     """(key, vec): every embedding by its number."""
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
@@ -331,12 +337,12 @@ def _entities(spark, d):
 
 def _h(spark, d):
     """Truth over all ordered pairs of embeddings."""
-    return cut(logic.truth(_entities(spark, d), _score))
+    return cut(logic.block_truth(_entities(spark, d), _score_blocks))
 
 
 def _h_stated(spark, d):
     """Truth over the stated entities of the axioms on three and four variables: as many as there are nations and regions."""
-    return cut(logic.truth(logic.first_entities(_entities(spark, d), 30), _score))
+    return cut(logic.block_truth(logic.first_entities(_entities(spark, d), 30), _score_blocks))
 
 
 _H = """WITH e AS (SELECT vec_id AS key, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS i FROM embeddings),

@@ -187,6 +187,8 @@ def test_axioms_of_stated_entities(spark):
     e = spark.createDataFrame([(k, [float(k)]) for k in range(9)], "key long, vec array<double>")
     score = lambda u, v: (u[0] < v[0]).cast("double")
     few = logic.first_entities(e, 4)
+    blocks = logic.block_truth(e, lambda u, v: (u < v.T).astype(float), 2)
+    assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, logic.truth(e, score).collect()))
     assert few.count() == 4 and sorted(few.collect()) == sorted(logic.first_entities(e.repartition(5), 4).collect())
     pairs = spark.createDataFrame([(1, 2, 1, "a"), (3, 2, 0, "b"), (1, 99, 1, "b")], "x long, y long, label int, split string")
     assert {(r.x, r.y): r.h for r in logic.pair_truth(pairs, e, score).collect()} == {(1, 2): 1.0, (3, 2): 0.0}
