@@ -208,6 +208,36 @@ def path_means(paths: DataFrame, vectors: DataFrame) -> DataFrame:
     return methods.join(mean_vectors(at.select(F.col("key").alias("_k"), "vec"), "_k").withColumnRenamed("_k", "key"), "key")
 
 
+def closure_vectors(pairs: DataFrame, best: DataFrame, sp: DataFrame, nodes: DataFrame, surface: DataFrame, dim: int) -> DataFrame:
+    """`pairs` (pair_id, hypo, hyper) with all that is known of their closure, and their vectors.
+
+    closure, hypo_syn, hyper_syn, path_len, path: from `best` (see best_path) and
+    sp (start, node, path).  For each side vec_, its method and key: a pair in the
+    closure takes its node's vector (nodes: node, method, key, vec), and where that
+    lacks one, as other pairs do, the phrase's (surface: phrase, method, key, vec);
+    an unknown phrase gives zeros.  features: both vectors in one; path_mean: the
+    mean over the way up, or of the two sides if no node on it has a vector; null
+    outside of the closure.
+    """
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    known = nodes.filter("vec is not null")
+    way = sp.select(F.col("start").alias("hypo_syn"), F.col("node").alias("hyper_syn"), "path")
+    j = pairs.join(best, "pair_id", "left").withColumn("closure", F.coalesce("closure", F.lit(False))).join(way, ["hypo_syn", "hyper_syn"], "left")
+    for s in ("hypo", "hyper"):
+        own = known.select(F.col("node").alias(f"{s}_syn"), F.col("method").alias("_m"), F.col("key").alias("_k"), F.col("vec").alias("_v"))
+        said = surface.select(F.col("phrase").alias(s), F.col("method").alias("_sm"), F.col("key").alias("_sk"), F.when(F.col("method") != "unk", F.col("vec")).alias("_sv"))
+        j = j.join(own, f"{s}_syn", "left").join(said, s, "left")
+        j = j.withColumns({f"vec_{s}_method": F.coalesce("_m", "_sm"), f"vec_{s}_key": F.when(F.col("_m").isNotNull(), F.col("_k")).otherwise(F.col("_sk")), f"_{s}": F.coalesce("_v", "_sv", zeros)})
+        j = j.withColumn(f"vec_{s}", F.col("closure") | F.coalesce(F.col(f"vec_{s}_method") != "unk", F.lit(False))).drop("_m", "_k", "_v", "_sm", "_sk", "_sv")
+    mean = path_means(j.filter("closure").select(F.col("pair_id").alias("key"), "path"), nodes.select("node", "method", "vec")).select(F.col("key").alias("pair_id"), F.col("vec").alias("_mean"))
+    half = F.zip_with("_hypo", "_hyper", lambda x, y: (x + y) / 2)
+    j = j.join(mean, "pair_id", "left").withColumn("path_mean", F.when(F.col("closure"), F.coalesce("_mean", half)))
+    return j.select(
+        "pair_id", "hypo", "hyper", "closure", "hypo_syn", "hyper_syn", F.col("path_len").cast("long").alias("path_len"), F.array_join("path", " -> ").alias("path"), "vec_hypo", "vec_hyper", F.col("path_mean").isNotNull().alias("vec_path_mean"),
+        "vec_hypo_method", "vec_hyper_method", "vec_hypo_key", "vec_hyper_key", F.concat("_hypo", "_hyper").alias("features"), "path_mean",
+    )
+
+
 def first_synsets(*tables: DataFrame) -> DataFrame:
     """(lemma, synset): the first non-null synset over tables in order."""
     rows = None

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import ball_distance, key_ladder as ladder_of, norm_lemma as norm, rounded
-from ..operators import cooc, hierarchy, resolve
+from ..functions.storage import cut
+from ..operators import cooc, graph, hierarchy, resolve
 from ..sources.tables import edges, senses, table
 from . import sql
 from .corpus import _counts
@@ -226,6 +227,49 @@ def path_mean(spark, d):
     return _total(resolve.path_means(paths, v.select("node", "method", "vec")), "key", "methods")
 
 
+_CV = f"""WITH {_NV}, {sql.SENSES}, nm3 AS (SELECT DISTINCT p_name AS hypo FROM part),
+pq AS (SELECT hypo, 'type' || lower(t) AS hyper, 'type.' || t AS top FROM nm3, (SELECT DISTINCT p_type AS t FROM part) UNION ALL SELECT hypo, 'entity', 'entity' FROM nm3),
+nx AS (SELECT node, method, key FROM nw UNION ALL SELECT DISTINCT 'type.' || p_type, 'synset_lemma', 'v' || length(p_type) FROM part),
+vr AS (SELECT hypo, 0 AS variant, lower(hypo) AS lemma FROM nm3 UNION ALL SELECT hypo, 1, replace(lower(hypo), ' ', '_') FROM nm3 UNION ALL SELECT hypo, 2, split_part(lower(hypo), ' ', 1) FROM nm3 UNION ALL SELECT hypo, 3, split_part(lower(hypo), ' ', -1) FROM nm3),
+cs AS (SELECT * FROM (SELECT hypo, synset, row_number() OVER (PARTITION BY hypo ORDER BY o, synset) AS ord FROM (SELECT hypo, synset, min((variant, rank)) AS o FROM vr JOIN sense USING (lemma) WHERE pos = 'n' GROUP BY hypo, synset)) WHERE ord <= 5),
+cl AS (SELECT hypo, hyper, min((CASE WHEN top = 'entity' THEN 2 ELSE 1 END, ord, synset)) AS x, any_value(top) AS top FROM pq JOIN cs USING (hypo) JOIN part ON 'part.' || p_partkey = synset WHERE top = 'entity' OR top = 'type.' || p_type GROUP BY hypo, hyper),
+cp AS (SELECT pq.hypo, pq.hyper, pq.hypo || '|' || pq.hyper AS pair_id, cl.x IS NOT NULL AS closure, x[3] AS hypo_syn, cl.top AS hyper_syn, x[1]::BIGINT AS path_len, 'brand.' || p_brand AS brand FROM pq LEFT JOIN cl USING (hypo, hyper) LEFT JOIN part ON 'part.' || p_partkey = x[3]),
+dk AS (SELECT hypo, min((o, key)) AS b FROM (SELECT hypo, 0 AS o, hypo AS key FROM nm3 UNION ALL SELECT hypo, 1, lower(hypo) FROM nm3 UNION ALL SELECT hypo, 2, replace(lower(hypo), ' ', '_') FROM nm3) SEMI JOIN kv USING (key) GROUP BY hypo),
+ta AS (SELECT hypo, i, avg(v) AS v FROM (SELECT hypo, unnest(string_split(lower(hypo), ' ')) AS key FROM nm3) JOIN kd USING (key) GROUP BY 1, 2),
+sf AS (SELECT nm3.hypo, CASE WHEN b IS NOT NULL THEN 'direct_key' WHEN nm3.hypo IN (SELECT hypo FROM ta) THEN 'token_average_surface' WHEN n.method = 'synset_lemma' THEN 'wn_lemma' WHEN n.method = 'synset_hypernym_backoff' THEN 'wn_hypernym_backoff' ELSE 'unk' END AS method, CASE WHEN b IS NOT NULL THEN b[2] WHEN nm3.hypo NOT IN (SELECT hypo FROM ta) THEN n.key END AS key
+  FROM nm3 LEFT JOIN dk USING (hypo) LEFT JOIN cs ON cs.hypo = nm3.hypo AND cs.ord = 1 LEFT JOIN nx n ON n.node = cs.synset),
+hm AS (SELECT cp.*, CASE WHEN n.key IS NOT NULL THEN n.method ELSE sf.method END AS m1, coalesce(n.key, sf.key) AS k1, n.key IS NULL AND sf.method = 'token_average_surface' AS avg1,
+  CASE WHEN closure AND hyper <> 'entity' THEN 'synset_lemma' WHEN hyper <> 'entity' THEN 'wn_lemma' ELSE 'unk' END AS m2, CASE WHEN hyper <> 'entity' THEN 'v' || (length(hyper) - 4) END AS k2 FROM cp JOIN sf USING (hypo) LEFT JOIN nx n ON n.node = hypo_syn),
+v1 AS (SELECT pair_id, i, v FROM hm JOIN kd ON kd.key = k1 WHERE NOT avg1 UNION ALL SELECT pair_id, i, v FROM hm JOIN ta USING (hypo) WHERE avg1),
+v2 AS (SELECT pair_id, i, v FROM hm JOIN kd ON kd.key = k2),
+fq AS (SELECT pair_id, round(sum(v * (i + 1)), 6) + 0.0 AS f FROM (SELECT pair_id, i, v FROM v1 UNION ALL SELECT pair_id, i + 64, v FROM v2) GROUP BY 1),
+wy AS (SELECT pair_id, unnest(CASE WHEN hyper = 'entity' THEN [hypo_syn, brand] ELSE [hypo_syn, hyper_syn] END) AS node FROM cp WHERE closure),
+wm AS (SELECT pair_id, i, avg(v) AS v FROM wy JOIN nx USING (node) JOIN kd ON kd.key = nx.key GROUP BY 1, 2),
+wf AS (SELECT pair_id, i, sum(v) / 2 AS v FROM (SELECT * FROM v1 UNION ALL SELECT * FROM v2) WHERE pair_id IN (SELECT pair_id FROM cp WHERE closure) AND pair_id NOT IN (SELECT pair_id FROM wm) GROUP BY 1, 2),
+pm AS (SELECT pair_id, round(sum(v * (i + 1)), 6) + 0.0 AS f FROM (SELECT * FROM wm UNION ALL SELECT * FROM wf) GROUP BY 1)
+SELECT hm.pair_id, hypo, hyper, closure, hypo_syn, hyper_syn, path_len, CASE WHEN NOT closure THEN NULL WHEN hyper = 'entity' THEN hypo_syn || ' -> ' || brand || ' -> entity' ELSE hypo_syn || ' -> ' || hyper_syn END AS path,
+ closure OR m1 <> 'unk' AS vec_hypo, closure OR m2 <> 'unk' AS vec_hyper, closure AS vec_path_mean, m1 AS vec_hypo_method, m2 AS vec_hyper_method, k1 AS vec_hypo_key, k2 AS vec_hyper_key, coalesce(fq.f, 0) AS features, CASE WHEN closure THEN coalesce(pm.f, 0) END AS path_mean
+FROM hm LEFT JOIN fq USING (pair_id) LEFT JOIN pm USING (pair_id)"""
+
+
+@query(_CV)
+def closure_vectors(spark, d):
+    """Every part name with every type and with the root: closure, way, vectors and how they were found; vectors as sums weighted by place."""
+    p = table(spark, d, "part")
+    names = p.select(F.col("p_name").alias("hypo")).distinct()
+    pairs = cut(_name_pairs(spark, d).unionByName(names.select(F.concat("hypo", F.lit("|entity")).alias("pair_id"), "hypo", F.lit("entity").alias("hyper"))))
+    known = _all_senses(spark, d).unionByName(names.sparkSession.range(1).select(F.lit("entity").alias("lemma"), F.lit("n").alias("pos"), F.lit("entity").alias("synset"), F.lit(0).cast("long").alias("rank")))
+    nodes = _nodes(spark, d).unionByName(p.select(F.concat(F.lit("type."), "p_type").alias("node"), F.concat(F.lit("v"), F.length("p_type").cast("string")).alias("lemma")).distinct())
+    e, kv = edges(spark, d), keyed(spark, d)
+    chain = resolve.backoff_chain(e)
+    best = cut(resolve.best_path(pairs, known, hierarchy.ancestors(hierarchy.paths(e))))
+    sp = graph.shortest_paths(best.filter("closure").select(F.col("hypo_syn").alias("start")).distinct(), e.select(F.col("child").alias("src"), F.col("parent").alias("dst")))
+    phrases = pairs.select(F.col("hypo").alias("phrase")).union(pairs.select("hyper")).distinct()
+    got = resolve.closure_vectors(pairs, best, sp, cut(resolve.node_vectors(nodes, chain, kv)), resolve.ladder(phrases, kv, known, nodes, chain), 64)
+    weigh = lambda c: rounded(F.aggregate(F.transform(c, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x))
+    return got.withColumn("features", weigh("features")).withColumn("path_mean", weigh("path_mean"))
+
+
 @query(f"WITH {_KV} SELECT CAST(i AS BIGINT) AS i, round(avg(v), 6) + 0.0 AS v FROM kd GROUP BY i")
 def unknown_vector(spark, d):
     return resolve.unknown_vector(keyed(spark, d)).select(F.posexplode("vec").alias("i", "v")).select(F.col("i").cast("long").alias("i"), rounded("v").alias("v"))
