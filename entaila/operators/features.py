@@ -10,11 +10,13 @@ from ..functions.storage import cut
 from . import hierarchy, vectorize
 
 
-def interval_features(pairs: DataFrame, path: DataFrame, children: DataFrame | None = None, k: int = 0, n_bins: int = 333, mode: str = "through") -> DataFrame:
+def interval_features(pairs: DataFrame, path: DataFrame, children: DataFrame | None = None, k: int = 0, n_bins: int = 333, mode: str = "through", sp: DataFrame | None = None) -> DataFrame:
     """(pair_id, half, bin, v) of pairs (pair_id, hypo_syn, hyper_syn).
 
     Half `hyper`: the canonical interval, with those of the first k children;
-    half `hypo`: the interval through the hypernym, or the sum over all paths.
+    half `hypo`: the interval through the hypernym; or (`path`) the canonical
+    intervals of all nodes on the shortest way up to it, from sp (start, node,
+    path); or (`sum`) those of all paths from the root.
     Unresolved pairs have no rows, which stands for zeros.
     """
     canon = hierarchy.canonical(path).select("node", "lo", "hi")
@@ -27,10 +29,13 @@ def interval_features(pairs: DataFrame, path: DataFrame, children: DataFrame | N
         want = ok.select(F.col("hypo_syn").alias("node"), F.col("hyper_syn").alias("anc")).distinct()
         found = hierarchy.through(path, want).select(F.col("node").alias("hypo_syn"), F.col("anc").alias("hyper_syn"), "lo", "hi")
         hypo = ok.join(found, ["hypo_syn", "hyper_syn"]).select("pair_id", "lo", "hi")
+    elif mode == "path" and sp is not None:
+        way = sp.select(F.col("start").alias("hypo_syn"), F.col("node").alias("hyper_syn"), "path")
+        hypo = ok.join(way, ["hypo_syn", "hyper_syn"]).select("pair_id", F.explode("path").alias("node")).join(canon, "node").select("pair_id", "lo", "hi")
     elif mode == "sum":
         hypo = ok.join(path.select(F.col("node").alias("hypo_syn"), "lo", "hi"), "hypo_syn").select("pair_id", "lo", "hi")
     else:
-        raise ValueError("mode must be through or sum")
+        raise ValueError("mode must be through, path (with sp) or sum")
     half = lambda df, name: vectorize.summed(vectorize.midpoint(df, "pair_id", n_bins), "pair_id").select("pair_id", F.lit(name).alias("half"), "bin", F.col("mass").alias("v"))
     return half(hyper, "hyper").unionByName(half(hypo, "hypo"))
 

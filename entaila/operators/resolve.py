@@ -10,7 +10,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_synset_id, key_ladder, norm_lemma
+from ..functions.columns import ball_distance, is_synset_id, key_ladder, norm_lemma
 from ..functions.storage import cut
 
 
@@ -208,6 +208,14 @@ def path_means(paths: DataFrame, vectors: DataFrame) -> DataFrame:
     return methods.join(mean_vectors(at.select(F.col("key").alias("_k"), "vec"), "_k").withColumnRenamed("_k", "key"), "key")
 
 
+def ball_distances(pairs: DataFrame, kv: DataFrame, a: str = "hypo", b: str = "hyper") -> DataFrame:
+    """`pairs` with distance in the Poincare ball; null if a side has no vector."""
+    v = lambda side: kv.select(F.col("key").alias(side), F.col("vec").alias(f"_{side}"))
+    j = pairs.join(v(a), a, "left").join(v(b), b, "left")
+    known = F.col(f"_{a}").isNotNull() & F.col(f"_{b}").isNotNull()
+    return j.select(*pairs.columns, F.when(known, ball_distance(F.col(f"_{a}"), F.col(f"_{b}"))).alias("distance"))
+
+
 def closure_vectors(pairs: DataFrame, best: DataFrame, sp: DataFrame, nodes: DataFrame, surface: DataFrame, dim: int) -> DataFrame:
     """`pairs` (pair_id, hypo, hyper) with all that is known of their closure, and their vectors.
 

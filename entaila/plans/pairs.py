@@ -37,6 +37,33 @@ def interval_features(spark, d):
     return _features(spark, d).withColumn("v", rounded("v"))
 
 
+def _rich_sql(hypo: str) -> str:
+    return f"""WITH RECURSIVE {sql.paths()}, {sql.CANON}, pt AS (SELECT p_partkey AS pair_id, 'part.' || p_partkey AS a, 'type.' || p_type AS b FROM part),
+iv AS (SELECT pair_id, 'hyper' AS half, round(lo, 9) AS lo, round(hi, 9) AS hi FROM pt JOIN canon ON node = b UNION ALL SELECT pair_id, 'hyper', round(c.lo, 9), round(c.hi, 9) FROM pt JOIN kid ON kid.parent = b AND kid.idx < 3 JOIN canon c ON c.node = kid.child UNION ALL SELECT pair_id, 'hypo', round(lo, 9), round(hi, 9) FROM pt JOIN {hypo}),
+ms AS (SELECT pair_id, half, least(greatest(floor(0.5 * (lo + hi) * 64), 0), 63)::INT AS bin, sum(CASE WHEN hi > lo THEN hi - lo ELSE 1 END) AS m FROM iv GROUP BY 1, 2, 3)
+SELECT pair_id, half, bin, round(m / sum(m) OVER (PARTITION BY pair_id, half), 6) AS v FROM ms"""
+
+
+def _rich(spark, d, mode, sp=None):
+    """Types with their first three children; parts by `mode`."""
+    path = _paths(spark, d).withColumn("lo", rounded("lo", 9)).withColumn("hi", rounded("hi", 9))
+    children = hierarchy.child_places(edges(spark, d)).select("parent", "child", "idx")
+    return features.interval_features(_part_types(spark, d), path, children, 3, 64, mode, sp).withColumn("v", rounded("v"))
+
+
+@query(_rich_sql("path ON node = a"))
+def interval_features_sum(spark, d):
+    """Types with their first three children, and parts over all their paths."""
+    return _rich(spark, d, "sum")
+
+
+@query(_rich_sql("canon ON node = a OR node = b"))
+def interval_features_path(spark, d):
+    """Types with their first three children, and all nodes from a part up to its type."""
+    up = edges(spark, d).select(F.col("child").alias("src"), F.col("parent").alias("dst"))
+    return _rich(spark, d, "path", graph.shortest_paths(_part_types(spark, d).select(F.col("hypo_syn").alias("start")), up))
+
+
 @query(f"""{_IF}, li AS (SELECT l_partkey AS pair_id, count(*) AS c FROM lineitem GROUP BY 1), ty AS (SELECT p_type, sum(c) AS t FROM li JOIN part ON p_partkey = pair_id GROUP BY 1), al AS (SELECT sum(c) AS n FROM li),
 pr AS (SELECT pair_id, c / n AS joint, c / t AS cond FROM li JOIN part ON p_partkey = pair_id JOIN ty USING (p_type), al)
 SELECT pair_id, half, bin, round(v * coalesce(CASE WHEN half = 'hyper' THEN cond ELSE joint END, 0), 9) AS v FROM fe LEFT JOIN pr USING (pair_id) WHERE coalesce(CASE WHEN half = 'hyper' THEN cond ELSE joint END, 0) <> 0""")

@@ -293,6 +293,17 @@ def poincare_distance(spark, d):
     return e.join(nxt, "vec_id").select("vec_id", rounded(ball_distance(F.col("u"), F.col("v"))).alias("distance"))
 
 
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 0.5) AS u FROM embeddings), p AS (SELECT a.vec_id, a.vec_id % 2 AS label, a.u, b.u AS v FROM e a LEFT JOIN e b ON b.vec_id = a.vec_id + 3),
+q AS (SELECT label, 1 + 2 * list_sum(list_transform(list_zip(u, v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / ((1 - list_sum(list_transform(u, lambda x: x * x))) * (1 - list_sum(list_transform(v, lambda x: x * x)))) AS c, v IS NOT NULL AS known FROM p)
+SELECT label, count(*) AS pairs, count(*) FILTER (known) AS known, round(avg(ln(c + sqrt(c * c - 1))) FILTER (known), 6) AS mean FROM q GROUP BY label""")
+def poincare_groups(spark, d):
+    """Mean distances of positive and negative pairs; the last embeddings have no partner and no distance."""
+    kv = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.transform("embedding", lambda x: x.cast("double") * 0.5).alias("vec"))
+    pairs = kv.select(F.col("key").alias("hypo"), (F.col("key") + 3).alias("hyper"), (F.col("key") % 2).alias("label"))
+    got = resolve.ball_distances(pairs, kv)
+    return got.groupBy("label").agg(F.count(F.lit(1)).alias("pairs"), F.count("distance").alias("known"), rounded(F.avg("distance")).alias("mean"))
+
+
 @query(f"""WITH {_KV}, nm2 AS (SELECT DISTINCT replace(lower(p_name), ' ', '_') AS key FROM part),
 pv AS (SELECT key, unnest(range(64)) AS i FROM nm2 WHERE key NOT IN (SELECT key FROM kv)),
 pq AS (SELECT key, i, (('0x' || left(md5(key || '|' || i), 7))::BIGINT / 134217728.0::DOUBLE - 1) * 0.1 AS v FROM pv),
