@@ -190,7 +190,10 @@ def diagnostics(spark, d):
     return out.withColumns({c: rounded(c, 9 if c == "wup" else 6) for c, t in out.dtypes if t == "double"})
 
 
-@query()
+@query(f"""{_IF}, {_PICK.removeprefix("WITH ")},
+pr AS (SELECT pair_id, freq::DOUBLE AS freq, freq / t AS joint, CASE WHEN coalesce(r, 0) = 0 THEN 0 ELSE freq / r END AS cond FROM pick LEFT JOIN rs ON rs.w = w1, tot WHERE w1 IS NOT NULL),
+al AS (SELECT 'interval' AS matrix, v FROM fe UNION ALL SELECT 'interval_prob', v * CASE WHEN half = 'hyper' THEN cond ELSE joint END FROM fe JOIN pr USING (pair_id) UNION ALL SELECT 'cooc', unnest([freq, joint, cond]) FROM pr UNION ALL SELECT 'rawfreq', x.x FROM pick JOIN x ON x.w1 = pick.w1 UNION ALL SELECT 'rawfreq', x.x FROM pick JOIN x ON x.w1 = pick.w2)
+SELECT matrix, count(*) AS n, round(sum(v), 6) AS total FROM al WHERE v <> 0 GROUP BY matrix""")
 def feature_bundle(spark, d):
     """Rows and sum of every matrix, for parts and types whose words are those of benchmark items."""
     x, vocab = _counts(spark, d)
