@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import interval_overlap, interval_width
 from ..functions.storage import cut
-from . import hierarchy, vectorize
+from . import graph, hierarchy, vectorize
 
 
 def interval_features(pairs: DataFrame, path: DataFrame, children: DataFrame | None = None, k: int = 0, n_bins: int = 333, mode: str = "through", sp: DataFrame | None = None) -> DataFrame:
@@ -103,6 +103,26 @@ def build_all(pairs: DataFrame, path: DataFrame, picked: DataFrame, probs: DataF
     }
 
 
+def bundle_labels(train: DataFrame, test: DataFrame) -> DataFrame:
+    """(pair_id, split, target, y): the train pairs' own label (1 where none is given), and what the graph of the
+    positive train pairs says of the test pairs: direct, rowpath, colpath, union."""
+    own = F.coalesce(F.col("label"), F.lit(1)) if "label" in train.columns else F.lit(1)
+    rows = train.select("pair_id", F.lit("train").alias("split"), F.lit("label").alias("target"), own.cast("int").alias("y"))
+    got = graph.train_labels(test, graph.adjacency(train.withColumn("label", own)))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("target"), F.col(c).cast("int").alias("y")) for c in ("direct", "rowpath", "colpath", "union")]))
+    return rows.unionByName(got.select("pair_id", F.lit("test").alias("split"), each.alias("e")).select("pair_id", "split", "e.*"))
+
+
+def build_datasets(train: dict[str, DataFrame], test: dict[str, DataFrame], path: DataFrame, x: DataFrame, vocab: DataFrame, n_bins: int = 333) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(matrices by name/split, labels) of train and test, each given as the frames `pairs` (pair_id, hypo, hyper,
+    hypo_syn, hyper_syn, label), `picked` and `probs` of build_all; to be stored by write_bundle."""
+    out = {}
+    for split, given in (("train", train), ("test", test)):
+        found = build_all(given["pairs"].select("pair_id", "hypo_syn", "hyper_syn"), path, given["picked"], given["probs"], x, vocab, n_bins)
+        out |= {f"{name}_{split}": m for name, m in found.items()}
+    return out, bundle_labels(train["pairs"], test["pairs"])
+
+
 def diagnostics(pairs: DataFrame, path: DataFrame, sp: DataFrame, data_sp: DataFrame | None = None) -> DataFrame:
     """What the hierarchy and a data graph say of every pair (pair_id, hypo_syn, hyper_syn); nulls if a side is null.
 

@@ -242,3 +242,20 @@ def test_byte_prefix_takes_every_page(spark, tmp_path):
     spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: r["head"] for r in catalogue.QUERIES["byte_prefix_whole"](spark, str(tmp_path)).collect()}
     assert got == {k: None if t is None else hashlib.md5(t.encode()[:300].decode(errors="ignore").encode()).hexdigest() for k, t in enumerate(pages)}
+
+
+def test_datasets_of_train_and_test(spark, tmp_path):
+    from entaila.operators import hierarchy
+
+    path = hierarchy.paths(spark.createDataFrame([("a", "entity", "hyper"), ("b", "a", "hyper")], "child string, parent string, kind string"))
+    x = spark.createDataFrame([("u", "v", 4), ("v", "u", 4)], "w1 string, w2 string, x long")
+    vocab = spark.createDataFrame([("u", 9, 0), ("v", 8, 1)], "word string, cnt long, idx long")
+    pairs = lambda rows: spark.createDataFrame(rows, "pair_id long, hypo string, hyper string, hypo_syn string, hyper_syn string")
+    given = lambda k, rows: {"pairs": pairs(rows), "picked": spark.createDataFrame([(k, "u", "v")], "pair_id long, w1 string, w2 string"), "probs": spark.createDataFrame([(k, 4, 0.5, 1.0)], "pair_id long, freq long, joint double, cond double")}
+    matrices, labels = features.build_datasets(given(1, [(1, "b", "a", "b", "a"), (2, "a", "entity", "a", "entity")]), given(3, [(3, "b", "entity", "b", "entity"), (4, "b", "none", None, None)]), path, x, vocab, 10)
+    assert set(matrices) == {f"{m}_{s}" for m in ("interval", "interval_prob", "cooc", "rawfreq") for s in ("train", "test")}
+    assert {r.pair_id for r in matrices["interval_test"].collect()} == {3} and sorted((r.col, r.v) for r in matrices["rawfreq_train"].collect()) == [(1, 4.0), (2, 4.0)]
+    got = {(r.pair_id, r.split, r.target): r.y for r in labels.collect()}
+    assert got == {(1, "train", "label"): 1, (2, "train", "label"): 1} | {(3, "test", t): int(t in ("rowpath", "union")) for t in ("direct", "rowpath", "colpath", "union")} | {(4, "test", t): 0 for t in ("direct", "rowpath", "colpath", "union")}
+    files.write_bundle(str(tmp_path / "bundle"), matrices, labels)
+    assert files.targets(spark, str(tmp_path / "bundle")) == ["colpath", "direct", "rowpath", "union"] and files.read_matrix(spark, str(tmp_path / "bundle"), "cooc_test").count() == 3
