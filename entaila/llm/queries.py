@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, langid, media, near_duplicates, phrase_index, pii, quality, repeats, token_counts
+from . import binary_codes, bpe, html_text, langid, media, near_duplicates, phrase_index, pii, quality, repeats, spelling, token_counts, whitening
 from .common import table
 
 
@@ -48,6 +48,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_codes.query(spark, sf_dir)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.query(spark, sf_dir)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.query(spark, sf_dir)
+
+
 def proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proximity matches on the index of op 5."""
     return phrase_index.proximity(spark, sf_dir)
@@ -55,6 +67,8 @@ def proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_quality, op3_media, op4_language, op5_decontamination, op6_html, op7_bpe, op8_near_duplicates, op9_repeats, op10_pii, proximity)
+    for f in (
+        op1_token_counts, op2_quality, op3_media, op4_language, op5_decontamination, op6_html, op7_bpe, op8_near_duplicates, op9_repeats, op10_pii, op11_neighbours, op12_spelling, op13_whitening, proximity,
+    )
 }
-ORACLES = {"op5_decontamination": phrase_index.ORACLE, "proximity": phrase_index.PROXIMITY_ORACLE}
+ORACLES = {"op5_decontamination": phrase_index.ORACLE, "op11_neighbours": binary_codes.ORACLE, "op12_spelling": spelling.ORACLE, "proximity": phrase_index.PROXIMITY_ORACLE}
