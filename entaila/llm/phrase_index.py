@@ -4,9 +4,9 @@
 segment, the lexicon and the sorted positions of each of its terms; segments are
 rows of a table in the shared folder, so building and searching move no postings
 between tasks.  A term is a 64-bit hash of its word.  `search` takes, for every
-phrase, its terms from the rarest (by the counts of the whole corpus) to the
-commonest and intersects their position lists, each shifted by the term's offset;
-`near` counts places of two words within a distance.
+phrase, its terms from the rarest in the segment to the commonest and intersects
+their position lists, each shifted by the term's offset; `near` counts places of two
+words within a distance.
 
 The phrases are searched in blocks of at most about `BLOCK_WORDS` words, which
 bounds what is broadcast, all on the one index; a longer item is cut with an
@@ -15,21 +15,26 @@ overlap, so that each of its windows is in one block.
 Words: A-Z lower-cased, runs of digits, letters and bytes over 0x7F.  Null and
 empty texts have no words and no hits; items without words match nothing, and an
 item_id of null is reported as the string `null`.  Items that repeat an id are
-reported once.  Every document row is returned, repeated ones too; spans and
-items of rows that repeat an id stay with their own text.  Empty tables give no
+reported once.  Every document row is returned, repeated ones too: rows are told
+apart by segment and place, at any number of blocks, so that spans and items of
+rows that repeat an id stay with their own text.  A text of any length is one
+document of its segment.  Empty tables give no
 rows or no hits; other columns, of any names, are not read.  Documents in a
 segment lie `GAP` places apart, so no phrase crosses documents.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_texts, ragged, stored, table
+from .common import arrow_schema, map_texts, ragged, shared_dir, stored, table
 from .hashing import prefix_sums, spans_hash
 
 WINDOW = 10
@@ -64,19 +69,25 @@ def terms_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Segments (docs, n_words, base, terms, counts, positions) of the corpus; terms are in order."""
+    """Segments (segment, docs, n_words, base, terms, counts, positions) of the corpus; terms are in order.
+
+    A segment's number is that of the task that wrote it and a count; it is stored, so
+    it tells rows apart that are equal in everything else.
+    """
 
     def make():
+        number = itertools.count(TaskContext.get().partitionId() << 32)
+
         def kernel(ids, texts):
             term, n = terms_of(texts)
             base = np.cumsum(n + GAP) - (n + GAP)
             order = np.argsort(term, kind="stable")
             terms, counts = np.unique(term, return_counts=True)
-            return {"docs": [ids], "n_words": [n.tolist()], "base": [base.tolist()], "terms": [terms.tolist()], "counts": [counts.tolist()], "positions": [_pack(ragged(base, n)[order], counts)]}
+            return {"segment": [next(number)], "docs": [ids], "n_words": [n.tolist()], "base": [base.tolist()], "terms": [terms.tolist()], "counts": [counts.tolist()], "positions": [_pack(ragged(base, n)[order], counts)]}
 
         return kernel
 
-    return stored(map_texts(df, id_col, text_col, make, f"docs array<{dict(df.dtypes)[id_col]}>, n_words array<int>, base array<long>, terms array<long>, counts array<int>, positions binary"))
+    return stored(map_texts(df, id_col, text_col, make, f"segment long, docs array<{dict(df.dtypes)[id_col]}>, n_words array<int>, base array<long>, terms array<long>, counts array<int>, positions binary"))
 
 
 def _pack(pos: np.ndarray, counts: np.ndarray) -> bytes:
@@ -110,115 +121,98 @@ class Phrases:
         self.owner_lists = [sorted(owners[w]) for w in self.windows]
         self.terms = np.unique(np.array(list(code.values()), np.int64))
 
-    def plan(self, frequency: dict[int, int]) -> dict:
-        """Arrays for the tasks: terms and offsets of each window from the rarest, and owners."""
-        live = [k for k, w in enumerate(self.windows) if all(t in frequency for t in w)]
-        width = max((len(self.windows[k]) for k in live), default=0)
-        terms, offs = np.zeros((len(live), width), np.int64), np.full((len(live), width), -1, np.int64)
-        for row, k in enumerate(live):
-            w = self.windows[k]
-            order = sorted(range(len(w)), key=lambda o: (frequency[w[o]], o))
-            terms[row, : len(w)], offs[row, : len(w)] = [w[o] for o in order], order
-        owners = [self.owner_lists[k] for k in live]
+    def plan(self) -> dict:
+        """Arrays for the tasks: terms and places of each window (-1 behind its end), and owners."""
+        width = max(map(len, self.windows), default=0)
+        terms, offs = np.zeros((len(self.windows), width), np.int64), np.full((len(self.windows), width), -1, np.int64)
+        for row, w in enumerate(self.windows):
+            terms[row, : len(w)], offs[row, : len(w)] = w, range(len(w))
         return {
-            "terms": terms, "offs": offs, "len": np.array([len(self.windows[k]) for k in live], np.int64),
-            "own_n": np.array([len(o) for o in owners], np.int64), "own": np.array([x for o in owners for x in o], np.int64), "items": self.item_ids,
+            "terms": terms, "offs": offs, "len": np.array([len(w) for w in self.windows], np.int64),
+            "own_n": np.array([len(o) for o in self.owner_lists], np.int64), "own": np.array([x for o in self.owner_lists for x in o], np.int64), "items": self.item_ids,
         }
 
 
 def intersect(terms: np.ndarray, counts: np.ndarray, pos: np.ndarray, plan: dict) -> tuple[np.ndarray, np.ndarray]:
     """(window, start) of every occurrence in one segment.
 
-    Windows with a term that the segment lacks are left out at once.  The postings
-    of each window's rarest term give the candidate starts; every further term
-    keeps those whose shifted position is in its own list.
+    Windows with a term that the segment lacks are left out at once.  The terms of
+    each other window are taken from the rarest in the segment to the commonest: the
+    postings of the first give the candidate starts; every further term keeps those
+    whose shifted position is in its own list.
     """
     if not len(terms) or not len(plan["terms"]):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     local = np.minimum(np.searchsorted(terms, plan["terms"]), len(terms) - 1)  # the term's place in the segment
     here = np.flatnonzero(((terms[local] == plan["terms"]) | (plan["offs"] < 0)).all(1))
+    local, offs = local[here], plan["offs"][here]
+    order = np.argsort(np.where(offs < 0, np.iinfo(np.int64).max, counts[local]), axis=1, kind="stable")
+    local, offs = np.take_along_axis(local, order, 1), np.take_along_axis(offs, order, 1)
     starts = np.cumsum(counts) - counts
     postings = (np.repeat(np.arange(len(terms)), counts) << 40) + pos
-    rare = local[here, 0]
+    rare = local[:, 0]
     n = counts[rare]
-    win = np.repeat(here, n)
-    begin = pos[ragged(starts[rare], n)] - plan["offs"][win, 0]
-    for r in range(1, plan["terms"].shape[1]):
-        off = plan["offs"][win, r]
+    win = np.repeat(np.arange(len(here)), n)
+    begin = pos[ragged(starts[rare], n)] - offs[win, 0]
+    for r in range(1, offs.shape[1]):
+        off = offs[win, r]
         want = (local[win, r] << 40) + begin + off
         at = np.minimum(np.searchsorted(postings, want), len(postings) - 1)
         ok = (postings[at] == want) | (off < 0)
         win, begin = win[ok], begin[ok]
-    return win, begin
-
+    return here[win], begin
 
-def frequencies(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
-    """Counts in the whole corpus of the given terms that it has."""
-    shared = index.sparkSession.sparkContext.broadcast(terms)
-    schema = arrow_schema("term long, n long")
 
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for row in range(batch.num_rows):
-                known, counts = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in range(2))
-                ok = np.isin(known, shared.value)
-                yield pa.RecordBatch.from_arrays([pa.array(known[ok], pa.int64()), pa.array(counts[ok], pa.int64())], schema=schema)
-
-    got = index.select("terms", "counts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return {r["term"]: r["n"] for r in got.toLocalIterator()}  # of the block's own terms
-
-
-def _segment(row) -> tuple[np.ndarray, ...]:
+def _segment(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, ...]:
     """(base, terms, counts, positions) of a segment's row."""
-    base, terms, counts = (np.array(row[c], np.int64) for c in ("base", "terms", "counts"))
-    return base, terms, counts, _unpack(row["positions"], counts)
+    base, terms, counts = (batch.column(c)[row].values.to_numpy() for c in ("base", "terms", "counts"))
+    counts = counts.astype(np.int64)
+    return base, terms, counts, _unpack(batch.column("positions")[row].as_buffer(), counts)
 
 
-def search(index: DataFrame, plan: dict, id_col: str = "doc_id") -> DataFrame:
-    """(id, segment, row, n_words, spans, item_ids) of every document.
+def search(index: DataFrame, phrases: Phrases, path: str) -> None:
+    """Writes (segment, row, spans, item_ids) of the documents with hits to a folder.
 
-    spans: (begin, end) of runs of hit words; segment and row tell rows with equal ids apart.
+    A row is a document's place in its segment; spans: (begin, end) of runs of hit words.
     """
-    import pyarrow as pa
-
-    ddl = f"`{id_col}` {dict(index.dtypes)['docs'][6:-1]}, segment long, row long, n_words long, spans array<struct<begin: long, end: long>>, item_ids array<string>"
+    ddl = "segment long, row long, spans array<struct<begin: long, end: long>>, item_ids array<string>"
     schema = arrow_schema(ddl)
-    p_shared = index.sparkSession.sparkContext.broadcast(plan)
+    p_shared = index.sparkSession.sparkContext.broadcast(phrases.plan())
 
     def run(batches):
+        p = p_shared.value
         for batch in batches:
-            for row in batch.to_pylist():
-                p, n_words = p_shared.value, np.array(row["n_words"], np.int64)
-                base, terms, counts, pos = _segment(row)
+            for row in range(batch.num_rows):
+                base, terms, counts, pos = _segment(batch, row)
                 win, begin = intersect(terms, counts, pos, p)
-                size = int(base[-1] + n_words[-1] + GAP) if len(base) else 0
-                step = np.zeros(size + 1, np.int64)
-                np.add.at(step, begin, 1)
-                np.add.at(step, begin + p["len"][win], -1)
-                edge = np.diff(np.concatenate([[0], (np.cumsum(step) > 0).astype(np.int8), [0]]))
-                lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # places lie apart between documents
-                spans: list[list] = [[] for _ in row["docs"]]
-                for k, x, y in zip((np.searchsorted(base, lo, "right") - 1).tolist(), lo.tolist(), hi.tolist(), strict=True):
-                    spans[k].append({"begin": x - int(base[k]), "end": y - int(base[k])})
+                if not len(win):
+                    continue
+                order = np.argsort(begin, kind="stable")
+                first, far = begin[order], np.maximum.accumulate((begin + p["len"][win])[order])
+                new = np.flatnonzero(np.append(True, first[1:] > far[:-1]))
+                lo, hi = first[new], far[np.append(new[1:], len(far)) - 1]
                 doc = np.searchsorted(base, begin, "right") - 1
-                first = np.cumsum(p["own_n"]) - p["own_n"]
-                owner = p["own"][ragged(first[win], p["own_n"][win])]
-                items: list[list[str]] = [[] for _ in row["docs"]]
-                for x in np.unique(np.repeat(doc, p["own_n"][win]) * max(len(p["items"]), 1) + owner).tolist():
-                    items[x // len(p["items"])].append(p["items"][x % len(p["items"])])
-                n = len(row["docs"])
-                cols = [row["docs"], [row["segment"]] * n, list(range(n)), n_words, spans, [sorted(set(x)) for x in items]]
+                at = np.searchsorted(base, lo, "right") - 1  # runs do not cross documents, which lie apart
+                begin_of = np.cumsum(p["own_n"]) - p["own_n"]
+                owner = p["own"][ragged(begin_of[win], p["own_n"][win])]
+                pair = np.unique(np.repeat(doc, p["own_n"][win]) * len(p["items"]) + owner)
+                hit = np.unique(doc)
+                spans: dict[int, list] = {d: [] for d in hit.tolist()}
+                for d, x, y in zip(at.tolist(), (lo - base[at]).tolist(), (hi - base[at]).tolist(), strict=True):
+                    spans[d].append({"begin": x, "end": y})
+                items: dict[int, set] = {d: set() for d in spans}
+                for x in pair.tolist():
+                    items[x // len(p["items"])].add(p["items"][x % len(p["items"])])
+                number = batch.column("segment")[row].as_py()
+                cols = [[number] * len(hit), hit, list(spans.values()), [sorted(items[d]) for d in spans]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], names=schema.names)
 
-    return index.withColumn("segment", F.xxhash64("docs", "n_words", "positions")).mapInArrow(run, ddl)
+    index.select("segment", "base", "terms", "counts", "positions").mapInArrow(run, ddl).write.mode("append").parquet(path)
+    p_shared.destroy()
 
 
 def near(index: DataFrame, first: str, second: str, distance: int, id_col: str = "doc_id") -> DataFrame:
     """(id, pairs): pairs of places of two words at most `distance` words apart, in any order."""
-    import pyarrow as pa
-
     if not 0 < distance <= GAP:
         raise ValueError(f"distance must be 1 to {GAP}")
     two = [words(w) for w in (first, second)]
@@ -230,8 +224,9 @@ def near(index: DataFrame, first: str, second: str, distance: int, id_col: str =
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                base, terms, counts, pos = _segment(row)
+            for row in range(batch.num_rows):
+                base, terms, counts, pos = _segment(batch, row)
+                docs = batch.column("docs")[row].values
                 starts = np.cumsum(counts) - counts
                 lists = []
                 for t in ends_of:
@@ -240,8 +235,8 @@ def near(index: DataFrame, first: str, second: str, distance: int, id_col: str =
                 a, b = lists
                 n = np.searchsorted(b, a + distance, "right") - np.searchsorted(b, a - distance, "left") - (1 if ends_of[0] == ends_of[1] else 0)
                 doc = np.searchsorted(base, a, "right") - 1
-                total = np.bincount(doc, n, minlength=len(row["docs"])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(row["docs"], schema[0].type), pa.array(total, schema[1].type)], names=schema.names)
+                total = np.bincount(doc, n, minlength=len(docs)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([docs.cast(schema[0].type), pa.array(total, schema[1].type)], names=schema.names)
 
     return index.mapInArrow(run, ddl)
 
@@ -264,21 +259,22 @@ def item_blocks(items: DataFrame, item_col: str = "item_id", text_col: str = "te
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_hit, item_ids) of every document against all items.
+    """(id, n_words, n_hit, item_ids) of every document row against all items.
 
-    One index serves all blocks of items; of several blocks the spans and items
-    are united by document.
+    One index serves all blocks of items: a block reads it once, writes its hits and
+    gives back its broadcast.  Hits of all blocks are united by segment and row.
     """
-    index = build_index(docs, id_col, text_col)
-    found = [search(index, p.plan(frequencies(index, p.terms)), id_col) for p in item_blocks(items, item_col, item_text_col)]
-    hits = found[0]
-    if len(found) > 1:
-        for more in found[1:]:
-            hits = hits.unionByName(more)
-        hits = hits.groupBy(id_col, "segment", "row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    index, path = build_index(docs, id_col, text_col), shared_dir(docs.sparkSession)
+    for phrases in item_blocks(items, item_col, item_text_col):
+        search(index, phrases, path)
+    hits = docs.sparkSession.read.schema("segment long, row long, spans array<struct<begin: long, end: long>>, item_ids array<string>").parquet(path)
+    hits = hits.groupBy("segment", "row").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("far"))
     fold = lambda s, x: F.struct((s["n"] + F.greatest(x["end"] - F.greatest(s["far"], x["begin"]), F.lit(0))).alias("n"), F.greatest(s["far"], x["end"]).alias("far"))
-    return hits.select(id_col, "n_words", F.aggregate("spans", start, fold)["n"].alias("n_hit"), "item_ids")
+    found = hits.select("segment", "row", F.aggregate("spans", start, fold)["n"].alias("n_hit"), "item_ids")
+    rows = index.select("segment", F.posexplode(F.arrays_zip("docs", "n_words")).alias("row", "d")).select("segment", F.col("row").cast("long").alias("row"), F.col("d.docs").alias("_id"), F.col("d.n_words").cast("long").alias("n_words"))
+    all_rows = rows.join(found.hint("merge"), ["segment", "row"], "left")
+    return all_rows.select(F.col("_id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
