@@ -9,7 +9,9 @@ format are walked past (cycle walking).  The map is a bijection for a key, so
 equal values stay linked across documents and different ones stay apart.
 
 The format of a number is no part of the permutation: a phone number or a date
-gets the same pseudonym however it is written.  Values of more than `BLOCK`
+gets the same pseudonym however it is written.  A phone number's country code is
+found by the table of codes, with or without a separator behind it, after `+` or
+`00`, and stays; so does a `(0)` behind it.  Values of more than `BLOCK`
 letters and digits are permuted block by block, each block under the one before.
 
 The key is the caller's secret and has no default.  `report` and the pipeline take
@@ -18,7 +20,8 @@ published key, which is good for tests only.
 
 Null texts stay null; texts without candidates are returned as they are, and every
 row is returned, repeated ones too.  Where candidates overlap, the one that begins
-first stays, then the longer one.  A match that fails its validator, because another
+first stays, then the longer one.  The time is linear in a text's length, whatever
+stands in it.  A match that fails its validator, because another
 number stands next to the value, is tried again from and to every border of a group
 of digits inside it.  An empty table gives none; other columns are passed on, and the
 name for a further column must be new.
@@ -130,6 +133,16 @@ def is_ip(text: str) -> bool:
     return all(int(x) < 256 and str(int(x)) == x for x in text.split("."))
 
 
+#: The calling codes of one and two digits; all others have three.
+_CODES_1, _CODES_2 = "1 7".split(), "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
+def country_end(text: str) -> int:
+    """Where the country code of a phone number ends, whatever follows it; 0 if the number has none."""
+    lead = 1 if text[:1] == "+" else 2 if text[:2] == "00" else 0
+    return lead and lead + (1 if text[lead : lead + 1] in _CODES_1 else 2 if text[lead : lead + 2] in _CODES_2 else 3)
+
+
 def is_ssn(text: str) -> bool:
     a, b, c = text.split("-")
     return a not in ("000", "666") and a[0] != "9" and b != "00" and c != "0000"
@@ -166,7 +179,7 @@ _EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*\Z")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
 _DATE = r"\d{4}-\d\d-\d\d(?=[Tt]\d\d)|(?:\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?![\w/-]|\.\d)"
 _CARD = r"\d(?:[ -]?\d){12,18}(?!\w)"
-_PHONE = r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|00\d{2}(?:[ ./-]?\d{2,4}){2,5})(?!\w)"
+_PHONE = r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|00\d{2}(?:[ ./-]?\d{2,4}){2,5})(?!\w)"
 _NUMBER = re.compile(
     r"(?<![\w.+])(?:"
     rf"(?P<date>{_DATE})"
@@ -186,6 +199,10 @@ _SECRET = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])")
 _PREFIXED = re.compile(r"(?<!\w)(?P<head>AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|xox[abprs]-|sk-|sk_live_|pk_live_|AIza)(?P<body>[A-Za-z0-9_-]{12,})")
 
 
+_DOUBLED = bytes(d * 2 - 9 * (d > 4) if d < 10 else 0 for d in range(256))
+_VALUE = bytes(b - 48 if 48 <= b <= 57 else 0 for b in range(256))
+
+
 def cards(text: str, begin: int, end: int) -> list[tuple[int, int]]:
     """(begin, end) of the card numbers in a run of digit groups, apart from each other, in order.
 
@@ -200,18 +217,27 @@ def cards(text: str, begin: int, end: int) -> list[tuple[int, int]]:
         while k < len(fixed) and fixed[k][1] <= a:
             k += 1
         inside.append(k < len(fixed) and fixed[k][0] < b)
-    found = []
+    sizes = [b - a for a, b in groups]
+    value = "".join(text[a:b] for a, b in groups).encode().translate(_VALUE)
+    double = value.translate(_DOUBLED)
+    found, at = [], 0
     for i, (a, _) in enumerate(groups):
-        if a and (text[a - 1] in ".+_" or text[a - 1].isalnum()):
+        first, at = at, at + sizes[i]
+        if a and (text[a - 1] in ".+_" or text[a - 1].isalnum()) or text.startswith("00", a):  # 00 dials abroad
             continue
-        form, n = (), 0
+        n = 0
         for j in range(i, len(groups)):
-            size = groups[j][1] - groups[j][0]
-            form, n = (*form, size), n + size
+            n += sizes[j]
             if n > 19 or inside[j]:
                 break
+            if n < 13:
+                continue
+            to = first + n
+            if (sum(value[first + (n - 1) % 2 : to : 2]) + sum(double[first + n % 2 : to : 2])) % 10:  # Luhn
+                continue
             b = groups[j][1]
-            if n >= 13 and not (b < len(text) and (text[b] == "_" or text[b].isalnum())) and is_card(text[a:b]):
+            if not (b < len(text) and (text[b] == "_" or text[b].isalnum())) and value.count(value[first], first, to) < n:
+                form = tuple(sizes[i : j + 1])
                 found.append((len(form) > 1 and form not in _CARD_FORMS, a, -b))
     out, used = [], bytearray(end - begin)
     for _, a, b in sorted(found):
@@ -254,6 +280,9 @@ def numbers(text: str) -> Iterator[tuple[int, int, str]]:
             at = held.pop()[1]
             yield a, at, "card"
             continue
+        if not (_PHONE_AT.match(text, a) or text.startswith("00", a) and _CARD_AT.match(text, a)):
+            at = _GROUP.search(text, a).end()
+            continue
         end = held[-1][0] if held else len(text)
         near = next((d.start() for d in _FIXED.finditer(text, a + 1, min(end, b + 20)) if d.lastgroup in ("date", "ip") and _VALID[d.lastgroup](d[0])), end)
         to = 0
@@ -323,9 +352,11 @@ class Pseudonyms:
         return f"{self.f.symbols(local, b'local', None, back)}@{self.f.symbols(host, b'host', None, back)}{dot}{top}"
 
     def _phone(self, v, back):
-        head = re.match(r"\+\d{1,3}(?=[ .(-])|00\d\d|", v)[0]
+        head = v[: country_end(v)]
         rest = v[len(head) :]
-        area = next(c for c in rest if c.isdigit()) >= "2"  # subscriber numbers that don't begin with 0 or 1 keep this
+        trunk = re.match(r"[ ./-]*\(0\)", rest)  # written between country and area, not dialled
+        head, rest = (head + trunk[0], rest[trunk.end() :]) if trunk and head else (head, rest)
+        area = next((c for c in rest if c.isdigit()), "0") >= "2"  # subscriber numbers that don't begin with 0 or 1 keep this
         return head + self.f.digits(rest, b"phone", lambda s: (s[0] >= "2") == area, back)
 
     def _ssn(self, v, back):

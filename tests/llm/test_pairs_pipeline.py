@@ -224,3 +224,15 @@ def test_pipeline_stages_on_nulls_extra_columns_and_empty_tables(spark, tmp_path
             assert kept == ({0, 1, 2, 4} if name == "near_copies" else {0, 1, 2, 3, 4}) and got.columns == d.columns
         assert stage(spark, d.limit(0), str(tmp_path)).count() == 0
     assert {r.doc_id for r in corpus_pipeline.language(spark, d, "").collect()} == {2, 3}
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    spark.createDataFrame([(1, "secret item")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    a, b, c = "one two three four five six", "other words that stand alone here", "again something else without a copy"
+    rows = [(1, a), (5, a), (5, b), (None, a), (None, c), (3, None), (3, None), (5, b)]
+    frame = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, row int, id string").repartition(5)
+    key = lambda df: sorted([(r.doc_id, r.text) for r in df.collect()], key=str)
+    got = corpus_pipeline.near_copies(spark, frame, str(tmp_path))
+    assert key(got) == sorted([(1, a), (5, b), (None, c), (3, None), (3, None)], key=str) and got.columns == frame.columns
+    mixed = spark.createDataFrame([(1, "a secret item"), (1, "clean"), (None, "Secret, item!"), (None, "clean"), (1, "clean")], "doc_id long, text string")
+    assert key(corpus_pipeline.decontaminate(spark, mixed, str(tmp_path))) == [(1, "clean"), (1, "clean"), (None, "clean")]

@@ -145,6 +145,20 @@ def test_decontamination(spark, monkeypatch):
     got = sorted((r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in phrase_index.decontaminate(twice, bench).collect())
     assert got == sorted([(k, *brute_hits(t, items)) for k, t in enumerate(texts)] + [(0, *brute_hits(texts[1], items)), (1, *brute_hits(texts[5], items))])
     assert len(built) == 1  # one index for all blocks
+
+
+@pytest.mark.parametrize("block", [phrase_index.BLOCK_WORDS, 2])
+def test_decontamination_of_equal_rows_in_other_partitions(spark, monkeypatch, block):
+    monkeypatch.setattr(phrase_index, "BLOCK_WORDS", block)
+    rows = [(2, "one two"), (7, "cat"), (2, "one two"), (7, "dog"), (None, "cat"), (None, "dog"), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    items = [(1, "cat"), (2, "two"), (3, "owl"), (4, "one two")]
+    got = phrase_index.decontaminate(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted([tuple(r) for r in got], key=str) == sorted([(i, *brute_hits(t, items)) for i, t in rows], key=str)
+
+
+def test_decontamination_without_items_or_rows(spark):
+    texts, bench = ["a b", None, ""], spark.createDataFrame([(1, "a b")], "item_id long, text string")
     none = phrase_index.report(docs(spark, texts), bench.limit(0)).collect()
     assert len(none) == len(texts) and all(r.n_hit == 0 and r.items_sha256 == sha("") for r in none)
     assert phrase_index.report(docs(spark, texts).limit(0), bench).count() == 0
@@ -402,6 +416,29 @@ def test_pseudonyms_of_day_first_dates_and_upper_case_secrets_invert():
         assert new != v and p("secret", new, True) == v and pii.spans(new)[0][2] == "secret" and [c.islower() for c in new if c.isalpha()].count(True) * v.isupper() == 0
 
 
+def test_a_phone_number_is_linked_in_all_its_forms():
+    p = pii.Pseudonyms(b"k")
+    bare = lambda s: "".join(c for c in s.replace("(0)", "") if c.isdigit()).removeprefix("00")
+    for forms in (
+        ["+4915112345678", "+49 151 12345678", "+49 (0)151 12345678", "0049 151 12345678", "004915112345678", "+49-151-12345678"],
+        ["+17435553824", "+1 743 555 3824", "+1 (743) 555-3824", "+1.743.555.3824"],
+        ["+35312345678", "+353 1 234 5678"],
+    ):
+        new = [p.text(f"call {f} now") for f in forms]
+        assert {k for _, ks in new for k in ks} == {"phone"} and len({bare(t) for t, _ in new}) == 1
+        assert [p("phone", t[5:-4], True) for t, _ in new] == forms
+        assert all(pii.country_end(t[5:]) == pii.country_end(f) and t[5:][: pii.country_end(f)] == f[: pii.country_end(f)] for f, (t, _) in zip(forms, new, strict=True))
+    assert p.text("743-555-3824")[0] == p.text("+1-743-555-3824")[0][3:]
+
+
+def test_long_texts_of_digits_take_linear_time():
+    p = pii.Pseudonyms(b"k")
+    for unit in ("1 ", "4111 1111 1111 1111 ", "123456789 "):
+        began = time.time()
+        p.text(unit * (400_000 // len(unit)))
+        assert time.time() - began < 8
+
+
 def test_one_value_in_two_formats_gets_one_pseudonym():
     p = pii.Pseudonyms(b"k1")
     digits = lambda s: "".join(c for c in s if c.isdigit())
