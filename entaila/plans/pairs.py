@@ -268,9 +268,12 @@ def auc_rank(spark, d):
 
 
 @query(f"""{_RK}, g AS (SELECT *, rank() OVER (ORDER BY abs(a - b)) + (count(*) OVER (PARTITION BY abs(a - b)) - 1) / 2 AS rr FROM r WHERE a <> b),
-w AS (SELECT least(sum(CASE WHEN a > b THEN rr ELSE 0 END), sum(CASE WHEN a < b THEN rr ELSE 0 END)) AS wx, count(*) AS n_used FROM g),
-m AS (SELECT count(*) AS n, corr(ra, rb) AS spearman, avg(a - b) AS md, avg(abs(a - b)) AS mad, stddev_samp(a - b) AS sd, (sum(CASE WHEN y = 1 THEN ra ELSE 0 END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS aa, (sum(CASE WHEN y = 1 THEN rb ELSE 0 END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS ab FROM r)
-SELECT n, round(spearman, 6) AS spearman, round(md, 6) AS mean_diff, round(mad, 6) AS mean_abs_diff, round(md / (sd / sqrt(n)), 6) AS t, round(wx, 6)::DOUBLE AS wilcoxon, n_used, round(aa, 6) AS auc_a, round(ab, 6) AS auc_b, round(aa - ab, 6) + 0.0 AS auc_diff FROM m, w""")
+w AS (SELECT least(sum(CASE WHEN a > b THEN rr ELSE 0 END), sum(CASE WHEN a < b THEN rr ELSE 0 END)) AS wx, count(*)::DOUBLE AS u FROM g), ti AS (SELECT sum(k * k * k - k) AS ties FROM (SELECT count(*)::DOUBLE AS k FROM g GROUP BY abs(a - b))),
+m AS (SELECT count(*) AS n, corr(ra, rb) AS spearman, avg(a - b) AS md, avg(abs(a - b)) AS mad, stddev_samp(a - b) AS sd, (sum(CASE WHEN y = 1 THEN ra ELSE 0 END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS aa, (sum(CASE WHEN y = 1 THEN rb ELSE 0 END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS ab FROM r),
+z AS (SELECT least(abs(wx - u * (u + 1) / 4) / sqrt(u * (u + 1) * (2 * u + 1) / 24 - ties / 48), 9.0) AS z, atan(abs(md / (sd / sqrt(n))) / sqrt(n - 1)) AS top, n - 1 AS df FROM w, ti, m),
+si AS (SELECT z, top, df, i, CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END / 60000.0 AS c FROM z, range(20001) t(i)),
+pv AS (SELECT 1 - sqrt(2 / pi()) * sum(c * z * exp(-pow(z * i / 20000.0, 2) / 2)) AS wp, 1 - 2 * exp(lgamma((max(df) + 1) / 2.0) - lgamma(max(df) / 2.0)) / sqrt(pi()) * sum(c * top * pow(cos(top * i / 20000.0), df - 1)) AS tp FROM si)
+SELECT n, round(spearman, 6) AS spearman, round(md, 6) AS mean_diff, round(mad, 6) AS mean_abs_diff, round(md / (sd / sqrt(n)), 6) AS t, round(greatest(tp, 0), 6) + 0.0 AS t_p, round(wx, 6)::DOUBLE AS wilcoxon, round(greatest(wp, 0), 6) + 0.0 AS wilcoxon_p, u::BIGINT AS n_used, round(aa, 6) AS auc_a, round(ab, 6) AS auc_b, round(aa - ab, 6) + 0.0 AS auc_diff FROM m, w, pv""")
 def paired_stats(spark, d):
     """Number of characters against number of words as scores of quality."""
     return _six(evaluate.paired(_scores(spark, d), "a", "b", "y"))
@@ -383,25 +386,23 @@ def _entities(spark, d):
 
 def _h(spark, d):
     """Truth over all ordered pairs of embeddings."""
-    return cut(logic.block_truth(_entities(spark, d), _score_blocks))
+    return logic.block_truth(_entities(spark, d), _score_blocks)
 
 
-def _h_stated(spark, d):
-    """Truth over the stated entities of the axioms on three and four variables: as many as there are nations and regions."""
-    return cut(logic.block_truth(logic.first_entities(_entities(spark, d), 30), _score_blocks))
+def _structural(spark, d):
+    return logic.structural_sums(_entities(spark, d), _score_blocks)
 
 
-_H = """WITH e AS (SELECT vec_id AS key, unnest(embedding)::DOUBLE AS v, unnest(range(len(embedding))) AS i FROM embeddings),
-h AS (SELECT a.key AS x, b.key AS y, 1 / (1 + exp(-4 * sum(a.v * b.v * (1 + b.i / 64.0)))) AS h FROM e a JOIN e b ON a.i = b.i GROUP BY 1, 2),
-st AS (SELECT key FROM (SELECT DISTINCT key FROM e) ORDER BY md5(key::VARCHAR), key LIMIT 30),
-hs AS (SELECT * FROM h WHERE x IN (SELECT key FROM st) AND y IN (SELECT key FROM st)),
-tr AS (SELECT 1 - sqrt(avg(pow(a.h * b.h - a.h * b.h * c.h, 2))) AS sat FROM hs a JOIN hs b ON a.y = b.x JOIN hs c ON c.x = a.x AND c.y = b.y),
-ir AS (SELECT 1 - sqrt(avg(pow(h, 2))) AS sat FROM h WHERE x = y),
-sy AS (SELECT 1 - sqrt(avg(pow(1 - (1 - a.h + a.h * (1 - b.h)), 2))) AS sat FROM h a JOIN h b ON a.x = b.y AND a.y = b.x),
-wy AS (SELECT a.x, c.y, 1 - sqrt(avg(pow(1 - a.h * b.h * c.h, 2))) AS s FROM hs a JOIN hs b ON a.y = b.x JOIN hs c ON b.y = c.x GROUP BY 1, 2),
-cl AS (SELECT 1 - sqrt(avg(pow(1 - (1 - h + h * s), 2))) AS sat FROM hs JOIN wy USING (x, y)),
-lp AS (SELECT x, y, CASE WHEN y = x + 1 THEN 1 ELSE 0 END AS label, CASE WHEN x % 4 = 0 THEN 'test' ELSE 'train' END AS split FROM h WHERE y = x + 1 OR y = x - 1),
-da AS (SELECT split, label, 1 - sqrt(avg(pow(1 - CASE WHEN label = 1 THEN h ELSE 1 - h END, 2))) AS sat FROM lp JOIN h USING (x, y) GROUP BY 1, 2)"""
+#: The truth of all pairs, and the axioms' sums over all entities as products of matrices (see operators/logic.py).
+_E = """WITH e AS MATERIALIZED (SELECT vec_id AS key, list_transform(embedding, lambda c: c::DOUBLE) AS v, list_transform(embedding, lambda c, i: c::DOUBLE * (1 + (i - 1) / 64.0)) AS w FROM embeddings)"""
+_HT = f"""{_E}, h AS MATERIALIZED (SELECT a.key AS x, b.key AS y, 1 / (1 + exp(-4 * list_inner_product(a.v, b.w))) AS h FROM e a, e b), n AS (SELECT count(*)::DOUBLE AS n FROM e)"""
+_TR = "qq AS MATERIALIZED (SELECT a.x, b.y, sum(a.h * a.h * b.h * b.h) AS v FROM h a JOIN h b ON a.y = b.x GROUP BY 1, 2), tr AS (SELECT 1 - sqrt(sum(pow(1 - h, 2) * v) / max(n * n * n)) AS sat FROM h JOIN qq USING (x, y), n)"
+_SY = "ir AS (SELECT 1 - sqrt(avg(pow(h, 2))) AS sat FROM h WHERE x = y), sy AS (SELECT 1 - sqrt(avg(pow(1 - (1 - a.h + a.h * (1 - b.h)), 2))) AS sat FROM h a JOIN h b ON a.x = b.y AND a.y = b.x)"
+_CL = """hh AS MATERIALIZED (SELECT a.x, b.y, sum(a.h * b.h) AS v FROM h a JOIN h b ON a.y = b.x GROUP BY 1, 2), h3 AS (SELECT a.x, b.y, sum(a.v * b.h) AS v FROM hh a JOIN h b ON a.y = b.x GROUP BY 1, 2), q3 AS (SELECT a.x, b.y, sum(a.v * b.h * b.h) AS v FROM qq a JOIN h b ON a.y = b.x GROUP BY 1, 2),
+wy AS (SELECT x, y, 1 - sqrt(1 - 2 * h3.v / (n * n) + q3.v / (n * n)) AS s FROM h3 JOIN q3 USING (x, y), n), cl AS (SELECT 1 - sqrt(avg(pow(1 - (1 - h + h * s), 2))) AS sat FROM h JOIN wy USING (x, y))"""
+#: The labelled pairs and their truth alone.
+_LP = """lp AS (SELECT a.key AS x, b.key AS y, CASE WHEN b.key = a.key + 1 THEN 1 ELSE 0 END AS label, CASE WHEN a.key % 4 = 0 THEN 'test' ELSE 'train' END AS split, 1 / (1 + exp(-4 * list_inner_product(a.v, b.w))) AS h FROM (SELECT *, unnest([key - 1, key + 1]) AS other FROM e) a JOIN e b ON b.key = a.other),
+da AS (SELECT split, label, 1 - sqrt(avg(pow(1 - CASE WHEN label = 1 THEN h ELSE 1 - h END, 2))) AS sat FROM lp GROUP BY 1, 2)"""
 
 
 def _label_pairs(spark, d):
@@ -411,7 +412,7 @@ def _label_pairs(spark, d):
     return p.join(n.select(F.col("x").alias("y")), "y").withColumn("split", F.when(F.col("x") % 4 == 0, "test").otherwise("train"))
 
 
-@query(f"{_H} SELECT x, y, round(h, 6) AS h FROM h")
+@query(f"{_HT} SELECT x, y, round(h, 6) AS h FROM h")
 def predicate_truth(spark, d):
     return _h(spark, d).withColumn("h", rounded("h"))
 
@@ -430,36 +431,35 @@ def pmean_error(spark, d):
     return t.unionByName(t.agg(pmean(F.col("sat")).alias("sat")).select(F.lit("all").alias("event_type"), "sat")).withColumn("sat", rounded("sat"))
 
 
-@query(f"{_H} SELECT round(sat, 6) AS sat FROM tr")
+@query(f"{_HT}, {_TR} SELECT round(sat, 6) AS sat FROM tr")
 def transitivity_sat(spark, d):
-    return _six(logic.transitivity(_h_stated(spark, d)))
+    return _six(_structural(spark, d).select(F.col("transitivity").alias("sat")))
 
 
-@query(f"{_H} SELECT round(sy.sat, 6) AS asymmetry, round(ir.sat, 6) AS irreflexivity FROM sy, ir")
+@query(f"{_HT}, {_SY} SELECT round(sy.sat, 6) AS asymmetry, round(ir.sat, 6) AS irreflexivity FROM sy, ir")
 def asymmetry_sat(spark, d):
-    h = _h(spark, d)
-    own = logic.irreflexivity(logic.own_truth(_entities(spark, d), _score))
-    return _six(logic.asymmetry(h).withColumnRenamed("sat", "asymmetry").crossJoin(F.broadcast(own.withColumnRenamed("sat", "irreflexivity"))))  # one row each
+    return _six(_structural(spark, d).select("asymmetry", "irreflexivity"))
 
 
-@query(f"{_H} SELECT round(sat, 6) AS sat FROM cl")
+@query(f"{_HT}, {_TR}, {_CL} SELECT round(sat, 6) AS sat FROM cl")
 def closure_sat(spark, d):
-    return _six(logic.closure(_h_stated(spark, d)))
+    return _six(_structural(spark, d).select(F.col("closure").alias("sat")))
 
 
-@query(f"{_H} SELECT split, label, round(sat, 6) AS sat FROM da")
+@query(f"{_E}, {_LP} SELECT split, label, round(sat, 6) AS sat FROM da")
 def data_axioms(spark, d):
     return _six(logic.data_axioms(_label_pairs(spark, d), logic.pair_truth(_label_pairs(spark, d), _entities(spark, d), _score), ["split"]))
 
 
-@query(f"""{_H}, al AS (SELECT split, axiom, sat FROM (SELECT 'transitivity' AS axiom, sat FROM tr UNION ALL SELECT 'irreflexivity', sat FROM ir UNION ALL SELECT 'asymmetry', sat FROM sy UNION ALL SELECT 'closure', sat FROM cl), (SELECT DISTINCT split FROM lp) UNION ALL SELECT split, CASE WHEN label = 1 THEN 'positive' ELSE 'negative' END, sat FROM da)
+@query(f"""{_HT}, {_TR}, {_SY}, {_CL}, {_LP}, al AS (SELECT split, axiom, sat FROM (SELECT 'transitivity' AS axiom, sat FROM tr UNION ALL SELECT 'irreflexivity', sat FROM ir UNION ALL SELECT 'asymmetry', sat FROM sy UNION ALL SELECT 'closure', sat FROM cl), (SELECT DISTINCT split FROM lp) UNION ALL SELECT split, CASE WHEN label = 1 THEN 'positive' ELSE 'negative' END, sat FROM da)
 SELECT split, axiom, round(sat, 6) AS sat FROM al UNION ALL SELECT split, 'overall', round(1 - sqrt(avg(pow(1 - sat, 2))), 6) FROM al GROUP BY split""")
 def axiom_breakdown(spark, d):
     """Every axiom's satisfaction by split, and overall."""
-    return _six(logic.breakdown(_label_pairs(spark, d), _h(spark, d), _h_stated(spark, d), ["split"]))
+    pairs = _label_pairs(spark, d)
+    return _six(logic.breakdown(pairs, logic.pair_truth(pairs, _entities(spark, d), _score), _structural(spark, d), ["split"]))
 
 
-@query(f"{_H} SELECT 0::BIGINT AS epoch, split, label, x, y, round(CASE WHEN label = 1 THEN h ELSE 1 - h END, 6) AS sat FROM lp JOIN h USING (x, y)")
+@query(f"{_E}, {_LP} SELECT 0::BIGINT AS epoch, split, label, x, y, round(CASE WHEN label = 1 THEN h ELSE 1 - h END, 6) AS sat FROM lp")
 def pair_snapshots(spark, d):
     p = _label_pairs(spark, d)
     h = logic.pair_truth(p, _entities(spark, d), _score)

@@ -88,13 +88,6 @@ def vector_text(spark, d):
     return vector_lines(kv).select(F.md5("value").alias("line"))
 
 
-@query("SELECT page_id, md5(left(html, 300)) AS head FROM pages WHERE bit_length(left(html, 300)) = 2400")
-def byte_prefix(spark, d):
-    """The first 300 bytes of pages that begin with 300 one-byte characters."""
-    t = table(spark, d, "pages").filter(F.octet_length(F.substring("html", 1, 300)) == 300)
-    return t.select("page_id", F.md5(cut_text(F.col("html").cast("binary"), 300)).alias("head"))
-
-
 @query("""WITH c AS (SELECT page_id, unnest(string_split(left(html, 300), '')) AS c, unnest(range(len(string_split(left(html, 300), '')))) AS i FROM pages),
 b AS (SELECT page_id, i, c, sum(strlen(c)) OVER (PARTITION BY page_id ORDER BY i) AS bytes FROM c)
 SELECT page_id, md5(coalesce(string_agg(c, '' ORDER BY i) FILTER (bytes <= 300), '')) AS head FROM pages JOIN b USING (page_id) GROUP BY page_id""")

@@ -1,6 +1,7 @@
 import math
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,14 +46,38 @@ def test_paired_statistics(spark):
     assert r.n == 3 and math.isclose(r.spearman, 0.5) and math.isclose(r.mean_diff, -2 / 3) and r.auc_a == 1.0 and r.auc_b == 0.5 and r.wilcoxon == 1.5
     few = evaluate.paired(df.limit(2), "a", "b", "y").first()
     assert few.n == 2 and few.spearman is None and few.auc_a is None
-    assert math.isclose(evaluate.t_p(2.228139, 10), 0.05, abs_tol=1e-4) and math.isclose(evaluate.wilcoxon_p(0, 10), 0.00506, abs_tol=1e-4)
+    assert few.t_p is None and few.wilcoxon_p is None and math.isclose(r.wilcoxon_p, evaluate.wilcoxon_p(1.5, 3, 6.0)) and math.isclose(r.t_p, evaluate.t_p(r.t, 2))
+
+
+def test_p_values_equal_tables():
+    for t, df, p in ((12.7062047, 1, 0.05), (2.22813885, 10, 0.05), (3.16927267, 10, 0.01), (1.98397152, 100, 0.05), (0.0, 5, 1.0)):
+        assert math.isclose(evaluate.t_p(t, df), p, abs_tol=1e-8) and math.isclose(evaluate.t_p(-t, df), p, abs_tol=1e-8)
+    assert evaluate.t_p(60.0, 400) < 1e-100 and evaluate.t_p(None, 3) is None
+    for w, n, p in ((0, 6, 2 / 64), (8, 10, 0.048828125), (3, 8, 0.0390625), (52, 20, 0.048441), (18, 8, 1.0)):
+        assert math.isclose(evaluate.wilcoxon_p(w, n), p, abs_tol=1e-6)
+    for n in (5, 9):  # every set of signs
+        sums = [sum(k + 1 for k in range(n) if s >> k & 1) for s in range(1 << n)]
+        assert all(math.isclose(evaluate.wilcoxon_p(w, n), min(1, 2 * sum(x <= w for x in sums) / 2**n)) for w in range(n * (n + 1) // 4 + 1))
+    assert math.isclose(evaluate.wilcoxon_p(10.5, 60, 120.0), math.erfc((915 - 10.5) / math.sqrt(60 * 61 * 121 / 24 - 2.5) / math.sqrt(2))) and evaluate.wilcoxon_p(0, 0) is None
+
+
+def test_paired_statistics_of_common_values(spark):
+    rng = np.random.default_rng(5)
+    a, b, y = rng.integers(0, 4, 300).astype(float), rng.integers(0, 3, 300).astype(float), rng.integers(0, 2, 300)
+    r = evaluate.paired(spark.createDataFrame(list(zip(a.tolist(), b.tolist(), y.tolist(), strict=True)), "a double, b double, y int"), "a", "b", "y").first()
+    rank = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+    d = (a - b)[a != b]
+    w = rank(np.abs(d))
+    ties = sum(k**3 - k for k in np.unique(np.abs(d), return_counts=True)[1].tolist())
+    auc = lambda v: np.mean([(p > q) + (p == q) / 2 for p in v[y == 1] for q in v[y == 0]])
+    assert np.allclose([r.spearman, r.wilcoxon, r.auc_a, r.auc_b], [np.corrcoef(rank(a), rank(b))[0, 1], min(w[d > 0].sum(), w[d < 0].sum()), auc(a), auc(b)])
+    assert r.n_used == len(d) and math.isclose(r.wilcoxon_p, evaluate.wilcoxon_p(r.wilcoxon, len(d), ties))
 
 
 def test_fuzzy_logic(spark):
     x, y = F.lit(0.5), F.lit(0.25)
     assert tuple(spark.range(1).select(f_and(x, y), f_implies(x, y)).first()) == (0.125, 0.625)
     h = spark.createDataFrame([("a", "a", 0.0), ("a", "b", 1.0), ("b", "a", 0.0), ("b", "b", 0.0)], "x string, y string, h double")
-    assert logic.irreflexivity(h).first()[0] == 1.0 and logic.asymmetry(h).first()[0] == 1.0 and logic.transitivity(h).first()[0] == 1.0
     pairs = spark.createDataFrame([("a", "b", 1), ("b", "a", 0), ("a", "q", 1)], "x string, y string, label int")
     assert {r.label: r.sat for r in logic.data_axioms(pairs, h).collect()} == {1: 1.0, 0: 1.0}
     assert h.limit(0).agg(pmean_error(F.col("h"))).first()[0] is None
@@ -183,18 +208,34 @@ def test_sweep_keeps_the_errors(spark):
     assert {r.run_tag: r.error for r in rows if r.error} == {"empty": "the model has no vectors", "bad": "no such file"}
 
 
-def test_axioms_of_stated_entities(spark):
+def test_truth_and_breakdown(spark):
     e = spark.createDataFrame([(k, [float(k)]) for k in range(9)], "key long, vec array<double>")
     score = lambda u, v: (u[0] < v[0]).cast("double")
-    few = logic.first_entities(e, 4)
-    blocks = logic.block_truth(e, lambda u, v: (u < v.T).astype(float), 2)
-    assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, logic.truth(e, score).collect()))
-    assert few.count() == 4 and sorted(few.collect()) == sorted(logic.first_entities(e.repartition(5), 4).collect())
+    below = lambda u, v: (u < v.T).astype(float)
+    assert sorted(map(tuple, logic.block_truth(e, below, 2).collect())) == sorted(map(tuple, logic.truth(e, score).collect()))
     pairs = spark.createDataFrame([(1, 2, 1, "a"), (3, 2, 0, "b"), (1, 99, 1, "b")], "x long, y long, label int, split string")
-    assert {(r.x, r.y): r.h for r in logic.pair_truth(pairs, e, score).collect()} == {(1, 2): 1.0, (3, 2): 0.0}
-    assert logic.irreflexivity(logic.own_truth(e, score)).first().sat == 1.0
-    rows = logic.breakdown(pairs, logic.truth(e, score), logic.truth(few, score), ["split"]).collect()
+    h = logic.pair_truth(pairs, e, score)
+    assert {(r.x, r.y): r.h for r in h.collect()} == {(1, 2): 1.0, (3, 2): 0.0}
+    order = logic.structural_sums(e, below, 2)
+    assert order.first()[:3] == (1.0, 1.0, 1.0)
+    rows = logic.breakdown(pairs, h, order, ["split"]).collect()
     assert {(r.split, r.axiom) for r in rows} == {(s, a) for s in "ab" for a in ("transitivity", "irreflexivity", "asymmetry", "closure", "overall")} | {("a", "positive"), ("b", "negative")}
+    assert tuple(logic.structural_sums(e.limit(0), below).first()) == (None,) * 4
+
+
+@pytest.mark.parametrize("size", [3, 100])
+def test_axioms_over_all_entities_equal_all_cases(spark, size):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(11, 3))
+    score = lambda a, b: 1 / (1 + np.exp(-(a @ (b * [1.0, 2.0, -1.0]).T + a[:, :1])))
+    got = logic.structural_sums(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "key long, vec array<double>"), score, size).first()
+    h = score(v, v)
+    rms = lambda e: 1 - np.sqrt((np.array(e) ** 2).mean())
+    n = range(11)
+    three = [h[x, y] * h[y, z] * (1 - h[x, z]) for x in n for y in n for z in n]
+    some = [[1 - np.sqrt(np.mean([(1 - h[x, u] * h[u, z] * h[z, y]) ** 2 for u in n for z in n])) for y in n] for x in n]
+    want = rms(three), rms(np.diag(h)), rms(h * h.T), rms(h * (1 - np.array(some)))
+    assert np.allclose(got, want, atol=1e-12)
 
 
 def test_stream_counts(spark, tmp_path):
