@@ -6,23 +6,29 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once, written below spark.checkpoint.dir and read again.
+def folder(spark: SparkSession) -> str:
+    """The name of a new folder below spark.checkpoint.dir.
 
-    A lost executor costs no recomputation of what lies before; the plan and the
-    optimiser's inferences begin anew at the table.  Only a session on this machine
-    alone may leave the setting unset: it gets a folder of its own.
+    Only a session on this machine alone may leave the setting unset: it gets a folder of its own.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df`, computed once, written below spark.checkpoint.dir and read again.
+
+    A lost executor costs no recomputation of what lies before; the plan and the
+    optimiser's inferences begin anew at the table.
+    """
+    path = folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

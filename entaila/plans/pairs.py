@@ -209,6 +209,37 @@ def feature_bundle(spark, d):
     return out
 
 
+def _bundle_pairs(spark, d):
+    p = table(spark, d, "part")
+    hypo, top = F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("hypo"), F.concat(F.lit("type."), "p_type")
+    row = lambda df, n, a, b, *more: df.select((F.col("p_partkey") * 4 + n).alias("pair_id"), a, b.alias("hyper"), *more)
+    types = p.groupBy("p_type").agg(F.min("p_partkey").alias("p_partkey"))
+    train = row(p, 0, hypo, top, (F.col("p_partkey") % 3 > 0).cast("int").alias("label")).unionByName(row(types, 3, top.alias("hypo"), F.lit("entity"), F.lit(None).cast("int").alias("label")))
+    test = row(p, 1, hypo, F.lit("entity")).unionByName(row(p.filter("p_partkey % 5 = 0"), 2, hypo, top))
+    return train, test
+
+
+@query()
+def bundle_evaluation(spark, d):
+    """The four matrices of the pairs of `bundle_labels`, stored and read again as sparse rows, for all targets."""
+    from ..operators import cooc
+    from ..functions.storage import folder
+    from ..sources.files import write_bundle
+
+    x, vocab = _counts(spark, d)
+    words = _word_pairs(spark, d).withColumnRenamed("pair_id", "item")
+    given = []
+    for pairs in _bundle_pairs(spark, d):
+        p = cut(pairs.withColumn("hypo_syn", F.col("hypo")).withColumn("hyper_syn", F.col("hyper")))
+        picked = cut(resolve.pick_pair(p.select("pair_id", F.floor(F.col("pair_id") / 4).alias("item")).join(words, "item").drop("item"), x, vocab))
+        probs = cooc.pair_probabilities(picked.select("pair_id", "w1", "w2"), x, vocab).select("pair_id", "freq", "joint", "cond")
+        given.append({"pairs": p, "picked": picked, "probs": probs})
+    matrices, labels = features.build_datasets(*given, _paths(spark, d), x, text.numbered(vocab, "word"))
+    path = folder(spark)
+    write_bundle(path, matrices, labels)
+    return models.evaluate_bundle(spark, path, mlp=False)
+
+
 @query("""WITH p AS (SELECT p_partkey AS k, p_partkey % 3 > 0 AS pos FROM part),
 t AS (SELECT min(p_partkey) AS k FROM part GROUP BY p_type),
 te AS (SELECT k * 4 + 1 AS pair_id, 0 AS direct, pos::INT AS rowpath, 0 AS colpath FROM p UNION ALL SELECT k * 4 + 2, pos::INT, pos::INT, pos::INT FROM p WHERE k % 5 = 0)
@@ -216,13 +247,7 @@ SELECT k * 4 AS pair_id, 'train' AS split, 'label' AS target, pos::INT AS y FROM
 UNION ALL SELECT pair_id, 'test', 'direct', direct FROM te UNION ALL SELECT pair_id, 'test', 'rowpath', rowpath FROM te UNION ALL SELECT pair_id, 'test', 'colpath', colpath FROM te UNION ALL SELECT pair_id, 'test', 'union', greatest(direct, rowpath, colpath) FROM te""")
 def bundle_labels(spark, d):
     """Train pairs: every part with its type (two thirds positive), types with the root (no label); test pairs: parts with the root and some with their type."""
-    p = table(spark, d, "part")
-    hypo, top = F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("hypo"), F.concat(F.lit("type."), "p_type")
-    row = lambda df, n, a, b, *more: df.select((F.col("p_partkey") * 4 + n).alias("pair_id"), a, b.alias("hyper"), *more)
-    types = p.groupBy("p_type").agg(F.min("p_partkey").alias("p_partkey"))
-    train = row(p, 0, hypo, top, (F.col("p_partkey") % 3 > 0).cast("int").alias("label")).unionByName(row(types, 3, top.alias("hypo"), F.lit("entity"), F.lit(None).cast("int").alias("label")))
-    test = row(p, 1, hypo, F.lit("entity")).unionByName(row(p.filter("p_partkey % 5 = 0"), 2, hypo, top))
-    return features.bundle_labels(train, test)
+    return features.bundle_labels(*_bundle_pairs(spark, d))
 
 
 # -- evaluation ------------------------------------------------------------------------

@@ -208,6 +208,27 @@ def test_sweep_keeps_the_errors(spark):
     assert {r.run_tag: r.error for r in rows if r.error} == {"empty": "the model has no vectors", "bad": "no such file"}
 
 
+def test_bundles_go_to_learners_as_sparse_rows(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    entries = lambda ids, far: [(k, c, 1.0) for k in ids for c in ({k % 2 * 3} if far is None else {k % 2 * 3, int(rng.integers(10, far))})]
+    frame = lambda rows: spark.createDataFrame(rows, "pair_id long, col long, v double")
+    matrices = {"narrow_train": frame(entries(range(60), None)), "narrow_test": frame(entries(range(100, 130), None)), "wide_train": frame(entries(range(60), 90_000)), "wide_test": frame([*entries(range(100, 129), 90_000), (999, 5, 1.0), (100, 99_999, 2.0)]), "lone_train": frame([(1, 1, 1.0)])}
+    labels = [(k, "train", "label", k % 2) for k in range(60)] + [(k, "test", t, y) for k in range(100, 130) for t, y in (("direct", k % 2), ("union", 1))]
+    files.write_bundle(str(tmp_path / "b"), matrices, spark.createDataFrame(labels, "pair_id long, split string, target string, y int"))
+    got = {(r["matrix"], r["target"], r["clf"]): r for r in models.evaluate_bundle(spark, str(tmp_path / "b")).collect()}
+    assert set(got) == {(m, t, c) for m in ("narrow", "wide") for t in ("direct", "union") for c in ("logreg", "mlp")}
+    assert got["narrow", "direct", "logreg"].acc == got["narrow", "direct", "mlp"].acc == 1.0 and got["narrow", "union", "logreg"].acc == 0.5
+    assert got["wide", "direct", "logreg"].acc > 0.9 and got["wide", "direct", "logreg"].width == 100_000 and got["wide", "union", "mlp"].acc is None and "wide" in got["wide", "union", "mlp"].note
+    ids = spark.createDataFrame([(100,), (129,)], "pair_id long")
+    rows = {r.pair_id: r.features for r in models.sparse_rows(matrices["wide_test"].union(frame([(100, 99_999, 0.5)])), ids, 100_000).collect()}
+    assert set(rows) == {100, 129} and rows[100][99_999] == 2.5 and rows[129].size == 100_000 and rows[129].numNonzeros() == 0
+    own = frame(entries(range(60), None))
+    dense = spark.createDataFrame([(k, [1.0 - k % 2, 0.0, 0.0, float(k % 2)], k % 2) for k in range(60)], "pair_id long, features array<double>, y int")
+    sparse = models.sparse_rows(own, dense.select("pair_id"), 4).join(dense.select("pair_id", "y"), "pair_id")
+    probs = lambda df: [r.prob for r in models.logistic(df, df, "features", "y").orderBy("pair_id").collect()]
+    assert np.allclose(probs(sparse), probs(dense), atol=1e-6)
+
+
 def test_truth_and_breakdown(spark):
     e = spark.createDataFrame([(k, [float(k)]) for k in range(9)], "key long, vec array<double>")
     score = lambda u, v: (u[0] < v[0]).cast("double")
