@@ -17,7 +17,8 @@ def interval_features(pairs: DataFrame, path: DataFrame, children: DataFrame | N
     half `hypo`: the interval through the hypernym; or (`path`) the canonical
     intervals of all nodes on the shortest way up to it, from sp (start, node,
     path); or (`sum`) those of all paths from the root.
-    Unresolved pairs have no rows, which stands for zeros.
+    Unresolved pairs have no rows, which stands for zeros.  path: a hierarchy's `Dag`,
+    or its paths, which (`sum`) needs.
     """
     canon = hierarchy.canonical(path).select("node", "lo", "hi")
     ok = pairs.filter("hypo_syn is not null and hyper_syn is not null")

@@ -22,19 +22,20 @@ def adjacency(pairs: DataFrame, src: str = "hypo", dst: str = "hyper", label: st
 def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(src, dst, d): what is reached by one step or more, at its least distance.
 
-    Only pairs not met before go into the next round, so cycles end.  With
-    `max_depth` only what is within so many steps.
+    By doubling: with all pairs at most k steps apart, those k + 1 to 2k apart are
+    pairs at exactly k steps followed by one of them, as a shortest path splits at its
+    k-th node.  So there are about log2 of the depth rounds.  Only pairs not met
+    before are kept, so cycles end.  With `max_depth` only what is within so many steps.
     """
-    step = edges.select(F.col("src").alias("s"), F.col("dst").alias("t"))
-    front = cut(edges.select("src", "dst", F.lit(1).alias("d")).distinct())
-    seen, k = front, 1
+    seen, k = cut(edges.select("src", "dst", F.lit(1).alias("d")).distinct()), 1
     while max_depth is None or k < max_depth:
-        k += 1
-        more = front.join(step, F.col("dst") == F.col("s")).select("src", F.col("t").alias("dst"), F.lit(k).alias("d")).distinct()
-        front = cut(more.join(seen, ["src", "dst"], "left_anti"))
-        if front.isEmpty():
+        far = seen.filter(F.col("d") == k).select("src", F.col("dst").alias("_m"))
+        near = seen.select(F.col("src").alias("_m"), "dst", (F.col("d") + k).alias("d"))
+        more = far.join(near if max_depth is None else near.filter(F.col("d") <= max_depth), "_m").groupBy("src", "dst").agg(F.min("d").alias("d"))
+        new = cut(more.join(seen, ["src", "dst"], "left_anti"))
+        if new.isEmpty():
             break
-        seen = seen.unionByName(front)
+        seen, k = seen.unionByName(new), 2 * k
     return seen
 
 
@@ -84,10 +85,28 @@ def matrix(edges: DataFrame, binary: bool = False) -> DataFrame:
     return m.withColumn("v", F.lit(1.0)) if binary else m
 
 
+#: Rows of a matrix that meet at one inner index in a task, at most about.
+SLICE = 10_000
+
+
+def sliced(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a product with a column `s`: rows of a and b meet where a.j = b.i and s are the same.
+
+    The rows of a at an inner index with more than `SLICE` of them (a hub's column) are
+    dealt to slices by a hash, and b's rows there are sent to each slice.
+    """
+    n = a.groupBy(F.col("j").alias("_j")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > SLICE)
+    hubs = cut(n.select("_j", F.ceil(F.col("_n") / SLICE).cast("int").alias("_s")))  # at most a's rows / SLICE
+    one = lambda m, key: m.join(hubs, F.col(key) == F.col("_j"), "left").withColumn("_s", F.coalesce("_s", F.lit(1))).drop("_j")
+    x = one(a, "j").withColumn("s", F.pmod(F.xxhash64("i"), "_s").cast("int")).drop("_s")
+    y = one(b, "i").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("_s") - 1))).drop("_s")
+    return x, y
+
+
 def times(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Matrix product: a join on the inner index and a sum."""
-    x, y = a.alias("x"), b.alias("y")
-    return x.join(y, F.col("x.j") == F.col("y.i")).groupBy(F.col("x.i").alias("i"), F.col("y.j").alias("j")).agg(F.sum(F.col("x.v") * F.col("y.v")).alias("v"))
+    """Matrix product: a join on the inner index, in slices where it is a hub, and a sum, map-side first."""
+    x, y = (m.alias(n) for m, n in zip(sliced(a, b), "xy", strict=True))
+    return x.join(y, (F.col("x.j") == F.col("y.i")) & (F.col("x.s") == F.col("y.s"))).groupBy(F.col("x.i").alias("i"), F.col("y.j").alias("j")).agg(F.sum(F.col("x.v") * F.col("y.v")).alias("v"))
 
 
 def plus(*ms: DataFrame) -> DataFrame:

@@ -23,6 +23,10 @@ def _paths(spark, d, weighted=False):
     return hierarchy.paths(edges(spark, d), _weights(spark, d) if weighted else None)
 
 
+def _dag(spark, d, digits=None):
+    return hierarchy.dag(edges(spark, d), digits=digits)
+
+
 def _iv(df, *cols):
     return df.select(*cols, rounded("lo", 9).alias("lo"), rounded("hi", 9).alias("hi"))
 
@@ -44,21 +48,21 @@ def interval_weighted(spark, d):
 
 @query(f"{_P}, {sql.CANON} SELECT node, array_to_string(path, '/') AS path, {_IV} FROM canon")
 def interval_canonical(spark, d):
-    return _iv(hierarchy.canonical(_paths(spark, d)), "node", F.array_join("path", "/").alias("path"))
+    return _iv(hierarchy.canonical(_dag(spark, d)), "node", F.array_join("path", "/").alias("path"))
 
 
 @query(f"{_P}, {sql.CANON} SELECT node, round(b + lo * 0.2, 9) AS lo, round(b + hi * 0.2, 9) AS hi FROM (SELECT *, CASE WHEN node LIKE 'part.%' THEN 0.2 WHEN node LIKE 'type.%' OR node LIKE 'brand.%' THEN 0.4 ELSE 0.0 END::DOUBLE AS b FROM canon)")
 def interval_base(spark, d):
     """Canonical intervals in the base interval of the node's kind."""
     pos = F.when(F.col("node").startswith("part."), "v").when(F.col("node").startswith("type.") | F.col("node").startswith("brand."), "a").otherwise("n")
-    return _iv(hierarchy.in_base(hierarchy.canonical(_paths(spark, d)), pos), "node")
+    return _iv(hierarchy.in_base(hierarchy.canonical(_dag(spark, d)), pos), "node")
 
 
 @query(f"{_P} SELECT node, anc, {_IV} FROM (SELECT path.node, 'brand.' || p_brand AS anc, lo, hi, row_number() OVER (PARTITION BY path.node ORDER BY list_position(path, 'brand.' || p_brand) DESC, depth, array_to_string(path, '/')) AS r FROM path JOIN part ON node = 'part.' || p_partkey WHERE list_contains(path, 'brand.' || p_brand)) WHERE r = 1")
 def interval_through(spark, d):
     """The interval of every part through its brand."""
     want = table(spark, d, "part").select(F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("node"), F.concat(F.lit("brand."), "p_brand").alias("anc"))
-    return _iv(hierarchy.through(_paths(spark, d), want), "node", "anc")
+    return _iv(hierarchy.through(_dag(spark, d), want), "node", "anc")
 
 
 _WUP = f"""{_P}, {sql.ANCESTORS}, {sql.PART_PAIRS}, dep AS (SELECT node, max(depth) AS dep FROM path GROUP BY node),
@@ -68,12 +72,12 @@ lca AS (SELECT pair_id, arg_min(x.a, (-dep, x.a)) AS lca, max(dep) AS dl FROM pp
 
 @query(f"{_WUP} SELECT pp.*, lca, round(CASE WHEN lca IS NULL OR da.dep + db.dep = 0 THEN 0 ELSE 2.0 * dl / (da.dep + db.dep) END, 9) AS wup FROM pp LEFT JOIN lca USING (pair_id) LEFT JOIN dep da ON da.node = pp.a LEFT JOIN dep db ON db.node = pp.b")
 def wup_similarity(spark, d):
-    return hierarchy.wu_palmer(part_pairs(spark, d), _paths(spark, d)).withColumn("wup", rounded("wup", 9))
+    return hierarchy.wu_palmer(part_pairs(spark, d), _dag(spark, d)).withColumn("wup", rounded("wup", 9))
 
 
 @query(f"{_P} SELECT node, CAST(min(depth) AS BIGINT) AS min_depth, CAST(max(depth) AS BIGINT) AS max_depth FROM path GROUP BY node")
 def depths(spark, d):
-    return hierarchy.depths(_paths(spark, d))
+    return hierarchy.depths(_dag(spark, d))
 
 
 @query(f"WITH {sql.KIDS}, k AS (SELECT parent, child, round(idx::DOUBLE / n, 9) AS lo, round((idx + 1.0) / n, 9) AS hi FROM kid) SELECT x.parent, x.child AS a, y.child AS b FROM k x JOIN k y ON x.parent = y.parent AND x.child < y.child AND greatest(x.lo, y.lo) <= least(x.hi, y.hi)")
@@ -94,7 +98,7 @@ def nested_intervals(spark, d):
 
 @query(f"{_P}, {sql.CANON}, {sql.PART_PAIRS} SELECT pp.*, round(CASE WHEN least(x.hi, y.hi) <= greatest(x.lo, y.lo) THEN 0 ELSE 2 * (least(x.hi, y.hi) - greatest(x.lo, y.lo)) / (x.hi - x.lo + y.hi - y.lo) END, 6) + 0.0 AS overlap FROM pp JOIN canon x ON x.node = a JOIN canon y ON y.node = b")
 def interval_overlap(spark, d):
-    canon = _iv(hierarchy.canonical(_paths(spark, d)), "node")
+    canon = _iv(hierarchy.canonical(_dag(spark, d)), "node")
     return hierarchy.overlaps(part_pairs(spark, d), canon).withColumn("overlap", rounded("overlap"))
 
 
@@ -102,7 +106,7 @@ _C9 = f"{_P}, {sql.CANON}, c AS (SELECT node, {_IV} FROM canon)"
 
 
 def _canon9(spark, d):
-    return _iv(hierarchy.canonical(_paths(spark, d)), "node")
+    return _iv(hierarchy.canonical(_dag(spark, d)), "node")
 
 
 @query(f"{_C9} SELECT node, least(greatest(floor(0.5 * (lo + hi) * 333), 0), 332)::INT AS bin, round(CASE WHEN hi > lo THEN hi - lo ELSE 1.0 END, 9) AS mass FROM c")
@@ -128,14 +132,14 @@ def bins_path_sum(spark, d):
 
 @query(f"{_P}, {sql.CANON} SELECT node, array_to_string(steps, ' ') AS steps, CAST(len(steps) AS BIGINT) AS length, {_IV} FROM canon")
 def codewords(spark, d):
-    c = hierarchy.canonical(_paths(spark, d))
+    c = hierarchy.canonical(_dag(spark, d))
     steps = F.array_join(F.transform("steps", lambda s: F.concat_ws("/", s["idx"].cast("string"), s["n"].cast("string"))), " ")
     return _iv(c, "node", steps.alias("steps"), F.size("steps").cast("long").alias("length"))
 
 
 @query(f"{_P}, {sql.CANON}, t AS (SELECT max(len(steps)) AS t FROM canon) SELECT node, CAST(len(steps) AS BIGINT) AS length, CAST(3 * t AS BIGINT) AS width, round(coalesce(list_sum(list_transform(steps, lambda s: split_part(s, '/', 1)::DOUBLE + split_part(s, '/', 2)::DOUBLE + 1.0 / split_part(s, '/', 2)::DOUBLE)), 0), 6) AS total FROM canon, t")
 def codeword_padded(spark, d):
-    p = hierarchy.padded(hierarchy.canonical(_paths(spark, d)))
+    p = hierarchy.padded(hierarchy.canonical(_dag(spark, d)))
     return p.select("node", "length", F.size("flat").cast("long").alias("width"), rounded(F.aggregate("flat", F.lit(0.0), lambda s, x: s + x)).alias("total"))
 
 

@@ -10,7 +10,7 @@ from ..functions.storage import cut
 from ..operators import evaluate, features, graph, hierarchy, logic, models, resolve, text
 from ..sources.tables import edges, table, term_pairs
 from . import sql
-from .concepts import _paths
+from .concepts import _dag, _paths
 from .corpus import _counts
 from .registry import query
 from .terms import _KV, _PICK, _word_pairs, keyed
@@ -28,8 +28,7 @@ fe AS (SELECT pair_id, half, least(greatest(floor(0.5 * (lo + hi) * 64), 0), 63)
 
 
 def _features(spark, d):
-    path = _paths(spark, d).withColumn("lo", rounded("lo", 9)).withColumn("hi", rounded("hi", 9))
-    return features.interval_features(_part_types(spark, d), path, n_bins=64)
+    return features.interval_features(_part_types(spark, d), _dag(spark, d, 9), n_bins=64)
 
 
 @query(f"{_IF} SELECT * FROM fe")
@@ -114,7 +113,7 @@ def _place_vectors(spark, d):
 
 
 def _closure_pairs(spark, d):
-    reach = hierarchy.ancestors(_paths(spark, d)).select(F.col("node").alias("hypo"), F.col("a").alias("hyper"), F.col("d").alias("path_len"))
+    reach = hierarchy.ancestors(_dag(spark, d)).select(F.col("node").alias("hypo"), F.col("a").alias("hyper"), F.col("d").alias("path_len"))
     p = term_pairs(spark, d).join(reach, ["hypo", "hyper"], "left")
     return features.joined_vectors(p, _place_vectors(spark, d)).withColumn("y", features.bounded_label("path_len", 1))
 
@@ -147,7 +146,7 @@ def append_scalar(spark, d):
 @query(f"""WITH RECURSIVE {sql.paths()}, {sql.CANON}, {sql.TERM_PAIRS} SELECT pair_id, x.node IS NOT NULL AND y.node IS NOT NULL AS hit, CAST(len(x.steps) AS BIGINT) AS hypo_steps, CAST(len(y.steps) AS BIGINT) AS hyper_steps FROM tp LEFT JOIN canon x ON x.node = hypo LEFT JOIN canon y ON y.node = hyper""")
 def codeword_pairs(spark, d):
     """Codewords of both sides of term pairs."""
-    flat = hierarchy.padded(hierarchy.canonical(_paths(spark, d)))
+    flat = hierarchy.padded(hierarchy.canonical(_dag(spark, d)))
     j = features.joined_vectors(term_pairs(spark, d), flat.select(F.col("node").alias("key"), F.col("flat").alias("vec")))
     n = lambda s: flat.select(F.col("node").alias(s), F.col("length").alias(f"{s}_steps"))
     return j.join(n("hypo"), "hypo", "left").join(n("hyper"), "hyper", "left").select("pair_id", "hit", "hypo_steps", "hyper_steps")
@@ -176,9 +175,7 @@ def diagnostics(spark, d):
     """Everything that the hierarchy and a data graph (half of the parts with their types) say about every part and its
     type, the root, the next part's brand, and no hypernym at all."""
     e = edges(spark, d)
-    path = _paths(spark, d)
-    for c in ("lo", "hi"):
-        path = path.withColumn(c, F.round(c, 12))
+    path = _dag(spark, d, 12)
     part = table(spark, d, "part").select("p_partkey", "p_type", "p_brand")
     nxt = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.concat(F.lit("brand."), "p_brand").alias("nb"))
     kind = F.array(F.concat(F.lit("type."), "p_type"), F.lit("entity"), F.col("nb"), F.lit(None).cast("string"))
@@ -201,7 +198,7 @@ def feature_bundle(spark, d):
 
     picked = resolve.pick_pair(_word_pairs(spark, d), x, vocab)
     probs = cooc.pair_probabilities(picked.select("pair_id", "w1", "w2"), x, vocab).select("pair_id", "freq", "joint", "cond")
-    ms = features.build_all(_part_types(spark, d), _paths(spark, d), picked, probs, x, text.numbered(vocab, "word"))
+    ms = features.build_all(_part_types(spark, d), _dag(spark, d), picked, probs, x, text.numbered(vocab, "word"))
     out = None
     for name, m in ms.items():
         r = m.agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("v")).alias("total")).select(F.lit(name).alias("matrix"), "n", "total")
@@ -234,7 +231,7 @@ def bundle_evaluation(spark, d):
         picked = cut(resolve.pick_pair(p.select("pair_id", F.floor(F.col("pair_id") / 4).alias("item")).join(words, "item").drop("item"), x, vocab))
         probs = cooc.pair_probabilities(picked.select("pair_id", "w1", "w2"), x, vocab).select("pair_id", "freq", "joint", "cond")
         given.append({"pairs": p, "picked": picked, "probs": probs})
-    matrices, labels = features.build_datasets(*given, _paths(spark, d), x, text.numbered(vocab, "word"))
+    matrices, labels = features.build_datasets(*given, _dag(spark, d), x, text.numbered(vocab, "word"))
     path = folder(spark)
     write_bundle(path, matrices, labels)
     return models.evaluate_bundle(spark, path, mlp=False)
@@ -347,7 +344,7 @@ def grid_comparison(spark, d):
 def model_sweep(spark, d):
     """Vectors of two sizes and a model without any: learners on each, on the Katz score and on the codewords."""
     pairs = graph.pair_scores(_closure_pairs(spark, d).drop("hit", "features"), _katz(spark, d)).withColumn("katz", F.array("score"))
-    flat = hierarchy.padded(hierarchy.canonical(_paths(spark, d))).select(F.col("node").alias("key"), F.col("flat").alias("vec"))
+    flat = hierarchy.padded(hierarchy.canonical(_dag(spark, d))).select(F.col("node").alias("key"), F.col("flat").alias("vec"))
     width = flat.agg(F.max(F.size("vec"))).first()[0]
     pairs = features.endpoints(pairs, flat, width).drop("hit").withColumnRenamed("features", "codeword")
     kv = _place_vectors(spark, d)

@@ -78,7 +78,7 @@ cr AS (SELECT pair_id, hypo, synset AS hypo_syn, 'type.' || kind AS hyper_syn, o
 SELECT pair_id, arg_min(hypo_syn, o) AS hypo_syn, arg_min(hyper_syn, o) AS hyper_syn FROM t WHERE inside::INT = any_in GROUP BY pair_id""")
 def resolve_pairs(spark, d):
     e = edges(spark, d)
-    path = hierarchy.paths(e)
+    path = hierarchy.dag(e)
     up = hierarchy.ancestors(path).filter("d > 0").select(F.col("node").alias("src"), F.col("a").alias("dst"), "d")
     return resolve.resolve_pairs(_name_pairs(spark, d), _all_senses(spark, d), _lemmas(spark, d), up, lambda p: hierarchy.wu_palmer(p, path))
 
@@ -86,7 +86,7 @@ def resolve_pairs(spark, d):
 @query(f"""WITH {_NP}, f AS (SELECT pair_id, min((1, o, hypo_syn, hyper_syn)) AS x FROM cr WHERE o <= 5 AND inside GROUP BY pair_id)
 SELECT np.pair_id, x IS NOT NULL AS closure, CASE WHEN x IS NOT NULL THEN 1::BIGINT END AS path_len, x[3] AS hypo_syn, x[4] AS hyper_syn FROM np LEFT JOIN f USING (pair_id)""")
 def best_path(spark, d):
-    return resolve.best_path(_name_pairs(spark, d), _all_senses(spark, d), hierarchy.ancestors(hierarchy.paths(edges(spark, d))))
+    return resolve.best_path(_name_pairs(spark, d), _all_senses(spark, d), hierarchy.ancestors(hierarchy.dag(edges(spark, d))))
 
 
 # -- words ---------------------------------------------------------------------------
@@ -262,7 +262,7 @@ def closure_vectors(spark, d):
     nodes = _nodes(spark, d).unionByName(p.select(F.concat(F.lit("type."), "p_type").alias("node"), F.concat(F.lit("v"), F.length("p_type").cast("string")).alias("lemma")).distinct())
     e, kv = edges(spark, d), keyed(spark, d)
     chain = resolve.backoff_chain(e)
-    best = cut(resolve.best_path(pairs, known, hierarchy.ancestors(hierarchy.paths(e))))
+    best = cut(resolve.best_path(pairs, known, hierarchy.ancestors(hierarchy.dag(e))))
     sp = graph.shortest_paths(best.filter("closure").select(F.col("hypo_syn").alias("start")).distinct(), e.select(F.col("child").alias("src"), F.col("parent").alias("dst")))
     phrases = pairs.select(F.col("hypo").alias("phrase")).union(pairs.select("hyper")).distinct()
     got = resolve.closure_vectors(pairs, best, sp, cut(resolve.node_vectors(nodes, chain, kv)), resolve.ladder(phrases, kv, known, nodes, chain), 64)

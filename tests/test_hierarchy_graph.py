@@ -1,3 +1,5 @@
+import random
+
 import math
 
 import pytest
@@ -123,3 +125,55 @@ def test_closures_without_and_with_a_bound(spark):
     assert graph.shortest_paths(start, chain).count() == 13 and graph.shortest_paths(start, chain, 5).count() == 6
     loop = spark.createDataFrame([("a", "entity", "hyper"), ("b", "a", "hyper"), ("a", "b", "hyper")], "child string, parent string, kind string")
     assert {tuple(r.path) for r in hierarchy.paths(loop).collect()} == {("entity",), ("entity", "a"), ("entity", "a", "b")}
+
+
+def random_dag(spark, seed):
+    r = random.Random(seed)
+    names = ["entity", *(f"n{k}" for k in r.sample(range(20), 9))]
+    rows = [(c, p, r.choice(("hyper", "hyper", "instance"))) for k, c in enumerate(names) for p in r.sample(names[:k], min(k, r.choice((1, 2, 3))))]
+    return spark.createDataFrame(rows, "child string, parent string, kind string"), names
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_programme_by_level_equals_all_paths(spark, seed):
+    edges, names = random_dag(spark, seed)
+    listed, dag = hierarchy.paths(edges).cache(), hierarchy.dag(edges)
+    flat = lambda df, *keys: {tuple(r[k] for k in keys): (tuple(r.path), r.depth, round(r.lo, 12), round(r.hi, 12), [tuple(s) for s in r.steps]) for r in df.collect()}
+    assert flat(hierarchy.canonical(dag), "node") == flat(hierarchy.canonical(listed), "node")
+    wanted = spark.createDataFrame([(a, b) for a in names for b in [*names, "none"]], "node string, anc string")
+    assert flat(hierarchy.through(dag, wanted), "node", "anc") == flat(hierarchy.through(listed, wanted), "node", "anc")
+    same = lambda f: sorted(map(tuple, f(dag).collect())) == sorted(map(tuple, f(listed).collect()))
+    assert same(hierarchy.depths) and same(hierarchy.ancestors)
+
+
+def test_diamonds_are_not_listed(spark):
+    rows = []
+    for k in range(14):  # 2^14 paths
+        top = "entity" if k == 0 else f"t{k:02}"
+        rows += [(f"{s}{k:02}", top, "hyper") for s in "ab"] + [(f"t{k + 1:02}", f"{s}{k:02}", "hyper") for s in "ab"]
+    dag = hierarchy.dag(spark.createDataFrame(rows, "child string, parent string, kind string"))
+    assert dag.best.count() == 1 + 14 * 3
+    want = spark.createDataFrame([("t14", "b05")], "node string, anc string")
+    got = hierarchy.through(dag, want).first()
+    assert got.depth == 28 and got.path[11] == "b05" and [x[0] for x in got.path[1::2]] == ["b" if k == 5 else "a" for k in range(14)]
+
+
+def test_closure_takes_few_rounds(spark, monkeypatch):
+    rounds, inner = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: rounds.append(1) or inner(df))
+    chain = spark.createDataFrame([(f"{k:03}", f"{k + 1:03}") for k in range(100)] + [("100", "000")], "src string, dst string")  # a cycle of 101
+    got = {(r.src, r.dst): r.d for r in graph.closure(chain).collect()}
+    assert got == {(f"{a:03}", f"{b:03}"): (b - a) % 101 or 101 for a in range(101) for b in range(101)} and len(rounds) <= 9
+    assert {r.d for r in graph.closure(chain, 5).collect()} == {1, 2, 3, 4, 5}
+
+
+def test_products_meet_hubs_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SLICE", 100)
+    star = [(f"a{k}", "hub", float(k % 3)) for k in range(1000)] + [("hub", f"z{k}", 1.0) for k in range(5)] + [("a1", "b", 2.0), ("b", "z1", 3.0)]
+    m = spark.createDataFrame(star, "i string, j string, v double")
+    x, y = graph.sliced(m, m)
+    assert max(r["count"] for r in x.groupBy("j", "s").count().collect()) < 200 and y.filter("i = 'hub'").count() == 50
+    got = {(r.i, r.j): r.v for r in graph.times(m, m).collect()}
+    want = {(f"a{k}", f"z{z}"): float(k % 3) for k in range(1000) for z in range(5)}
+    want["a1", "z1"] += 6.0
+    assert got == want
