@@ -55,3 +55,45 @@ PAGES = [
         ["Tern", "Terns are seabirds with long wings and forked tails. They are found all over the world, and most of them breed in colonies near water.", "The Arctic tern sees more daylight than any other animal: it flies from pole to pole and back each year.", "Food", "Most terns dive for fish, and some take insects over marshes."],
     ),
 ]
+
+
+_P = "The river rose two metres in one night, and the lower streets were under water by noon. Nobody was hurt."
+_Q = "Volunteers filled sandbags until the evening. The mayor thanked them on the steps of the town hall, and promised new walls."
+_R = "Trains will not run before Thursday, says the company. Buses take their place between the two stations."
+_TOP = '<div class="top"><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/s">Sport</a></li></ul></div>'
+_END = '<div class="bottom"><p>&copy; 2020 The Courier</p></div>'
+#: One article in many layouts, with its blocks: in a form, a table, a grid, under misleading names, without names, with a comment widget.
+LAYOUTS = {
+    "form": (
+        f'''<form id="aspnetForm">{_TOP}<div><p>{_P}</p><p>{_Q}</p><p>{_R}</p></div>{_END}</form>''',
+        [_P, _Q, _R],
+    ),
+    "table": (
+        f'''<table><tr><td><a href="a">One</a><br><a href="b">Two</a></td><td>{_P}<br><br>{_Q}<br><br>{_R}</td></tr></table>''',
+        [f"{_P} {_Q} {_R}"],
+    ),
+    "grid": (
+        f'''<div class="container">{_TOP}<div class="row"><div class="col-md-8"><h1>Flood</h1><p>{_P}</p><p>{_Q}</p><p>{_R}</p></div><div class="col-md-4"><ul><li><a href=1>More</a></li><li><a href=2>Less</a></li></ul></div></div>{_END}</div>''',
+        ["Flood", _P, _Q, _R],
+    ),
+    "notice": (
+        f'''{_TOP}<div class="notice-board article"><h1>Flood in the valley</h1><p>{_P}</p><p>{_Q}</p><p>{_R}</p></div>{_END}''',
+        ["Flood in the valley", _P, _Q, _R],
+    ),
+    "none": (
+        f'''<div><ul><li><a href=1>More</a></li><li><a href=2>Less</a></li></ul></div><div><h1>Flood in the valley</h1><p>{_P}</p><p>{_Q}</p><p>{_R}</p></div><div>&copy; 2020 The Courier</div>''',
+        ["Flood in the valley", _P, _Q, _R],
+    ),
+    "disqus": (
+        f'''{_TOP}<article><h1>Flood in the valley</h1><p>{_P}</p><p>{_Q}</p></article><div id="disqus_thread"><div class="post-body"><p>I was there, it was awful. My cellar is still full of water!</p></div><div class="post-body"><p>Same here, and no help came.</p></div></div>{_END}''',
+        ["Flood in the valley", _P, _Q],
+    ),
+    "divs": (
+        f'''<div id="x1">{_TOP}<div id="x2"><div>{_P}</div><div>{_Q}</div><div>{_R}</div></div>{_END}</div>''',
+        [_P, _Q, _R],
+    ),
+    "sectionh": (
+        f'''<header><a href=/>The Courier</a></header><section><h2>Flood in the valley</h2><p>{_P}</p><ul><li>Two bridges closed.</li><li>Schools stay shut on Monday.</li></ul><p>{_R}</p></section><section class="comments-wrap"><h3>2 comments</h3><div class="entry-content"><p>{_Q[:60]}</p></div></section>''',
+        ["Flood in the valley", _P, "Two bridges closed.", "Schools stay shut on Monday.", _R],
+    ),
+}

@@ -579,6 +579,15 @@ def test_tag_ends():
     assert end(2) == (8, True) and end(12) == (14, False)
 
 
+def test_an_article_is_found_in_many_layouts():
+    from hand_pages import LAYOUTS
+
+    crf = html_text.train()
+    for name, (page, want) in LAYOUTS.items():
+        assert html_text.main_text(f"<html><head><title>Flood</title></head><body>{page}</body></html>", crf).split("\n") == want, name
+
+
+
 def test_hand_labelled_pages_of_other_styles():
     from hand_pages import PAGES
 
