@@ -359,16 +359,27 @@ def ols_formula(spark, d):
     return models.ols(table(spark, d, "lineitem"), "l_extendedprice ~ l_quantity + l_returnflag + l_quantity:l_returnflag")
 
 
-@query()
-def svd_embedding(spark, d):
-    """US of the normalised PPMI of the Katz series of the whole hierarchy."""
+def _katz_matrix(spark, d):
+    """(matrix, nodes): the normalised PPMI of the Katz series of the whole hierarchy."""
     from ..operators import cooc
 
     e = edges(spark, d).select(F.col("child").alias("src"), F.col("parent").alias("dst"))
     m = graph.matrix(e, True)
     nodes = text.numbered(m.select(F.col("i").alias("node")).union(m.select("j")).distinct(), "node")
-    s = graph.l2_rows(cooc.positive(graph.katz_series(m, nodes)))
-    return models.svd(s, nodes, 8)[0]
+    return graph.l2_rows(cooc.positive(graph.katz_series(m, nodes))), nodes
+
+
+@query()
+def svd_embedding(spark, d):
+    """US of the matrix, eight columns of it."""
+    return models.svd(*_katz_matrix(spark, d), 8)[0]
+
+
+@query()
+def svd_explained(spark, d):
+    """The share of the matrix's variance that the eight columns have."""
+    m, nodes = map(cut, _katz_matrix(spark, d))
+    return models.explained_variance(m, models.svd(m, nodes, 8)[0])
 
 
 @query()

@@ -208,6 +208,17 @@ def test_sweep_keeps_the_errors(spark):
     assert {r.run_tag: r.error for r in rows if r.error} == {"empty": "the model has no vectors", "bad": "no such file"}
 
 
+def test_explained_variance(spark):
+    x = np.random.default_rng(7).normal(size=(6, 6)) * (np.random.default_rng(8).random((6, 6)) < 0.6)
+    m = spark.createDataFrame([(f"n{i}", f"n{j}", float(x[i, j])) for i, j in np.ndindex(6, 6) if x[i, j]], "i string, j string, v double")
+    nodes = spark.createDataFrame([(f"n{k}", k) for k in range(6)], "node string, idx long")
+    u, s, _ = np.linalg.svd(x)
+    for d in (2, 6):
+        got = models.explained_variance(m, models.svd(m, nodes, d)[0]).first().explained
+        assert np.isclose(got, (u[:, :d] * s[:d]).var(0).sum() / x.var(0).sum())
+    assert models.explained_variance(m.limit(0), models.svd(m, nodes, 2)[0]).first().explained is None
+
+
 def test_bundles_go_to_learners_as_sparse_rows(spark, tmp_path):
     rng = np.random.default_rng(6)
     entries = lambda ids, far: [(k, c, 1.0) for k in ids for c in ({k % 2 * 3} if far is None else {k % 2 * 3, int(rng.integers(10, far))})]
