@@ -37,7 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -220,9 +220,8 @@ def _scan(best: Nearest, block: dict, epsilon: float, segment: int, ids: np.ndar
         rerank(qi[ok] + a, vi[ok])
 
 
-def _search_block(index: Index, width: int, block: dict, k: int, epsilon: float) -> DataFrame:
+def _search_block(index: Index, width: int, shared: Broadcast, k: int, epsilon: float) -> DataFrame:
     """(q, hits) of the k nearest of each vector of the block; hits are (neg, null, id, segment, place) in order."""
-    shared = index.segments.sparkSession.sparkContext.broadcast(block)
     dims, bits, kind = index.dims, index.bits, np.float32 if width == 4 else np.float64
     ddl = "q int, hits array<struct<neg: double, none: boolean, id: long, segment: long, place: int>>"
     schema = arrow_schema(ddl)
@@ -268,11 +267,13 @@ def search(index: Index, k: int = NEAREST, epsilon: float = EPSILON) -> DataFram
         uniq, which = np.unique(q.copy().view(f"V{index.dims * width}")[:, 0], return_inverse=True)
         q = uniq.view(kind).reshape(-1, index.dims).astype(float)
         block = {"q": q, "turned": (q @ index.rotation.T).astype(np.float32), "offset": (q @ index.centre).astype(np.float32), "norm": np.sqrt((q * q).sum(1)).astype(np.float32)}
-        hits = _search_block(index, width, block, k + 1, epsilon)
+        shared = spark.sparkContext.broadcast(block)
+        hits = _search_block(index, width, shared, k + 1, epsilon)
         own = spark.createDataFrame(mine.assign(q=which.ravel().astype(np.int32))[["q", "id", "segment", "place"]], "q int, query_id long, own_segment long, own_place int")
         others = F.filter("hits", lambda h: (h["segment"] != F.col("own_segment")) | (h["place"] != F.col("own_place")))
         out = own.join(hits, "q").select("query_id", F.posexplode(F.slice(others, 1, k)).alias("at", "h"))
         out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.when(~F.col("h.none"), F.col("h.id")).alias("vec_id"), (-F.col("h.neg")).alias("score")).write.mode("append").parquet(path)
+        shared.destroy()
     return spark.read.schema(ddl).parquet(path) if _any(rows) else spark.createDataFrame([], ddl)
 
 
