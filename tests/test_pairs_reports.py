@@ -1,3 +1,4 @@
+import gzip
 import math
 import os
 
@@ -154,6 +155,11 @@ def test_files(spark, tmp_path):
     (tmp_path / "h" / "b.csv").write_text("epoch,loss\n1,0.2\n")
     (tmp_path / "h" / "c.csv").write_text("")
     assert files.read_histories(spark, str(tmp_path / "h" / "*.csv")).count() == 2
+    whole = gzip.compress(b"epoch,sat\n" + b"1,0.5\n" * 50_000)
+    (tmp_path / "h" / "cut.csv.gz").write_bytes(whole[: len(whole) // 2])
+    assert files.read_histories(spark, str(tmp_path / "h" / "*"), tolerant=True).filter("file not like '%cut%'").count() == 2
+    with pytest.raises(Exception):  # noqa: B017  Spark's own error
+        files.read_histories(spark, str(tmp_path / "h" / "*")).count()
 
 
 def test_learners(spark):
