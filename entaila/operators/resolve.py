@@ -120,6 +120,30 @@ def pick_pair(pairs: DataFrame, x: DataFrame, vocab: DataFrame, least: int = 0)
     return pairs.select("pair_id").join(best, "pair_id", "left").select("pair_id", "b.w1", "b.w2", (-F.col("b.f")).alias("freq"))
 
 
+def spec_words(specs: DataFrame, lemmas: DataFrame, use: str = "spec") -> DataFrame:
+    """`specs` (spec, synset, ...) with words: those of the spec, or of its synset's lemma (`use`).
+
+    A spec that is a synset id has no words of its own, and one without a synset no
+    lemma: the other is taken then, and none without both.  lemmas: (synset, lemma).
+    """
+    if use not in ("spec", "lemma"):
+        raise ValueError("use must be spec or lemma")
+    j = specs.join(lemmas.select("synset", F.col("lemma").alias("_lemma")), "synset", "left")
+    own = F.when(~is_synset_id(F.trim("spec")), F.filter(F.split(F.lower(F.trim("spec")), r"\s+"), lambda t: t != ""))
+    of = _tokens(F.lower("_lemma"))
+    first, second = (own, of) if use == "spec" else (of, own)
+    return j.select(*specs.columns, F.coalesce(first, second, F.array().cast("array<string>")).alias("words"))
+
+
+def chain_steps(own: DataFrame, chain: DataFrame, words: DataFrame) -> DataFrame:
+    """(id, step, words) for `pick_word`: own words (id, words) at step 0, those of each ancestor at its step.
+
+    chain: (node, step, anc) as of `backoff_chain`, node being the id; words: (node, words).
+    """
+    up = chain.join(own.select(F.col("id").alias("node")), "node", "left_semi").join(words.select(F.col("node").alias("anc"), "words"), "anc")
+    return own.select("id", F.lit(0).cast("long").alias("step"), "words").unionByName(up.select(F.col("node").alias("id"), "step", "words"))
+
+
 def pick_word(steps: DataFrame, marginal: DataFrame, vocab: DataFrame, strategy: str = "max_marginal", last_step: int = 5) -> DataFrame:
     """(id, word, step): one word of the first step that has one in the vocabulary.
 

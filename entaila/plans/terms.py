@@ -185,6 +185,26 @@ def backoff_chain(spark, d):
     return resolve.backoff_chain(edges(spark, d))
 
 
+_CW = f"""WITH RECURSIVE {_CHAIN}, {sql.cooc()}, {_BW}, nw AS (SELECT 'part.' || pair_id AS node, h AS words FROM bw UNION ALL SELECT DISTINCT 'brand.' || p_brand, u FROM part JOIN bw ON pair_id = regexp_extract(p_brand, '(\\d+)', 1)::BIGINT UNION ALL SELECT 'entity', h FROM bw WHERE pair_id = (SELECT min(pair_id) FROM bw)),
+st AS (SELECT 'part.' || p_partkey AS id, 0 AS step, coalesce(words, []) AS words FROM part LEFT JOIN nw ON node = 'part.' || p_partkey UNION ALL SELECT bc.node, step, words FROM bc JOIN nw ON nw.node = anc WHERE bc.node LIKE 'part.%' AND step <= 5),
+wo AS (SELECT id, step, unnest(words) AS w, unnest(range(len(words))) AS o FROM st),
+k AS (SELECT id, min((step, -coalesce(r, 0), o, wo.w)) AS b FROM wo SEMI JOIN voc ON voc.w = wo.w LEFT JOIN rs ON rs.w = wo.w GROUP BY id)"""
+
+
+@query(f"{_CW} SELECT 'part.' || p_partkey AS id, b[4] AS word, b[1]::BIGINT AS step FROM part LEFT JOIN k ON id = 'part.' || p_partkey")
+def chain_token_pick(spark, d):
+    """A word of every part, or else of its first parents upwards; parts and brands have words of the benchmark item of their number."""
+    x, vocab = _counts(spark, d)
+    p, e, w = table(spark, d, "part"), edges(spark, d), cut(_word_pairs(spark, d))
+    part = F.concat(F.lit("part."), F.col("p_partkey").cast("string"))
+    brand = p.select("p_brand").distinct().select(F.concat(F.lit("brand."), "p_brand").alias("node"), F.regexp_extract("p_brand", r"(\d+)", 1).cast("long").alias("pair_id"))
+    first = w.orderBy("pair_id").limit(1).select(F.lit("entity").alias("node"), F.col("hypo_words").alias("words"))
+    words = brand.join(w, "pair_id").select("node", F.col("hyper_words").alias("words")).unionByName(first)
+    own = p.join(w, p["p_partkey"] == w["pair_id"], "left").select(part.alias("id"), F.coalesce("hypo_words", F.array().cast("array<string>")).alias("words"))
+    steps = resolve.chain_steps(own, resolve.backoff_chain(e), words)
+    return resolve.pick_word(steps.withColumn("banned", F.lit(None).cast("string")), cooc.marginals(x), vocab)
+
+
 def _nodes(spark, d):
     """(node, lemma): parts by name, types and brands by their own; brands end in the word that types lack."""
     p = table(spark, d, "part")

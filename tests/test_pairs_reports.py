@@ -35,6 +35,22 @@ def test_pick_word_steps_and_ties(spark):
         resolve.pick_word(steps, m, vocab, "best")
 
 
+def test_words_of_specs_and_of_chains(spark):
+    lemmas = spark.createDataFrame([("fish.n.01", "Cold_fish"), ("dog.n.01", "dog")], "synset string, lemma string")
+    specs = spark.createDataFrame([("Big  Dog", "dog.n.01"), ("fish.n.01", "fish.n.01"), ("no one", None), ("x.n.09", "x.n.09")], "spec string, synset string")
+    words = lambda use: {r.spec: r.words for r in resolve.spec_words(specs, lemmas, use).collect()}
+    assert words("spec") == {"Big  Dog": ["big", "dog"], "fish.n.01": ["cold", "fish"], "no one": ["no", "one"], "x.n.09": []}
+    assert words("lemma")["Big  Dog"] == ["dog"] and words("lemma")["no one"] == ["no", "one"]
+    with pytest.raises(ValueError):
+        resolve.spec_words(specs, lemmas, "id")
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d")], "child string, parent string")
+    own = spark.createDataFrame([("a", ["q"]), ("z", ["w"])], "id string, words array<string>")
+    up = spark.createDataFrame([("b", ["x"]), ("c", ["w"]), ("d", ["w", "v"])], "node string, words array<string>")
+    steps = resolve.chain_steps(own, resolve.backoff_chain(edges), up).withColumn("banned", F.lit(None).cast("string"))
+    vocab, marginal = spark.createDataFrame([("w",), ("v",)], "word string"), spark.createDataFrame([("v", 9), ("w", 2)], "w string, r long")
+    assert {r.id: (r.word, r.step) for r in resolve.pick_word(steps, marginal, vocab).collect()} == {"a": ("v", 2), "z": ("w", 0)}
+
+
 def test_metrics_without_positives(spark):
     df = spark.createDataFrame([(0, 0), (0, 0)], "y_true int, y_pred int")
     r = evaluate.binary_metrics(df).first()
