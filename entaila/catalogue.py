@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import concepts, corpus, pairs, reports, terms  # noqa: F401
+from .plans import concepts, corpus, pairs, reports, terms, ways  # noqa: F401
 from .plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -215,12 +215,13 @@ def depths(path: DataFrame | Dag) -> DataFrame:
     return rows.groupBy("node").agg(F.min("depth").alias("min_depth"), F.max("depth").alias("max_depth"))
 
 
-def wu_palmer(pairs: DataFrame, path: DataFrame | Dag, use: str = "max_depth") -> DataFrame:
+def wu_palmer(pairs: DataFrame, path: DataFrame | Dag, use: str = "max_depth", reach: DataFrame | None = None) -> DataFrame:
     """`pairs` (a, b) with lca and wup = 2 d(lca) / (d(a) + d(b)); roots have depth 0.
 
     The lca is the deepest common ancestor, first by name; none, or a sum of 0, gives 0.
+    reach: the path's `ancestors`, if there already.
     """
-    anc, dep = ancestors(path), depths(path).select("node", F.col(use).alias("dep"))
+    anc, dep = ancestors(path) if reach is None else reach, depths(path).select("node", F.col(use).alias("dep"))
     of = lambda side: pairs.select("pair_id", F.col(side).alias("node")).join(anc, "node").select("pair_id", "a")
     common = of("a").join(of("b"), ["pair_id", "a"]).join(dep.withColumnRenamed("node", "a"), "a")
     lca = common.groupBy("pair_id").agg(F.min_by(F.struct("a", "dep"), F.struct(-F.col("dep"), F.col("a"))).alias("x"))

@@ -79,8 +79,9 @@ SELECT pair_id, arg_min(hypo_syn, o) AS hypo_syn, arg_min(hyper_syn, o) AS hyper
 def resolve_pairs(spark, d):
     e = edges(spark, d)
     path = hierarchy.dag(e)
-    up = hierarchy.ancestors(path).filter("d > 0").select(F.col("node").alias("src"), F.col("a").alias("dst"), "d")
-    return resolve.resolve_pairs(_name_pairs(spark, d), _all_senses(spark, d), _lemmas(spark, d), up, lambda p: hierarchy.wu_palmer(p, path))
+    reach = cut(hierarchy.ancestors(path))
+    up = reach.filter("d > 0").select(F.col("node").alias("src"), F.col("a").alias("dst"), "d")
+    return resolve.resolve_pairs(_name_pairs(spark, d), _all_senses(spark, d), _lemmas(spark, d), up, lambda p: hierarchy.wu_palmer(p, path, reach=reach))
 
 
 @query(f"""WITH {_NP}, f AS (SELECT pair_id, min((1, o, hypo_syn, hyper_syn)) AS x FROM cr WHERE o <= 5 AND inside GROUP BY pair_id)
