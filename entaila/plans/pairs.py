@@ -340,6 +340,36 @@ def grid_comparison(spark, d):
     return models.compare_grids(models.grid(train, test, {"vectors": "features"}, mlp=False), models.grid(more(train), more(test), {"vectors+katz": "features"}, mlp=False))
 
 
+@query()
+def feature_grids(spark, d):
+    """Five feature sets of the term pairs, plain and with the Katz score: metrics of both learners and the paired statistics of their scores.
+
+    Sets: vectors in the ball, codewords, the Katz score alone, a decomposition of the
+    Katz matrix, and the places' vectors, or pseudo-vectors for places without one.
+    """
+    from ..operators import training
+
+    e = edges(spark, d).join(table(spark, d, "customer").select(F.concat(F.lit("customer."), F.col("c_custkey").cast("string")).alias("child")), "child", "left_anti")
+    e = cut(e.filter(~F.col("child").startswith("part.")).select(F.col("child").alias("src"), F.col("parent").alias("dst")))
+    pairs = cut(graph.pair_scores(term_pairs(spark, d), _katz(spark, d)).withColumn("katz", F.array("score")))
+    keys = pairs.select(F.col("hypo").alias("key")).union(pairs.select("hyper")).distinct()
+    flat = hierarchy.padded(hierarchy.canonical(_dag(spark, d))).select(F.col("node").alias("key"), F.col("flat").alias("vec"))
+    node = lambda df: cut(df.select(F.col("node").alias("key"), "vec"))
+    found = {
+        "ball": (node(training.ball_embeddings(e, dim=16, epochs=10, burn_in=2)), 16),
+        "codeword": (cut(flat.join(keys, "key", "left_semi")), flat.agg(F.max(F.size("vec"))).first()[0]),
+        "katz_svd": (node(models.svd(*_katz_matrix(spark, d, e), 25)[0]), 25),
+        "places": (cut(resolve.entity_vectors(keys, _place_vectors(spark, d), 64)), 64),
+    }
+    for name, (kv, dim) in found.items():
+        pairs = features.endpoints(pairs, kv, dim).drop("hit").withColumnRenamed("features", name)
+    names = [*found, "katz"]
+    longer = lambda c: F.concat(c, F.array(F.coalesce("score", F.lit(0.0))))
+    train, test = _parts(cut(pairs.withColumns({f"{c}+katz": longer(c) for c in names})))
+    sets = lambda end: {f"{c}{end}": f"{c}{end}" for c in names}
+    return _six(models.paired_grids(models.score_sets(train, test, sets("")), models.score_sets(train, test, sets("+katz"))))
+
+
 @query()
 def model_sweep(spark, d):
     """Vectors of two sizes and a model without any: learners on each, on the Katz score and on the codewords."""
@@ -359,11 +389,11 @@ def ols_formula(spark, d):
     return models.ols(table(spark, d, "lineitem"), "l_extendedprice ~ l_quantity + l_returnflag + l_quantity:l_returnflag")
 
 
-def _katz_matrix(spark, d):
-    """(matrix, nodes): the normalised PPMI of the Katz series of the whole hierarchy."""
+def _katz_matrix(spark, d, e=None):
+    """(matrix, nodes): the normalised PPMI of the Katz series of the whole hierarchy, or of edges (src, dst)."""
     from ..operators import cooc
 
-    e = edges(spark, d).select(F.col("child").alias("src"), F.col("parent").alias("dst"))
+    e = edges(spark, d).select(F.col("child").alias("src"), F.col("parent").alias("dst")) if e is None else e
     m = graph.matrix(e, True)
     nodes = text.numbered(m.select(F.col("i").alias("node")).union(m.select("j")).distinct(), "node")
     return graph.l2_rows(cooc.positive(graph.katz_series(m, nodes))), nodes
@@ -375,6 +405,31 @@ def svd_embedding(spark, d):
     return models.svd(*_katz_matrix(spark, d), 8)[0]
 
 
+@query("""WITH t AS (SELECT a.n_name AS i, b.n_name AS j, count(*) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation a ON c_nationkey = a.n_nationkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation b ON s_nationkey = b.n_nationkey GROUP BY 1, 2),
+nn AS (SELECT n_name AS node, lead(n_name) OVER (ORDER BY n_nationkey) AS following FROM nation)
+SELECT node, coalesce(CAST((SELECT sum(v * v) FROM t WHERE i = node) AS BIGINT), 0) AS norm, CASE WHEN following IS NOT NULL THEN coalesce(CAST((SELECT sum(x.v * y.v) FROM t x JOIN t y ON x.j = y.j WHERE x.i = node AND y.i = following) AS BIGINT), 0) END AS inner, CAST((SELECT sum(v * v) FROM t) AS BIGINT) AS total FROM nn""")
+def svd_trade(spark, d):
+    """US of the order lines between customers' and suppliers' nations: what it keeps of the rows, and the squares of the singular values.
+
+    All 25 columns are taken, so squared norms and inner products with the following
+    nation's row are those of the counts, whatever the signs and rotations.
+    """
+    from pyspark.sql import Window
+
+    nation = table(spark, d, "nation").select("n_nationkey", "n_name")
+    at = lambda name, key, col: table(spark, d, name).join(nation, F.col(col) == F.col("n_nationkey")).select(key, F.col("n_name"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(at("supplier", "s_suppkey", "s_nationkey").withColumnRenamed("n_name", "j"), F.col("l_suppkey") == F.col("s_suppkey"))
+    lines = lines.groupBy("l_orderkey", "j").agg(F.count(F.lit(1)).alias("n"))
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(at("customer", "c_custkey", "c_nationkey").withColumnRenamed("n_name", "i"), F.col("o_custkey") == F.col("c_custkey"))
+    m = cut(lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("i", "j").agg(F.sum("n").alias("v")))
+    nodes = cut(nation.select(F.col("n_name").alias("node"), F.col("n_nationkey").cast("long").alias("idx")))
+    vec, s = models.svd(m, nodes, 25)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    whole = lambda c, name: F.round(c).cast("long").alias(name)
+    following = F.lead("vec").over(Window.orderBy("idx"))  # 25 nations
+    return vec.join(nodes, "node").withColumn("next", following).select("node", whole(dot("vec", "vec"), "norm"), whole(dot("vec", "next"), "inner"), whole(F.lit(sum(x * x for x in s)), "total"))
+
+
 @query()
 def svd_explained(spark, d):
     """The share of the matrix's variance that the eight columns have."""

@@ -314,6 +314,29 @@ def test_least_squares_and_grids(spark):
     assert [tuple(r) for r in models.compare_grids(a, b).collect()] == [("cw", "mlp", 0.5, 0.75, 0.25)]
 
 
+def test_paired_grids_and_metrics_of_stored_scores(spark):
+    import duckdb
+
+    rows = [(k, int(k % 3 == 0), [float(k % 3 == 0) + 0.01 * (k % 7), float(k % 5)], [float(k % 2)], [float(k % 2), float(k % 3 == 0)], None) for k in range(240)]
+    both = spark.createDataFrame(rows, "pair_id long, label int, good array<double>, poor array<double>, poorer array<double>, none array<double>")
+    train, test = both.filter("pair_id < 160"), both.filter("pair_id >= 160")
+    a = models.score_sets(train, test, {"good": "good", "poor": "poor", "none": "none"})
+    b = models.score_sets(train, test, {"poor+katz": "poorer", "other+katz": "good"}, mlp=False)
+    assert {(r.matrix, r.clf): r["count"] for r in a.groupBy("matrix", "clf").count().collect()} == {(m, c): 80 for m in ("good", "poor") for c in ("logreg", "mlp")}
+    scored = a.toPandas()  # noqa: F841  read by the SQL
+    want = {(m, c): x for m, c, x in duckdb.sql("SELECT matrix, clf, avg((y = y_pred)::INT) FROM scored GROUP BY 1, 2").fetchall()}
+    assert {(m.matrix, m.clf): m.acc for m in evaluate.binary_metrics(a, "y", "y_pred", ["matrix", "clf"]).collect()} == want
+    assert want["good", "logreg"] == 1.0 > want["poor", "logreg"]
+    (r,) = models.paired_grids(a, b).collect()
+    assert (r.matrix, r.clf, r.n) == ("poor", "logreg", 80) and r.acc_a == want["poor", "logreg"] and r.acc_b == 1.0 and r.auc_b == 1.0 > r.auc_a
+    diff = [x - y for x, y in zip(*[[s.prob for s in t.filter("matrix like 'poor%' and clf = 'logreg'").orderBy("pair_id").collect()] for t in (a, b)], strict=True)]
+    assert math.isclose(r.mean_diff, sum(diff) / 80, abs_tol=1e-12)
+    with pytest.raises(ValueError):
+        models.paired_grids(a, b.filter("matrix = 'other+katz'"))
+    with pytest.raises(ValueError):
+        models.score_sets(train, test, {"none": "none"})
+
+
 def test_finding_and_writing(spark, tmp_path):
     (tmp_path / "r" / "deep").mkdir(parents=True)
     for name in ("r/b.model", "r/deep/a.model", "r/c.txt"):

@@ -12,7 +12,7 @@ from entaila import catalogue
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: a few of each kind; all are compared by the driver
-NAMES = ["token_counts", "chunks", "ppmi", "pair_probabilities", "interval_weighted", "wup_similarity", "bins_spread", "codewords", "closure", "katz_complete", "sense_candidates", "token_pick", "interval_features", "paired_stats", "axiom_breakdown", "pivot_delta", "schema_union", "closure_vectors", "diagnostics", "feature_bundle", "bundle_labels", "interval_features_path", "poincare_groups", "append_scalar", "topk_associates", "pseudo_vectors", "byte_prefix_whole", "closure_sat", "pair_snapshots", "interval_through", "chain_token_pick", "sense_bias", "resolve_ways", "best_ways"]
+NAMES = ["token_counts", "chunks", "ppmi", "pair_probabilities", "interval_weighted", "wup_similarity", "bins_spread", "codewords", "closure", "katz_complete", "sense_candidates", "token_pick", "interval_features", "paired_stats", "axiom_breakdown", "pivot_delta", "schema_union", "closure_vectors", "diagnostics", "feature_bundle", "bundle_labels", "interval_features_path", "poincare_groups", "append_scalar", "topk_associates", "pseudo_vectors", "byte_prefix_whole", "closure_sat", "pair_snapshots", "interval_through", "chain_token_pick", "sense_bias", "resolve_ways", "best_ways", "svd_trade"]
 
 
 def plain(v):
