@@ -23,6 +23,7 @@ learnt from labelled texts that the trees have not seen (`bound`).
 Null texts and texts without a letter are `und` with score 0; so is every text
 if nothing is labelled.  Ties go to the language first in order.  The score is
 the winner's share of the probability that the languages give to the text.
+Very long texts are read whole.
 Every row is returned, repeated ones too (they count each in the sample); an
 empty table gives none; other columns, of any names, are not read.
 """

@@ -11,8 +11,9 @@ rows, drawn by a hash of the id; the features are computed from whole texts by
 Spark tasks.  Without labelled rows every score is 0.5.  Null and empty texts
 have features of 0.  Rows with a null label are not used; of several labels of
 one document the least counts.  Every row is returned, repeated ones too (each
-labelled copy of a repeated row is learnt from); equal texts get equal scores.  An
-empty table gives none; other columns, of any names, are not read.
+labelled copy of a repeated row is learnt from); equal texts get equal scores, and a
+score of exactly 0.5 is predicted as 1.  Very long texts are read whole.  An empty
+table gives none; other columns, of any names, are not read.
 """
 
 from __future__ import annotations

@@ -33,7 +33,8 @@ document with a smaller id.  The work is cut so that every equal string meets:
 Strings are told apart by two 64-bit hashes, of the minimiser and of the whole.
 Null and empty texts have no bytes and lose none.  Rows that repeat an id and a
 text are one row; those that repeat an id with another text are one document in
-several rows.  Rows with a null id are one document, after all others.  A string
+several rows.  Rows with a null id are one document, after all others.  Ids are
+whole numbers of 64 bits: "smaller" is by number, others are an error.  A string
 repeated inside one document alone stays.  An empty table gives none; other
 columns, of any names, are not read.
 """
