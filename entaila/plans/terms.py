@@ -50,12 +50,17 @@ def sense_union(spark, d):
 
 
 # -- pairs of terms: part names against types -------------------------------------
+#: Types are broadcast up to this number; more of them meet the names by blocks.
+TYPES = 10_000
+
+
 def _name_pairs(spark, d):
     """(pair_id, hypo, hyper): every part name with every type."""
     p = table(spark, d, "part").groupBy(F.col("p_name").alias("hypo"), F.col("p_type").alias("t")).agg(F.min("p_partkey").alias("k"))
     types = p.select(F.concat(F.lit("type"), F.lower("t")).alias("hyper")).distinct()
     names = p.select("hypo").distinct()
-    return names.join(F.broadcast(types)).select(F.concat_ws("|", "hypo", "hyper").alias("pair_id"), "hypo", "hyper")
+    few = types.limit(TYPES + 1).count() <= TYPES
+    return names.crossJoin(F.broadcast(types) if few else types).select(F.concat_ws("|", "hypo", "hyper").alias("pair_id"), "hypo", "hyper")
 
 
 def _all_senses(spark, d):
@@ -84,7 +89,10 @@ def resolve_pairs(spark, d):
     return resolve.resolve_pairs(_name_pairs(spark, d), _all_senses(spark, d), _lemmas(spark, d), up, lambda p: hierarchy.wu_palmer(p, path, reach=reach))
 
 
-@query(f"""WITH {_NP}, f AS (SELECT pair_id, min((1, o, hypo_syn, hyper_syn)) AS x FROM cr WHERE o <= 5 AND inside GROUP BY pair_id)
+@query(f"""WITH {_NP}, uw AS (SELECT DISTINCT p_name AS spec, lower(trim(p_name)) AS low, list_filter(regexp_split_to_array(lower(trim(p_name)), '[\\s_]+'), lambda t: t <> '') AS w FROM part),
+uv AS (SELECT spec, 0 AS variant, low AS lemma FROM uw UNION ALL SELECT spec, 1, array_to_string(w, '_') FROM uw UNION ALL SELECT spec, 2, w[1] FROM uw UNION ALL SELECT spec, 3, w[len(w)] FROM uw),
+un AS (SELECT * FROM (SELECT spec, synset, row_number() OVER (PARTITION BY spec ORDER BY s, synset) AS o FROM (SELECT spec, synset, min((variant, rank)) AS s FROM uv JOIN sense USING (lemma) WHERE pos = 'n' GROUP BY spec, synset)) WHERE o <= 5),
+f AS (SELECT pair_id, min((1, o, synset, 'type.' || kind)) AS x FROM np JOIN un ON spec = hypo JOIN part ON 'part.' || p_partkey = synset WHERE p_type = kind GROUP BY pair_id)
 SELECT np.pair_id, x IS NOT NULL AS closure, CASE WHEN x IS NOT NULL THEN 1::BIGINT END AS path_len, x[3] AS hypo_syn, x[4] AS hyper_syn FROM np LEFT JOIN f USING (pair_id)""")
 def best_path(spark, d):
     return resolve.best_path(_name_pairs(spark, d), _all_senses(spark, d), hierarchy.ancestors(hierarchy.dag(edges(spark, d))))
