@@ -75,7 +75,7 @@ def _lemmas(spark, d):
 
 _NP = f"""{sql.SENSES}, asn AS (SELECT * FROM sense UNION ALL SELECT DISTINCT 'type' || lower(p_type), 'n', 'type.' || p_type, 0 FROM part),
 np AS (SELECT n.p_name || '|type' || lower(t.p_type) AS pair_id, n.p_name AS hypo, t.p_type AS kind FROM (SELECT DISTINCT p_name FROM part) n, (SELECT DISTINCT p_type FROM part) t),
-hs AS (SELECT p_name AS hypo, synset, row_number() OVER (PARTITION BY p_name ORDER BY rank) AS o, lemma FROM (SELECT DISTINCT p_name FROM part) JOIN sense ON lemma = replace(lower(p_name), ' ', '_') WHERE pos = 'n'),
+hs AS (SELECT p_name AS hypo, synset, row_number() OVER (PARTITION BY p_name ORDER BY rank) AS o, lemma FROM (SELECT p_name, synset, rank, lemma, pos, bool_or(pos = 'n') OVER (PARTITION BY p_name) AS noun FROM (SELECT DISTINCT p_name FROM part) JOIN sense ON lemma = replace(lower(p_name), ' ', '_')) WHERE pos = 'n' OR NOT noun),
 cr AS (SELECT pair_id, hypo, synset AS hypo_syn, 'type.' || kind AS hyper_syn, o, p_type = kind AS inside FROM np JOIN hs USING (hypo) JOIN part ON 'part.' || p_partkey = synset)"""
 
 
