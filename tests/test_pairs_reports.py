@@ -292,6 +292,34 @@ def test_axioms_over_all_entities_equal_all_cases(spark, size):
     assert np.allclose(got, want, atol=1e-12)
 
 
+def test_axioms_take_what_they_need_and_equal_vectors_once(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(7, 2))[[0, 1, 2, 3, 4, 5, 6, 1, 1, 4]]
+    met = []
+
+    def score(a, b):
+        met.append(len(a) * len(b))
+        return 1 / (1 + np.exp(-(a @ (b * [1.0, 2.0]).T + a[:, :1])))
+
+    e = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "key long, vec array<double>")
+    h = score(v, v)
+    rms = lambda e: 1 - np.sqrt((np.array(e) ** 2).mean())
+    three = [h[x, y] * h[y, z] * (1 - h[x, z]) for x in range(10) for y in range(10) for z in range(10)]
+    assert np.allclose(logic.structural_sums(e, score, 3, ("asymmetry", "irreflexivity")).first(), (rms(h * h.T), rms(np.diag(h))), atol=1e-12)
+    assert np.allclose(logic.structural_sums(e, score, 3, ("transitivity",)).first(), (rms(three),), atol=1e-12)
+    met.clear()
+    assert np.allclose(logic.pair_sums(v, np.ones(10), v, np.ones(10), True, score)[1], ((h * h.T) ** 2).sum())
+    assert met == [100]  # asymmetry meets each pair once, not once for each third entity
+
+
+def test_pairs_of_blocks_are_not_sent(spark):
+    e = spark.createDataFrame([(k, [float(k)] * 8) for k in range(40)], "key long, vec array<double>")
+    got = logic.block_truth(e, lambda u, v: u @ v.T, 4)
+    assert {r.h for r in got.collect()} == {8.0 * a * b for a in range(40) for b in range(40)} and got.count() == 1600
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "Exchange" not in plan.split("Cartesian" if "Cartesian" in plan else "BroadcastNestedLoopJoin")[0].split("MapInPandas")[1]
+
+
 def test_stream_counts(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
