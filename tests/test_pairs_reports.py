@@ -342,6 +342,28 @@ def test_least_squares_and_grids(spark):
     assert [tuple(r) for r in models.compare_grids(a, b).collect()] == [("cw", "mlp", 0.5, 0.75, 0.25)]
 
 
+def test_least_squares_with_aliased_terms(spark):
+    rows = [(float(k % 7), "abc"[k % 3], 3.0 * (k % 7) + 5.0 * (k % 3) + (k % 3) * (k % 7) + 0.1 * (k % 5)) for k in range(600)]
+    got = models.ols(spark.createDataFrame(rows, "x double, g string, y double"), "y ~ x + g + x:g").collect()
+    known = [r for r in got if r.coef is not None]
+    assert len(got) == 7 and len(known) == 6 and all(r.se > 0 and r.p is not None for r in known)  # the interactions add up to x
+    v = np.array([[x, g == "a", g == "b", x * (g == "a"), x * (g == "b"), 1.0] for x, g, _ in rows], float)
+    y = np.array([r[2] for r in rows])
+    c = np.linalg.lstsq(v, y, rcond=None)[0]
+    left = y - v @ c
+    se = np.sqrt(left @ left / (len(y) - 6) * np.diag(np.linalg.inv(v.T @ v)))
+    at = lambda name: next(r for r in got if r.term == name)
+    assert math.isclose(at("intercept").coef + at("x").coef + sum(r.coef or 0 for r in got if r.term in ("g_a", "x:g_a")), c[-1] + c[0] + c[1] + c[3], rel_tol=1e-8)
+    assert any(math.isclose(r.se, s, rel_tol=1e-6) for r in known for s in se)
+
+
+def test_vector_lines_round_as_printf(spark):
+    from entaila.sources.files import vector_lines
+
+    kv = spark.createDataFrame([("a b", [1 / 128, 3 / 128, -1 / 128, 0.5]), ("none", [])], "key string, vec array<double>")
+    assert sorted(r.value for r in vector_lines(kv).collect()) == ["a_b 0.007812 0.023438 -0.007812 0.500000", "none "]
+
+
 def test_paired_grids_and_metrics_of_stored_scores(spark):
     import duckdb
 
