@@ -364,6 +364,20 @@ def test_vector_lines_round_as_printf(spark):
     assert sorted(r.value for r in vector_lines(kv).collect()) == ["a_b 0.007812 0.023438 -0.007812 0.500000", "none "]
 
 
+def test_vectors_are_met_after_keys_are_chosen(spark):
+    from entaila.operators import resolve
+
+    kv = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "key string, vec array<double>")
+    nodes = spark.createDataFrame([("n1", "a_b"), ("n2", "x"), ("n3", "y"), ("top", "b")], "node string, lemma string")
+    chain = spark.createDataFrame([("n2", 1, "n3"), ("n2", 2, "top"), ("n1", 1, "top")], "node string, step long, anc string")
+    got = resolve.node_vectors(nodes, chain, kv)
+    assert {r.node: (r.method, r.key, r.vec) for r in got.collect()} == {
+        "n1": ("synset_lemma", "a", [1.0]), "n2": ("synset_hypernym_backoff", "b", [2.0]), "n3": ("oov", None, None), "top": ("synset_lemma", "b", [2.0]),
+    }
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("vec" in line for line in plan.splitlines() if "Aggregate" in line)  # no aggregate holds vectors
+
+
 def test_paired_grids_and_metrics_of_stored_scores(spark):
     import duckdb
 
