@@ -77,3 +77,15 @@ def test_lemmas_and_keys(spark):
     assert [r[0] for r in df.select(norm_lemma(F.col("s"))).collect()] == ["pike_fish_x", "", None]
     r = spark.createDataFrame([("Ab c!",)], "s string").select(key_ladder("s")).first()[0]
     assert r == ["Ab c!", "ab c!", "ab_c!", "ab c", "ab_c"]
+
+
+def test_counts_are_not_sent_for_their_names(spark):
+    known = spark.createDataFrame([("a", 3, 0), ("b", 2, 1)], "word string, cnt long, idx long")
+    x = spark.createDataFrame([(0, 1, 2), (1, 0, 2), (0, 0, 4)], "i long, j long, x long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = cooc.named(x, known)
+        assert sorted(map(tuple, got.collect())) == [("a", "a", 4), ("a", "b", 2), ("b", "a", 2)]
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
