@@ -10,21 +10,20 @@ languages, other bytes pay the context's escapes and are looked up in the next
 shorter one; a text's exact code length for each language is then a sum of
 look-ups, and the shortest wins.
 
-The trees are learnt in one pass from a sample of whole labelled texts, drawn by
-a hash of the id: at most about `docs_per_lang` texts and `bytes_per_lang` bytes
-of each language and `SAMPLE_BYTES` in all; this bounds what the driver gathers.
-Contexts seen fewer than `MIN_CONTEXT` times in it are left out, and more often
-seen ones too while the tables would be over `TABLE_BYTES`; this bounds what is
-broadcast, for any number of languages.
+The trees are learnt in one pass from all labelled texts, whole: tasks count
+strings of `ORDER` + 1 bytes, and the driver gathers the sums, a row for each
+different string of a language.  Contexts seen fewer than `MIN_CONTEXT` times are
+left out, and more often seen ones too while the tables would be over
+`TABLE_BYTES`; this bounds what is broadcast, for any number of languages.
 
 `accepted` rejects texts in none of the learnt languages.  What they may cost is
-learnt from labelled texts that the trees have not seen (`bound`).
+learnt from all labelled texts that the trees have not seen (`bound`).
 
 Null texts and texts without a letter are `und` with score 0; so is every text
 if nothing is labelled.  Ties go to the language first in order.  The score is
 the winner's share of the probability that the languages give to the text.
 Very long texts are read whole.
-Every row is returned, repeated ones too (they count each in the sample); an
+Every row is returned, repeated ones too (they count each in the trees); an
 empty table gives none; other columns, of any names, are not read.
 """
 
@@ -37,12 +36,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, crc, filter_texts, map_texts, slices
+from .common import arrow_schema, crc, filter_texts, map_texts, slices, stored
 
 ORDER = 3
 MIN_CONTEXT = 4
-DOCS_PER_LANG = 1500
-BYTES_PER_LANG, SAMPLE_BYTES, TABLE_BYTES = 16 << 20, 64 << 20, 256 << 20
+TABLE_BYTES = 256 << 20
+#: Different strings that a task holds before it gives up its counts, at most about.
+HELD = 1 << 20
 UNKNOWN = "und"
 #: Bits that tell nothing about the language: a key or a number of 16 random bytes.
 FREE_BITS = 128
@@ -192,37 +192,51 @@ def _context(codes: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def _sample(rows: DataFrame, docs_per_lang: int, bytes_per_lang: int) -> DataFrame:
-    """(id, txt, lg): at most about so many texts and bytes of each language, drawn by a hash of the id."""
-    size = rows.groupBy("lg").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("txt")).alias("b"))
-    langs = F.count(F.lit(1)).over(Window.partitionBy())  # a row a language
-    size = size.withColumn("room", F.least(F.lit(bytes_per_lang), F.lit(SAMPLE_BYTES) / langs))
-    share = F.xxhash64("id").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(1 << 30)
-    kept = rows.join(F.broadcast(size), "lg").filter((share * F.col("n") < docs_per_lang) & (share * F.col("b") < F.col("room")))
-    return kept.select("id", "txt", "lg")
-
-
 def _labelled(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("txt"), F.col(lang_col).cast("string").alias("lg"))
     return rows.filter("lg is not null and txt is not null")
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG, bytes_per_lang: int = BYTES_PER_LANG) -> Trees:
-    """Trees learnt from the labelled rows of `df`."""
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, counts) of parts of the same kind added up."""
+    code, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return code, np.bincount(at, np.concatenate([n for _, n in parts]), len(code)).astype(np.int64)
+
+
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Trees:
+    """Trees learnt from all labelled rows of `df`."""
     import pyarrow as pa
 
-    sample = _sample(_labelled(df, id_col, text_col, lang_col), docs_per_lang, bytes_per_lang).select("lg", "txt")
     schema = arrow_schema("lg string, code long, n long")
 
     def run(batches):
+        held: dict[str, list] = {}
+
+        def given():
+            for lang, parts in sorted(held.items()):
+                code, n = added(parts)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int64)), pa.array(n)], schema=schema)
+            held.clear()
+
         for batch in batches:
             for langs, texts in slices(batch.column(0), batch.column(1)):
                 for lang in sorted(set(langs)):
-                    code, n = np.unique(ngrams([t.encode() for t, g in zip(texts, langs, strict=True) if g == lang]), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n.astype(np.int64))], schema=schema)
-
-    got = sample.mapInArrow(run, "lg string, code long, n long").groupBy("lg", "code").agg(F.sum("n").alias("n")).orderBy("lg", "code").toPandas()  # bounded by the sample
-    return grow({lang: (g["code"].to_numpy(np.int64), g["n"].to_numpy(np.float64)) for lang, g in got.groupby("lg")})
+                    codes = ngrams([t.encode() for t, g in zip(texts, langs, strict=True) if g == lang]).astype(np.uint32)
+                    held.setdefault(lang, []).append(np.unique(codes, return_counts=True))
+                if sum(len(c) for parts in held.values() for c, _ in parts) > HELD:
+                    held.update({lang: [added(parts)] for lang, parts in held.items()})
+                    if 2 * sum(len(c) for [(c, _)] in held.values()) > HELD:
+                        yield from given()
+        yield from given()
+
+    rows = _labelled(df, id_col, text_col, lang_col).select("lg", "txt")
+    got = rows.mapInArrow(run, "lg string, code long, n long").groupBy("lg", "code").agg(F.sum("n").alias("n")).toArrow()  # different strings alone
+    lang = got.column("lg").combine_chunks().dictionary_encode()
+    of, code, n = lang.indices.to_numpy(), got.column("code").to_numpy(), got.column("n").to_numpy()
+    order = np.lexsort((code, of))
+    of, code, n = of[order], code[order], n[order].astype(np.float64)
+    cuts = np.searchsorted(of, np.arange(len(lang.dictionary) + 1))
+    return grow({name: (code[a:b], n[a:b]) for name, a, b in zip(lang.dictionary.to_pylist(), cuts[:-1], cuts[1:], strict=True)})
 
 
 def rate(bits: float, n: int) -> float:
@@ -230,14 +244,41 @@ def rate(bits: float, n: int) -> float:
     return max(bits - FREE_BITS, 0.0) / max(n, 1)
 
 
-def bound(df: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG) -> float:
-    """The rate up to which a text is in a learnt language, from labelled rows that the trees have not seen.
+#: Cells a bit that `quantile` counts by, and the rate from which all are one cell.
+CELLS, FAR = 4096, 16
+
+
+def quantile(rows: DataFrame, q: float) -> float | None:
+    """The q-quantile of `rate`, exact, with interpolation; None without rows.
+
+    Rows are counted by cell, and only the cells with the places asked for are sorted,
+    so no task holds all of them.
+    """
+    at = rows.select("rate", F.floor(F.least("rate", F.lit(FAR)) * CELLS).alias("cell"))
+    sizes = sorted(map(tuple, at.groupBy("cell").count().collect()))  # at most CELLS * FAR + 1
+    if not sizes:
+        return None
+    cells, upto = [c for c, _ in sizes], np.cumsum([n for _, n in sizes])
+    place = q * (int(upto[-1]) - 1)
+
+    def value(k: int) -> float:
+        i = int(np.searchsorted(upto, k, "right"))
+        left = k - (int(upto[i - 1]) if i else 0)
+        by = at.filter(F.col("cell") == cells[i]).groupBy("rate").agg(F.count(F.lit(1)).alias("n"))
+        return by.withColumn("upto", F.sum("n").over(Window.orderBy("rate"))).filter(F.col("upto") > left).agg(F.min("rate").alias("v")).first()["v"]
+
+    low, high = int(np.floor(place)), int(np.ceil(place))
+    a = value(low)
+    return a if high == low else a + (place - low) * (value(high) - a)
+
+
+def bound(df: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+    """The rate up to which a text is in a learnt language, from all labelled rows, which the trees have not seen.
 
-    All but a share of 1 - COVERED of a sample of them, drawn as for the trees,
-    lie below it, with some room; without such rows the rate of a uniform code.
+    All but a share of 1 - COVERED of them lie below it, with some room; without such
+    rows the rate of a uniform code.
     """
     shared = df.sparkSession.sparkContext.broadcast(trees)
-    sample = _sample(_labelled(df, id_col, text_col, lang_col), docs_per_lang, BYTES_PER_LANG)
 
     def make():
         def kernel(ids, texts):
@@ -248,7 +289,8 @@ def bound(df: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "
 
     if not trees.langs:
         return 8.0
-    top = map_texts(sample, "id", "txt", make, "rate double").agg(F.percentile("rate", F.lit(COVERED)).alias("p")).first()["p"]
+    rates = stored(map_texts(_labelled(df, id_col, text_col, lang_col), "id", "txt", make, "rate double"))
+    top = quantile(rates, COVERED)
     return 8.0 if top is None else min(top * ROOM, 8.0)
 
 

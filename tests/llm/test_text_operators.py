@@ -650,3 +650,18 @@ def test_extraction_equals_brute_force(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = sorted((r.page_id, r.text, r.n_chars) for r in html_text.report(df).collect())
     assert got == sorted((k, t := brute_main_text(h or "", crf), len(t)) for k, _, h, _ in rows) and "café" in got[0][1] and "<items>" in got[0][1]
+
+
+def test_language_counts_and_bound_take_all_rows(spark):
+    rows = [(k, "ab" * 50, "x") for k in range(3200)] + [(5000 + k, "cd" * 30, "y") for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    codes = np.concatenate([langid.ngrams([t.encode()]) for _, t, g in rows if g == "x"])
+    want = langid.grow({"x": tuple(a.astype(t) for a, t in zip(np.unique(codes, return_counts=True), (np.int64, float), strict=True)), "y": tuple(a.astype(t) for a, t in zip(np.unique(langid.ngrams([t.encode() for _, t, g in rows if g == "y"]), return_counts=True), (np.int64, float), strict=True))})
+    got = langid.train(df)
+    assert got.langs == want.langs and np.array_equal(got.cell, want.cell) and np.array_equal(got.bits_of, want.bits_of) and np.array_equal(got.escape, want.escape)
+    values = np.random.default_rng(6).random(2001) * 3
+    rates = spark.createDataFrame([(float(v),) for v in values] + [(1.5,)] * 700 + [(40.0,)] * 3, "rate double").repartition(5)
+    every = [*values, *[1.5] * 700, *[40.0] * 3]
+    for q in (0.0, 0.3, 0.5, 0.999, 1.0):
+        assert np.isclose(langid.quantile(rates, q), np.quantile(every, q), rtol=1e-12)
+    assert langid.quantile(rates.limit(0), 0.5) is None
