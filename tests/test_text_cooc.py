@@ -89,3 +89,40 @@ def test_counts_are_not_sent_for_their_names(spark):
         assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_best_associates_meet_packed_rows_once(spark, monkeypatch):
+    """The rows of the separate steps, from one shuffle of packed counts: no counted pair is sent by itself."""
+    import numpy as np
+
+    from entaila.functions.columns import rounded
+    from entaila.operators import packed
+
+    rng = np.random.default_rng(3)
+    words = ["the", "a", "www", *(f"w{k}" for k in range(300))]
+    docs = [[words[min(int(k), 302)] for k in rng.zipf(1.3, n) - 1] for n in rng.integers(0, 90, 60)]
+    ch = tokens(spark, docs).withColumn("start", F.lit(0)).repartition(3)
+    known = cooc.numbered_words(text.vocabulary(ch, 2)).cache()
+    encoded = cooc.cut(cooc.encoded(ch, known))
+    x = cooc.number_counts(encoded)
+    sums = {r.i: r.r for r in packed.word_sums(encoded).collect()}
+    assert sums == {r.w: r.r for r in cooc.marginals(x, "i").collect()}
+    want = cooc.associates(cooc.ppmi(x, i="i", j="j", symmetric=True).withColumn("ppmi", rounded("ppmi")), known, 3, numbers=("i", "j"))
+    for sizes in ({}, {"run": 50, "held": 100}):
+        every = packed.row_entries(packed.packed_counts(encoded, **sizes), lambda i, j, n: n > 0)
+        assert sorted(map(tuple, every.collect())) == sorted(map(tuple, x.collect()))
+    got = cooc.best_associates(encoded, known, 3)
+    assert got.count() > 300 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "deltas" in plan and "hashpartitioning(key" not in plan
+    monkeypatch.setattr(cooc, "BROADCAST_SUMS", 0)
+    assert sorted(map(tuple, cooc.best_associates(encoded, known, 3).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_packed_numbers_come_back():
+    import numpy as np
+
+    from entaila.operators.packed import _numbers, _varints
+
+    for x in ([], [0], [127, 128, 0, (1 << 38) - 1, (1 << 62) + 5], list(range(300))):
+        assert _numbers(_varints(np.array(x, np.int64))).tolist() == x
