@@ -177,3 +177,31 @@ def test_products_meet_hubs_in_slices(spark, monkeypatch):
     want = {(f"a{k}", f"z{z}"): float(k % 3) for k in range(1000) for z in range(5)}
     want["a1", "z1"] += 6.0
     assert got == want
+
+
+def test_pairs_meet_senses_of_each_kind_once(spark):
+    """A name's many leaves under the same parents come in as one; those with something below, or named on both sides, stay."""
+    from entaila.operators import resolve
+
+    up = spark.createDataFrame([*((f"p{k}", f"t{k % 2}", 1) for k in range(40)), ("q", "p0", 1), ("q", "t0", 2)], "src string, dst string, d long")
+    side = spark.createDataFrame([("x", f"p{k}", (0, 40 - k)) for k in range(40)] + [("y", "p7", (0, 1))], "spec string, synset string, o struct<sub:int,rank:long>")
+    other = spark.createDataFrame([("z", "p5")], "spec string, synset string")
+    lemmas = spark.createDataFrame([("p9", "nine")], "synset string, lemma string")
+    got = {(r.spec, r.synset) for r in resolve.first_alike(side, other, lemmas, up).collect()}
+    assert got == {("x", "p39"), ("x", "p38"), ("x", "p0"), ("x", "p5"), ("x", "p9"), ("y", "p7")}
+
+
+def test_senses_are_cut_before_specs_meet_them(spark):
+    """A hundred specs that share a word with 2,000 senses: the words' senses are not multiplied before the cut."""
+    from entaila.operators import resolve
+
+    senses = spark.createDataFrame([("red", "n", f"s{k:04d}", 2000 - k) for k in range(2000)] + [(f"red_x{k}", "n", f"own{k}", k) for k in range(100)], "lemma string, pos string, synset string, rank long")
+    specs = spark.createDataFrame([(f"red x{k}",) for k in range(100)], "spec string")
+    got = resolve.first_senses(specs, senses)
+    assert got.groupBy("spec").count().select("count").distinct().collect() == [(5,)]
+    assert {(r.synset, r.ord) for r in got.filter("spec = 'red x7'").collect()} == {("own7", 1), *((f"s{1999 - k}", k + 2) for k in range(4))}
+    best = resolve.candidates(specs, senses)
+    assert {(r.spec, r.synset, r.ord) for r in best.collect()} == {(f"red x{k}", f"own{k}", 1) for k in range(100)}
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") > plan.index("Join Inner")  # the stage is chosen below the join with the senses
+    assert "_n" in got._jdf.queryExecution().optimizedPlan().toString()
