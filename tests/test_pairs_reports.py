@@ -441,3 +441,22 @@ def test_datasets_of_train_and_test(spark, tmp_path):
     assert got == {(1, "train", "label"): 1, (2, "train", "label"): 1} | {(3, "test", t): int(t in ("rowpath", "union")) for t in ("direct", "rowpath", "colpath", "union")} | {(4, "test", t): 0 for t in ("direct", "rowpath", "colpath", "union")}
     files.write_bundle(str(tmp_path / "bundle"), matrices, labels)
     assert files.targets(spark, str(tmp_path / "bundle")) == ["colpath", "direct", "rowpath", "union"] and files.read_matrix(spark, str(tmp_path / "bundle"), "cooc_test").count() == 3
+
+
+def test_rows_that_are_alike_are_decomposed_as_one(spark, monkeypatch):
+    """US and the values are those of the whole matrix, with contrasts among the d largest too; the driver's matrix has a row a kind."""
+    x = np.zeros((23, 26))
+    for k in range(20):  # two kinds of leaves, with a column each and a shared one
+        x[k, k], x[k, 20 + k % 2] = (0.9, 0.3) if k % 2 else (0.4, 0.7)
+    x[20, 20:24], x[21, [20, 22, 25]] = [1, 2, 3, 4], [1, 1, 2]  # the last row is empty
+    m = spark.createDataFrame([(f"n{i:02d}", f"n{j:02d}", float(x[i, j])) for i, j in np.ndindex(*x.shape) if x[i, j]], "i string, j string, v double")
+    nodes = spark.createDataFrame([(f"n{k:02d}", k) for k in range(26)], "node string, idx long")
+    sizes, make = [], models.CoordinateMatrix
+    monkeypatch.setattr(models, "CoordinateMatrix", lambda model: sizes.append(make(model)) or sizes[-1])
+    want = np.linalg.svd(x)[1]
+    for d in (2, 6, 15):
+        vec, s = models.svd(m, nodes, d)
+        us = np.array([r.vec for r in vec.orderBy("node").collect()])[:23]
+        assert len(s) == d and np.allclose(s, want[:d])
+        assert np.allclose(us.T @ us, np.diag(want[:d] ** 2)) and np.allclose(us.T @ x @ x.T @ us, np.diag(want[:d] ** 4))
+    assert {a.numRows() for a in sizes} == {4}
