@@ -460,3 +460,17 @@ def test_rows_that_are_alike_are_decomposed_as_one(spark, monkeypatch):
         assert len(s) == d and np.allclose(s, want[:d])
         assert np.allclose(us.T @ us, np.diag(want[:d] ** 2)) and np.allclose(us.T @ x @ x.T @ us, np.diag(want[:d] ** 4))
     assert {a.numRows() for a in sizes} == {4}
+
+
+def test_grids_compute_their_tables_once(spark):
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(k):
+        met.add(1)
+        return float(k % 5)
+
+    df = spark.range(40).select(F.col("id").alias("pair_id"), F.array(seen("id"), F.col("id") * 0.5).alias("x"), (F.col("id") % 2).cast("int").alias("label"))
+    got = models.grid(df.filter("pair_id < 30"), df.filter("pair_id >= 30"), {"all": "x"}, mlp=False).collect()
+    assert {(r.matrix, r.clf, r.note) for r in got} == {("all", "logreg", ""), ("all", "mlp", "no rows, input too wide or not asked for")}
+    assert met.value == 40
