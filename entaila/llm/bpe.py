@@ -16,11 +16,10 @@ are not read.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import heapq
 import re
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,6 +29,8 @@ from .common import map_texts
 LONG_PIECE = 256
 #: Pieces kept between texts, at most; the cache is emptied when it is full.
 CACHE_PIECES = 600_000
+#: Characters of the texts that are split and merged at once, unless a single text is longer.
+GROUP_CHARS = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _DOUBLE_SPACE = re.compile(r"\s\s").search
 _NONE = np.int32(0x7FFFFFFF)
@@ -102,10 +103,10 @@ class Bpe:
         self.pair_of_bytes = self.pairs(self.first[both >> 8], self.first[both & 255])
         self.bytes_of = {i: t for t, i in self.ranks.items()}
         self.text_of = {i: str(i) for i in self.bytes_of}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}  # ids as four bytes each: a third of what tuples take, and nothing for the collector to walk
 
     # -- merging ---------------------------------------------------------
-    def merge_rows(self, rows: np.ndarray) -> list[tuple[int, ...]]:
+    def merge_rows(self, rows: np.ndarray) -> list[np.ndarray]:
         """Token ids of equally long byte rows (a uint8 matrix).
 
         Every row left merges one pair a round, so all stay equally long.
@@ -123,8 +124,8 @@ class Bpe:
                 best = ranks.ravel()[np.arange(len(where)) * (width - 1) + at]
             over = best == _NONE
             if over.any():
-                for k, row in zip(where[over].tolist(), ids[over].tolist(), strict=True):
-                    out[k] = tuple(row)
+                for k, row in zip(where[over].tolist(), ids[over], strict=True):
+                    out[k] = row
                 go = ~over
                 if width == 1 or not go.any():
                     break
@@ -173,16 +174,16 @@ class Bpe:
         for p in pieces:
             raw = p.encode()
             if (whole := self.ranks.get(raw)) is not None:
-                self.cache[p] = (whole,)
+                self.cache[p] = np.int32(whole).tobytes()
             elif len(raw) > LONG_PIECE:
-                self.cache[p] = self.merge_long(raw)
+                self.cache[p] = np.array(self.merge_long(raw), np.int32).tobytes()
             else:
                 by.setdefault(len(raw), []).append((p, raw))
         for width, group in by.items():
             for k in range(0, len(group), step := max(1, 200_000 // width)):
                 part = group[k : k + step]
                 rows = np.frombuffer(b"".join(raw for _, raw in part), np.uint8).reshape(len(part), width)
-                self.cache.update(zip((p for p, _ in part), self.merge_rows(rows), strict=True))
+                self.cache.update((p, ids.tobytes()) for (p, _), ids in zip(part, self.merge_rows(rows), strict=True))
 
     # -- texts -----------------------------------------------------------
     def units(self, text: str) -> list[str]:
@@ -196,7 +197,14 @@ class Bpe:
             return self.split(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+    def encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text; only one group of texts is in pieces at a time."""
+        ends = np.cumsum([len(t) for t in texts])
+        cuts = np.flatnonzero(np.diff(ends // GROUP_CHARS)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(texts)], strict=True):
+            yield from self._group(texts[a:b])
+
+    def _group(self, texts: list[str]) -> list[np.ndarray]:
         units = [self.units(t) for t in texts]
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
@@ -206,12 +214,14 @@ class Bpe:
         get = known.__getitem__
         for u, ps in new.items():
             if u not in known:
-                known[u] = tuple(chain.from_iterable(map(get, ps)))
-        gc.freeze()  # the cache holds no cycles; the collector need not walk it
-        return [list(chain.from_iterable(map(get, us))) for us in units]
+                known[u] = b"".join(map(get, ps))
+        return [np.frombuffer(b"".join(map(get, us)), np.int32) for us in units]
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        return [ids.tolist() for ids in self.encoded(texts)]
 
     def count_batch(self, texts: list[str]) -> list[int]:
-        return [len(x) for x in self.encode_batch(texts)]
+        return [len(ids) for ids in self.encoded(texts)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -248,7 +258,8 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks
 
         def kernel(ids, texts):
             n, a, b = [], [], []
-            for toks in bpe.encode_batch(texts):
+            for ids_of in bpe.encoded(texts):
+                toks = ids_of.tolist()
                 n.append(len(toks))
                 a.append(hashlib.sha256(",".join(map(bpe.text_of.__getitem__, toks)).encode()).hexdigest())
                 b.append(hashlib.sha256(bpe.decode(toks)).hexdigest())

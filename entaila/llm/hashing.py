@@ -16,28 +16,34 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_powers: dict[str, np.ndarray] = {}
+#: A power of k is that of the lower bits of k, of which a small table is kept, times that of the others.
+_LOW_BITS = 11
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**k and BASE**-k modulo 2**64 for k < n."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for name, base in (("up", BASE), ("down", _INVERSE)):
-            x = np.full(size, base)
-            x[0] = 1
-            _powers[name] = np.multiply.accumulate(x)
-    return _powers["up"][:n], _powers["down"][:n]
+def _table(base: np.uint64, n: int) -> np.ndarray:
+    """base**k modulo 2**64 for k < n."""
+    x = np.full(n, base)
+    x[:1] = 1
+    return np.multiply.accumulate(x)
+
+
+_UP, _DOWN = _table(BASE, (1 << _LOW_BITS) + 1), _table(_INVERSE, (1 << _LOW_BITS) + 1)
+
+
+def _high(low: np.ndarray, n: int) -> np.ndarray:
+    """The powers of 0, 2**_LOW_BITS, 2 * 2**_LOW_BITS, ... below n."""
+    return _table(low[-1], (n >> _LOW_BITS) + 1)
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * up[:-1], out=out[1:])
+    up = np.multiply.outer(_high(_UP, len(data)), _UP[:-1]).ravel()[: len(data)]
+    up *= _VALUE[data]
+    np.cumsum(up, out=out[1:])
     return out
 
 
 def spans_hash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of data[begin:end] that depends on these bytes alone."""
-    _, down = powers(len(sums))
-    return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    down = _high(_DOWN, len(sums))[begin >> _LOW_BITS] * _DOWN[begin & ((1 << _LOW_BITS) - 1)]
+    return mix((sums[end] - sums[begin]) * down + (end - begin).astype(np.uint64))

@@ -43,6 +43,8 @@ MIN_CONTEXT = 4
 TABLE_BYTES = 256 << 20
 #: Different strings that a task holds before it gives up its counts, at most about.
 HELD = 1 << 20
+#: Bytes of text whose code lengths are in memory at once, and whose strings are counted at once, unless a single text is longer.
+GROUP_BYTES = 1 << 20
 UNKNOWN = "und"
 #: Bits that tell nothing about the language: a key or a number of 16 random bytes.
 FREE_BITS = 128
@@ -91,7 +93,11 @@ class Trees:
         return out
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
-        """(text, language): exact code lengths."""
+        """(text, language): exact code lengths; each text's depend on it alone."""
+        cuts = np.flatnonzero(np.diff(np.cumsum([len(t) for t in texts]) // GROUP_BYTES)) + 1
+        return np.concatenate([self._bits(texts[a:b]) for a, b in zip([0, *cuts], [*cuts, len(texts)], strict=True)])
+
+    def _bits(self, texts: list[bytes]) -> np.ndarray:
         out = np.zeros((len(texts), len(self.langs)))
         pad = bytes(ORDER)
         data = np.frombuffer(pad + pad.join(texts), np.uint8)
@@ -219,7 +225,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             held.clear()
 
         for batch in batches:
-            for langs, texts in slices(batch.column(0), batch.column(1)):
+            for langs, texts in slices(batch.column(0), batch.column(1), GROUP_BYTES):
                 for lang in sorted(set(langs)):
                     codes = ngrams([t.encode() for t, g in zip(texts, langs, strict=True) if g == lang]).astype(np.uint32)
                     held.setdefault(lang, []).append(np.unique(codes, return_counts=True))

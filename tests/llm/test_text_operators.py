@@ -665,3 +665,38 @@ def test_language_counts_and_bound_take_all_rows(spark):
     for q in (0.0, 0.3, 0.5, 0.999, 1.0):
         assert np.isclose(langid.quantile(rates, q), np.quantile(every, q), rtol=1e-12)
     assert langid.quantile(rates.limit(0), 0.5) is None
+
+
+def test_a_worker_holds_little_beside_its_tables():
+    """Tasks of all operators run in the same workers, so what one keeps or takes at once lessens the room of the next."""
+    import random
+    import tracemalloc
+
+    from entaila.llm import hashing
+
+    draw = random.Random(5)
+    texts = [" ".join("".join(draw.choices("abcdefghijklmnop", k=draw.randint(4, 9))) for _ in range(400)) for _ in range(1000)]
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    code, n = np.unique(langid.ngrams(raw[:50]), return_counts=True)
+    trees, b = langid.grow({"en": (code, n), "fr": (code, n)}), bpe.Bpe()
+    tracemalloc.start()
+    try:
+
+        def taken(f):
+            tracemalloc.reset_peak()
+            before = tracemalloc.get_traced_memory()[0]
+            out = f()
+            now, peak = tracemalloc.get_traced_memory()
+            return out, now - before, peak - before
+
+        _, kept, _ = taken(lambda: hashing.spans_hash(hashing.prefix_sums(data), np.array([0, 5]), np.array([9, len(data)])).tolist())
+        assert kept < 1 << 20
+        bits, _, peak = taken(lambda: trees.bits(raw))
+        assert peak < 15 * len(data)
+        ids, kept, _ = taken(lambda: sum(map(len, b.encode_batch(texts))))
+        assert ids > len(texts) and kept < 300 * len(b.cache)
+    finally:
+        tracemalloc.stop()
+    assert (bits == np.concatenate([trees.bits([r]) for r in raw])).all()
+    assert bpe.Bpe().encode_batch(["", texts[0]]) == [[], b.encode_batch(texts[:1])[0]] and b.encode_batch([]) == [] and trees.bits([]).shape == (0, 2)
