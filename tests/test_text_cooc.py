@@ -126,3 +126,24 @@ def test_packed_numbers_come_back():
 
     for x in ([], [0], [127, 128, 0, (1 << 38) - 1, (1 << 62) + 5], list(range(300))):
         assert _numbers(_varints(np.array(x, np.int64))).tolist() == x
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_upserted_counts_meet_packed(spark):
+    """Stored and new counts are packed and added up by blocks of words; no counted pair is sent by itself."""
+    from entaila import catalogue
+    from entaila.operators import packed
+
+    words = "a b c d".split()
+    ch = tokens(spark, [[words[k % 4] for k in range(n)] for n in (30, 41, 7, 0)]).withColumn("start", F.lit(0))
+    known = cooc.numbered_words(text.vocabulary(ch, 1))
+    enc = cooc.cut(cooc.encoded(ch, known))
+    halves = [packed.packed_counts(enc.filter(F.col("doc_id") % 2 == k)) for k in (0, 1)]
+    want = sorted(map(tuple, cooc.number_counts(enc).collect()))
+    assert want and sorted(map(tuple, cooc.merged_packed(cooc.cut(halves[0]), halves[1]).collect())) == want
+    assert sorted(map(tuple, cooc.merged_packed(*halves, halves[0].limit(0)).collect())) == want
+    plan = plan_of(catalogue.QUERIES["cooc_upsert_merge"](spark, "/root/testdata/sf0.001"))
+    assert "hashpartitioning(block" in plan and "hashpartitioning(w1" not in plan
