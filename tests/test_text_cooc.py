@@ -147,3 +147,14 @@ def test_upserted_counts_meet_packed(spark):
     assert sorted(map(tuple, cooc.merged_packed(*halves, halves[0].limit(0)).collect())) == want
     plan = plan_of(catalogue.QUERIES["cooc_upsert_merge"](spark, "/root/testdata/sf0.001"))
     assert "hashpartitioning(block" in plan and "hashpartitioning(w1" not in plan
+
+
+def test_band_join_counts_numbers_once(spark):
+    """Pairs are counted by number, both ways as one: words are not sent for their counts, nor the counts twice."""
+    docs = [[f"w{k % 7}" for k in range(n)] for n in (30, 41, 7, 0)]
+    ch = tokens(spark, docs).withColumn("start", F.lit(0))
+    vocab = text.vocabulary(ch, 4)
+    got = cooc.band_join_counts(ch, vocab)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, cooc.window_counts(ch, vocab).collect())) != []
+    plan = plan_of(cooc.band_join_counts(ch, vocab))
+    assert "hashpartitioning(key" in plan and "hashpartitioning(w1" not in plan and "Union" not in plan
