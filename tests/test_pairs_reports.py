@@ -474,3 +474,9 @@ def test_grids_compute_their_tables_once(spark):
     got = models.grid(df.filter("pair_id < 30"), df.filter("pair_id >= 30"), {"all": "x"}, mlp=False).collect()
     assert {(r.matrix, r.clf, r.note) for r in got} == {("all", "logreg", ""), ("all", "mlp", "no rows, input too wide or not asked for")}
     assert met.value == 40
+
+
+def test_the_unknown_vector_is_the_mean_over_all_keys(spark):
+    n = 50_003  # the last keys in order alone have a value
+    kv = spark.range(n).select(F.format_string("k%05d", "id").alias("key"), F.array(F.when(F.col("id") >= 50_000, 1.0).otherwise(0.0)).alias("vec"))
+    assert np.isclose(resolve.unknown_vector(kv).first().vec[0], 3 / n)
