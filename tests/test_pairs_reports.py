@@ -480,3 +480,24 @@ def test_the_unknown_vector_is_the_mean_over_all_keys(spark):
     n = 50_003  # the last keys in order alone have a value
     kv = spark.range(n).select(F.format_string("k%05d", "id").alias("key"), F.array(F.when(F.col("id") >= 50_000, 1.0).otherwise(0.0)).alias("vec"))
     assert np.isclose(resolve.unknown_vector(kv).first().vec[0], 3 / n)
+
+
+def test_the_network_learns_from_all_rows(spark):
+    kinds = 12  # each of 2,000 rows that are alike
+    rows = spark.range(kinds * 2000).select((F.col("id") % kinds).alias("k")).select("k", F.transform(F.sequence(F.lit(0), F.lit(kinds - 1)), lambda i: (i == F.col("k")).cast("double")).alias("features"), F.col("k").isin(0, 3, 4, 6, 9, 11).cast("int").alias("label"))
+    got = models.elu_network(rows, rows.distinct(), kinds, epochs=6).collect()
+    assert len(got) == kinds and all(abs(r.prob - r.label) < 0.2 for r in got)
+
+
+def test_parts_hold_every_row_once(spark):
+    rows = [(float(k % 5), k, int(k % 3 == 0)) for k in range(300)]
+    df = spark.createDataFrame(rows, "a double, k long, label int").select(F.array("a", F.col("k") % 7).alias("features"), "label")
+    parts, n = models.row_parts(df, 2, part_rows=50)
+    held = [(tuple(x), y) for r in parts.collect() for x, y in zip(np.frombuffer(r.x).reshape(-1, 2), np.frombuffer(r.y), strict=True)]
+    assert n == 6 and sorted(held) == sorted((tuple(map(float, r.features)), float(r.label)) for r in df.collect())
+    # one epoch is the mean of the parts' own by their rows
+    net, want, total = models.EluNetwork(2), 0, 0
+    for r in parts.collect():
+        x, y = np.frombuffer(r.x).reshape(-1, 2), np.frombuffer(r.y)
+        want, total = want + len(y) * models.EluNetwork(2).fit(x, y, 1, seed=[0, 0, r.part]).state(), total + len(y)
+    assert np.allclose(models.fit_parts(parts, n, net, 1).state(), want / total)
