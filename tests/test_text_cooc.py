@@ -158,3 +158,25 @@ def test_band_join_counts_numbers_once(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, cooc.window_counts(ch, vocab).collect())) != []
     plan = plan_of(cooc.band_join_counts(ch, vocab))
     assert "hashpartitioning(key" in plan and "hashpartitioning(w1" not in plan and "Union" not in plan
+
+
+def test_counts_of_whole_texts_are_those_of_their_chunks(spark):
+    """A pair of places counts once for each chunk that has both; texts are looked up and counted without a shuffle of places or pairs."""
+    import numpy as np
+
+    from entaila import catalogue
+    from entaila.operators import packed
+
+    rng = np.random.default_rng(4)
+    tk = tokens(spark, [[f"w{k}" for k in rng.integers(0, 40, n)] for n in (0, 1, 20, 21, 99, 100, 119, 120, 121, 200, 201, 220, 221, 450, 1000)])
+    known = cooc.numbered_words(text.vocabulary(text.chunked(tk), 50))
+    enc = cooc.cut(cooc.encoded(tk, known))
+    want = sorted(map(tuple, cooc.number_counts(text.chunked(enc)).collect()))
+    assert want and sorted(map(tuple, cooc.text_counts(enc).collect())) == want
+    assert sorted(map(tuple, packed.word_sums(enc, cuts=cooc.CUTS).collect())) == sorted(map(tuple, cooc.marginals(cooc.number_counts(text.chunked(enc)), "i").collect()))
+    for size, step, least in ((7, 3, 2), (6, 3, 1)):
+        got = packed.row_entries(packed.packed_counts(enc, 1, 4, cuts=(size, step, least)), lambda i, j, n: n > 0)
+        chunks = text.chunked(enc, size, step, least)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, cooc.number_counts(chunks, 1, 4).collect()))
+    plan = plan_of(catalogue.QUERIES["cooc_window"](spark, "/root/testdata/sf0.001"))
+    assert "hashpartitioning(block" in plan and "hashpartitioning(doc_id" not in plan and "hashpartitioning(key" not in plan
