@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -101,13 +102,28 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder and read again: lineage ends there."""
+def stored(df: DataFrame, file_rows: int = 0) -> DataFrame:
+    """`df` written to the shared folder and read again: lineage ends there.
+
+    `file_rows`, if not 0, bounds the rows of a file and with them what a writer or reader of large rows holds.
+    """
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """Arrow batches of at most n rows, for the jobs run within: rows that are large must not meet in one batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def crc(col: str | Column) -> Column:
     """crc32 of a value written as text, as Python's zlib.crc32 gives it."""
     return F.crc32(F.col(col).cast("string").cast("binary") if isinstance(col, str) else col.cast("string").cast("binary"))

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_texts, ragged, shared_dir, stored, table
+from .common import arrow_schema, batch_rows, map_texts, ragged, shared_dir, stored, table
 from .hashing import prefix_sums, spans_hash
 
 WINDOW = 10
@@ -42,6 +42,8 @@ WINDOW = 10
 GAP = 64
 #: Words of items whose windows are broadcast at once; more are searched block by block.
 BLOCK_WORDS = 200_000
+#: Segments, each of some MB, that a file of the index and a batch sent to Python have at most.
+FILE_SEGMENTS, BATCH_SEGMENTS = 8, 2
 
 _TO = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -72,7 +74,8 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """Segments (segment, docs, n_words, base, terms, counts, positions) of the corpus; terms are in order.
 
     A segment's number is that of the task that wrote it and a count; it is stored, so
-    it tells rows apart that are equal in everything else.
+    it tells rows apart that are equal in everything else.  Files have few segments: Parquet's
+    writer holds 100 rows before it looks at their size, and a reader as many as a file has.
     """
 
     def make():
@@ -87,7 +90,7 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
         return kernel
 
-    return stored(map_texts(df, id_col, text_col, make, f"segment long, docs array<{dict(df.dtypes)[id_col]}>, n_words array<int>, base array<long>, terms array<long>, counts array<int>, positions binary"))
+    return stored(map_texts(df, id_col, text_col, make, f"segment long, docs array<{dict(df.dtypes)[id_col]}>, n_words array<int>, base array<long>, terms array<long>, counts array<int>, positions binary"), FILE_SEGMENTS)
 
 
 def _pack(pos: np.ndarray, counts: np.ndarray) -> bytes:
@@ -207,7 +210,8 @@ def search(index: DataFrame, phrases: Phrases, path: str) -> None:
                 cols = [[number] * len(hit), hit, list(spans.values()), [sorted(items[d]) for d in spans]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], names=schema.names)
 
-    index.select("segment", "base", "terms", "counts", "positions").mapInArrow(run, ddl).write.mode("append").parquet(path)
+    with batch_rows(index.sparkSession, BATCH_SEGMENTS):
+        index.select("segment", "base", "terms", "counts", "positions").mapInArrow(run, ddl).write.mode("append").parquet(path)
     p_shared.destroy()
 
 
@@ -238,7 +242,8 @@ def near(index: DataFrame, first: str, second: str, distance: int, id_col: str =
                 total = np.bincount(doc, n, minlength=len(docs)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([docs.cast(schema[0].type), pa.array(total, schema[1].type)], names=schema.names)
 
-    return index.mapInArrow(run, ddl)
+    with batch_rows(index.sparkSession, BATCH_SEGMENTS):
+        return stored(index.select("docs", "base", "terms", "counts", "positions").mapInArrow(run, ddl))
 
 
 def item_blocks(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[Phrases]:

@@ -700,3 +700,20 @@ def test_a_worker_holds_little_beside_its_tables():
         tracemalloc.stop()
     assert (bits == np.concatenate([trees.bits([r]) for r in raw])).all()
     assert bpe.Bpe().encode_batch(["", texts[0]]) == [[], b.encode_batch(texts[:1])[0]] and b.encode_batch([]) == [] and trees.bits([]).shape == (0, 2)
+
+
+def test_few_segments_of_the_index_meet_in_a_file_or_batch(spark, monkeypatch):
+    """Segments are large: neither Parquet's writer, nor a reader, nor a batch for Python holds many of them."""
+    from entaila.llm import common, phrase_index
+
+    monkeypatch.setattr(common, "BATCH_ROWS", 1)  # a segment a text
+    docs = spark.createDataFrame([(k, f"the {k} that") for k in range(40)], "doc_id long, text string").coalesce(1)
+    index = phrase_index.build_index(docs)
+    assert index.count() == 40 and max(r["count"] for r in index.groupBy(F.input_file_name()).count().collect()) <= phrase_index.FILE_SEGMENTS
+    sizes = lambda: sorted(r.n for r in index.select("segment").mapInPandas(lambda it: (pdf.assign(n=len(pdf))[:1] for pdf in it), "segment long, n long").collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    with common.batch_rows(spark, phrase_index.BATCH_SEGMENTS):
+        assert sizes()[-1] <= phrase_index.BATCH_SEGMENTS
+    assert sizes()[-1] > phrase_index.BATCH_SEGMENTS
+    found = {r.doc_id: r.pairs for r in phrase_index.near(index, "the", "that", 2).collect()}
+    assert found == dict.fromkeys(range(40), 1)
